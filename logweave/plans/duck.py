@@ -110,7 +110,7 @@ classified AS (
 # events -> Kafka-style records (mirror of sources.kafka.event_records)
 EVENT_RECORDS = """
 recs AS (
-  SELECT CAST(epoch_ms(ts) AS VARCHAR) AS key, ts,
+  SELECT CAST(epoch_us(ts) // 1000 AS VARCHAR) AS key, ts,
     concat_ws(',', event_type, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k'))
       || CASE WHEN event_type = 'error' THEN ',,' ELSE '' END AS value
   FROM events

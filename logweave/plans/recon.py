@@ -1 +1,125 @@
-"""Placeholder."""
+"""Reconciliation and token-count queries: F1-F3, R1, R2, S9, A1, S4, S5,
+T1, T2 on lines and records derived from ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logweave.functions.text import java_split, parse_long_or_zero
+from logweave.operators import aggregates, reconcile
+from logweave.plans import duck
+from logweave.plans.registry import register
+from logweave.session import shared_dir, table
+from logweave.sources import kafka
+from logweave.streaming import tokens as stream_tokens
+
+
+def recon_lines(spark, sf):
+    return reconcile.lines_from_events(table(spark, sf, "events"))
+
+
+@register("f1_java_split_arity", f"""
+WITH {duck.RECON_LINES},
+rw AS (SELECT event_id, {duck.java_split('value', ',')} AS w FROM rl)
+SELECT event_id, len(w) AS n_tokens, array_to_string(w, '|') AS joined, len(w) >= 3 AS kept FROM rw""")
+def f1_java_split_arity(spark, sf):
+    w = java_split("value", ",")
+    return recon_lines(spark, sf).select(
+        "event_id", F.size(w).alias("n_tokens"), F.array_join(w, "|").alias("joined"),
+        (F.size(w) >= reconcile.MIN_TOKENS).alias("kept"),
+    )
+
+
+@register("f2_line_classify", f"""
+WITH {duck.CLASSIFIED}
+SELECT event_id, key, CASE WHEN actual = 1 THEN 'detail' ELSE 'summary' END AS kind FROM classified""")
+def f2_line_classify(spark, sf):
+    c = reconcile.classify(recon_lines(spark, sf), keep=("event_id",))
+    return c.select("event_id", "key", F.when(F.col("actual") == 1, "detail").otherwise("summary").alias("kind"))
+
+
+@register("f3_safe_long_parse", f"""
+WITH {duck.RECON_LINES},
+rw AS (SELECT event_id, {duck.java_split('value', ',')}[3] AS token FROM rl)
+SELECT event_id, token,
+  CASE WHEN regexp_full_match(token, '[+-]?[0-9]+') THEN coalesce(TRY_CAST(token AS BIGINT), 0) ELSE 0 END::BIGINT AS parsed
+FROM rw""")
+def f3_safe_long_parse(spark, sf):
+    tok = F.get(java_split("value", ","), 2)
+    return recon_lines(spark, sf).select("event_id", tok.alias("token"), parse_long_or_zero(tok).alias("parsed"))
+
+
+R1_SQL = f"""
+WITH {duck.CLASSIFIED}
+SELECT key, CAST(sum(reported) AS BIGINT) AS reported, CAST(sum(actual) AS BIGINT) AS actual
+FROM classified GROUP BY key"""
+
+
+@register("r1_reconcile", R1_SQL)
+def r1_reconcile(spark, sf):
+    return reconcile.reconcile(recon_lines(spark, sf))
+
+
+@register("r2_reconcile_mismatch", f"""
+WITH t AS ({R1_SQL})
+SELECT key, reported, actual, reported - actual AS diff FROM t WHERE reported <> actual""")
+def r2_reconcile_mismatch(spark, sf):
+    return reconcile.mismatches(reconcile.reconcile(recon_lines(spark, sf)))
+
+
+@register("s9_pair_text_sink", f"""
+WITH t AS ({R1_SQL})
+SELECT '(' || key || ',(' || CAST(reported AS VARCHAR) || ',' || CAST(actual AS VARCHAR) || '))' AS value FROM t""")
+def s9_pair_text_sink(spark, sf):
+    path = shared_dir(spark, "s9")
+    reconcile.write_pair_text(reconcile.reconcile(recon_lines(spark, sf)), path)
+    return spark.read.text(path)
+
+
+@register("a1_token_count", f"""
+WITH {duck.TOKENS}
+SELECT token, count(*) AS n FROM toks GROUP BY token""")
+def a1_token_count(spark, sf):
+    return aggregates.token_count(kafka.event_records(table(spark, sf, "events")))
+
+
+@register("s4_kafka_decode", f"""
+WITH {duck.EVENT_RECORDS}
+SELECT key, value FROM recs""")
+def s4_kafka_decode(spark, sf):
+    # rows shaped as the Kafka source delivers them: binary key and value
+    recs = kafka.event_records(table(spark, sf, "events"))
+    raw = recs.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
+                      F.lit("events").alias("topic"))
+    return kafka.kafka_values(raw)
+
+
+@register("s5_keyed_records", f"""
+WITH {duck.EVENT_RECORDS}
+SELECT key, value FROM recs""")
+def s5_keyed_records(spark, sf):
+    return kafka.event_records(table(spark, sf, "events")).select("key", "value")
+
+
+@register("t1_stream_batch_counts", f"""
+WITH {duck.TOKENS}
+SELECT CAST(0 AS BIGINT) AS batch_id, token, count(*) AS n FROM toks GROUP BY token""")
+def t1_stream_batch_counts(spark, sf):
+    """File stream over the events table (one file -> one micro-batch)."""
+    events = table(spark, sf, "events")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(sf))
+    sink, ckpt = shared_dir(spark, "t1", "sink"), shared_dir(spark, "t1", "checkpoint")
+    q = stream_tokens.start_batch_token_counts(kafka.event_records(stream), sink, ckpt, available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(F.col("batch_id").cast("bigint").alias("batch_id"), "token", "n")
+
+
+@register("t2_window_token_counts", f"""
+WITH {duck.TOKENS}
+SELECT strftime(time_bucket(INTERVAL 20 SECOND, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start,
+       token, count(*) AS n
+FROM toks GROUP BY ALL""")
+def t2_window_token_counts(spark, sf):
+    w = stream_tokens.windowed_token_counts(kafka.event_records(table(spark, sf, "events")))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "token", "n")
