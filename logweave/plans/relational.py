@@ -1 +1,256 @@
-"""Placeholder."""
+"""Relational queries: predicates (F4-F8), joins (J1-J3, J5), grouping
+(A2-A5), ordering and caps (O1-O4), set operations (U1-U3), schema-only
+read (S11).
+
+Joins carry no broadcast hints: Catalyst broadcasts a side only below
+``spark.sql.autoBroadcastJoinThreshold`` (a checked size estimate) and AQE
+re-plans with the real sizes, splitting skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logweave.functions import predicates as P
+from logweave.operators import aggregates, relational
+from logweave.plans.registry import register
+from logweave.session import shared_dir, table
+
+# F4 ------------------------------------------------------------------------
+
+@register("f4_optional_filters", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders
+WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1-%' AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def f4_optional_filters(spark, sf):
+    o = table(spark, sf, "orders")
+    cond = P.all_of(
+        P.opt_equals("o_orderstatus", "F"),
+        P.opt_equals("o_custkey", None),          # no filter
+        P.opt_like("o_orderpriority", "1-%"),
+        P.opt_like_keep_empty("o_orderstatus", None),  # no filter
+        P.opt_in("o_orderpriority", ["1-URGENT", "2-HIGH"]),
+    )
+    return o.where(cond).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@register("f4_optional_filters_empty", """
+SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NULL AND FALSE""")
+def f4_optional_filters_empty(spark, sf):
+    o = table(spark, sf, "orders")
+    cond = P.all_of(P.opt_equals("o_orderstatus", ""), P.opt_in("o_custkey", []))
+    return o.where(cond).select("o_orderkey", "o_orderstatus")
+
+
+@register("f5_safe_literals", """
+SELECT c_custkey, c_name, c_mktsegment FROM customer
+WHERE c_mktsegment = 'BUILDING' OR c_name = 'Customer#000000001'' OR ''1''=''1'""")
+def f5_safe_literals(spark, sf):
+    c = table(spark, sf, "customer")
+    return spark.sql(
+        "SELECT c_custkey, c_name, c_mktsegment FROM {c} WHERE c_mktsegment = :seg OR c_name = :name",
+        args={"seg": "BUILDING", "name": "Customer#000000001' OR '1'='1"},
+        c=c,
+    )
+
+
+@register("f6_like_escape", r"""
+SELECT p_partkey, p_name, p_brand FROM part
+WHERE p_brand LIKE 'Brand#1_' ESCAPE '\' OR p_name LIKE '%\_%' ESCAPE '\' OR p_type LIKE 'PROMO\%%' ESCAPE '\'""")
+def f6_like_escape(spark, sf):
+    p = table(spark, sf, "part")
+    cond = F.col("p_brand").like("Brand#1_") | F.col("p_name").like(r"%\_%") | F.col("p_type").like(r"PROMO\%%")
+    return p.where(cond).select("p_partkey", "p_name", "p_brand")
+
+
+@register("f7_in_subquery", """
+SELECT o_orderkey, o_totalprice FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)""")
+def f7_in_subquery(spark, sf):
+    return spark.sql(
+        "SELECT o_orderkey, o_totalprice FROM {o} "
+        "WHERE o_orderkey IN (SELECT l_orderkey FROM {l} WHERE l_quantity >= 49)",
+        o=table(spark, sf, "orders"), l=table(spark, sf, "lineitem"),
+    )
+
+
+@register("f8_alias_order_expr", """
+SELECT l.l_orderkey AS ok, l.l_linenumber AS ln, l.l_quantity * 2 AS q2
+FROM lineitem AS l ORDER BY l.l_extendedprice * (1 - l.l_discount) DESC NULLS LAST""")
+def f8_alias_order_expr(spark, sf):
+    return spark.sql(
+        "SELECT l.l_orderkey AS ok, l.l_linenumber AS ln, l.l_quantity * 2 AS q2 "
+        "FROM {li} AS l ORDER BY l.l_extendedprice * (1 - l.l_discount) DESC NULLS LAST",
+        li=table(spark, sf, "lineitem"),
+    )
+
+
+# J -------------------------------------------------------------------------
+
+@register("j1_inner_join", """
+SELECT o_orderkey, o_custkey, l_linenumber, l_quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def j1_inner_join(spark, sf):
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey, "inner").select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity")
+
+
+URGENT_OPEN = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"
+
+
+def urgent_open_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"))
+
+
+@register("j2_left_outer", f"""
+SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE {URGENT_OPEN}) o
+ON c_custkey = o_custkey""")
+def j2_left_outer(spark, sf):
+    c = table(spark, sf, "customer")
+    o = urgent_open_orders(spark, sf)
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "o_orderkey")
+
+
+@register("j2_right_outer", """
+SELECT l_orderkey, l_linenumber, p_partkey FROM (SELECT * FROM lineitem WHERE l_quantity >= 49) l
+RIGHT JOIN part ON l_partkey = p_partkey""")
+def j2_right_outer(spark, sf):
+    l = table(spark, sf, "lineitem").where(F.col("l_quantity") >= 49)
+    p = table(spark, sf, "part")
+    return l.join(p, l.l_partkey == p.p_partkey, "right").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
+@register("j3_full_outer", """
+WITH r AS (SELECT l_orderkey, count(*) AS n_returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
+     f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+SELECT o_orderkey, l_orderkey, n_returned FROM f FULL OUTER JOIN r ON o_orderkey = l_orderkey""")
+def j3_full_outer(spark, sf):
+    r = (table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
+         .groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_returned")))
+    f = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey")
+    return f.join(r, f.o_orderkey == r.l_orderkey, "full").select("o_orderkey", "l_orderkey", "n_returned")
+
+
+@register("j5_semi_join", f"""
+SELECT c_custkey, c_name FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {URGENT_OPEN})""")
+def j5_semi_join(spark, sf):
+    c = table(spark, sf, "customer")
+    o = urgent_open_orders(spark, sf)
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_name")
+
+
+# A2-A5 ---------------------------------------------------------------------
+
+@register("a2_group_keys_not_selected", """
+SELECT sum(l_quantity) AS sum_qty, count(*) AS n_lines, avg(l_quantity) AS avg_qty
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def a2_group_keys_not_selected(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return l.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines"), F.avg("l_quantity").alias("avg_qty")
+    ).drop("l_returnflag", "l_linestatus")
+
+
+@register("a2_group_by_expression", """
+SELECT year(l_shipdate) AS ship_year, l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n_lines
+FROM lineitem GROUP BY year(l_shipdate), l_returnflag""")
+def a2_group_by_expression(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return l.groupBy(F.year("l_shipdate").alias("ship_year"), "l_returnflag").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines")
+    )
+
+
+@register("a3_json_key_counter", """
+SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1""")
+def a3_json_key_counter(spark, sf):
+    return aggregates.json_key_counter(table(spark, sf, "events"), "props", "k")
+
+
+@register("a4_grouped_values", """
+WITH p AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL)
+SELECT user_id, CAST(sum(c) AS BIGINT) AS n,
+  string_agg(event_type || ':' || CAST(c AS VARCHAR), ',' ORDER BY event_type) AS value_counts,
+  CASE WHEN sum(c) = 1 THEN to_json(min(event_type))::VARCHAR
+       ELSE to_json(list(event_type ORDER BY event_type))::VARCHAR END AS values_json
+FROM p GROUP BY user_id""")
+def a4_grouped_values(spark, sf):
+    return aggregates.grouped_values(table(spark, sf, "events"), "user_id", "event_type")
+
+
+@register("a5_duplicate_groups", """
+SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id
+FROM documents GROUP BY md5(text) HAVING count(*) > 1""")
+def a5_duplicate_groups(spark, sf):
+    return aggregates.duplicate_groups(table(spark, sf, "documents"), "text", "doc_id")
+
+
+# O -------------------------------------------------------------------------
+
+@register("o1_top_k", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_tax FROM lineitem
+ORDER BY l_extendedprice DESC NULLS LAST, l_tax ASC NULLS LAST, l_orderkey, l_linenumber LIMIT 10""")
+def o1_top_k(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return relational.top_k(l, ["-l_extendedprice", "l_tax", "l_orderkey", "l_linenumber"], 10) \
+        .select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
+
+
+@register("o2_order_by_unselected", """
+SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20""")
+def o2_order_by_unselected(spark, sf):
+    o = table(spark, sf, "orders")
+    return relational.top_k(o, ["-o_totalprice", "o_orderkey"], 20).select("o_orderkey", "o_custkey")
+
+
+@register("o3_nulls_last", f"""
+WITH u AS (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE {URGENT_OPEN} GROUP BY o_custkey)
+SELECT c_custkey, n_urgent FROM customer LEFT JOIN u ON c_custkey = o_custkey
+ORDER BY n_urgent ASC NULLS LAST, c_custkey DESC NULLS LAST LIMIT 25""")
+def o3_nulls_last(spark, sf):
+    u = urgent_open_orders(spark, sf).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_urgent"))
+    c = table(spark, sf, "customer")
+    j = c.join(u, c.c_custkey == u.o_custkey, "left").select("c_custkey", "n_urgent")
+    return relational.top_k(j, ["n_urgent", "-c_custkey"], 25)
+
+
+@register("o4_row_cap", """
+SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100""")
+def o4_row_cap(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return relational.row_cap(relational.order_nulls_last(l, ["l_orderkey", "l_linenumber"]), 100)
+
+
+# U, S11 --------------------------------------------------------------------
+
+@register("u1_path_list_read", """
+SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS sum_user
+FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type""")
+def u1_path_list_read(spark, sf):
+    """Events written as one folder per type, then two folders read in one scan."""
+    root = shared_dir(spark, "u1")
+    table(spark, sf, "events").write.partitionBy("event_type").parquet(root)
+    df = spark.read.option("basePath", root).parquet(f"{root}/event_type=view", f"{root}/event_type=click")
+    return df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("sum_user"))
+
+
+@register("u2_union_all", """
+SELECT o_custkey AS id, 'orders' AS src FROM orders UNION ALL SELECT user_id AS id, 'events' AS src FROM events""")
+def u2_union_all(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.lit("orders").alias("src"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.lit("events").alias("src"))
+    return relational.union_all([o, e])
+
+
+@register("u3_union_distinct", """
+SELECT o_custkey AS id FROM orders UNION SELECT user_id AS id FROM events""")
+def u3_union_distinct(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"))
+    return relational.union_distinct([o, e])
+
+
+@register("s11_schema_only", "SELECT * FROM lineitem LIMIT 0")
+def s11_schema_only(spark, sf):
+    return relational.schema_only(table(spark, sf, "lineitem"))
