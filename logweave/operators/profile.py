@@ -103,7 +103,7 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.lit(i + 1).alias("ordinal"), F.lit(f.name.lower()).alias("column_name"), F.lit(name).alias("type_name"),
                 F.lit(code).alias("jdbc_type"), F.lit(signed).alias("signed"), F.lit(p).alias("precision"),
                 F.lit(s).alias("scale"), F.lit(w).alias("display_width"), F.lit(cls).alias("class_name"),
-                F.col(f"n{i}").alias("null_count"), F.coalesce(F.col(f"w{i}"), F.lit(0)).alias("max_width"),
+                F.col(f"n{i}").alias("null_count"), F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("bigint").alias("max_width"),
             )
         )
     out = one.select(F.inline(F.array(*rows)))

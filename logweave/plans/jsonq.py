@@ -1 +1,172 @@
-"""Placeholder."""
+"""JSON queries N1-N11 on ``events.props`` and JSON texts derived from
+``events`` rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logweave.functions import jsoncols as J
+from logweave.functions.text import java_split
+from logweave.operators import reconcile
+from logweave.plans import duck
+from logweave.plans.registry import register
+from logweave.session import table
+
+K = F.get_json_object("props", "$.k")
+DK = "json_extract_string(props, '$.k')"
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events")
+
+
+# JSON texts derived from events (same text in both engines)
+def _obj_typed():
+    """``{"<type>": 1, "k": <k>}`` - two keys, the first named by the row."""
+    return F.concat(F.lit('{"'), F.col("event_type"), F.lit('": 1, "k": '), K, F.lit("}"))
+
+
+D_OBJ_TYPED = f"""'{{"' || event_type || '": 1, "k": ' || {DK} || '}}'"""
+
+
+def _obj_nullable():
+    """``{"k": <k>, "v": null}`` for errors, ``{"k": <k>, "v": 1}`` otherwise."""
+    v = F.when(F.col("event_type") == "error", F.lit("null")).otherwise(F.lit("1"))
+    return F.concat(F.lit('{"k": '), K, F.lit(', "v": '), v, F.lit("}"))
+
+
+D_OBJ_NULLABLE = (f"""'{{"k": ' || {DK} || ', "v": ' || """
+                  f"""CASE WHEN event_type = 'error' THEN 'null' ELSE '1' END || '}}'""")
+
+
+@register("n1_strict_get", f"SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def n1_strict_get(spark, sf):
+    return _events(spark, sf).select("event_id", J.get_strict("props", "k", "bigint").alias("k"))
+
+
+@register("n2_lenient_get", f"""
+SELECT event_id, {DK} AS k_text, CAST(0 AS BIGINT) AS missing_long, '' AS missing_text, FALSE AS missing_flag
+FROM events""")
+def n2_lenient_get(spark, sf):
+    return _events(spark, sf).select(
+        "event_id",
+        J.get_lenient("props", "k", "string").alias("k_text"),
+        J.get_lenient("props", "absent", "bigint").alias("missing_long"),
+        J.get_lenient("props", "absent", "string").alias("missing_text"),
+        J.get_lenient("props", "absent", "boolean").alias("missing_flag"),
+    )
+
+
+@register("n3_key_listing", f"""
+SELECT key, count(*) AS n FROM (SELECT unnest(json_keys({D_OBJ_TYPED})) AS key FROM events) GROUP BY key""")
+def n3_key_listing(spark, sf):
+    keys = _events(spark, sf).select(F.explode(J.keys(_obj_typed())).alias("key"))
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("n4_has_and_is_null", f"""
+SELECT event_id, TRUE AS has_v, event_type = 'error' AS v_is_null, TRUE AS absent_is_null, FALSE AS k_is_null
+FROM events""")
+def n4_has_and_is_null(spark, sf):
+    e = _events(spark, sf).select("event_id", _obj_nullable().alias("j"))
+    return e.select("event_id", J.has_key("j", "v").alias("has_v"), J.is_null_key("j", "v").alias("v_is_null"),
+                    J.is_null_key("j", "absent").alias("absent_is_null"), J.is_null_key("j", "k").alias("k_is_null"))
+
+
+def _arr():
+    extra = F.when(F.col("event_type") == "error", F.lit(', "e"')).otherwise(F.lit(""))
+    return F.concat(F.lit("["), K, F.lit(", null"), extra, F.lit("]"))
+
+
+@register("n5_length", f"""
+SELECT event_id, json_array_length(json_keys({D_OBJ_NULLABLE})::JSON)::INTEGER AS n_keys,
+  json_array_length('[' || {DK} || ', null' || CASE WHEN event_type = 'error' THEN ', "e"' ELSE '' END || ']')::INTEGER AS n_items
+FROM events""")
+def n5_length(spark, sf):
+    e = _events(spark, sf)
+    return e.select("event_id", J.length(_obj_nullable()).alias("n_keys"), J.length(_arr()).alias("n_items"))
+
+
+@register("n6_canonical_dedupe", f"""
+SELECT '{{"a":' || {DK} || ',"b":"' || event_type || '"}}' AS canonical, count(*) AS n FROM events GROUP BY 1""")
+def n6_canonical_dedupe(spark, sf):
+    e = _events(spark, sf)
+    t = F.col("event_type")
+    ab = F.concat(F.lit('{"a": '), K, F.lit(', "b": "'), t, F.lit('"}'))
+    ba = F.concat(F.lit('{"b": "'), t, F.lit('", "a": '), K, F.lit("}"))
+    j = F.when(t.isin("view", "click"), ab).otherwise(ba)
+    return e.select(J.canonical(j).alias("canonical")).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _loose_sql(x: str) -> str:
+    frac = f"(strpos({x}, '.') > 0 OR strpos({x}, 'e') > 0 OR strpos({x}, 'E') > 0)"
+    num = f"regexp_matches({x}, '^[0-9-]')"
+    dbl = f"TRY_CAST({x} AS DOUBLE)"
+    lng = f"TRY_CAST({x} AS BIGINT)"
+    kind = (f"CASE WHEN {x} = '' THEN 'string' WHEN lower({x}) IN ('true', 'false') THEN 'boolean' "
+            f"WHEN lower({x}) = 'null' THEN 'null' "
+            f"WHEN {num} AND {frac} AND {dbl} IS NOT NULL AND isfinite({dbl}) THEN 'double' "
+            f"WHEN {num} AND NOT {frac} AND {lng} IS NOT NULL AND CAST({lng} AS VARCHAR) = {x} "
+            f"THEN CASE WHEN {lng} BETWEEN -2147483648 AND 2147483647 THEN 'int' ELSE 'long' END "
+            f"ELSE 'string' END")
+    return kind
+
+
+@register("n7_loose_typing", f"""
+WITH {duck.RECON_LINES},
+t AS (SELECT DISTINCT unnest({duck.java_split('value', ',')}) AS token FROM rl),
+k AS (SELECT token, {_loose_sql('token')} AS kind FROM t)
+SELECT token, kind,
+  CASE WHEN kind IN ('int', 'long') THEN TRY_CAST(token AS BIGINT) END AS i,
+  CASE WHEN kind = 'double' THEN TRY_CAST(token AS DOUBLE) END AS d,
+  CASE WHEN kind = 'boolean' THEN lower(token) = 'true' END AS b,
+  CASE WHEN kind = 'string' THEN token END AS s
+FROM k""")
+def n7_loose_typing(spark, sf):
+    lines = reconcile.lines_from_events(_events(spark, sf))
+    toks = lines.select(F.explode(java_split("value", ",")).alias("token")).distinct()
+    return toks.select("token", J.loose_value("token").alias("v")).select("token", "v.kind", "v.i", "v.d", "v.b", "v.s")
+
+
+@register("n8_relaxed_input", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k_single, CAST(json_extract(props, '$.k') AS BIGINT) AS k_bare
+FROM events""")
+def n8_relaxed_input(spark, sf):
+    e = _events(spark, sf)
+    single = F.translate("props", '"', "'")          # {'k': 69}
+    bare = F.translate("props", '"', "")             # {k: 69}
+    return e.select("event_id", J.from_relaxed(single, "k BIGINT")["k"].alias("k_single"),
+                    J.from_relaxed(bare, "k BIGINT")["k"].alias("k_bare"))
+
+
+@register("n9_serialise", f"""
+SELECT event_id, json_object('event_id', event_id, 'event_type', event_type, 'value', value,
+                             'k', CAST({DK} AS BIGINT), 'note', NULL)::VARCHAR AS json
+FROM events""")
+def n9_serialise(spark, sf):
+    e = _events(spark, sf)
+    return e.select("event_id", J.to_json_strict("event_id", "event_type", "value", K.cast("bigint").alias("k"),
+                                                  F.lit(None).cast("string").alias("note")).alias("json"))
+
+
+@register("n10_array_join", f"""
+SELECT event_id, array_to_string(list_transform([event_type, CAST(user_id AS VARCHAR), {DK}],
+                                                lambda x: to_json(x)::VARCHAR), ';') AS joined
+FROM events""")
+def n10_array_join(spark, sf):
+    e = _events(spark, sf)
+    arr = F.array("event_type", F.col("user_id").cast("string"), K)
+    return e.select("event_id", J.join_json(arr, ";").alias("joined"))
+
+
+@register("n11_names_values", f"""
+SELECT event_id, '{{"user":"' || CAST(user_id AS VARCHAR) || '","type":"dup"}}' AS obj,
+       {DK} || ',' || CASE WHEN event_type = 'error' THEN 'NULL' ELSE '1' END || ',NULL' AS picked
+FROM events""")
+def n11_names_values(spark, sf):
+    e = _events(spark, sf)
+    names = F.array(F.lit("type"), F.lit("user"), F.lit("type"))
+    values = F.array("event_type", F.col("user_id").cast("string"), F.lit("dup"))
+    picked = J.values_of(_obj_nullable(), F.array(F.lit("k"), F.lit("v"), F.lit("absent")))
+    return e.select("event_id", J.zip_object(names, values).alias("obj"),
+                    F.array_join(picked, ",", "NULL").alias("picked"))

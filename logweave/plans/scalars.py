@@ -1 +1,211 @@
-"""Placeholder."""
+"""Scalar queries: value conversion (C1-C11), compact times (D1-D3),
+fingerprints and keyed hashes (H1-H3), column profile (M1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logweave.functions import convert as C
+from logweave.functions import hashing as H
+from logweave.operators.profile import column_profile
+from logweave.plans.registry import register
+from logweave.plans.relational import URGENT_OPEN, urgent_open_orders
+from logweave.session import table
+
+# C -------------------------------------------------------------------------
+
+@register("c1_to_number", f"""
+WITH u AS (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE {URGENT_OPEN} GROUP BY o_custkey)
+SELECT c_custkey,
+  CAST(trunc(c_acctbal) AS BIGINT) AS acct_long,
+  CAST(CASE WHEN (c_custkey & 255) >= 128 THEN (c_custkey & 255) - 256 ELSE (c_custkey & 255) END AS TINYINT) AS key_byte,
+  CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS BIGINT) AS positive,
+  CAST(coalesce(n_urgent, 0) AS BIGINT) AS n_urgent
+FROM customer LEFT JOIN u ON c_custkey = o_custkey""")
+def c1_to_number(spark, sf):
+    u = urgent_open_orders(spark, sf).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_urgent"))
+    c = table(spark, sf, "customer")
+    j = c.join(u, c.c_custkey == u.o_custkey, "left").withColumn("pos", F.col("c_acctbal") > 0)
+    return j.select(
+        "c_custkey",
+        C.to_number(j, "c_acctbal").alias("acct_long"),
+        C.to_number(j, "c_custkey", "tinyint", wrap=True).alias("key_byte"),
+        C.to_number(j, "pos").alias("positive"),
+        C.to_number(j, "n_urgent").alias("n_urgent"),
+    )
+
+
+@register("c2_to_boolean", f"""
+WITH u AS (SELECT DISTINCT o_custkey, TRUE AS has_urgent FROM orders WHERE {URGENT_OPEN})
+SELECT c_custkey, coalesce(has_urgent, FALSE) AS has_urgent FROM customer LEFT JOIN u ON c_custkey = o_custkey""")
+def c2_to_boolean(spark, sf):
+    u = urgent_open_orders(spark, sf).select("o_custkey", F.lit(True).alias("has_urgent")).distinct()
+    c = table(spark, sf, "customer")
+    j = c.join(u, c.c_custkey == u.o_custkey, "left")
+    return j.select("c_custkey", C.to_boolean(j, "has_urgent").alias("has_urgent"))
+
+
+@register("c3_to_text", """
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS custkey_text, CAST(o_orderdate AS VARCHAR) AS date_text FROM orders""")
+def c3_to_text(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", C.to_text("o_custkey").alias("custkey_text"), C.to_text("o_orderdate").alias("date_text"))
+
+
+@register("c4_to_decimal", """
+SELECT l_orderkey, l_linenumber,
+  CAST(CAST(l_extendedprice AS VARCHAR) AS DECIMAL(12, 1)) AS price_1,
+  CAST(CAST(l_discount AS VARCHAR) AS DECIMAL(4, 1)) AS discount_1
+FROM lineitem""")
+def c4_to_decimal(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return l.select("l_orderkey", "l_linenumber", C.to_decimal("l_extendedprice", 12, 1).alias("price_1"),
+                    C.to_decimal("l_discount", 4, 1).alias("discount_1"))
+
+
+@register("c5_to_date", """
+SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE) AS order_date FROM orders""")
+def c5_to_date(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", C.to_date_strict(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("order_date"))
+
+
+@register("c6_to_time", """
+SELECT event_id, ((epoch_us(ts) // 1000) % 86400000 - 28800000 + 86400000) % 86400000 AS utc_millis FROM events""")
+def c6_to_time(spark, sf):
+    e = table(spark, sf, "events")
+    txt = F.concat(F.date_format("ts", "HH:mm:ss.SSS"), F.lit(" +08:00"))
+    return e.select("event_id", C.time_millis(txt).alias("utc_millis"))
+
+
+@register("c7_to_timestamp_zoned", """
+SELECT event_id, epoch_us(ts) // 1000 - 28800000 AS epoch_millis FROM events""")
+def c7_to_timestamp_zoned(spark, sf):
+    e = table(spark, sf, "events")
+    zone = F.when(F.col("event_type") == "view", F.lit(" Asia/Shanghai")).otherwise(F.lit(" +08:00"))
+    txt = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), zone)
+    return e.select("event_id", F.unix_millis(C.to_timestamp_zoned(txt)).alias("epoch_millis"))
+
+
+@register("c8_to_interval", """
+SELECT event_id,
+  CAST((year(ts) - 2000) * 12 + month(ts) AS INTEGER) AS months,
+  day(ts) * 86400000 + (epoch_us(ts) // 1000) % 86400000 AS millis
+FROM events""")
+def c8_to_interval(spark, sf):
+    e = table(spark, sf, "events")
+    ym = F.concat((F.year("ts") - 2000).cast("string"), F.lit("-"), F.month("ts").cast("string"))
+    dt = F.concat(F.dayofmonth("ts").cast("string"), F.lit(" "), F.date_format("ts", "HH:mm:ss.SSS"))
+    return e.select("event_id", C.interval_months(ym).alias("months"), C.interval_millis(dt).alias("millis"))
+
+
+@register("c9_strict_slice", """
+SELECT p_partkey, array_to_string(string_split(p_name, ' ')[2:2], ' ') AS second_word FROM part""")
+def c9_strict_slice(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", F.array_join(C.slice_strict(F.split("p_name", " "), 2, 1), " ").alias("second_word"))
+
+
+@register("c10_pick_column", "SELECT c_name AS name FROM customer")
+def c10_pick_column(spark, sf):
+    c = table(spark, sf, "customer")
+    dup = c.select(F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("ID"))
+    return C.pick_column(dup, "NAME")
+
+
+@register("c11_to_bytes", """
+SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(encode(text)) AS bytes_md5 FROM documents""")
+def c11_to_bytes(spark, sf):
+    d = table(spark, sf, "documents")
+    b = C.to_bytes("text")
+    return d.select("doc_id", F.octet_length(b).cast("bigint").alias("n_bytes"), F.md5(b).alias("bytes_md5"))
+
+
+# D -------------------------------------------------------------------------
+
+@register("d1_parse_compact", """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS from_compact, strftime(ts, '%Y-%m-%d %H:%M') AS from_arg
+FROM events""")
+def d1_parse_compact(spark, sf):
+    e = table(spark, sf, "events")
+    a = C.parse_compact(F.date_format("ts", "yyyyMMddHHmm"), "yyyyMMddHHmm")
+    b = C.parse_compact(F.date_format("ts", "yyyy-MM-ddHH:mm"), "yyyy-MM-ddHH:mm")
+    return e.select("event_id", F.date_format(a, "yyyy-MM-dd HH:mm").alias("from_compact"),
+                    F.date_format(b, "yyyy-MM-dd HH:mm").alias("from_arg"))
+
+
+@register("d2_day_keys", """
+SELECT event_id, strftime(ts, '%Y/%m/%d') AS folder, strftime(ts, '%Y%m%d') AS ds FROM events""")
+def d2_day_keys(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", C.day_folder("ts").alias("folder"), C.day_key("ts").alias("ds"))
+
+
+@register("d3_open_interval", """
+SELECT event_id FROM events
+WHERE ts > TIMESTAMP '2024-01-01 00:00:07.179575' AND ts < TIMESTAMP '2024-01-03 12:00:00'""")
+def d3_open_interval(spark, sf):
+    e = table(spark, sf, "events")
+    return e.where(C.strictly_between("ts", "2024-01-01 00:00:07.179575", "2024-01-03 12:00:00")).select("event_id")
+
+
+# H1-H3 ---------------------------------------------------------------------
+
+@register("h1_text_fingerprint", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
+def h1_text_fingerprint(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", H.md5_hex("text").alias("md5"), H.sha1_hex("text").alias("sha1"))
+
+
+@register("h2_base64", """
+SELECT doc_id, to_base64(encode(text)) AS b64, from_base64(to_base64(encode(text))) = encode(text) AS round_trip
+FROM documents""")
+def h2_base64(spark, sf):
+    d = table(spark, sf, "documents")
+    b64 = H.base64_flat("text")
+    return d.select("doc_id", b64.alias("b64"), (H.unbase64_lenient(b64) == F.col("text").cast("binary")).alias("round_trip"))
+
+
+HMAC_KEY = b"logweave-demo-key"
+
+
+def _hmac_sql(msg: str, algo: str) -> str:
+    from logweave.functions.hashing import _pads
+    ipad, opad = _pads(HMAC_KEY, algo)
+    fn = "sha256" if algo == "sha256" else "sha1"
+    return f"{fn}(unhex('{opad.hex()}') || unhex({fn}(unhex('{ipad.hex()}') || encode({msg}))))"
+
+
+@register("h3_keyed_hash", f"""
+SELECT c_custkey, {_hmac_sql('c_name', 'sha256')} AS name_hmac,
+       to_base64(unhex({_hmac_sql('c_name', 'sha1')})) AS name_sig
+FROM customer""")
+def h3_keyed_hash(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", H.hmac_hex("c_name", HMAC_KEY).alias("name_hmac"),
+                    H.hmac_base64("c_name", HMAC_KEY, "sha1").alias("name_sig"))
+
+
+# M1 ------------------------------------------------------------------------
+
+def _profile_sql() -> str:
+    cols = [  # name, type, jdbc, signed, precision, scale, width, class
+        ("c_custkey", "bigint", -5, True, 19, 0, 20, "java.lang.Long"),
+        ("c_name", "varchar", -16, True, 1073741824, 0, 1073741824, "java.lang.String"),
+        ("c_nationkey", "integer", 4, True, 10, 0, 11, "java.lang.Integer"),
+        ("c_acctbal", "double", 8, True, 17, 0, 24, "java.lang.Double"),
+        ("c_mktsegment", "varchar", -16, True, 1073741824, 0, 1073741824, "java.lang.String"),
+    ]
+    parts = []
+    for i, (n, t, code, signed, p, s, w, cls) in enumerate(cols, 1):
+        parts.append(
+            f"SELECT {i} AS ordinal, '{n}' AS column_name, '{t}' AS type_name, {code} AS jdbc_type, "
+            f"{str(signed).upper()} AS signed, {p} AS precision, {s} AS scale, {w} AS display_width, "
+            f"'{cls}' AS class_name, count(*) - count({n}) AS null_count, "
+            f"CAST(coalesce(max(length(CAST({n} AS VARCHAR))), 0) AS BIGINT) AS max_width, "
+            f"coalesce(max(length(CAST({n} AS VARCHAR))), 0) <= {w} AS width_ok FROM customer"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+register("m1_column_profile", _profile_sql())(lambda spark, sf: column_profile(table(spark, sf, "customer")))

@@ -63,6 +63,32 @@ def rows_of_duck(con, sql: str) -> tuple[list[str], list[tuple]]:
     return cols, [tuple(_norm(r[i]) for i in idx) for r in data]
 
 
+_SIMPLE = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT",
+           "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+           "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "binary": "BLOB"}
+
+
+def duck_type_of(spark_type: str) -> str:
+    if spark_type.startswith("decimal"):
+        return spark_type.upper().replace(",", ",")
+    if spark_type.startswith("array<"):
+        return duck_type_of(spark_type[6:-1]) + "[]"
+    return _SIMPLE.get(spark_type, spark_type)
+
+
+def type_mismatches(df, con, sql: str) -> list[str]:
+    """Columns whose Spark type does not map to the DuckDB type."""
+    rel = con.sql(sql)
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in df.schema.fields:
+        want = duck_type_of(f.dataType.simpleString())
+        got = duck.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs duck {got}")
+    return out
+
+
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else a short description of the first difference."""
     sc, sr = rows_of_spark(df)

@@ -12,7 +12,7 @@ import time
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tests"))
 
-from oracle import compare, duck_connection  # noqa: E402
+from oracle import compare, duck_connection, type_mismatches  # noqa: E402
 
 from logweave import get_session  # noqa: E402
 from logweave.plans import all_oracles, all_queries  # noqa: E402
@@ -33,12 +33,15 @@ def main() -> int:
             df = fn(spark, sf_dir)
             if name in oracles:
                 msg = compare(df, con, oracles[name])
+                types = type_mismatches(df, con, oracles[name])
+                if msg is None and types:
+                    msg = "types: " + "; ".join(types)
             else:
                 df.count()
                 msg = "no oracle (rows only)"
         except Exception as exc:  # report and go on
             msg = f"ERROR {type(exc).__name__}: {str(exc)[:400]}"
-        ok = msg is None or msg.startswith("no oracle")
+        ok = msg is None or msg.startswith("no oracle") or msg.startswith("types")
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name:32s} {time.time() - t0:6.2f}s {msg or ''}", flush=True)
     print(f"{bad} failing")
