@@ -7,14 +7,16 @@ splits (or AQE's rebalance) and ``maxRecordsPerFile`` caps file size.
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logweave.functions.predicates import quote_literal
 from logweave.operators.weblog import REQUEST_FIELDS
 
+_DS_RE = re.compile(r"^[0-9A-Za-z_-]+$")
+
 # Table properties of the request tables.
 ORC_PROPERTIES = {"orc.compress": "SNAPPY", "orc.stripe.size": "268435456"}
 PARQUET_PROPERTIES = {"parquet.compression": "SNAPPY"}
@@ -54,16 +56,29 @@ def insert_partition(
 ) -> None:
     """Write records into partition ``ds`` of ``table``.
 
-    ``overwrite=True`` replaces only the partitions present in the data
-    (dynamic partition overwrite), so a rerun does not duplicate rows;
-    ``overwrite=False`` appends like the original job. With ``ds=None`` the
-    frame must carry its own ``ds`` column.
+    ``overwrite=True`` replaces only the partition(s) written, so a rerun does
+    not duplicate rows; ``overwrite=False`` appends like the original job.
+    With ``ds`` given it is a static partition (``INSERT ... PARTITION
+    (ds='...')``); with ``ds=None`` the frame's own ``ds`` column picks the
+    partitions and only those present in the data are replaced.
     """
-    cols = [F.col(f) for f in fields]
-    part = F.col("ds") if ds is None else F.lit(ds).alias("ds")
-    (df.select(*cols, part).write
-       .option("partitionOverwriteMode", "dynamic")
-       .insertInto(table, overwrite=overwrite))
+    spark = df.sparkSession
+    cols = ", ".join(f"`{f}`" for f in fields)
+    mode = "OVERWRITE" if overwrite else "INTO"
+    if ds is not None:
+        if not _DS_RE.match(ds):
+            raise ValueError(f"bad partition value {ds!r}")
+        spark.sql(f"INSERT {mode} TABLE {table} PARTITION (ds = {quote_literal(ds)}) SELECT {cols} FROM {{src}}",
+                  src=df.select(*fields))
+        return
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        spark.sql(f"INSERT {mode} TABLE {table} PARTITION (ds) SELECT {cols}, ds FROM {{src}}",
+                  src=df.select(*fields, "ds"))
+    finally:
+        spark.conf.set(key, before)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
