@@ -12,7 +12,10 @@ from logweave.plans import duck
 from logweave.plans.registry import register
 from logweave.session import table
 
-K = F.get_json_object("props", "$.k")
+def _k():
+    return F.get_json_object("props", "$.k")
+
+
 DK = "json_extract_string(props, '$.k')"
 
 
@@ -23,7 +26,7 @@ def _events(spark, sf):
 # JSON texts derived from events (same text in both engines)
 def _obj_typed():
     """``{"<type>": 1, "k": <k>}`` - two keys, the first named by the row."""
-    return F.concat(F.lit('{"'), F.col("event_type"), F.lit('": 1, "k": '), K, F.lit("}"))
+    return F.concat(F.lit('{"'), F.col("event_type"), F.lit('": 1, "k": '), _k(), F.lit("}"))
 
 
 D_OBJ_TYPED = f"""'{{"' || event_type || '": 1, "k": ' || {DK} || '}}'"""
@@ -32,7 +35,7 @@ D_OBJ_TYPED = f"""'{{"' || event_type || '": 1, "k": ' || {DK} || '}}'"""
 def _obj_nullable():
     """``{"k": <k>, "v": null}`` for errors, ``{"k": <k>, "v": 1}`` otherwise."""
     v = F.when(F.col("event_type") == "error", F.lit("null")).otherwise(F.lit("1"))
-    return F.concat(F.lit('{"k": '), K, F.lit(', "v": '), v, F.lit("}"))
+    return F.concat(F.lit('{"k": '), _k(), F.lit(', "v": '), v, F.lit("}"))
 
 
 D_OBJ_NULLABLE = (f"""'{{"k": ' || {DK} || ', "v": ' || """
@@ -75,7 +78,7 @@ def n4_has_and_is_null(spark, sf):
 
 def _arr():
     extra = F.when(F.col("event_type") == "error", F.lit(', "e"')).otherwise(F.lit(""))
-    return F.concat(F.lit("["), K, F.lit(", null"), extra, F.lit("]"))
+    return F.concat(F.lit("["), _k(), F.lit(", null"), extra, F.lit("]"))
 
 
 @register("n5_length", f"""
@@ -92,8 +95,8 @@ SELECT '{{"a":' || {DK} || ',"b":"' || event_type || '"}}' AS canonical, count(*
 def n6_canonical_dedupe(spark, sf):
     e = _events(spark, sf)
     t = F.col("event_type")
-    ab = F.concat(F.lit('{"a": '), K, F.lit(', "b": "'), t, F.lit('"}'))
-    ba = F.concat(F.lit('{"b": "'), t, F.lit('", "a": '), K, F.lit("}"))
+    ab = F.concat(F.lit('{"a": '), _k(), F.lit(', "b": "'), t, F.lit('"}'))
+    ba = F.concat(F.lit('{"b": "'), t, F.lit('", "a": '), _k(), F.lit("}"))
     j = F.when(t.isin("view", "click"), ab).otherwise(ba)
     return e.select(J.canonical(j).alias("canonical")).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
 
@@ -145,7 +148,7 @@ SELECT event_id, json_object('event_id', event_id, 'event_type', event_type, 'va
 FROM events""")
 def n9_serialise(spark, sf):
     e = _events(spark, sf)
-    return e.select("event_id", J.to_json_strict("event_id", "event_type", "value", K.cast("bigint").alias("k"),
+    return e.select("event_id", J.to_json_strict("event_id", "event_type", "value", _k().cast("bigint").alias("k"),
                                                   F.lit(None).cast("string").alias("note")).alias("json"))
 
 
@@ -155,7 +158,7 @@ SELECT event_id, array_to_string(list_transform([event_type, CAST(user_id AS VAR
 FROM events""")
 def n10_array_join(spark, sf):
     e = _events(spark, sf)
-    arr = F.array("event_type", F.col("user_id").cast("string"), K)
+    arr = F.array("event_type", F.col("user_id").cast("string"), _k())
     return e.select("event_id", J.join_json(arr, ";").alias("joined"))
 
 

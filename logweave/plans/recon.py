@@ -21,7 +21,7 @@ def recon_lines(spark, sf):
 @register("f1_java_split_arity", f"""
 WITH {duck.RECON_LINES},
 rw AS (SELECT event_id, {duck.java_split('value', ',')} AS w FROM rl)
-SELECT event_id, len(w) AS n_tokens, array_to_string(w, '|') AS joined, len(w) >= 3 AS kept FROM rw""")
+SELECT event_id, CAST(len(w) AS INTEGER) AS n_tokens, array_to_string(w, '|') AS joined, len(w) >= 3 AS kept FROM rw""")
 def f1_java_split_arity(spark, sf):
     w = java_split("value", ",")
     return recon_lines(spark, sf).select(

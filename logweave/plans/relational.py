@@ -153,7 +153,7 @@ def a2_group_keys_not_selected(spark, sf):
 
 
 @register("a2_group_by_expression", """
-SELECT year(l_shipdate) AS ship_year, l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n_lines
+SELECT CAST(year(l_shipdate) AS INTEGER) AS ship_year, l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n_lines
 FROM lineitem GROUP BY year(l_shipdate), l_returnflag""")
 def a2_group_by_expression(spark, sf):
     l = table(spark, sf, "lineitem")

@@ -49,7 +49,7 @@ def w3_url_split(spark, sf):
 @register("w4_param_explode", f"""
 WITH q AS (SELECT page_id, {duck.pairs(duck.query_string('url'))} AS kvs FROM pages WHERE strpos(url, '?') > 0)
 SELECT page_id, pos, kv[1] AS name, kv[2] AS value
-FROM (SELECT page_id, generate_subscripts(kvs, 1) - 1 AS pos, unnest(kvs) AS kv FROM q)""")
+FROM (SELECT page_id, CAST(generate_subscripts(kvs, 1) - 1 AS INTEGER) AS pos, unnest(kvs) AS kv FROM q)""")
 def w4_param_explode(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", F.posexplode(urls.decoded_pairs(urls.query_string("url"))).alias("pos", "kv")) \
