@@ -75,11 +75,13 @@ def f7_in_subquery(spark, sf):
 
 @register("f8_alias_order_expr", """
 SELECT l.l_orderkey AS ok, l.l_linenumber AS ln, l.l_quantity * 2 AS q2
-FROM lineitem AS l ORDER BY l.l_extendedprice * (1 - l.l_discount) DESC NULLS LAST""")
+FROM lineitem AS l ORDER BY l.l_extendedprice * (1 - l.l_discount) DESC NULLS LAST, l.l_orderkey, l.l_linenumber""")
 def f8_alias_order_expr(spark, sf):
+    # the unique tie-breakers let the range partitioner split a run of equal
+    # sort values over several tasks instead of one
     return spark.sql(
         "SELECT l.l_orderkey AS ok, l.l_linenumber AS ln, l.l_quantity * 2 AS q2 "
-        "FROM {li} AS l ORDER BY l.l_extendedprice * (1 - l.l_discount) DESC NULLS LAST",
+        "FROM {li} AS l ORDER BY l.l_extendedprice * (1 - l.l_discount) DESC NULLS LAST, l.l_orderkey, l.l_linenumber",
         li=table(spark, sf, "lineitem"),
     )
 
