@@ -26,10 +26,14 @@ def java_split(c: Column | str, sep: str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     q = _quoted(sep)
-    return (
-        F.when(c.rlike(f"^({q})+$"), F.array().cast(_STRING_ARRAY))
-        .otherwise(F.split(F.regexp_replace(c, f"({q})+$", ""), q))
-    )
+    if len(sep) == 1:
+        # rtrim of the one separator character is a plain scan, no regex
+        trimmed = F.rtrim(c, F.lit(sep))
+        only_seps = (trimmed == "") & (c != "")
+    else:
+        trimmed = F.regexp_replace(c, f"({q})+$", "")
+        only_seps = c.rlike(f"^({q})+$")
+    return F.when(only_seps, F.array().cast(_STRING_ARRAY)).otherwise(F.split(trimmed, q))
 
 
 def token_at(c: Column | str, index: int, sep: str = " ") -> Column:

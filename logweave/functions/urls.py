@@ -34,7 +34,9 @@ def url_path(url: Column | str) -> Column:
 def decode_or_raw(c: Column | str) -> Column:
     """Form-decode (``+`` is a blank, ``%xx`` UTF-8); malformed text stays raw."""
     c = _col(c)
-    return F.coalesce(F.try_url_decode(c), c)
+    # only text with an escape or a '+' can change; the rest skips the decoder
+    needs = (F.instr(c, "%") > 0) | (F.instr(c, "+") > 0)
+    return F.when(needs, F.coalesce(F.try_url_decode(c), c)).otherwise(c)
 
 
 def raw_pairs(qs: Column | str) -> Column:
