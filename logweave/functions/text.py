@@ -45,6 +45,18 @@ def token_at(c: Column | str, index: int, sep: str = " ") -> Column:
     return F.get(java_split(c, sep), F.lit(index))
 
 
+def java_length(c: Column | str) -> Column:
+    """``String.length()`` of Java: UTF-16 code units.
+
+    A character outside the Basic Multilingual Plane counts twice. ASCII
+    text (as many UTF-8 bytes as characters) takes the fast path, no regex.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    n = F.length(c)
+    supplementary = F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.when(F.octet_length(c) == n, n).otherwise(n + supplementary)
+
+
 def parse_long_or_zero(c: Column | str) -> Column:
     """Java ``Long.parseLong`` with 0 on failure.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import java_split, parse_long_or_zero
+from logweave.functions.text import java_length, java_split, parse_long_or_zero
 
 # Fixed value: a third token longer than this many characters marks a detail line.
 DETAIL_MIN_LEN = 18
@@ -29,7 +29,7 @@ def classify(lines: DataFrame, line_col: str = "value", keep: tuple[str, ...] =
     staged = lines.select(*keep, java_split(line_col, ",").alias("w")).where(F.size("w") >= MIN_TOKENS)
     w = F.col("w")
     third = F.get(w, 2)
-    detail = F.length(third) > DETAIL_MIN_LEN
+    detail = java_length(third) > DETAIL_MIN_LEN
     return staged.select(
         *keep,
         F.when(detail, F.get(w, F.size(w) - 2)).otherwise(F.get(w, 0)).alias("key"),

@@ -64,6 +64,45 @@ def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:
     return union_all(frames).distinct()
 
 
+def _null_extend(df: DataFrame, like: DataFrame, cols: Sequence[str]) -> DataFrame:
+    types = {f.name: f.dataType for f in like.schema.fields}
+    return df.select(*df.columns, *[F.lit(None).cast(types[c]).alias(c) for c in cols])
+
+
+def outer_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
+    """Left or right outer equi-join that stays balanced under key skew.
+
+    AQE splits a skewed partition only on the preserved side of an outer
+    join, so a hot key on the other side would land in one task. Written as
+    ``inner join`` (AQE may split either side) plus the preserved rows whose
+    key is absent (an anti join against the *distinct* keys of the other
+    side, which partial aggregation reduces before the shuffle), it has no
+    such task. Preserved rows with a NULL key are kept, as in an outer join.
+    Column names of the two inputs must not overlap.
+    """
+    if how not in ("left", "right"):
+        raise ValueError("how must be 'left' or 'right'")
+    keep, other = (left, right) if how == "left" else (right, left)
+    kk, ok = (left_key, right_key) if how == "left" else (right_key, left_key)
+    if set(keep.columns) & set(other.columns):
+        raise ValueError("outer_join needs distinct column names on both sides")
+    inner = keep.join(other, keep[kk] == other[ok], "inner")
+    keys = other.select(F.col(ok).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    missing = keep.join(keys, keep[kk] == keys["_k"], "left_anti")
+    cols = [*left.columns, *right.columns]
+    return inner.select(*cols).unionByName(_null_extend(missing, other, other.columns).select(*cols))
+
+
+def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of ``left`` with a match in ``right`` (``IN (subquery)``).
+
+    Only the distinct keys of ``right`` take part, so a hot key on the right
+    crosses the shuffle once per task after partial aggregation.
+    """
+    keys = right.select(F.col(right_key).alias("_k")).distinct()
+    return left.join(keys, left[left_key] == keys["_k"], "left_semi")
+
+
 def schema_only(df: DataFrame) -> DataFrame:
     """Zero rows, full schema."""
     return df.limit(0)

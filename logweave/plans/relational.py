@@ -108,18 +108,18 @@ def urgent_open_orders(spark, sf):
 SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE {URGENT_OPEN}) o
 ON c_custkey = o_custkey""")
 def j2_left_outer(spark, sf):
-    c = table(spark, sf, "customer")
-    o = urgent_open_orders(spark, sf)
-    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "o_orderkey")
+    c = table(spark, sf, "customer").select("c_custkey")
+    o = urgent_open_orders(spark, sf).select("o_orderkey", "o_custkey")
+    return relational.outer_join(c, o, "c_custkey", "o_custkey", "left").select("c_custkey", "o_orderkey")
 
 
 @register("j2_right_outer", """
 SELECT l_orderkey, l_linenumber, p_partkey FROM (SELECT * FROM lineitem WHERE l_quantity >= 49) l
 RIGHT JOIN part ON l_partkey = p_partkey""")
 def j2_right_outer(spark, sf):
-    l = table(spark, sf, "lineitem").where(F.col("l_quantity") >= 49)
-    p = table(spark, sf, "part")
-    return l.join(p, l.l_partkey == p.p_partkey, "right").select("l_orderkey", "l_linenumber", "p_partkey")
+    l = table(spark, sf, "lineitem").where(F.col("l_quantity") >= 49).select("l_orderkey", "l_linenumber", "l_partkey")
+    p = table(spark, sf, "part").select("p_partkey")
+    return relational.outer_join(l, p, "l_partkey", "p_partkey", "right").select("l_orderkey", "l_linenumber", "p_partkey")
 
 
 @register("j3_full_outer", """
@@ -138,8 +138,7 @@ SELECT c_custkey, c_name FROM customer
 WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {URGENT_OPEN})""")
 def j5_semi_join(spark, sf):
     c = table(spark, sf, "customer")
-    o = urgent_open_orders(spark, sf)
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_name")
+    return relational.semi_join(c, urgent_open_orders(spark, sf), "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 # A2-A5 ---------------------------------------------------------------------

@@ -71,3 +71,10 @@ def test_partition_insert_rerun(spark, tmpdir_path):
     got = {r.ds: r.n for r in spark.table(name).groupBy("ds").agg(F.count("*").alias("n")).collect()}
     assert got == {"20240101": 1, "20240102": 2}
     tables.drop_table(spark, name)
+
+
+def test_staging_overwrite_rerun(spark, tmpdir_path):
+    df = spark.range(5).withColumnRenamed("id", "x")
+    tables.write_staging(df, tmpdir_path + "/stage", "orc")
+    tables.write_staging(df, tmpdir_path + "/stage", "orc")  # a rerun replaces, does not add
+    assert spark.read.orc(tmpdir_path + "/stage").count() == 5

@@ -42,3 +42,29 @@ def test_unions_and_schema_only(spark):
     assert relational.union_distinct([a, b]).count() == 2
     z = relational.schema_only(a)
     assert z.count() == 0 and z.columns == ["x"]
+
+
+def _skewed(spark):
+    # one key holds a third of the rows, one left key has no match, one is NULL
+    left = spark.createDataFrame([(k,) for k in [1, 2, 3, 4, None]], "lk int")
+    right = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 100 + i) for i in range(60)] + [(3, 999)],
+                                  "rk int, v int")
+    return left, right
+
+
+def test_outer_join_equals_plain_outer_join(spark):
+    left, right = _skewed(spark)
+    got = sorted(map(tuple, relational.outer_join(left, right, "lk", "rk", "left").collect()), key=repr)
+    want = sorted(map(tuple, left.join(right, left.lk == right.rk, "left").collect()), key=repr)
+    assert got == want and len(got) == 93
+    got = sorted(map(tuple, relational.outer_join(right, left, "rk", "lk", "right").collect()), key=repr)
+    want = sorted(map(tuple, right.join(left, right.rk == left.lk, "right").collect()), key=repr)
+    assert got == want
+
+
+def test_semi_join_uses_distinct_keys(spark):
+    left, right = _skewed(spark)
+    out = relational.semi_join(left, right, "lk", "rk")
+    assert sorted(r.lk for r in out.collect()) == [1, 2, 3]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan

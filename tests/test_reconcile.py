@@ -43,3 +43,11 @@ def test_sum_overflow_raises(spark):
     df = spark.createDataFrame([(big,)] * 10, "value string")
     with pytest.raises(Exception):
         reconcile.reconcile(df).collect()
+
+
+def test_detail_rule_counts_utf16_units(spark):
+    # 17 characters, one outside the BMP: 18 UTF-16 units -> not a detail line
+    # 18 characters, one outside the BMP: 19 units -> a detail line
+    df = spark.createDataFrame([("a,b,1234567890123456\U0001F600",), ("a,b,12345678901234567\U0001F600,k,z",)],
+                               "value string")
+    assert [tuple(r) for r in reconcile.classify(df).collect()] == [("a", 0, 0), ("k", 0, 1)]

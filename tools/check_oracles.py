@@ -21,7 +21,10 @@ from logweave.plans import all_oracles, all_queries  # noqa: E402
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = sys.argv[2:]
-    spark = get_session("local[8]")
+    extra = {}
+    if os.environ.get("CHECK_TZ"):  # run under another session time zone
+        extra["spark.sql.session.timeZone"] = os.environ["CHECK_TZ"]
+    spark = get_session("local[8]", **extra)
     con = duck_connection(sf_dir)
     queries, oracles = all_queries(), all_oracles()
     bad = 0
