@@ -114,10 +114,28 @@ def from_relaxed(c: Column | str, schema: str) -> Column:
     return F.from_json(_col(c), schema, RELAXED_OPTIONS)
 
 
+def java_number(c: Column | str) -> Column:
+    """A number as the JSON writer prints it, as a ``VARIANT`` for ``to_json``.
+
+    ``Double.toString`` text with trailing zeros (and a bare ``.``) removed
+    in plain notation: ``12.0`` -> ``12``, ``1.50`` -> ``1.5``, ``1.0E10``
+    stays. Non-finite values raise, as the writer rejects them.
+    """
+    x = _col(c)
+    t = x.cast("string")
+    trimmed = F.when(t.contains(".") & ~t.contains("E"), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    finite = ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(float("inf")))
+    return F.when(x.isNull(), F.lit(None)).when(finite, F.parse_json(trimmed)).otherwise(
+        F.raise_error(F.lit("non-finite number in JSON output"))
+    )
+
+
 def to_json_strict(*cols: Column | str, keep_nulls: bool = True) -> Column:
     """Compact JSON object of the columns; a non-finite double raises.
 
-    NULL fields are written as ``null`` (``ignoreNullFields=false``).
+    NULL fields are written as ``null`` (``ignoreNullFields=false``). Pass
+    floating-point columns through :func:`java_number` for the writer's
+    number text (``12`` rather than ``12.0``).
     """
     cs = [_col(c) for c in cols]
     obj = F.to_json(F.struct(*cs), {"ignoreNullFields": "false" if keep_nulls else "true"})

@@ -143,12 +143,15 @@ def n8_relaxed_input(spark, sf):
 
 
 @register("n9_serialise", f"""
-SELECT event_id, json_object('event_id', event_id, 'event_type', event_type, 'value', value,
-                             'k', CAST({DK} AS BIGINT), 'note', NULL)::VARCHAR AS json
+SELECT event_id, json_object('event_id', event_id, 'event_type', event_type,
+    'value', json(CASE WHEN strpos(CAST(value AS VARCHAR), '.') > 0
+                       THEN regexp_replace(CAST(value AS VARCHAR), '\\.?0+$', '') ELSE CAST(value AS VARCHAR) END),
+    'k', CAST({DK} AS BIGINT), 'note', NULL)::VARCHAR AS json
 FROM events""")
 def n9_serialise(spark, sf):
     e = _events(spark, sf)
-    return e.select("event_id", J.to_json_strict("event_id", "event_type", "value", _k().cast("bigint").alias("k"),
+    return e.select("event_id", J.to_json_strict("event_id", "event_type", J.java_number("value").alias("value"),
+                                                  _k().cast("bigint").alias("k"),
                                                   F.lit(None).cast("string").alias("note")).alias("json"))
 
 

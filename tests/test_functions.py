@@ -129,3 +129,9 @@ def test_hashes(spark):
     assert rows[0][4] == hmac.new(b"k" * 100, b"abc", hashlib.sha1).hexdigest()
     junk = spark.createDataFrame([("YW\nJj!",)], "s string")
     assert junk.select(H.unbase64_lenient("s").cast("string")).collect()[0][0] == "abc"
+
+
+def test_java_number_text(spark):
+    df = spark.createDataFrame([(12.0,), (1.5,), (1e10,), (0.0,), (None,)], "x double")
+    out = [r[0] for r in df.select(J.to_json_strict(J.java_number("x").alias("x"))).collect()]
+    assert out == ['{"x":12}', '{"x":1.5}', '{"x":1.0E10}', '{"x":0}', '{"x":null}']
