@@ -23,22 +23,81 @@ def _path(key: str) -> str:
     return "$['" + key.replace("'", "\\'") + "']"
 
 
+def _node(c: Column | str, key: str) -> Column:
+    """The value at ``key`` as a VARIANT; NULL when missing or the text is not JSON."""
+    return F.try_variant_get(F.try_parse_json(_col(c)), _path(key), "variant")
+
+
+def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
+    """``(ok, value)``: what the strict getter returns, and whether it would succeed.
+
+    Numbers convert like ``Number.xxxValue()`` (integral values wrap to int,
+    fractions truncate and saturate); strings parse like ``Long.parseLong`` /
+    ``Integer.parseInt`` / ``Double.parseDouble``; booleans accept JSON
+    booleans and the strings ``true``/``false`` in any case; ``string``
+    accepts only strings. A missing key or JSON null fails every kind.
+    """
+    v = _node(c, key)
+    t = F.schema_of_variant(v)
+    is_int = t == "BIGINT"
+    is_frac = (t == "DOUBLE") | (t.startswith("DECIMAL") & ~t.endswith(",0)"))
+    is_dec_int = t.startswith("DECIMAL") & t.endswith(",0)")
+    is_str = t == "STRING"
+    s = F.try_variant_get(v, "$", "string")
+    d = F.try_variant_get(v, "$", "double")
+    if kind == "boolean":
+        low = F.lower(s)
+        ok = (t == "BOOLEAN") | (is_str & low.isin("true", "false"))
+        return ok, F.when(ok, low == "true")
+    if kind == "string":
+        return is_str, F.when(is_str, s)
+    if kind == "double":
+        parsed = F.trim(s).try_cast("double")
+        ok = is_int | is_frac | is_dec_int | (is_str & parsed.isNotNull())
+        return ok, F.when(is_str, parsed).when(ok, d)
+    if kind in ("bigint", "int"):
+        lo, hi = (-(2**63), 2**63 - 1) if kind == "bigint" else (-(2**31), 2**31 - 1)
+        whole = F.try_variant_get(v, "$", "bigint")
+        if kind == "int":  # Long.intValue() keeps the low 32 bits
+            whole = F.shiftright(F.shiftleft(whole, 32), 32)
+        frac = F.when(d >= float(hi), F.lit(hi)).when(d <= float(lo), F.lit(lo)).otherwise(
+            F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)))
+        text = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast(kind))
+        ok = ((is_int | is_dec_int) & whole.isNotNull()) | is_frac | (is_str & text.isNotNull())
+        val = F.when(is_int | is_dec_int, whole).when(is_frac, frac).when(is_str, text)
+        return ok, F.when(ok, val.cast(kind))
+    raise ValueError(f"unsupported kind {kind}")
+
+
 def get_strict(c: Column | str, key: str, kind: str = "bigint") -> Column:
     """Typed value of ``key``; a missing key or a value of the wrong kind raises.
 
     Numeric strings convert (``"5"`` -> 5), doubles truncate to integers
-    (1.9 -> 1), ``"true"``/``"false"`` are booleans.
+    (1.9 -> 1), ``"true"``/``"false"`` in any case are booleans.
     """
-    v = F.variant_get(F.parse_json(_col(c)), _path(key), kind)
-    return F.when(v.isNull(), F.raise_error(F.lit(f"JSON key {key!r} missing or null"))).otherwise(v)
+    ok, val = _typed(c, key, kind)
+    return F.when(ok, val).otherwise(F.raise_error(F.lit(f"JSON key {key!r} missing or not a {kind}")).cast(kind))
 
 
 def get_lenient(c: Column | str, key: str, kind: str = "bigint", default=None) -> Column:
-    """Like :func:`get_strict`, but a missing or unconvertible value gives the default."""
+    """The strict getter's value, or the default where it would fail.
+
+    ``string`` is the exception (as ``optString``): any present, non-null
+    value is returned as text (numbers as Java prints them, objects and
+    arrays as JSON); only a missing key or JSON null gives the default.
+    """
     if default is None:
         default = LENIENT_DEFAULTS[kind]
-    v = F.try_variant_get(F.try_parse_json(_col(c)), _path(key), kind)
-    return F.coalesce(v, F.lit(default).cast(kind))
+    if kind == "string":
+        v = _node(c, key)
+        t = F.schema_of_variant(v)
+        frac = (t == "DOUBLE") | (t.startswith("DECIMAL") & ~t.endswith(",0)"))
+        text = (F.when(frac, F.try_variant_get(v, "$", "double").cast("string"))
+                .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
+                .otherwise(F.try_variant_get(v, "$", "string")))
+        return F.coalesce(F.when(t != "VOID", text), F.lit(default))
+    ok, val = _typed(c, key, kind)
+    return F.when(ok, val).otherwise(F.lit(default).cast(kind))
 
 
 def keys(c: Column | str) -> Column:

@@ -135,3 +135,19 @@ def test_java_number_text(spark):
     df = spark.createDataFrame([(12.0,), (1.5,), (1e10,), (0.0,), (None,)], "x double")
     out = [r[0] for r in df.select(J.to_json_strict(J.java_number("x").alias("x"))).collect()]
     assert out == ['{"x":12}', '{"x":1.5}', '{"x":1.0E10}', '{"x":0}', '{"x":null}']
+
+
+def test_json_getter_kinds(spark):
+    rows = ['{"a": 1.9}', '{"a": "5"}', '{"a": "5.5"}', '{"a": "TRUE"}', '{"a": "yes"}', '{"a": true}',
+            '{"a": 4294967297}', '{"a": null}', '{"a": [1, "x"]}', '{"b": 1}']
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    got = df.select(J.get_lenient("j", "a", "int").alias("i"), J.get_lenient("j", "a", "boolean").alias("b"),
+                    J.get_lenient("j", "a", "double").alias("d"), J.get_lenient("j", "a", "string").alias("s")).collect()
+    assert [r.i for r in got] == [1, 5, 0, 0, 0, 0, 1, 0, 0, 0]
+    assert [r.b for r in got] == [False, False, False, True, False, True, False, False, False, False]
+    assert [r.d for r in got][:3] == [1.9, 5.0, 5.5] and math.isnan(got[4].d) and math.isnan(got[5].d)
+    assert [r.s for r in got] == ["1.9", "5", "5.5", "TRUE", "yes", "true", "4294967297", "", '[1,"x"]', ""]
+    with pytest.raises(Exception):
+        df.where("j = '{\"a\": \"yes\"}'").select(J.get_strict("j", "a", "boolean")).collect()
+    with pytest.raises(Exception):
+        df.where("j = '{\"a\": \"5.5\"}'").select(J.get_strict("j", "a", "bigint")).collect()
