@@ -28,6 +28,15 @@ def _node(c: Column | str, key: str) -> Column:
     return F.try_variant_get(F.try_parse_json(_col(c)), _path(key), "variant")
 
 
+def _number_kind(c: Column | str, key: str, t: Column) -> tuple[Column, Column]:
+    """``(is number, is fractional)``. The reference parser makes a Double of
+    number text with ``.``/``e``/``E`` and an Integer/Long otherwise; the
+    VARIANT type alone cannot tell ``28.0`` from ``28``, the raw text can."""
+    is_num = (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
+    raw = F.get_json_object(_col(c), _path(key))
+    return is_num, is_num & (raw.contains(".") | raw.contains("e") | raw.contains("E"))
+
+
 def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
     """``(ok, value)``: what the strict getter returns, and whether it would succeed.
 
@@ -39,9 +48,8 @@ def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
     """
     v = _node(c, key)
     t = F.schema_of_variant(v)
-    is_int = t == "BIGINT"
-    is_frac = (t == "DOUBLE") | (t.startswith("DECIMAL") & ~t.endswith(",0)"))
-    is_dec_int = t.startswith("DECIMAL") & t.endswith(",0)")
+    is_num, is_frac = _number_kind(c, key, t)
+    is_int = is_num & ~is_frac
     is_str = t == "STRING"
     s = F.try_variant_get(v, "$", "string")
     d = F.try_variant_get(v, "$", "double")
@@ -53,7 +61,7 @@ def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
         return is_str, F.when(is_str, s)
     if kind == "double":
         parsed = F.trim(s).try_cast("double")
-        ok = is_int | is_frac | is_dec_int | (is_str & parsed.isNotNull())
+        ok = is_num | (is_str & parsed.isNotNull())
         return ok, F.when(is_str, parsed).when(ok, d)
     if kind in ("bigint", "int"):
         lo, hi = (-(2**63), 2**63 - 1) if kind == "bigint" else (-(2**31), 2**31 - 1)
@@ -63,8 +71,8 @@ def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
         frac = F.when(d >= float(hi), F.lit(hi)).when(d <= float(lo), F.lit(lo)).otherwise(
             F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)))
         text = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast(kind))
-        ok = ((is_int | is_dec_int) & whole.isNotNull()) | is_frac | (is_str & text.isNotNull())
-        val = F.when(is_int | is_dec_int, whole).when(is_frac, frac).when(is_str, text)
+        ok = (is_int & whole.isNotNull()) | is_frac | (is_str & text.isNotNull())
+        val = F.when(is_int, whole).when(is_frac, frac).when(is_str, text)
         return ok, F.when(ok, val.cast(kind))
     raise ValueError(f"unsupported kind {kind}")
 
@@ -91,7 +99,7 @@ def get_lenient(c: Column | str, key: str, kind: str = "bigint", default=None) -
     if kind == "string":
         v = _node(c, key)
         t = F.schema_of_variant(v)
-        frac = (t == "DOUBLE") | (t.startswith("DECIMAL") & ~t.endswith(",0)"))
+        _, frac = _number_kind(c, key, t)
         text = (F.when(frac, F.try_variant_get(v, "$", "double").cast("string"))
                 .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
                 .otherwise(F.try_variant_get(v, "$", "string")))

@@ -42,18 +42,41 @@ D_OBJ_NULLABLE = (f"""'{{"k": ' || {DK} || ', "v": ' || """
                   f"""CASE WHEN event_type = 'error' THEN 'null' ELSE '1' END || '}}'""")
 
 
-@register("n1_strict_get", f"SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _obj_mixed():
+    """``{"v": <value>, "k": "<k>", "t": "<type>", "b": true | "False"}``."""
+    b = F.when(F.col("event_type") == "view", F.lit("true")).otherwise(F.lit('"False"'))
+    return F.concat(F.lit('{"v": '), F.col("value").cast("string"), F.lit(', "k": "'), _k(),
+                    F.lit('", "t": "'), F.col("event_type"), F.lit('", "b": '), b, F.lit("}"))
+
+
+@register("n1_strict_get", f"""
+SELECT event_id, value AS v_double, CAST(trunc(value) AS INTEGER) AS v_int, CAST({DK} AS BIGINT) AS k_long,
+       event_type = 'view' AS b_flag, CAST(json_extract(props, '$.k') AS BIGINT) AS k
+FROM events""")
 def n1_strict_get(spark, sf):
-    return _events(spark, sf).select("event_id", J.get_strict("props", "k", "bigint").alias("k"))
+    e = _events(spark, sf).select("event_id", "props", _obj_mixed().alias("j"))
+    return e.select(
+        "event_id",
+        J.get_strict("j", "v", "double").alias("v_double"),   # number
+        J.get_strict("j", "v", "int").alias("v_int"),         # number truncated
+        J.get_strict("j", "k", "bigint").alias("k_long"),     # numeric string
+        J.get_strict("j", "b", "boolean").alias("b_flag"),    # true or "False"
+        J.get_strict("props", "k", "bigint").alias("k"),
+    )
 
 
 @register("n2_lenient_get", f"""
-SELECT event_id, {DK} AS k_text, CAST(0 AS BIGINT) AS missing_long, '' AS missing_text, FALSE AS missing_flag
+SELECT event_id, {DK} AS k_text, CAST(value AS VARCHAR) AS v_text, CAST(0 AS BIGINT) AS t_long,
+       FALSE AS t_flag, CAST(0 AS BIGINT) AS missing_long, '' AS missing_text, FALSE AS missing_flag
 FROM events""")
 def n2_lenient_get(spark, sf):
-    return _events(spark, sf).select(
+    e = _events(spark, sf).select("event_id", "props", _obj_mixed().alias("j"))
+    return e.select(
         "event_id",
         J.get_lenient("props", "k", "string").alias("k_text"),
+        J.get_lenient("j", "v", "string").alias("v_text"),     # a number as Java prints it
+        J.get_lenient("j", "t", "bigint").alias("t_long"),     # not a number -> 0
+        J.get_lenient("j", "t", "boolean").alias("t_flag"),    # not a boolean -> false
         J.get_lenient("props", "absent", "bigint").alias("missing_long"),
         J.get_lenient("props", "absent", "string").alias("missing_text"),
         J.get_lenient("props", "absent", "boolean").alias("missing_flag"),
