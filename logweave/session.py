@@ -38,24 +38,31 @@ def get_session(master: str | None = None, app: str = "logweave", **conf: str) -
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (the setting the cluster
-    names). Only a local-mode session without that setting gets its own
-    folder, created once; a cluster session without it is an error, since a
-    machine-local folder is not visible to other executors.
+    The folder comes from the session (``SparkContext.getCheckpointDir`` or
+    the ``spark.checkpoint.dir`` setting the cluster names). Only a local
+    session without either gets its own folder, created once; a cluster
+    session without it is an error, since a machine-local folder is not
+    visible to other executors.
     """
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a SparkContext handle (Spark Connect)
+        sc = None
+    root = sc.getCheckpointDir() if sc is not None else None
     if root is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            root = tempfile.mkdtemp(prefix="logweave-ckpt-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir()
-    base = root.rstrip("/")
+    if not root:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        root = tempfile.mkdtemp(prefix="logweave-ckpt-")
+        if sc is not None:
+            sc.setCheckpointDir(root)
+            root = sc.getCheckpointDir()
+        else:
+            spark.conf.set("spark.checkpoint.dir", root)
     name = "/".join([*parts, uuid.uuid4().hex]) if parts else uuid.uuid4().hex
-    return f"{base}/logweave/{name}"
+    return f"{root.rstrip('/')}/logweave/{name}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
