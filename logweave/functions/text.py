@@ -39,10 +39,22 @@ def java_split(c: Column | str, sep: str) -> Column:
 def token_at(c: Column | str, index: int, sep: str = " ") -> Column:
     """Token ``index`` (0-based) of a Java split, NULL when the line is too short.
 
-    ``get`` never raises under ANSI mode, unlike ``arr[i]``; a NULL marks a
-    reject row instead of failing the whole job.
+    A NULL marks a reject row instead of failing the whole job. For a
+    one-character separator no token array is built: ``substring_index``
+    stops at the ``index + 1``-th separator, and counting separators in that
+    head tells whether the token exists, so a long text is not split into all
+    of its tokens to read one. The result equals ``get(java_split(c), index)``.
     """
-    return F.get(java_split(c, sep), F.lit(index))
+    if len(sep) != 1:
+        return F.get(java_split(c, sep), F.lit(index))
+    c = F.col(c) if isinstance(c, str) else c
+    trimmed = F.rtrim(c, F.lit(sep))            # Java drops trailing empty tokens
+    head = F.substring_index(trimmed, sep, index + 1)
+    n_sep = F.length(head) - F.length(F.replace(head, F.lit(sep), F.lit("")))
+    only_seps = (trimmed == "") & (c != "")      # Java gives no token at all
+    return F.when(only_seps | (n_sep < index), F.lit(None).cast("string")).otherwise(
+        F.substring_index(head, sep, -1)
+    )
 
 
 def java_length(c: Column | str) -> Column:

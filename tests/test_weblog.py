@@ -59,3 +59,14 @@ def test_extraction_is_one_narrow_stage(spark):
     df = spark.createDataFrame([(_line("/pv?city=x"),)], "value string")
     plan = weblog.extract_requests(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_token_pick_equals_full_split(spark):
+    from logweave.functions.text import java_split, token_at
+    from pyspark.sql import functions as F
+    lines = ["", " ", "a", "a b", "   a", "a  b ", "a b c d e f g h", "a b c d e f g h ", "a b c d e f g h  x",
+             "0 1 2 3 4 5 6 7 8 9", " 1 2 3 4 5 6 7 8", None]
+    df = spark.createDataFrame([(l,) for l in lines], "s string")
+    for i in (0, 1, 8):
+        got = df.select(token_at("s", i).alias("a"), F.get(java_split("s", " "), i).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got], i
