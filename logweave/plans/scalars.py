@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from logweave.functions import convert as C
 from logweave.functions import hashing as H
 from logweave.operators.profile import column_profile
+from logweave.plans import duck
 from logweave.plans.registry import register
 from logweave.plans.relational import URGENT_OPEN, urgent_open_orders
+from logweave.plans.web import request_records
 from logweave.session import table
 
 # C -------------------------------------------------------------------------
@@ -186,6 +188,19 @@ def h3_keyed_hash(spark, sf):
                     H.hmac_base64("c_name", HMAC_KEY, "sha1").alias("name_sig"))
 
 
+@register("h3_pseudonymised_records", f"""
+WITH {duck.REQUEST_RECORDS}
+SELECT event_id, city,
+  CASE WHEN mobile IS NULL THEN NULL ELSE {_hmac_sql('mobile', 'sha256')} END AS mobile_key,
+  CASE WHEN imsi IS NULL THEN NULL ELSE {_hmac_sql('imsi', 'sha256')} END AS imsi_key
+FROM records WHERE NOT rejected""")
+def h3_pseudonymised_records(spark, sf):
+    """W1 records with the personal fields replaced by keyed hashes."""
+    r = request_records(spark, sf).where(~F.col("rejected"))
+    return r.select("event_id", "city", H.hmac_hex("mobile", HMAC_KEY).alias("mobile_key"),
+                    H.hmac_hex("imsi", HMAC_KEY).alias("imsi_key"))
+
+
 # M1 ------------------------------------------------------------------------
 
 def _profile_sql() -> str:
