@@ -63,9 +63,15 @@ def to_decimal(c: Column | str, precision: int, scale: int) -> Column:
     return c.cast("string").cast(T.DecimalType(precision, scale))
 
 
+def _or_raise(c: Column, parsed: Column, what: str) -> Column:
+    """``parsed``, raising for text that does not parse (in any ANSI mode)."""
+    return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit(f"bad {what}: "), c))).otherwise(parsed)
+
+
 def to_date_strict(c: Column | str) -> Column:
-    """ISO ``yyyy-MM-dd``; bad text raises (ANSI)."""
-    return F.to_date(c, "yyyy-MM-dd")
+    """ISO ``yyyy-MM-dd``; bad text raises."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _or_raise(c, F.try_to_date(c, F.lit("yyyy-MM-dd")), "date")
 
 
 _TIME_RE = r"^([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,3}))?\s*(?:([+-])([0-9]{2}):?([0-9]{2}))?$"
@@ -173,7 +179,8 @@ def to_bytes(c: Column | str) -> Column:
 
 def parse_compact(c: Column | str, pattern: str = "yyyyMMddHHmm") -> Column:
     """Compact time text (``yyyyMMddHHmm`` or ``yyyy-MM-ddHH:mm``); bad text raises."""
-    return F.to_timestamp(c, pattern)
+    c = F.col(c) if isinstance(c, str) else c
+    return _or_raise(c, F.try_to_timestamp(c, F.lit(pattern)), "time")
 
 
 def day_folder(ts: Column | str) -> Column:

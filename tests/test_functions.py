@@ -151,3 +151,15 @@ def test_json_getter_kinds(spark):
         df.where("j = '{\"a\": \"yes\"}'").select(J.get_strict("j", "a", "boolean")).collect()
     with pytest.raises(Exception):
         df.where("j = '{\"a\": \"5.5\"}'").select(J.get_strict("j", "a", "bigint")).collect()
+
+
+def test_strict_parsers_raise_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        bad = spark.createDataFrame([("2024-13-01", "2017-11-21x")], "d string, t string")
+        with pytest.raises(Exception, match="bad date"):
+            bad.select(C.to_date_strict("d")).collect()
+        with pytest.raises(Exception, match="bad time"):
+            bad.select(C.parse_compact("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

@@ -24,6 +24,8 @@ def main() -> int:
     extra = {}
     if os.environ.get("CHECK_TZ"):  # run under another session time zone
         extra["spark.sql.session.timeZone"] = os.environ["CHECK_TZ"]
+    if os.environ.get("CHECK_ANSI"):  # run with ANSI mode on/off
+        extra["spark.sql.ansi.enabled"] = os.environ["CHECK_ANSI"]
     spark = get_session("local[8]", **extra)
     con = duck_connection(sf_dir)
     queries, oracles = all_queries(), all_oracles()
