@@ -71,7 +71,7 @@ def _or_raise(c: Column, parsed: Column, what: str) -> Column:
 def to_date_strict(c: Column | str) -> Column:
     """ISO ``yyyy-MM-dd``; bad text raises."""
     c = F.col(c) if isinstance(c, str) else c
-    return _or_raise(c, F.try_to_date(c, F.lit("yyyy-MM-dd")), "date")
+    return _or_raise(c, F.try_to_date(c, "yyyy-MM-dd"), "date")
 
 
 _TIME_RE = r"^([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,3}))?\s*(?:([+-])([0-9]{2}):?([0-9]{2}))?$"
