@@ -1,6 +1,6 @@
 """The three jobs as ``spark-submit`` entry points.
 
-    spark-submit logweave/cli.py request-etl --root R --start 2017-11-2120:10 --table requestinfo
+    spark-submit logweave/cli.py request-etl --root R --start 2017-11-2120:10 --table request_records
     spark-submit logweave/cli.py reconcile 'in/*.log' out/
     spark-submit logweave/cli.py stream-tokens --servers host:9092 --topics t --sink S --checkpoint C
 """
