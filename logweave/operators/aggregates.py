@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.hashing import md5_hex
+from logweave.functions.jsoncols import json_text
 from logweave.functions.text import java_split
 
 
@@ -40,7 +41,8 @@ def grouped_values(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
     array is bounded by the number of distinct values per key, not by the
     number of rows, so a hot key stays small. ``values_json`` follows the
     accumulate rule: a key seen once holds a scalar, otherwise an array of
-    its distinct values.
+    its distinct values. Meant for value columns of bounded cardinality per
+    key (types, flags, codes); the array has one entry per distinct value.
     """
     pairs = df.groupBy(key_col, value_col).agg(F.count(F.lit(1)).alias("_n"))
     per_key = pairs.groupBy(key_col).agg(
@@ -52,8 +54,7 @@ def grouped_values(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
         key_col,
         "n",
         F.array_join(F.transform("_vc", lambda x: F.concat(x["v"].cast("string"), F.lit(":"), x["c"].cast("string"))), ",").alias("value_counts"),
-        F.when(F.col("n") == 1, F.to_json(F.array(F.get(vals, 0))).substr(F.lit(2), F.length(F.to_json(F.array(F.get(vals, 0)))) - 2))
-        .otherwise(F.to_json(vals)).alias("values_json"),
+        F.when(F.col("n") == 1, json_text(F.get(vals, 0))).otherwise(F.to_json(vals)).alias("values_json"),
     )
 
 
