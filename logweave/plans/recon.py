@@ -83,6 +83,13 @@ def a1_token_count(spark, sf):
     return aggregates.token_count(kafka.event_records(table(spark, sf, "events")))
 
 
+@register("a1_document_word_count", f"""
+SELECT token, count(*) AS n FROM (SELECT unnest({duck.java_split('text', ' ')}) AS token FROM documents) GROUP BY token""")
+def a1_document_word_count(spark, sf):
+    """A1 over whole document texts: blank-separated tokens, counted."""
+    return aggregates.token_count(table(spark, sf, "documents"), "text", " ")
+
+
 @register("s4_kafka_decode", f"""
 WITH {duck.EVENT_RECORDS}
 SELECT key, value FROM recs""")
