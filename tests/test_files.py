@@ -25,6 +25,18 @@ def test_name_range_is_open_on_both_ends(spark, tmpdir_path):
         _write(tmpdir_path, "2017/11/21", name, name + "\n")
     df = files.scan_time_range(spark, tmpdir_path, START, NOW)
     assert sorted(r.file_name for r in df.collect()) == ["201711212011.log", "201711212100.log"]
+    assert _files_read(df) == 2   # the other three files are skipped before reading
+
+
+def _files_read(df):
+    def walk(p):
+        yield p
+        it = p.children().iterator()
+        while it.hasNext():
+            yield from walk(it.next())
+    for node in walk(df._jdf.queryExecution().executedPlan()):
+        if node.nodeName().startswith("Scan") and node.metrics().contains("numFiles"):
+            return node.metrics().apply("numFiles").value()
 
 
 def test_range_across_midnight(spark, tmpdir_path):
