@@ -60,7 +60,9 @@ def insert_partition(
     not duplicate rows; ``overwrite=False`` appends like the original job.
     With ``ds`` given it is a static partition (``INSERT ... PARTITION
     (ds='...')``); with ``ds=None`` the frame's own ``ds`` column picks the
-    partitions and only those present in the data are replaced.
+    partitions and only those present in the data are replaced; that path
+    sets ``spark.sql.sources.partitionOverwriteMode=dynamic`` for the one
+    statement (file-source catalog tables take no per-write option for it).
     """
     spark = df.sparkSession
     cols = ", ".join(f"`{f}`" for f in fields)
