@@ -3,7 +3,8 @@
 Each query runs to completion through the ``noop`` sink (the whole plan
 executes, nothing is collected to the driver), ``$BENCH_RUNS`` times (default
 2); the best run is reported per query, the first-run total as
-``cold_total_sec``. Prints one JSON line:
+``cold_total_sec``. ``$BENCH_EVENT_LOG_DIR`` turns on Spark's event log
+(stage and task times) in that folder. Prints one JSON line:
 ``{"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}``.
 """
 
@@ -25,14 +26,14 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = sys.argv[1:]
-    spark = get_session(
-        f"local[{cpus}]",
-        **{
-            "spark.sql.shuffle.partitions": str(max(cpus * 2, 8)),
-            "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
-            "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
-        },
-    )
+    conf = {
+        "spark.sql.shuffle.partitions": str(max(cpus * 2, 8)),
+        "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+        "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    }
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage and task times, read offline
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
+    spark = get_session(f"local[{cpus}]", **conf)
     queries = all_queries()
     # warm the JVM (class loading, codegen caches) outside the timings
     queries["s11_schema_only"](spark, sf_dir).write.format("noop").mode("overwrite").save()
