@@ -74,25 +74,16 @@ def to_date_strict(c: Column | str) -> Column:
     return _or_raise(c, F.try_to_date(c, "yyyy-MM-dd"), "date")
 
 
-_TIME_RE = r"^([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,3}))?\s*(?:([+-])([0-9]{2}):?([0-9]{2}))?$"
-
-
 def time_millis(c: Column | str) -> Column:
-    """``HH:mm:ss[.SSS][ +hh:mm]`` -> millis of day, shifted to UTC when an
-    offset is given; malformed text raises."""
+    """``HH:mm:ss.SSS`` with an optional offset or zone id -> epoch millis
+    of that time on 1970-01-01.
+
+    Without a zone the session time zone applies (as the client used its
+    session zone); with one, that zone's offset on 1970-01-01. The value is
+    not folded into one day: 22:00 at -05:00 gives 97,200,000. Bad text raises.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    g = lambda i: F.regexp_extract(c, _TIME_RE, i)
-    ms = F.rpad(F.when(g(4) == "", F.lit("0")).otherwise(g(4)), 3, "0").cast("bigint")
-    local = g(1).cast("bigint") * 3600000 + g(2).cast("bigint") * 60000 + g(3).cast("bigint") * 1000 + ms
-    off = F.when(g(5) == "", F.lit(0)).otherwise(
-        F.when(g(5) == "-", F.lit(-1)).otherwise(F.lit(1))
-        * (F.when(g(6) == "", F.lit("0")).otherwise(g(6)).cast("bigint") * 3600000
-           + F.when(g(7) == "", F.lit("0")).otherwise(g(7)).cast("bigint") * 60000)
-    )
-    val = F.pmod(local - off, F.lit(86400000))
-    return F.when(c.isNull(), F.lit(None).cast("bigint")).when(
-        ~c.rlike(_TIME_RE), F.raise_error(F.concat(F.lit("bad time: "), c))
-    ).otherwise(val.cast("bigint"))
+    return F.unix_millis(to_timestamp_zoned(F.concat(F.lit("1970-01-01 "), c)))
 
 
 _TS_PATTERNS = (
@@ -100,7 +91,6 @@ _TS_PATTERNS = (
     "yyyy-MM-dd HH:mm:ss.SSS xx",
     "yyyy-MM-dd HH:mm:ss.SSS VV",
     "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm:ss",
 )
 
 

@@ -73,10 +73,11 @@ def c5_to_date(spark, sf):
 
 
 @register("c6_to_time", """
-SELECT event_id, ((epoch_us(ts) // 1000) % 86400000 - 28800000 + 86400000) % 86400000 AS utc_millis FROM events""")
+SELECT event_id, (epoch_us(ts) // 1000) % 86400000 - 28800000 AS utc_millis FROM events""")
 def c6_to_time(spark, sf):
     e = table(spark, sf, "events")
-    txt = F.concat(F.date_format("ts", "HH:mm:ss.SSS"), F.lit(" +08:00"))
+    zone = F.when(F.col("event_type") == "view", F.lit(" Asia/Shanghai")).otherwise(F.lit(" +08:00"))
+    txt = F.concat(F.date_format("ts", "HH:mm:ss.SSS"), zone)
     return e.select("event_id", C.time_millis(txt).alias("utc_millis"))
 
 

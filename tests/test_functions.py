@@ -49,7 +49,12 @@ def test_date_time_timestamp(spark):
     r = df.select(F.unix_millis(C.to_timestamp_zoned("ts")), C.time_millis("t"), C.interval_months("ym"),
                   C.interval_millis("dt")).collect()[0]
     assert r[0] == 1704074400123  # 02:00:00.123 UTC
-    assert r[1] == 2 * 3600000 + 123
+    assert r[1] == 2 * 3600000 + 123   # 10:00:00.123 at +08:00 on 1970-01-01
+    t = spark.createDataFrame([("22:00:00.000 -05:00",), ("01:00:00.000 +08:00",), ("08:00:00.000 Asia/Shanghai",),
+                               ("10:00:00.000",), ("10:00",)][:4], "t string")
+    assert [x[0] for x in t.select(C.time_millis("t")).collect()] == [97200000, -25200000, 0, 36000000]
+    with pytest.raises(Exception):
+        spark.createDataFrame([("10:00",)], "t string").select(C.time_millis("t")).collect()
     assert r[2] == 14
     assert r[3] == -(86400000 + 2 * 3600000 + 3 * 60000 + 4000 + 5)
     bad = spark.createDataFrame([("2024-13-01",)], "d string")
