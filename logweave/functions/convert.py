@@ -8,6 +8,8 @@ per-row work is a plain cast.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +22,20 @@ def _field(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
-def to_number(df: DataFrame, name: str, target: str = "bigint", wrap: bool = False) -> Column:
-    """NULL -> 0, boolean -> 1/0, number -> ``target``; strings raise.
+def _wrap_bits(v: Column, bits: int) -> Column:
+    """Two's-complement truncation of a BIGINT to ``bits`` bits."""
+    return v if bits == 64 else F.shiftright(F.shiftleft(v, 64 - bits), 64 - bits)
+
 
-    ``wrap=True`` narrows integrals by two's-complement truncation (Java's
-    ``(byte) x``); the default keeps Spark's overflow error.
-    Fractions are truncated toward zero, as ``Number.longValue()``.
+def to_number(df: DataFrame, name: str, target: str = "bigint", wrap: bool = True) -> Column:
+    """NULL -> 0, boolean -> 1/0, number -> ``target``; other kinds raise.
+
+    Narrowing follows ``Number.byteValue()/shortValue()/intValue()/longValue()``:
+    integral values keep their low bits (300 -> 44 as tinyint); floating
+    values truncate toward zero and saturate at the int range (long range
+    for ``bigint``) before the low bits are kept, NaN gives 0; decimals keep
+    the low bits of their integer part. ``wrap=False`` keeps Spark's
+    overflow error instead.
     """
     dt = _field(df, name)
     c = F.col(name)
@@ -35,13 +45,27 @@ def to_number(df: DataFrame, name: str, target: str = "bigint", wrap: bool = Fal
         v = c
     else:
         raise TypeError(f"column {name} of type {dt.simpleString()} is not a number")
-    if target in _INTEGRAL_BITS:
-        if not isinstance(dt, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            v = F.when(v.isNull(), v).otherwise(F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)))
-        if wrap and target != "bigint":
-            bits = 64 - _INTEGRAL_BITS[target]
-            v = F.shiftright(F.shiftleft(v.cast("bigint"), bits), bits)
-    return F.coalesce(v.cast(target), F.lit(0).cast(target))
+    if target not in _INTEGRAL_BITS:
+        return F.coalesce(v.cast(target), F.lit(0).cast(target))
+    bits = _INTEGRAL_BITS[target]
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        d = v.cast("double")
+        lo, hi = (-(2**63), 2**63 - 1) if bits == 64 else (-(2**31), 2**31 - 1)
+        whole = (F.when(F.isnan(d), F.lit(0)).when(d >= float(hi), F.lit(hi)).when(d <= float(lo), F.lit(lo))
+                 .otherwise(F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)))).cast("bigint")
+    elif isinstance(dt, T.DecimalType):
+        intpart = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast(T.DecimalType(38, 0))
+        if wrap:  # low 64 bits of the integer part
+            two64, two63 = F.lit(Decimal(2**64)), F.lit(Decimal(2**63))
+            low = F.pmod(intpart, two64)
+            whole = F.when(low >= two63, low - two64).otherwise(low).cast("bigint")
+        else:
+            whole = intpart
+    else:
+        whole = v.cast("bigint")
+    if wrap:
+        whole = _wrap_bits(whole, bits)
+    return F.coalesce(whole.cast(target), F.lit(0).cast(target))
 
 
 def to_boolean(df: DataFrame, name: str) -> Column:

@@ -168,3 +168,16 @@ def test_strict_parsers_raise_without_ansi(spark):
             bad.select(C.parse_compact("t")).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_number_narrowing_like_java(spark):
+    import decimal as dec
+    df = spark.createDataFrame([(300.7, 1e10, float("nan"), dec.Decimal("4294967297.9"), 5000000000, -129)],
+                               "d double, big double, n double, m decimal(20,1), l bigint, i int")
+    r = df.select(C.to_number(df, "d", "tinyint"), C.to_number(df, "big", "tinyint"), C.to_number(df, "big", "int"),
+                  C.to_number(df, "n", "int"), C.to_number(df, "m", "int"), C.to_number(df, "l", "int"),
+                  C.to_number(df, "i", "tinyint"), C.to_number(df, "d", "double")).collect()[0]
+    # (byte)(int)300.7, (byte)(int)1e10, (int)1e10, NaN, BigDecimal.intValue, (int)5e9L, (byte)-129
+    assert tuple(r) == (44, -1, 2147483647, 0, 1, 705032704, 127, 300.7)
+    with pytest.raises(Exception):
+        df.select(C.to_number(df, "l", "int", wrap=False)).collect()
