@@ -82,9 +82,13 @@ def to_text(c: Column | str) -> Column:
 
 
 def to_decimal(c: Column | str, precision: int, scale: int) -> Column:
-    """C4: through the text form, rescaled HALF_UP (2.345 -> 2.35, -2.345 -> -2.35)."""
+    """C4: through the text form, rescaled HALF_UP (2.345 -> 2.35, -2.345 -> -2.35).
+
+    Text that is not a number, or a value too wide for ``precision``, raises.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast("string").cast(T.DecimalType(precision, scale))
+    text = c.cast("string")
+    return _or_raise(text, text.try_cast(T.DecimalType(precision, scale)), "decimal")
 
 
 def _or_raise(c: Column, parsed: Column, what: str) -> Column:

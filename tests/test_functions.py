@@ -41,6 +41,9 @@ def test_decimal_half_up(spark):
     df = spark.createDataFrame([(2.345, -2.345, 2.25)], "a double, b double, c double")
     r = df.select(C.to_decimal("a", 5, 2), C.to_decimal("b", 5, 2), C.to_decimal("c", 5, 1)).collect()[0]
     assert [str(x) for x in r] == ["2.35", "-2.35", "2.3"]
+    bad = spark.createDataFrame([("abc",)], "s string")
+    with pytest.raises(Exception, match="bad decimal"):
+        bad.select(C.to_decimal("s", 5, 2)).collect()
 
 
 def test_date_time_timestamp(spark):
