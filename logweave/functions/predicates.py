@@ -57,6 +57,10 @@ def all_of(*preds: Column | None) -> Column:
 
 
 def quote_literal(value: str) -> str:
-    """SQL string literal with doubled quotes, for text that cannot take
-    parameters (DDL). Query text should use ``spark.sql(text, args=...)``."""
-    return "'" + value.replace("'", "''") + "'"
+    """Spark SQL string literal for text that cannot take parameters (DDL).
+
+    Quotes are doubled as in standard SQL; backslashes are escaped too, since
+    Spark SQL reads ``\\`` escapes in literals. Query text should use
+    ``spark.sql(text, args=...)`` instead.
+    """
+    return "'" + value.replace("\\", "\\\\").replace("'", "''") + "'"

@@ -25,6 +25,8 @@ def test_optional_filters(spark):
     assert n(P.opt_in("c", [])) == 0
     assert n(P.opt_in("c", ["x"])) == 1
     assert P.quote_literal("o'k") == "'o''k'"
+    for v in ["o'k", "a\\b", "\\'; DROP", "tab\\t", "''"]:
+        assert spark.sql(f"SELECT {P.quote_literal(v)} AS v").collect()[0].v == v
 
 
 def test_number_and_boolean(spark):
