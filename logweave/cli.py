@@ -34,6 +34,9 @@ def request_etl(spark: SparkSession, a: argparse.Namespace) -> None:
     now = datetime.strptime(a.now, "%Y-%m-%d %H:%M:%S") if a.now else datetime.now()
     start = files.parse_start(a.start)
     lines = files.scan_time_range(spark, a.root, start, now, single_day=a.single_day)
+    skipped = files.unnamed_files(spark, a.root, start, now, single_day=a.single_day).count()
+    if skipped:
+        print(f"request-etl: skipped {skipped} file(s) whose names carry no time", file=sys.stderr)
     recs = weblog.extract_requests(lines, "value", keep=("value",), strict=a.strict)
     tables.create_request_table(spark, a.table, a.location, a.format)
     tables.insert_partition(recs.where(~F.col("rejected")), a.table, now.strftime("%Y%m%d"), overwrite=a.overwrite)

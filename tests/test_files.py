@@ -26,6 +26,8 @@ def test_name_range_is_open_on_both_ends(spark, tmpdir_path):
     df = files.scan_time_range(spark, tmpdir_path, START, NOW)
     assert sorted(r.file_name for r in df.collect()) == ["201711212011.log", "201711212100.log"]
     assert _files_read(df) == 2   # the other three files are skipped before reading
+    bad = files.unnamed_files(spark, tmpdir_path, START, NOW).collect()
+    assert [r.path.rsplit("/", 1)[-1] for r in bad] == ["short.log"]
 
 
 def _files_read(df):
