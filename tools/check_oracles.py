@@ -37,8 +37,9 @@ def main() -> int:
         try:
             df = fn(spark, sf_dir)
             if name in oracles:
-                msg = compare(df, con, oracles[name])
-                types = type_mismatches(df, con, oracles[name])
+                sql = oracles[name].replace("/root/testdata/sf0.01/", sf_dir.rstrip("/") + "/")
+                msg = compare(df, con, sql)
+                types = type_mismatches(df, con, sql)
                 if msg is None and types:
                     msg = "types: " + "; ".join(types)
             else:
