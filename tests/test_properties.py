@@ -94,3 +94,85 @@ def test_decode_and_field_pick(spark, values):
     for v, r in zip(values, rows):
         assert r.d == java_url_decode(v), v
         assert [r[f"f{i}"] for i in range(len(names))] == reference_fields(v, names), v
+
+
+def java_length(s: str) -> int:
+    return len(s.encode("utf-16-le")) // 2
+
+
+def reference_classify(line: str):
+    w = java_split(line, ",")
+    if len(w) < 3:
+        return None
+    if java_length(w[2]) > 18:
+        return (w[-2], 0, 1)
+    return (w[0], java_parse_long(w[2]), 0)
+
+
+def reference_loose(s: str) -> str:
+    if s == "":
+        return "string"
+    if s.lower() in ("true", "false"):
+        return "boolean"
+    if s.lower() == "null":
+        return "null"
+    if s[0] in "0123456789-":
+        if any(ch in s for ch in ".eE"):
+            try:
+                d = float(s)
+                if d == d and abs(d) != float("inf"):
+                    return "double"
+            except ValueError:
+                pass
+        elif re.fullmatch(r"-?[0-9]+", s) and -(2**63) <= int(s) < 2**63 and str(int(s)) == s:
+            return "int" if -(2**31) <= int(s) < 2**31 else "long"
+    return "string"
+
+
+token = st.one_of(st.text(alphabet="ab1-", max_size=4), st.integers(-99, 10**20).map(str),
+                  st.just("12345678901234567890"), st.just("2024-01-01T00:00:00.123456"), st.just("x\U0001F600" * 9))
+recon_lines = st.lists(st.lists(token, max_size=6).map(",".join), min_size=1, max_size=40)
+loose_tokens = st.lists(st.one_of(st.text(alphabet="0123456789-.eE", max_size=8),
+                                  st.sampled_from(["TRUE", "False", "null", "NULL", "", "007", "-0", "1e400", "9223372036854775808"]),
+                                  st.integers(-(2**64), 2**64).map(str)), min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(recon_lines)
+def test_classify_matches_reference(spark, values):
+    from logweave.operators import reconcile
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value string")
+    got = {r.i: (r.key, r.reported, r.actual) for r in reconcile.classify(df, keep=("i",)).collect()}
+    for i, v in enumerate(values):
+        assert got.get(i) == reference_classify(v), v
+
+
+@SETTINGS
+@given(loose_tokens)
+def test_loose_typing_matches_reference(spark, values):
+    from logweave.functions import jsoncols as J
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r[0] for r in df.select(J.loose_value("s")["kind"]).collect()]
+    assert got == [reference_loose(v) for v in values], values
+
+
+def reference_canonical(qs: str) -> str:
+    params = {}
+    for kv in java_split(qs, "&"):
+        k, _, v = kv.partition("=")
+        params[k] = v
+    if not params:
+        return ""
+    return "?" + "&".join(f"{k.replace('_', '.')}={params[k]}" for k in sorted(params))
+
+
+query_strings = st.lists(st.lists(st.sampled_from(["a=1", "b_c=2", "a=3", "d", "=x", "e=", "&", "z_z=q=r"]), max_size=8)
+                         .map("".join), min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(query_strings)
+def test_canonical_params_matches_reference(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "q string")
+    got = [r[0] for r in df.select(urls.canonical_params("q")).collect()]
+    assert got == [reference_canonical(v) for v in values], values
