@@ -138,6 +138,20 @@ def canonical(c: Column | str) -> Column:
     return F.to_json(F.parse_json(_col(c)))
 
 
+def similar_key(c: Column | str) -> Column:
+    """Equality key for ``similar``: key order ignored, arrays ordered, and
+    integral numbers kept apart from decimal ones (``1`` is not ``1.0``,
+    ``1.5`` is ``1.50``), as the reference compares Integer and Double.
+
+    The canonical text alone prints ``1.0`` as ``1``; the VARIANT's inferred
+    type (BIGINT vs DECIMAL/DOUBLE) is appended with decimals folded together.
+    Mixed arrays such as ``[1.0, 2]`` and ``[1, 2.0]`` still share a key.
+    """
+    v = F.parse_json(_col(c))
+    kinds = F.regexp_replace(F.schema_of_variant(v), r"DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT", "FRACTION")
+    return F.concat(F.to_json(v), F.lit("|"), kinds)
+
+
 def loose_value(c: Column | str) -> Column:
     """Text -> typed value, as a struct ``(kind, i, d, b, s)``.
 

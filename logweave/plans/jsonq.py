@@ -121,7 +121,8 @@ def n6_canonical_dedupe(spark, sf):
     ab = F.concat(F.lit('{"a": '), _k(), F.lit(', "b": "'), t, F.lit('"}'))
     ba = F.concat(F.lit('{"b": "'), t, F.lit('", "a": '), _k(), F.lit("}"))
     j = F.when(t.isin("view", "click"), ab).otherwise(ba)
-    return e.select(J.canonical(j).alias("canonical")).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+    keyed = e.select(J.similar_key(j).alias("key"), J.canonical(j).alias("canonical"))
+    return keyed.groupBy("key").agg(F.min("canonical").alias("canonical"), F.count(F.lit(1)).alias("n")).drop("key")
 
 
 def _loose_sql(x: str) -> str:

@@ -186,3 +186,10 @@ def test_number_narrowing_like_java(spark):
     assert tuple(r) == (44, -1, 2147483647, 0, 1, 705032704, 127, 300.7)
     with pytest.raises(Exception):
         df.select(C.to_number(df, "l", "int", wrap=False)).collect()
+
+
+def test_similar_key_keeps_integers_apart(spark):
+    rows = ['{"a":1,"b":[1,2]}', '{"b":[1,2],"a":1}', '{"a":1.0,"b":[1,2]}', '{"a":1.5}', '{"a":1.50}', '[1,2]', '[2,1]']
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    k = [r[0] for r in df.select(J.similar_key("j")).collect()]
+    assert k[0] == k[1] and k[0] != k[2] and k[3] == k[4] and k[5] != k[6]
