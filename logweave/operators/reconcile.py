@@ -60,24 +60,3 @@ def as_pair_text(totals: DataFrame) -> Column:
 def write_pair_text(totals: DataFrame, path: str) -> None:
     """Overwrite ``path`` with one text line per key."""
     totals.select(as_pair_text(totals).alias("value")).write.mode("overwrite").text(path)
-
-
-def lines_from_events(events: DataFrame) -> DataFrame:
-    """Two-layout comma lines derived from ``events`` (test and bench input).
-
-    ``view``/``click``/``signup`` give summary lines ``type,user,count`` whose
-    count is the JSON ``k`` (``signup`` appends ``.5``, which does not parse); ``purchase`` gives detail lines whose third token
-    is the full timestamp text; ``error`` gives short lines with trailing
-    empties that the arity filter drops.
-    """
-    e = F.col("event_type")
-    uid = F.col("user_id").cast("string")
-    k = F.get_json_object("props", "$.k")
-    summary_count = F.when(e == "signup", F.concat(k, F.lit(".5"))).otherwise(k)
-    line = (
-        F.when(e == "purchase", F.concat_ws(",", F.col("event_id").cast("string"), uid,
-                                             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), e, F.lit("end")))
-        .when(e == "error", F.concat(e, F.lit(","), uid, F.lit(",,")))
-        .otherwise(F.concat_ws(",", e, uid, summary_count))
-    )
-    return events.select("event_id", line.alias("value"))

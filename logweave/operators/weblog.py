@@ -78,41 +78,3 @@ def records_as_json(df: DataFrame, fields: Sequence[str] = REQUEST_FIELDS) -> Co
 def partition_layout(df: DataFrame, ds: str | Column, fields: Sequence[str] = REQUEST_FIELDS) -> DataFrame:
     """The fixed column list plus the ``ds`` partition value."""
     return df.select(*fields, (ds if isinstance(ds, Column) else F.lit(ds)).alias("ds"))
-
-
-def access_lines_from_events(events: DataFrame) -> DataFrame:
-    """Access-log lines derived from the ``events`` table (test and bench input).
-
-    Layout: ``date time ip - - GET status bytes url agent``, URL at token 8.
-    Line shape follows ``event_type``: ``error`` lines lack the last two
-    tokens (rejects), ``purchase`` URLs have no ``?``, ``signup`` URLs repeat
-    ``city``, ``view`` URLs carry ``mobile`` without ``=``; ``pvuid`` is
-    form-encoded or malformed.
-    """
-    e = F.col("event_type")
-    k = F.get_json_object("props", "$.k")
-    base_q = F.concat(
-        F.lit("city="), e,
-        F.lit("&country="), F.date_format("ts", "EEE"),
-        F.lit("&ip=10.0."), F.col("user_id").cast("string"),
-        F.lit("&appid="), k,
-    )
-    pvuid = F.when(e == "click", F.concat(F.lit("u%20"), F.col("user_id").cast("string"), F.lit("+x")))\
-        .otherwise(F.concat(F.lit("%"), F.substring(e, 1, 2), F.col("event_id").cast("string")))
-    query = (
-        F.when(e == "view", F.concat(base_q, F.lit("&mobile&imsi="), F.col("event_id").cast("string")))
-        .when(e == "signup", F.concat(base_q, F.lit("&mobile="), F.col("event_id").cast("string"), F.lit("&city=dup")))
-        .otherwise(F.concat(base_q, F.lit("&mobile="), F.col("event_id").cast("string")))
-    )
-    url = F.when(e == "purchase", F.concat(F.lit("/buy/"), F.col("event_id").cast("string"))).otherwise(
-        F.concat(F.lit("/pv?"), query, F.lit("&pvuid="), pvuid)
-    )
-    head = [
-        F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"),
-        F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")), F.lit("-"), F.lit("-"), F.lit("GET"),
-        F.lit("200"), F.col("event_id").cast("string"),
-    ]
-    line = F.when(e == "error", F.concat_ws(" ", *head)).otherwise(
-        F.concat_ws(" ", *head, url, F.lit("agent/1.0"))
-    )
-    return events.select("event_id", "ts", line.alias("value"))

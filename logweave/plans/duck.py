@@ -14,7 +14,12 @@ def java_split(x: str, sep: str) -> str:
 
 
 def decode(y: str) -> str:
-    """Form decoding; text with a ``%`` not followed by two hex digits stays raw."""
+    """Form decoding; text with a ``%`` not followed by two hex digits stays raw.
+
+    Java also reads a signed escape (``%+a`` is a newline, ``%-a`` fails);
+    DuckDB has no such form, so the oracle treats both as malformed. The
+    driver tables carry neither.
+    """
     return (f"(CASE WHEN strpos(regexp_replace({y}, '%[0-9A-Fa-f]{{2}}', '', 'g'), '%') > 0 "
             f"THEN {y} ELSE url_decode(replace({y}, '+', ' ')) END)")
 
@@ -36,7 +41,7 @@ def pick(pairs_col: str, qs_col: str, name: str) -> str:
             f"ELSE coalesce(list_filter({pairs_col}, lambda p: p[1] = '{name}')[-1][2], '') END")
 
 
-# events -> access-log lines (mirror of operators.weblog.access_lines_from_events)
+# events -> access-log lines (mirror of plans.inputs.access_lines)
 ACCESS_LINES = """
 ev AS (
   SELECT event_id, ts, user_id, event_type AS e, json_extract_string(props, '$.k') AS k FROM events
@@ -80,7 +85,7 @@ records AS (
   FROM rp
 )"""
 
-# events -> two-layout comma lines (mirror of operators.reconcile.lines_from_events)
+# events -> two-layout comma lines (mirror of plans.inputs.recon_lines)
 RECON_LINES = """
 rl AS (
   SELECT event_id, ts,
@@ -107,7 +112,7 @@ classified AS (
   FROM rw WHERE len(w) >= 3
 )"""
 
-# events -> Kafka-style records (mirror of sources.kafka.event_records)
+# events -> Kafka-style records (mirror of plans.inputs.event_records)
 EVENT_RECORDS = """
 recs AS (
   SELECT CAST(epoch_us(ts) // 1000 AS VARCHAR) AS key, ts,

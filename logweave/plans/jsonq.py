@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import jsoncols as J
 from logweave.functions.text import java_split
-from logweave.operators import reconcile
-from logweave.plans import duck
+from logweave.plans import duck, inputs
 from logweave.plans.registry import register
 from logweave.session import table
 
@@ -150,7 +149,7 @@ SELECT token, kind,
   CASE WHEN kind = 'string' THEN token END AS s
 FROM k""")
 def n7_loose_typing(spark, sf):
-    lines = reconcile.lines_from_events(_events(spark, sf))
+    lines = inputs.recon_lines(_events(spark, sf))
     toks = lines.select(F.explode(java_split("value", ",")).alias("token")).distinct()
     return toks.select("token", J.loose_value("token").alias("v")).select("token", "v.kind", "v.i", "v.d", "v.b", "v.s")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import java_split, parse_long_or_zero
 from logweave.operators import aggregates, reconcile
-from logweave.plans import duck
+from logweave.plans import duck, inputs
 from logweave.plans.registry import register
 from logweave.session import shared_dir, table
 from logweave.sources import kafka
@@ -15,7 +15,7 @@ from logweave.streaming import tokens as stream_tokens
 
 
 def recon_lines(spark, sf):
-    return reconcile.lines_from_events(table(spark, sf, "events"))
+    return inputs.recon_lines(table(spark, sf, "events"))
 
 
 @register("f1_java_split_arity", f"""
@@ -80,7 +80,7 @@ def s9_pair_text_sink(spark, sf):
 WITH {duck.TOKENS}
 SELECT token, count(*) AS n FROM toks GROUP BY token""")
 def a1_token_count(spark, sf):
-    return aggregates.token_count(kafka.event_records(table(spark, sf, "events")))
+    return aggregates.token_count(inputs.event_records(table(spark, sf, "events")))
 
 
 @register("a1_document_word_count", f"""
@@ -95,7 +95,7 @@ WITH {duck.EVENT_RECORDS}
 SELECT key, value FROM recs""")
 def s4_kafka_decode(spark, sf):
     # rows shaped as the Kafka source delivers them: binary key and value
-    recs = kafka.event_records(table(spark, sf, "events"))
+    recs = inputs.event_records(table(spark, sf, "events"))
     raw = recs.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
                       F.lit("events").alias("topic"))
     return kafka.kafka_values(raw)
@@ -105,7 +105,7 @@ def s4_kafka_decode(spark, sf):
 WITH {duck.EVENT_RECORDS}
 SELECT key, value FROM recs""")
 def s5_keyed_records(spark, sf):
-    return kafka.event_records(table(spark, sf, "events")).select("key", "value")
+    return inputs.event_records(table(spark, sf, "events")).select("key", "value")
 
 
 @register("t1_stream_batch_counts", f"""
@@ -117,7 +117,7 @@ def t1_stream_batch_counts(spark, sf):
     stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
               .option("pathGlobFilter", "events.parquet").parquet(sf))
     sink, ckpt = shared_dir(spark, "t1", "sink"), shared_dir(spark, "t1", "checkpoint")
-    q = stream_tokens.start_batch_token_counts(kafka.event_records(stream), sink, ckpt, available_now=True)
+    q = stream_tokens.start_batch_token_counts(inputs.event_records(stream), sink, ckpt, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(sink).select(F.col("batch_id").cast("bigint").alias("batch_id"), "token", "n")
 
@@ -128,5 +128,5 @@ SELECT strftime(time_bucket(INTERVAL 20 SECOND, ts, TIMESTAMP '1970-01-01'), '%Y
        token, count(*) AS n
 FROM toks GROUP BY ALL""")
 def t2_window_token_counts(spark, sf):
-    w = stream_tokens.windowed_token_counts(kafka.event_records(table(spark, sf, "events")))
+    w = stream_tokens.windowed_token_counts(inputs.event_records(table(spark, sf, "events")))
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "token", "n")

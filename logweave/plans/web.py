@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import text, urls
 from logweave.operators import weblog
-from logweave.plans import duck
+from logweave.plans import duck, inputs
 from logweave.plans.registry import register
 from logweave.session import table
 
@@ -16,7 +16,7 @@ PAGE_FIELDS = ("page", "ref", "utm_source")
 
 
 def request_records(spark, sf):
-    lines = weblog.access_lines_from_events(table(spark, sf, "events"))
+    lines = inputs.access_lines(table(spark, sf, "events"))
     return weblog.extract_requests(lines, "value", keep=("event_id", "ts"))
 
 

@@ -12,8 +12,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.convert import epoch_millis
-
 
 def kafka_stream(spark: SparkSession, servers: str, topics: Sequence[str], group_id: str | None = None,
                  starting_offsets: str = "latest") -> DataFrame:
@@ -39,16 +37,6 @@ def keyed_records(df: DataFrame, key: Column | str, values: Sequence[Column | st
     return df.select(k.cast("string").alias("key"), F.concat_ws(sep, *[v.cast("string") for v in vs]).alias("value"))
 
 
-def event_records(events: DataFrame) -> DataFrame:
-    """S5 on the ``events`` table: key = epoch millis, value = ``type,user,k``
-    (``error`` events carry two trailing empty fields)."""
-    k = F.get_json_object("props", "$.k")
-    value = F.concat_ws(",", "event_type", F.col("user_id").cast("string"), k)
-    value = F.when(F.col("event_type") == "error", F.concat(value, F.lit(",,"))).otherwise(value)
-    return events.select(epoch_millis("ts").cast("string").alias("key"),
-                         value.alias("value"), "ts")
-
-
 def write_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str):
     """Stream ``key, value`` records to a topic (checkpointed)."""
     return (df.selectExpr("CAST(key AS STRING) key", "CAST(value AS STRING) value")

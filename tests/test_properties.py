@@ -8,7 +8,6 @@ import urllib.parse
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from logweave.functions import text, urls
 
@@ -32,11 +31,45 @@ def java_parse_long(s: str) -> int:
     return v if -(2**63) <= v < 2**63 else 0
 
 
+def _java_parse_hex(two: str) -> int:
+    """``Integer.parseInt(two, 16)``: an optional sign, then hex digits."""
+    body = two[1:] if two[:1] in "+-" else two
+    if not body or any(ch not in "0123456789abcdefABCDEF" for ch in body):
+        raise ValueError(two)
+    v = int(body, 16)
+    return -v if two[:1] == "-" else v
+
+
 def java_url_decode(s: str) -> str:
-    """``URLDecoder.decode(s, UTF-8)`` with the raw text kept when it throws."""
-    if re.search(r"%(?![0-9A-Fa-f]{2})", s):
+    """``URLDecoder.decode(s, UTF-8)``; the raw text is kept when it throws.
+
+    Runs of ``%xx`` become bytes decoded as UTF-8; each ``xx`` is read with
+    ``Integer.parseInt(xx, 16)``, so ``%+a`` is a newline and ``%-a`` throws.
+    """
+    out, i, n = [], 0, len(s)
+    try:
+        while i < n:
+            c = s[i]
+            if c == "+":
+                out.append(" ")
+                i += 1
+            elif c == "%":
+                buf = bytearray()
+                while i + 2 < n and s[i] == "%":
+                    v = _java_parse_hex(s[i + 1:i + 3])
+                    if v < 0:
+                        raise ValueError("negative escape")
+                    buf.append(v)
+                    i += 3
+                if i < n and s[i] == "%":
+                    raise ValueError("incomplete escape")
+                out.append(buf.decode("utf-8", errors="replace"))
+            else:
+                out.append(c)
+                i += 1
+    except ValueError:
         return s
-    return urllib.parse.unquote_plus(s, encoding="utf-8", errors="replace")
+    return "".join(out)
 
 
 def reference_fields(url: str, names: list[str]) -> list:
@@ -56,7 +89,8 @@ def reference_fields(url: str, names: list[str]) -> list:
 lines = st.lists(st.text(alphabet="ab ,", max_size=12), min_size=1, max_size=40)
 numbers = st.lists(st.one_of(st.text(alphabet="+-0123456789 .x", max_size=21),
                              st.integers(-(2**64), 2**64).map(str)), min_size=1, max_size=40)
-url_chars = st.sampled_from(["a", "b", "c", "=", "&", "?", "+", "%", "%2", "%41", "%zz", "%26", "%3D", "%20", "c%69ty", "city"])
+url_chars = st.sampled_from(["a", "b", "c", "=", "&", "?", "+", "%", "%2", "%41", "%zz", "%26", "%3D", "%20", "c%69ty", "city",
+                             "%+a", "%-a", "%+", "-"])
 url_list = st.lists(st.lists(url_chars, max_size=12).map("".join), min_size=1, max_size=40)
 
 
