@@ -210,3 +210,42 @@ def test_canonical_params_matches_reference(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "q string")
     got = [r[0] for r in df.select(urls.canonical_params("q")).collect()]
     assert got == [reference_canonical(v) for v in values], values
+
+
+ZONES = ["+08:00", "-05:00", "+00:00", "Z", "+0530", "Asia/Shanghai", "America/New_York", "Europe/Berlin", "UTC"]
+
+
+def _zone(z: str):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+    if z == "Z":
+        return dt.timezone.utc
+    if z[0] in "+-":
+        h, m = int(z[1:3]), int(z[-2:])
+        sign = 1 if z[0] == "+" else -1
+        return dt.timezone(sign * dt.timedelta(hours=h, minutes=m))
+    return ZoneInfo(z)
+
+
+stamps = st.lists(st.tuples(st.datetimes(min_value=__import__("datetime").datetime(1971, 1, 1),
+                                         max_value=__import__("datetime").datetime(2037, 12, 31)),
+                            st.sampled_from(ZONES)), min_size=1, max_size=30)
+
+
+@SETTINGS
+@given(stamps)
+def test_zoned_times_match_python(spark, values):
+    """The same text gives the same instant as Python's zone rules
+    (time values are taken on 1970-01-01)."""
+    import datetime as dt
+    from pyspark.sql import functions as Fn
+    from logweave.functions import convert as C
+    texts = [(f"{d:%Y-%m-%d %H:%M:%S}.{d.microsecond // 1000:03d} {z}", f"{d:%H:%M:%S}.{d.microsecond // 1000:03d} {z}")
+             for d, z in values]
+    df = spark.createDataFrame(texts, "ts string, t string")
+    got = df.select(Fn.unix_millis(C.to_timestamp_zoned("ts")).alias("a"), C.time_millis("t").alias("b")).collect()
+    for (d, z), r in zip(values, got):
+        local = d.replace(microsecond=d.microsecond // 1000 * 1000)
+        want_ts = int(round(local.replace(tzinfo=_zone(z)).timestamp() * 1000))
+        day = dt.datetime(1970, 1, 1, local.hour, local.minute, local.second, local.microsecond, tzinfo=_zone(z))
+        assert (r.a, r.b) == (want_ts, int(round(day.timestamp() * 1000))), (d, z)
