@@ -20,15 +20,19 @@ _LOCAL_DEFAULTS = {
 
 
 def get_session(master: str | None = None, app: str = "logweave", **conf: str) -> SparkSession:
-    """Build (or reuse) a session with settings suited to these operators.
+    """Build (or reuse) a session.
 
-    On a cluster the deployment owns master, memory and shuffle sizing; the
-    values here only apply to local runs (tests, bench).
+    The local defaults above (shuffle width, UI off, UTC) are applied only for
+    a ``local[...]`` master (tests, bench). Without a master the deployment's
+    own settings stand; only ``conf`` given here is added.
     """
     b = SparkSession.builder.appName(app)
+    settings = dict(conf)
     if master:
         b = b.master(master)
-    for k, v in {**_LOCAL_DEFAULTS, **conf}.items():
+        if master.startswith("local"):
+            settings = {**_LOCAL_DEFAULTS, **conf}
+    for k, v in settings.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
