@@ -52,7 +52,7 @@ def reconcile_job(spark: SparkSession, a: argparse.Namespace) -> None:
 def stream_tokens(spark: SparkSession, a: argparse.Namespace) -> None:
     """Kafka topics -> token counts of every micro-batch -> sink folders."""
     src = kafka.kafka_values(kafka.kafka_stream(spark, a.servers, a.topics.split(","), a.group_id))
-    q = tokens.start_batch_token_counts(src, a.sink, a.checkpoint, interval=a.interval)
+    q = tokens.start_batch_token_counts(src, a.sink, a.checkpoint, interval=a.interval, show=a.show)
     q.awaitTermination()
 
 
@@ -80,6 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--sink", required=True)
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--interval", default=tokens.BATCH_INTERVAL)
+    s.add_argument("--show", type=int, default=10, help="counts printed per batch (0: none)")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"logweave-{a.job}").getOrCreate()
     {"request-etl": request_etl, "reconcile": reconcile_job, "stream-tokens": stream_tokens}[a.job](spark, a)

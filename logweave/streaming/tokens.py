@@ -19,12 +19,17 @@ from logweave.operators.aggregates import token_count, tokens
 BATCH_INTERVAL = "20 seconds"
 
 
-def _batch_writer(sink_path: str, value_col: str, sep: str):
+def _batch_writer(sink_path: str, value_col: str, sep: str, show: int = 0):
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = token_count(batch, value_col, sep).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        if show:
+            counts = counts.persist()  # written and shown without counting twice
         # one folder per batch, overwritten on replay -> exactly-once per batch
         (counts.select("batch_id", "token", "n").write.mode("overwrite")
          .parquet(f"{sink_path}/batch_id={batch_id}"))
+        if show:
+            counts.select("token", "n").show(show, truncate=False)
+            counts.unpersist()
     return write
 
 
@@ -36,13 +41,16 @@ def start_batch_token_counts(
     sep: str = ",",
     interval: str | None = BATCH_INTERVAL,
     available_now: bool = False,
+    show: int = 0,
 ) -> StreamingQuery:
     """Start the query; every micro-batch writes ``(batch_id, token, n)``.
 
     ``available_now=True`` processes what is there in batches and stops
     (tests, backfills); otherwise a processing-time trigger of ``interval``.
+    ``show=10`` also prints the first 10 counts of each batch on the driver,
+    as the original job did.
     """
-    w = stream.select(value_col).writeStream.foreachBatch(_batch_writer(sink_path, value_col, sep))
+    w = stream.select(value_col).writeStream.foreachBatch(_batch_writer(sink_path, value_col, sep, show))
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()

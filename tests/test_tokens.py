@@ -28,6 +28,10 @@ def test_each_batch_counts_alone(spark, tmpdir_path):
     q.awaitTermination()
     got = sorted((r.batch_id, r.token, r.n) for r in spark.read.parquet(sink).collect())
     assert got == [(0, "a", 1), (1, "a", 1), (1, "b", 2)]
+    # the console output of the original job: first counts of each batch
+    sink2, ckpt2 = os.path.join(tmpdir_path, "sink2"), os.path.join(tmpdir_path, "ckpt2")
+    T.start_batch_token_counts(stream, sink2, ckpt2, available_now=True, show=10).awaitTermination()
+    assert spark.read.parquet(sink2).count() == 3
     # a restart from the checkpoint finds no new input and writes nothing new
     q2 = T.start_batch_token_counts(stream, sink, ckpt, available_now=True)
     q2.awaitTermination()
