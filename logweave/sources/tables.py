@@ -20,6 +20,10 @@ _DS_RE = re.compile(r"^[0-9A-Za-z_-]+$")
 # Table properties of the request tables.
 ORC_PROPERTIES = {"orc.compress": "SNAPPY", "orc.stripe.size": "268435456"}
 PARQUET_PROPERTIES = {"parquet.compression": "SNAPPY"}
+# The same settings as writer options: Spark's file sources read OPTIONS, not
+# TBLPROPERTIES, when they write.
+ORC_OPTIONS = {"compression": "snappy", "orc.stripe.size": "268435456"}
+PARQUET_OPTIONS = {"compression": "snappy"}
 
 
 def write_staging(df: DataFrame, path: str, fmt: str = "orc", max_records_per_file: int = 5_000_000) -> None:
@@ -42,12 +46,13 @@ def create_request_table(
 ) -> None:
     """``CREATE TABLE`` of string fields, partitioned by ``ds``, ORC or Parquet + snappy."""
     props = ORC_PROPERTIES if fmt == "orc" else PARQUET_PROPERTIES
+    opts = ORC_OPTIONS if fmt == "orc" else PARQUET_OPTIONS
     cols = ", ".join(f"`{f}` STRING" for f in fields)
     loc = f" LOCATION {quote_literal(location)}" if location else ""
-    tbl = ", ".join(f"{quote_literal(k)}={quote_literal(v)}" for k, v in props.items())
+    kv = lambda d: ", ".join(f"{quote_literal(k)}={quote_literal(v)}" for k, v in d.items())
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({cols}, ds STRING) USING {fmt} "
-        f"PARTITIONED BY (ds){loc} TBLPROPERTIES ({tbl})"
+        f"CREATE TABLE IF NOT EXISTS {name} ({cols}, ds STRING) USING {fmt} OPTIONS ({kv(opts)}) "
+        f"PARTITIONED BY (ds){loc} TBLPROPERTIES ({kv(props)})"
     )
 
 

@@ -92,3 +92,15 @@ def test_staging_overwrite_rerun(spark, tmpdir_path):
     tables.write_staging(df, tmpdir_path + "/stage", "orc")
     tables.write_staging(df, tmpdir_path + "/stage", "orc")  # a rerun replaces, does not add
     assert spark.read.orc(tmpdir_path + "/stage").count() == 5
+
+
+def test_orc_table_writes_snappy(spark, tmpdir_path):
+    import glob
+    import pyarrow.orc as orc
+    line = "t0 t1 t2 t3 t4 t5 t6 t7 /pv?city=x t9"
+    recs = weblog.extract_requests(spark.createDataFrame([(line,)], "value string"))
+    tables.create_request_table(spark, "req_orc_codec", tmpdir_path + "/t", "orc")
+    tables.insert_partition(recs, "req_orc_codec", "20240101", overwrite=False)
+    f = glob.glob(tmpdir_path + "/t/ds=20240101/*.orc")[0]
+    assert orc.ORCFile(f).compression == "SNAPPY"
+    tables.drop_table(spark, "req_orc_codec")
