@@ -1,7 +1,7 @@
 """Compare a registered Spark query with its DuckDB oracle.
 
 Rows are compared as multisets after normalising values (columns sorted by
-name, floats to 9 significant digits, times to ISO text).
+name, times to ISO text); doubles must be equal to the bit.
 """
 
 from __future__ import annotations
@@ -28,9 +28,7 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return float(f"{v:.9g}")
+        return None if math.isnan(v) else v   # exact: no rounding of doubles
     if isinstance(v, decimal.Decimal):
         return str(v.normalize()) if v == v else None
     if isinstance(v, (dt.datetime, dt.date, dt.time)):
