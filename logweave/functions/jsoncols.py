@@ -238,16 +238,19 @@ def join_json(arr: Column | str, sep: str) -> Column:
 def zip_object(names: Column | str, values: Column | str) -> Column:
     """Names + values -> JSON object text; a later duplicate name wins.
 
-    ``map_from_arrays`` raises on duplicate keys, so earlier duplicates are
+    As putting names one by one: a name without a value (values shorter than
+    names, or NULL) removes the key, values beyond the names are ignored.
+    ``map_from_entries`` raises on duplicate keys, so earlier duplicates are
     dropped first.
     """
     n, v = _col(names), _col(values)
     pairs = F.arrays_zip(n.alias("k"), v.alias("v"))
     last = F.filter(
         pairs,
-        lambda p, i: ~F.exists(F.slice(n, i + 2, F.greatest(F.size(n), F.lit(1))), lambda q: q == p["k"]),
+        lambda p, i: p["k"].isNotNull()
+        & ~F.exists(F.slice(n, i + 2, F.greatest(F.size(n), F.lit(1))), lambda q: q == p["k"]),
     )
-    return F.to_json(F.map_from_entries(last))
+    return F.to_json(F.map_from_entries(F.filter(last, lambda p: p["v"].isNotNull())))
 
 
 def values_of(obj: Column | str, names: Column | str) -> Column:

@@ -193,3 +193,10 @@ def test_similar_key_keeps_integers_apart(spark):
     df = spark.createDataFrame([(r,) for r in rows], "j string")
     k = [r[0] for r in df.select(J.similar_key("j")).collect()]
     assert k[0] == k[1] and k[0] != k[2] and k[3] == k[4] and k[5] != k[6]
+
+
+def test_zip_object_put_semantics(spark):
+    df = spark.createDataFrame([(["a", "b", "c"], ["1"]), (["a", "a"], ["1", None]), (["a"], ["1", "2", "3"])],
+                               "n array<string>, v array<string>")
+    got = [r[0] for r in df.select(J.zip_object("n", "v")).collect()]
+    assert got == ['{"a":"1"}', "{}", '{"a":"1"}']
