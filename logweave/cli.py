@@ -3,6 +3,7 @@
     spark-submit logweave/cli.py request-etl --root R --start 2017-11-2120:10 --table request_records
     spark-submit logweave/cli.py reconcile 'in/*.log' out/
     spark-submit logweave/cli.py stream-tokens --servers host:9092 --topics t --sink S --checkpoint C
+    spark-submit logweave/cli.py stream-tokens --files in/ --available-now --sink S --checkpoint C
 """
 
 from __future__ import annotations
@@ -50,9 +51,16 @@ def reconcile_job(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def stream_tokens(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Kafka topics -> token counts of every micro-batch -> sink folders."""
-    src = kafka.kafka_values(kafka.kafka_stream(spark, a.servers, a.topics.split(","), a.group_id))
-    q = tokens.start_batch_token_counts(src, a.sink, a.checkpoint, interval=a.interval, show=a.show)
+    """Kafka topics (or a folder of text files) -> token counts of every
+    micro-batch -> sink folders."""
+    if a.files:
+        src = spark.readStream.option("maxFilesPerTrigger", a.max_files).text(a.files)
+    elif a.servers and a.topics:
+        src = kafka.kafka_values(kafka.kafka_stream(spark, a.servers, a.topics.split(","), a.group_id))
+    else:
+        raise SystemExit("stream-tokens needs --servers and --topics, or --files")
+    q = tokens.start_batch_token_counts(src, a.sink, a.checkpoint, interval=a.interval,
+                                        available_now=a.available_now, show=a.show)
     q.awaitTermination()
 
 
@@ -74,8 +82,11 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("input")
     r.add_argument("output")
     s = sub.add_parser("stream-tokens")
-    s.add_argument("--servers", required=True)
-    s.add_argument("--topics", required=True)
+    s.add_argument("--servers")
+    s.add_argument("--topics")
+    s.add_argument("--files", help="folder of text files, one value per line (instead of Kafka)")
+    s.add_argument("--max-files", type=int, default=1, help="files per micro-batch with --files")
+    s.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     s.add_argument("--group-id")
     s.add_argument("--sink", required=True)
     s.add_argument("--checkpoint", required=True)

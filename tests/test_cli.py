@@ -31,3 +31,11 @@ def test_reconcile_job(spark, tmpdir_path):
     _write(f"{tmpdir_path}/in/b.log", ["a,b,2"])
     cli.main(["reconcile", f"{tmpdir_path}/in/*.log", f"{tmpdir_path}/out"])
     assert [r.value for r in spark.read.text(f"{tmpdir_path}/out").collect()] == ["(a,(7,1))"]
+
+
+def test_stream_tokens_from_files(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/in/f0.txt", ["a,b,a", "a,,b"])
+    cli.main(["stream-tokens", "--files", f"{tmpdir_path}/in", "--available-now", "--show", "0",
+              "--sink", f"{tmpdir_path}/sink", "--checkpoint", f"{tmpdir_path}/ckpt"])
+    got = {(r.batch_id, r.token): r.n for r in spark.read.parquet(f"{tmpdir_path}/sink").collect()}
+    assert got == {(0, "a"): 3, (0, "b"): 2, (0, ""): 1}
