@@ -39,37 +39,42 @@ def decode_or_raw(c: Column | str) -> Column:
     return F.when(needs, F.coalesce(F.try_url_decode(c), c)).otherwise(c)
 
 
-def raw_pairs(qs: Column | str) -> Column:
-    """``[name, value]`` per ``&`` entry, split at the first ``=``, undecoded.
+def _name_part(kv: Column) -> Column:
+    return F.when(F.instr(kv, "=") == 0, kv).otherwise(F.substring_index(kv, "=", 1))
 
-    An entry without ``=`` gets the value of one blank, as the log job does.
-    """
-    entries = java_split(_col(qs), "&")
-    return F.transform(
-        entries,
-        lambda kv: F.split(F.when(F.instr(kv, "=") == 0, F.concat(kv, F.lit("= "))).otherwise(kv), "=", 2),
-    )
+
+def _value_part(kv: Column) -> Column:
+    # an entry without '=' has the value of one blank, as the log job does
+    return F.when(F.instr(kv, "=") == 0, F.lit(" ")).otherwise(kv.substr(F.instr(kv, "=") + 1, F.length(kv)))
+
+
+def param_names(qs: Column | str) -> Column:
+    """Decoded names of the ``&`` entries of a parameter string."""
+    return F.transform(java_split(_col(qs), "&"), lambda kv: decode_or_raw(_name_part(kv)))
+
+
+def param_values(qs: Column | str) -> Column:
+    """Decoded values of the ``&`` entries, split at the first ``=``."""
+    return F.transform(java_split(_col(qs), "&"), lambda kv: decode_or_raw(_value_part(kv)))
 
 
 def decoded_pairs(qs: Column | str) -> Column:
-    """Decoded ``[name, value]`` pairs of a parameter string."""
-    return F.transform(
-        raw_pairs(qs),
-        lambda p: F.array(decode_or_raw(F.get(p, 0)), decode_or_raw(F.get(p, 1))),
-    )
+    """Decoded ``[name, value]`` pairs of a parameter string, in order."""
+    return F.transform(java_split(_col(qs), "&"),
+                       lambda kv: F.array(decode_or_raw(_name_part(kv)), decode_or_raw(_value_part(kv))))
 
 
-def pick_param(pairs: Column | str, name: str) -> Column:
-    """Value of the last pair called ``name``; ``''`` when missing.
+def pick_last(rev_names: Column | str, rev_values: Column | str, name: str) -> Column:
+    """Value of the last entry called ``name``; ``''`` when missing.
 
-    ``pairs`` is the output of :func:`decoded_pairs`; a NULL ``pairs`` (no
-    ``?`` in the URL) gives NULL, like the reference's empty record.
+    Takes the *reversed* outputs of :func:`param_names` / :func:`param_values`
+    (computed once per row for all fields): ``array_position`` then finds the
+    last match natively, no lambda per field. NULL arrays (no ``?`` in the
+    URL) give NULL, like the reference's empty record.
     """
-    pairs = _col(pairs)
-    hit = F.try_element_at(F.filter(pairs, lambda p: F.get(p, 0) == F.lit(name)), F.lit(-1))
-    return F.when(pairs.isNull(), F.lit(None).cast("string")).otherwise(
-        F.coalesce(F.get(hit, 1), F.lit(""))
-    )
+    rn, rv = _col(rev_names), _col(rev_values)
+    hit = F.get(rv, F.array_position(rn, F.lit(name)) - 1)
+    return F.when(rn.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(hit, F.lit("")))
 
 
 def canonical_params(qs: Column | str) -> Column:

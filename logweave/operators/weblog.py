@@ -23,13 +23,15 @@ URL_TOKEN = 8
 
 
 def request_fields(url: Column | str, fields: Sequence[str] = REQUEST_FIELDS) -> list[Column]:
-    """W3-W6 for one URL column: one Column per field.
+    """W3-W6 for one URL column: one Column per field (for ad-hoc selects;
+    :func:`with_request_fields` shares the parsing between fields).
 
     NULL for every field when the URL has no ``?``; ``''`` for a missing
     field, ``' '`` for a name without ``=``.
     """
-    pairs = urls.decoded_pairs(urls.query_string(url))
-    return [urls.pick_param(pairs, f).alias(f) for f in fields]
+    qs = urls.query_string(url)
+    rn, rv = F.reverse(urls.param_names(qs)), F.reverse(urls.param_values(qs))
+    return [urls.pick_last(rn, rv, f).alias(f) for f in fields]
 
 
 def with_request_fields(
@@ -37,11 +39,14 @@ def with_request_fields(
 ) -> DataFrame:
     """W3-W6 on a URL column, keeping ``keep`` columns.
 
-    The pairs array is built in its own projection so every field filters the
-    same array (Catalyst does not inline a non-cheap alias used many times).
+    The decoded name and value arrays are built once, in their own projection
+    (Catalyst does not inline a non-cheap alias used many times); each field
+    is then a native ``array_position`` lookup of its last occurrence.
     """
-    staged = df.select(*keep, urls.decoded_pairs(urls.query_string(url_col)).alias("_pairs"))
-    return staged.select(*keep, *[urls.pick_param("_pairs", f).alias(f) for f in fields])
+    qs = urls.query_string(url_col)
+    staged = df.select(*keep, F.reverse(urls.param_names(qs)).alias("_rn"),
+                       F.reverse(urls.param_values(qs)).alias("_rv"))
+    return staged.select(*keep, *[urls.pick_last("_rn", "_rv", f).alias(f) for f in fields])
 
 
 def extract_requests(

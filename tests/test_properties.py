@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from logweave.functions import text, urls
+from logweave.operators import weblog
 
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -122,9 +123,8 @@ def test_parse_long(spark, values):
 def test_decode_and_field_pick(spark, values):
     names = ["city", "a", "b", ""]
     df = spark.createDataFrame([(v,) for v in values], "u string")
-    pairs = urls.decoded_pairs(urls.query_string("u"))
-    rows = df.select(urls.decode_or_raw("u").alias("d"), *[urls.pick_param(pairs, n).alias(f"f{i}")
-                                                            for i, n in enumerate(names)]).collect()
+    picked = weblog.with_request_fields(df.withColumn("d", urls.decode_or_raw("u")), "u", names, keep=("u", "d"))
+    rows = picked.toDF("u", "d", *[f"f{i}" for i in range(len(names))]).collect()
     for v, r in zip(values, rows):
         assert r.d == java_url_decode(v), v
         assert [r[f"f{i}"] for i in range(len(names))] == reference_fields(v, names), v
