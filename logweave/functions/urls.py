@@ -1,8 +1,8 @@
 """URL and request-parameter expressions.
 
-The parameter string is decoded into an ``array<array<string>>`` of
-``[name, value]`` pairs once per row; every named field is then a ``filter``
-over that small array. All of it is JVM-side.
+The parameter string is decoded once per row into two arrays, the entry
+names and the entry values; every named field is then a native
+``array_position`` lookup of its last occurrence. All of it is JVM-side.
 """
 
 from __future__ import annotations
