@@ -82,24 +82,22 @@ def canonical_params(qs: Column | str) -> Column:
 
     Keys are unique (a later entry replaces an earlier one), sorted, ``_`` in
     a key becomes ``.``; values are kept as written. ``''`` for no entries.
+    Entries are sorted by (key, position) and the last of each key's run is
+    kept; the sorted array is bound once as a lambda variable, so nothing is
+    recomputed per element.
     """
     pairs = F.transform(
         java_split(_col(qs), "&"),
-        lambda kv: F.struct(
+        lambda kv, i: F.struct(
             F.substring_index(kv, "=", 1).alias("k"),
-            F.when(F.instr(kv, "=") > 0, kv.substr(F.instr(kv, "=") + 1, F.length(kv)))
-            .otherwise(F.lit(""))
-            .alias("v"),
+            i.alias("i"),
+            F.when(F.instr(kv, "=") > 0, kv.substr(F.instr(kv, "=") + 1, F.length(kv))).otherwise(F.lit("")).alias("v"),
         ),
     )
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]),
-    )
+    last = F.get(F.transform(F.array(F.array_sort(pairs)), lambda s: F.filter(
+        s, lambda p, j: (j == F.size(s) - 1) | (F.get(s, j + 1)["k"] != p["k"]))), 0)
     body = F.array_join(
-        F.transform(F.sort_array(last), lambda p: F.concat(F.replace(p["k"], F.lit("_"), F.lit(".")), F.lit("="), p["v"])),
-        "&",
-    )
+        F.transform(last, lambda p: F.concat(F.replace(p["k"], F.lit("_"), F.lit(".")), F.lit("="), p["v"])), "&")
     return F.when(F.size(last) == 0, F.lit("")).otherwise(F.concat(F.lit("?"), body))
 
 
