@@ -254,9 +254,12 @@ def zip_object(names: Column | str, values: Column | str) -> Column:
 
 
 def values_of(obj: Column | str, names: Column | str) -> Column:
-    """N11 reverse: the object's values in the order of ``names`` (as JSON text)."""
-    o = _col(obj)
-    return F.transform(
+    """N11 reverse: the object's values in the order of ``names`` (as JSON text).
+
+    The object is bound once as a lambda variable, so an object computed by
+    an expression is not recomputed for every name.
+    """
+    return F.get(F.transform(F.array(_col(obj)), lambda o: F.transform(
         _col(names),
         lambda k: F.call_function("get_json_object", o, F.concat(F.lit("$['"), k, F.lit("']"))),
-    )
+    )), 0)
