@@ -244,12 +244,16 @@ def zip_object(names: Column | str, values: Column | str) -> Column:
     dropped first.
     """
     n, v = _col(names), _col(values)
-    pairs = F.arrays_zip(n.alias("k"), v.alias("v"))
-    last = F.filter(
-        pairs,
-        lambda p, i: p["k"].isNotNull()
-        & ~F.exists(F.slice(n, i + 2, F.greatest(F.size(n), F.lit(1))), lambda q: q == p["k"]),
-    )
+
+    def keep_last(ns: Column) -> Column:  # names bound once as a lambda variable
+        pairs = F.arrays_zip(ns.alias("k"), v.alias("v"))
+        return F.filter(
+            pairs,
+            lambda p, i: p["k"].isNotNull()
+            & ~F.exists(F.slice(ns, i + 2, F.greatest(F.size(ns), F.lit(1))), lambda q: q == p["k"]),
+        )
+
+    last = F.get(F.transform(F.array(n), keep_last), 0)
     return F.to_json(F.map_from_entries(F.filter(last, lambda p: p["v"].isNotNull())))
 
 
