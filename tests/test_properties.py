@@ -3,6 +3,7 @@
 Each example is a batch of generated strings checked in one Spark job.
 """
 
+import os
 import re
 import urllib.parse
 
@@ -12,7 +13,11 @@ from hypothesis import strategies as st
 from logweave.functions import text, urls
 from logweave.operators import weblog
 
-SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+# Deterministic by default (a green suite stays green); PROPERTY_RANDOM=1 and
+# PROPERTY_EXAMPLES=<n> explore new examples.
+SETTINGS = settings(max_examples=int(os.environ.get("PROPERTY_EXAMPLES", "15")), deadline=None,
+                    derandomize=os.environ.get("PROPERTY_RANDOM") is None, database=None,
+                    suppress_health_check=list(HealthCheck))
 
 
 def java_split(s: str, sep: str) -> list[str]:
