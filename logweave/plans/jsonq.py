@@ -11,6 +11,7 @@ from logweave.plans import duck, inputs
 from logweave.plans.registry import register
 from logweave.session import table
 
+
 def _k():
     return F.get_json_object("props", "$.k")
 

@@ -5,7 +5,6 @@ Each example is a batch of generated strings checked in one Spark job.
 
 import os
 import re
-import urllib.parse
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
