@@ -33,7 +33,7 @@ def json_key_counter(df: DataFrame, json_col: str, key: str) -> DataFrame:
     return df.select(v.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def grouped_values(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
+def grouped_values(df: DataFrame, key_col: str, value_col: str, always_array: bool = False) -> DataFrame:
     """A4: per key, the values seen and how often.
 
     Two aggregations: first ``(key, value) -> count`` (map-side combined),
@@ -41,8 +41,9 @@ def grouped_values(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
     array is bounded by the number of distinct values per key, not by the
     number of rows, so a hot key stays small. ``values_json`` follows the
     accumulate rule: a key seen once holds a scalar, otherwise an array of
-    its distinct values. Meant for value columns of bounded cardinality per
-    key (types, flags, codes); the array has one entry per distinct value.
+    its distinct values; ``always_array=True`` follows the append rule (an
+    array even for one value). Meant for value columns of bounded cardinality
+    per key (types, flags, codes); the array has one entry per distinct value.
     """
     pairs = df.groupBy(key_col, value_col).agg(F.count(F.lit(1)).alias("_n"))
     per_key = pairs.groupBy(key_col).agg(
@@ -54,7 +55,8 @@ def grouped_values(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
         key_col,
         "n",
         F.array_join(F.transform("_vc", lambda x: F.concat(x["v"].cast("string"), F.lit(":"), x["c"].cast("string"))), ",").alias("value_counts"),
-        F.when(F.col("n") == 1, json_text(F.get(vals, 0))).otherwise(F.to_json(vals)).alias("values_json"),
+        (F.to_json(vals) if always_array
+         else F.when(F.col("n") == 1, json_text(F.get(vals, 0))).otherwise(F.to_json(vals))).alias("values_json"),
     )
 
 

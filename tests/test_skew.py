@@ -57,3 +57,10 @@ def test_plain_left_join_cannot_split_the_other_side(spark, skew_conf):
     plain = dims.join(facts, dims.dk == facts.fk, "left")
     plain.collect()
     assert "skew=true" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grouped_values_accumulate_and_append(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (2, "a")], "k int, v string")
+    acc = {r.k: r.values_json for r in aggregates.grouped_values(df, "k", "v").collect()}
+    app = {r.k: r.values_json for r in aggregates.grouped_values(df, "k", "v", always_array=True).collect()}
+    assert acc == {1: '"a"', 2: '["a","b"]'} and app == {1: '["a"]', 2: '["a","b"]'}
