@@ -37,3 +37,28 @@ def test_partial_aggregation_before_shuffle(spark, name):
     df.collect()  # final adaptive plan
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"partial_|HashAggregate\(keys=\[[^\]]*\], functions=\[\]", plan), plan
+
+
+def _formatted(df):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
+def test_filters_reach_the_scan(spark):
+    plan = _formatted(QUERIES["f4_optional_filters"](spark, SF_SMALL))
+    pushed = [l for l in plan.splitlines() if l.startswith("PushedFilters")]
+    assert pushed and "EqualTo(o_orderstatus,F)" in pushed[0] and "StringStartsWith(o_orderpriority,1-)" in pushed[0]
+
+
+def test_scans_read_only_needed_columns(spark):
+    plan = _formatted(QUERIES["w1_request_records"](spark, SF_SMALL))
+    schema = [l for l in plan.splitlines() if l.startswith("ReadSchema")][0]
+    assert "value" not in schema and "props" in schema   # 5 of the 6 events columns
+    plan = _formatted(QUERIES["o1_top_k"](spark, SF_SMALL))
+    schema = [l for l in plan.splitlines() if l.startswith("ReadSchema")][0]
+    fields = schema.split("struct<", 1)[1].rstrip(">").split(",")
+    assert [f.split(":")[0] for f in fields] == ["l_orderkey", "l_linenumber", "l_extendedprice", "l_tax"]
