@@ -17,8 +17,9 @@ def decode(y: str) -> str:
     """Form decoding; text with a ``%`` not followed by two hex digits stays raw.
 
     Java also reads a signed escape (``%+a`` is a newline, ``%-a`` fails);
-    DuckDB has no such form, so the oracle treats both as malformed. The
-    driver tables carry neither.
+    DuckDB has no such form, so the oracle treats both as malformed. Escapes
+    that decode to invalid UTF-8 become U+FFFD in Java and raise in DuckDB.
+    The driver tables carry none of these.
     """
     return (f"(CASE WHEN strpos(regexp_replace({y}, '%[0-9A-Fa-f]{{2}}', '', 'g'), '%') > 0 "
             f"THEN {y} ELSE url_decode(replace({y}, '+', ' ')) END)")
