@@ -12,10 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import line_dedup, simhash, winnow
+from logweave.llm import langid, line_dedup, mixing, simhash, winnow
 from logweave.llm.common import Scratch
+from logweave.llm.queries import MIX_BUDGET, MIX_TARGETS
 from logweave.session import table
 
+#: Least mean posterior of a document's language.
+MIN_LANGUAGE_SCORE = 0.35
+
+
+def reject_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a determined language, or with hardly
+    more certainty than chance, go."""
+    model = langid.fit(docs)
+    out = langid.identify(docs, model)
+    return out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later matches of a line go; documents of which no text is
@@ -38,12 +50,22 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return winnow.without_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10, k=5)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: the sample that meets the target weights, with the probability
+    each document was kept with."""
+    return mixing.mix(docs, MIX_TARGETS, MIX_BUDGET, seed=1).where("kept").drop("kept")
+
+
 STAGES = [
+    ("language_id", reject_languages),
     ("line_dedup", remove_repeated_lines),
     ("near_dedup", remove_near_duplicates),
     ("decontamination", remove_contaminated),
+    ("mixing", mix_sources),
 ]
 
+#: SQL cannot express the language stage (a trained field); tests hold every
+#: other stage against brute force or SQL, and the whole against its stages.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import line_dedup, simhash, winnow
+from logweave.llm import langid, line_dedup, mixing, simhash, substring_dedup, winnow
 from logweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,58 @@ def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: Target shares of the mixture.
+MIX_TARGETS = {
+    "source": {f"src{i}": 1.0 for i in range(20)},
+    "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2},
+    "topic": {"contact": 0.1, "long": 0.25, "loud": 0.05, "prose": 0.45, "short": 0.15},
+}
+MIX_BUDGET = 0.6
+
+
+def _mix_sql(relation: str) -> str:
+    """DuckDB SQL: (doc_id, n_tokens, topic, p, kept, r) of `relation`, r its row."""
+    named = {d: f"CASE WHEN {d} IN ({', '.join(repr(v) for v in sorted(t))}) THEN {d} ELSE '*' END" for d, t in MIX_TARGETS.items()}
+    goal = {d: "CASE " + " ".join(f"WHEN {d} = '{v}' THEN CAST({w} AS DOUBLE)" for v, w in sorted(t.items())) + " END" for d, t in MIX_TARGETS.items()}
+    return rf"""
+WITH RECURSIVE counted AS (
+  SELECT d AS r, d.*, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')) AS BIGINT) AS n_tok
+  FROM {relation} d),
+k AS (SELECT *, CASE WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), '!!') THEN 'loud'
+                     WHEN n_tok < 100 THEN 'short' WHEN n_tok >= 1000 THEN 'long' ELSE 'prose' END AS topic FROM counted),
+cell AS (SELECT {named['source']} AS source, {named['lang']} AS lang, {named['topic']} AS topic, sum(n_tok) AS t FROM k GROUP BY ALL HAVING sum(n_tok) > 0),
+w0 AS (SELECT *, t / sum(t) OVER () AS w FROM cell),
+gs AS (SELECT source, coalesce({goal['source']}, sum(w)) AS g FROM w0 GROUP BY source),
+gl AS (SELECT lang, coalesce({goal['lang']}, sum(w)) AS g FROM w0 GROUP BY lang),
+gt AS (SELECT topic, coalesce({goal['topic']}, sum(w)) AS g FROM w0 GROUP BY topic),
+goals AS (SELECT w0.*, gs.g / (SELECT sum(g) FROM gs) AS a, gl.g / (SELECT sum(g) FROM gl) AS b, gt.g / (SELECT sum(g) FROM gt) AS c
+          FROM w0 JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic)),
+it AS (SELECT 0 AS step, source, lang, topic, t, a, b, c, CAST(w AS DOUBLE) AS w FROM goals
+       UNION ALL
+       SELECT step + 1, source, lang, topic, t, a, b, c, w * c / sum(w) OVER (PARTITION BY topic) FROM (
+         SELECT * REPLACE (w * b / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+           SELECT * REPLACE (w * a / sum(w) OVER (PARTITION BY source) AS w) FROM it WHERE step < 24))),
+fit AS (SELECT *, w / t AS g FROM it WHERE step = 24),
+o AS (SELECT *, row_number() OVER x AS pos,
+             ({MIX_BUDGET} * sum(t) OVER () - coalesce(sum(t) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k
+      FROM fit WINDOW x AS (ORDER BY g DESC, source, lang, topic)),
+f AS (SELECT min(pos) AS pos FROM o WHERE k * g <= 1),
+p AS (SELECT o.source, o.lang, o.topic,
+             CASE WHEN f.pos IS NULL OR o.pos < f.pos THEN 1.0 ELSE greatest(least((SELECT k FROM o JOIN f USING (pos)) * g, 1.0), 0.0) END AS p
+      FROM o, f)
+SELECT k.r, k.doc_id, n_tok AS n_tokens, k.topic, coalesce(p.p, 1.0) AS p,
+       CAST('0x' || substr(md5('1:' || coalesce(CAST(k.doc_id AS VARCHAR), md5(coalesce(k.text, '')))), 1, 12) AS BIGINT) / 281474976710656.0 < coalesce(p.p, 1.0) AS kept
+FROM k LEFT JOIN p ON p.source = {named['source'].replace('source', 'k.source')} AND p.lang = {named['lang'].replace('lang', 'k.lang')} AND p.topic = k.topic
+"""
+
+
+@_query(f"SELECT doc_id, n_tokens, topic, round(p, 6) AS p, kept FROM ({_mix_sql('documents')})")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_documents(spark, sf_dir), MIX_TARGETS, MIX_BUDGET, seed=1)
+    return out.select("doc_id", "n_tokens", "topic", F.round("p", 6).alias("p"), "kept")
+
+
 @_query(r"""
 WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, ls[i] AS s
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
@@ -83,3 +135,22 @@ FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line GROUP BY
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_later_lines(_documents(spark, sf_dir), threshold=0.8, min_words=5)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def remainder(modulus: int):
+    """crc32 of the document id as text, modulo `modulus`; null for no id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+@_query()
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.where(remainder(3) != 1))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated(_documents(spark, sf_dir), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
