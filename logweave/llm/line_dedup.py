@@ -5,16 +5,16 @@ lines are left alone). A line goes if an earlier line of the corpus (by
 document order, then line number) has a Jaccard similarity of `threshold` or
 more; judged on the input, so a removed line still removes later ones.
 
-1. Word frequencies over all texts, in a fixed number of hash buckets, give
-   each word a rarity. Any total order is correct, rarity makes prefixes rare.
+1. Counts of all words give each frequent word a rarity, kept in a table of
+   fixed size by hash. Any total order is correct, rarity makes prefixes rare.
 2. Lines with equal sets collapse to their earliest line before any join.
 3. Prefix filter: of n words in order of rarity, two similar sets share one of
    the first n - ceil(t*n) + 1. Length and positional filters bound the
-   overlap that a shared prefix word still allows, and a 256-bit map of the
+   overlap that a shared prefix word still allows, and a 128-bit map of the
    words bounds it from above once more (words of one set whose bit is not set
    in the other are surely missing there).
-4. Two passes. First each line meets only the earliest documents that hold
-   one of its three rarest words; in a dense group this settles almost all
+4. Two passes. First each line meets only the earliest document that holds
+   one of its three rarest words, where many lines do; in a dense group this settles almost all
    lines with one candidate each. Then the lines not settled meet all earlier
    lines with a common prefix word. So a large group of near copies never
    yields all its pairs, and no candidate of an unsettled line is dropped.
@@ -26,24 +26,43 @@ execution, since both sides of the joins are read from written tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.llm.common import SPACES, Scratch, doc_order, keyed_texts, words_of
 
-BUCKETS = 1 << 16
-#: Number of the rarest words looked at in the first pass.
+BUCKETS = 1 << 20
+#: Words of at least this share of all words are told apart by frequency; the
+#: others count as equally rare.
+FREQUENT = 1e-6
+#: Number of the rarest words looked at in the first pass, and the least number
+#: of lines that share one of them to be worth it there. Neither changes the
+#: result: the second pass covers whatever the first leaves.
 FIRST = 3
+DENSE = 16
 KEY = ["did", "th", "line"]
 
 
-def _frequencies(docs: DataFrame) -> DataFrame:
-    """One row with an array: occurrences of the words of each hash bucket."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w"))
-    counts = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).groupBy("b").count()
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(counts, "b", "left")
-    return every.select(F.lit(1).alias("one"), F.struct("b", F.coalesce("count", F.lit(0)).alias("n")).alias("e")).groupBy("one").agg(
-        F.array_sort(F.collect_list("e"))["n"].alias("freq")).select("freq")
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+
+
+def _rarity_table(docs: DataFrame) -> bytes:
+    """A byte for each hash bucket: twice the binary logarithm of the count of
+    the bucket's most frequent word, 0 if that is below a share of FREQUENT of
+    all words. At most 1 / FREQUENT words reach that share, so what comes to
+    the driver is bounded whatever the corpus."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w")).select(F.xxhash64("w").alias("h"))
+    counts = words.groupBy("h").count()
+    tops = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max("count").alias("n"), F.sum("count").alias("all"))
+    rows = tops.withColumn("total", F.sum("all").over(W.partitionBy(F.lit(1)))).where(F.col("n") >= F.col("total") * FREQUENT).collect()
+    table = bytearray(BUCKETS)
+    for row in rows:
+        table[row["b"]] = min(127, int(2 * math.log2(row["n"])))
+    return bytes(table)
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
@@ -56,34 +75,44 @@ def _min_overlap(na: Column, nb: Column, t: float) -> Column:
 
 
 def _bitmap(codes: Column) -> list[Column]:
-    """256 bits, one by the low byte of each code, as four longs."""
-    bits = F.array_distinct(F.transform(codes, lambda x: x.bitwiseAND(F.lit(255).cast("long")).cast("int")))
+    """128 bits, one by the low bits of each code, as two longs."""
     return [
-        F.aggregate(F.filter(bits, lambda x: F.shiftright(x, 6) == k), F.lit(0).cast("long"),
-                    lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63))))).alias(f"m{k}")
-        for k in range(4)]
+        F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: F.when(
+            x.bitwiseAND(F.lit(64).cast("long")) == 64 * k,
+            acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))),
+        ).otherwise(acc)).alias(f"m{k}")
+        for k in range(2)]
+
+
+def _prefix_tokens(sets: DataFrame) -> DataFrame:
+    """(token, h, did, until, n, j) of every prefix word of every set: earlier
+    lines are sought in documents up to `until`, nowhere if that is null."""
+    return sets.select("h", "did", "until", "n", F.posexplode("prefix").alias("j", "token"))
 
 
 def _candidates(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     """(a, b) set hashes of pairs that share a prefix word and pass the length
-    and positional filters. left, right: token, h, did, n, j."""
+    and positional filters; a stands in no later document than b."""
     a, b = left.alias("a"), right.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
-    bound = 1 + F.least(na - F.col("a.j"), nb - F.col("b.j")) - 1
+    bound = F.least(na - F.col("a.j"), nb - F.col("b.j"))   # the shared word and what may follow it
     return a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.col("a.did") <= F.col("b.did")) & (F.col("a.h") != F.col("b.h"))
+        (F.col("a.did") <= F.col("b.until")) & (F.col("a.h") != F.col("b.h"))
         & (F.least(na, nb) >= F.ceil(F.lit(t) * F.greatest(na, nb) - F.lit(1e-9)))
         & (bound >= _min_overlap(na, nb, t))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
 
 
 def _verified(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: float, name: str) -> DataFrame:
     """(h) of the later set of every candidate pair that is similar enough."""
-    info = sets.select("h", *KEY, "n", "m0", "m1", "m2", "m3")
+    pairs = scratch.write(pairs.distinct(), f"pairs_{name}")
+    ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), f"ends_{name}")
+    info = scratch.write(
+        sets.select("h", *KEY, "n", "m0", "m1").join(scratch.small(ends, f"ends_{name}"), "h"), f"info_{name}")
     side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in info.columns])
-    both = pairs.distinct().join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b"))
+    both = pairs.join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b"))
     earlier = F.struct(*[F.col(f"{c}_a") for c in KEY]) < F.struct(*[F.col(f"{c}_b") for c in KEY])
     missing = lambda x, y: sum(
-        (F.bit_count(F.col(f"m{k}_{x}").bitwiseAND(F.bitwise_not(F.col(f"m{k}_{y}")))) for k in range(4)), F.lit(0))
+        (F.bit_count(F.col(f"m{k}_{x}").bitwiseAND(F.bitwise_not(F.col(f"m{k}_{y}")))) for k in range(2)), F.lit(0))
     need = _min_overlap(F.col("n_a"), F.col("n_b"), t)
     close = both.where(earlier).where((F.col("n_a") - missing("a", "b") >= need) & (F.col("n_b") - missing("b", "a") >= need))
     close = scratch.write(close.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in KEY]), f"close_{name}")
@@ -92,13 +121,14 @@ def _verified(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFra
     wanted = scratch.write(wanted.groupBy("did", "th").agg(F.collect_set("line").alias("wanted")), f"wanted_{name}")
     found = keyed_texts(docs).join(scratch.small(wanted, f"wanted_{name}"), ["did", "th"]).select(
         "did", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.array_contains("wanted", F.col("line")))
-    words = scratch.write(
-        found.select(*KEY, F.array_distinct(words_of("s")).alias("words")).dropDuplicates(KEY), f"words_{name}")
+    words = scratch.write(found.select(*KEY, F.array_distinct(words_of("s")).alias("words")), f"words_{name}")
     side = lambda s: words.select(*[F.col(c).alias(f"{c}_{s}") for c in KEY], F.col("words").alias(f"words_{s}"))
     full = close.join(side("a"), [f"{c}_a" for c in KEY]).join(side("b"), [f"{c}_b" for c in KEY])
     common = F.size(F.array_intersect("words_a", "words_b"))
     union = F.size("words_a") + F.size("words_b") - common
-    return full.where(common >= F.lit(t) * union - F.lit(1e-9)).select(F.col("b").alias("h")).distinct()
+    out = scratch.write(full.where(common >= F.lit(t) * union - F.lit(1e-9)).select(F.col("b").alias("h")).distinct(), f"similar_{name}")
+    scratch.drop(*[f"{part}_{name}" for part in ("pairs", "ends", "info", "close", "wanted", "words")])
+    return out
 
 
 def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
@@ -112,46 +142,44 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    freq = scratch.write(_frequencies(docs), "freq").scalar()
+    rarity = F.lit(_rarity_table(docs))
 
-    def code(word: Column) -> Column:
-        # rarity in the high bits, 38 bits of the word's hash below: ascending order is order of rarity
-        h = F.xxhash64(word)
-        rarity = F.least(F.element_at(F.col("freq"), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")), F.lit((1 << 24) - 1).cast("long"))
-        return F.shiftleft(rarity, 38).bitwiseOR(F.shiftrightunsigned(h, 26))
+    def code(h: Column) -> Column:
+        # rarity in the high bits, 56 bits of the word's hash below: ascending order is order of rarity
+        rare = F.ascii(F.substring(rarity, _bucket(h) + 1, 1).cast("string")).cast("long")
+        return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    coded = text_lines(docs).select(*KEY, "s", freq.alias("freq")).select(
-        *KEY, F.sort_array(F.array_distinct(F.transform(words_of("s"), code))).alias("codes"))
+    hashes = F.transform(words_of("s"), lambda w: F.xxhash64(w))
+    coded = text_lines(docs).select(*KEY, F.sort_array(F.transform(F.array_distinct(hashes), code)).alias("codes"))
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int"))
+    # short lines are filtered on the written table: a filter here would code every line twice
     lines = scratch.write(
-        coded.where(n >= min_words).select(
-            *KEY, F.xxhash64("codes").alias("h"), n.alias("n"), F.transform(prefix, lambda x: F.hash(x)).alias("prefix"), *_bitmap(F.col("codes"))),
-        "lines")
+        coded.select(*KEY, F.xxhash64("codes").alias("h"), n.alias("n"), F.transform(prefix, lambda x: F.hash(x)).alias("prefix"),
+                     *_bitmap(F.col("codes"))), "lines").where(F.col("n") >= min_words)
     # equal sets: their earliest line stands for all; every other attribute follows from the set
-    first = F.min(F.struct(*KEY, "n", "prefix", "m0", "m1", "m2", "m3")).alias("f")
+    first = F.min(F.struct(*KEY, "n", "prefix", "m0", "m1")).alias("f")
     sets = scratch.write(lines.groupBy("h").agg(first).select("h", "f.*"), "sets")
 
-    tokens = sets.select("h", "did", "n", F.posexplode("prefix").alias("j", "token"))
-    rare = scratch.write(tokens.where(F.col("j") < FIRST), "rare")
+    rare = _prefix_tokens(sets.withColumn("until", F.col("did"))).where(F.col("j") < FIRST)
     earliest = scratch.write(
-        rare.groupBy("token").agg(F.min("did").alias("did"), F.count("*").alias("k")).where("k > 1").select("token", "did"), "earliest")
-    pivots = rare.join(earliest, ["token", "did"])
-    near_first = scratch.write(_candidates(pivots, rare, threshold).distinct(), "pairs_first")
-    settled = scratch.write(_verified(scratch, docs, sets, near_first, threshold, "first"), "settled")
-    scratch.drop("rare", "earliest", "pairs_first", "close_first", "wanted_first", "words_first")
-
-    marked = sets.select("h", "did", "n", "prefix").join(settled.withColumn("settled", F.lit(True)), "h", "left")
-    tokens = marked.select("h", "did", "n", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("j", "token"))
-    near_rest = scratch.write(_candidates(tokens, tokens.where("open"), threshold).distinct(), "pairs_rest")
-    rest = scratch.write(_verified(scratch, docs, sets, near_rest, threshold, "rest"), "rest")
-    scratch.drop("pairs_rest", "close_rest", "wanted_rest", "words_rest")
+        rare.groupBy("token").agg(F.min("did").alias("did"), F.count("*").alias("k")).where(F.col("k") >= DENSE).select("token", "did"), "earliest")
+    pivots = scratch.write(rare.join(earliest, ["token", "did"]), "pivots")
+    settled = _verified(scratch, docs, sets, _candidates(pivots, rare, threshold), threshold, "first")
+    scratch.drop("earliest", "pivots")
+
+    marked = sets.select("h", "did", "n", "prefix").join(
+        scratch.small(settled, "similar_first").withColumn("settled", F.lit(True)), "h", "left")
+    tokens = _prefix_tokens(marked.withColumn("until", F.when(F.col("settled").isNull(), F.col("did"))))
+    rest = _verified(scratch, docs, sets, _candidates(tokens, tokens, threshold), threshold, "rest")
 
     similar = settled.unionByName(rest).distinct().withColumn("similar", F.lit(True))
     verdict = sets.select("h", F.struct(*KEY).alias("first")).join(similar, "h", "left")
     out = lines.select(*KEY, "h").join(verdict, "h").where(
         F.col("similar").isNotNull() | (F.struct(*KEY) > F.col("first")))
-    return scratch.write(out.select(*KEY).distinct(), "later")
+    out = scratch.write(out.select(*KEY).distinct(), "later")
+    scratch.drop("lines", "sets")
+    return out
 
 
 def remove_later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:

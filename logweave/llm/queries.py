@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import langid, line_dedup, mixing, simhash, substring_dedup, winnow
+from logweave.llm import fingerprints, langid, line_dedup, mixing, simhash, substring_dedup, winnow
 from logweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@_query()
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.edited_fingerprints(_documents(spark, sf_dir), low=1e-3, high=0.1)
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      "near_edited", "near_next")
+
+
 @_query()
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(_documents(spark, sf_dir), window=50)
