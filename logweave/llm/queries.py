@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, langid, line_dedup, mixing, simhash, substring_dedup, winnow
+from logweave.llm import fingerprints, katz, langid, line_dedup, mixing, simhash, substring_dedup, winnow
+from logweave.llm.common import Scratch
 from logweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(_documents(spark, sf_dir), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query()
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), "text")
+    scratch = Scratch(spark, "katz")
+    model, words = katz.fit(scratch, docs.where(remainder(5) != 1))
+    out = katz.score(scratch, docs, model, words)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
