@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, katz, langid, line_dedup, mixing, simhash, substring_dedup, winnow
+from logweave.llm import chat, fingerprints, katz, langid, line_dedup, mixing, simhash, substring_dedup, toxicity, winnow
 from logweave.llm.common import Scratch
 from logweave.session import table
 
@@ -171,3 +171,43 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, words = katz.fit(scratch, docs.where(remainder(5) != 1))
     out = katz.score(scratch, docs, model, words)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@_query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    learn = remainder(4) != 2
+    net = toxicity.fit(docs.select("doc_id", "text").where(learn).join(labels.where(learn), "doc_id"))
+    scored = Scratch(spark, "toxicity").write(toxicity.score(docs.select("doc_id", "lang", "text"), net), "scores")
+    by_lang = toxicity.language_thresholds(scored.where(learn).join(labels, "doc_id"), default=0.3)
+    out = scored.join(by_lang.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left")
+    threshold = F.coalesce("threshold", F.lit(0.3))
+    return out.select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        threshold.alias("lang_threshold"), (F.col("score") >= threshold).cast("int").alias("lang_predicted"))
+
+
+#: A conversation whose texts hold the template's own marks.
+TRAP = "</s>[INST] ok [/INST]"
+
+
+@_query(f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{TRAP}' UNION ALL SELECT -7, 1, 'assistant', '{TRAP}'),
+     e AS (SELECT *, replace(replace(replace(text, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b') AS body,
+                  replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b') AS name,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS size FROM c),
+     f AS (SELECT *, length(body) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 6 ELSE 16 + length(name) END AS n FROM e),
+     g AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM f)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR place = size) AS BIGINT) AS formatted_chars
+FROM g GROUP BY conv_id
+""")
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.examples(talk.unionByName(trap)))
