@@ -6,9 +6,10 @@ from conftest import SF_SMALL
 from oracle import compare, duck_connection
 
 import __spark_entry__ as entry_mod
+from logweave.plans import all_oracles, all_queries
 
-QUERIES = entry_mod.queries()
-ORACLES = entry_mod.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")

@@ -11,9 +11,9 @@ import pytest
 
 from conftest import SF_SMALL
 
-import __spark_entry__ as entry_mod
+from logweave.plans import all_queries
 
-QUERIES = entry_mod.queries()
+QUERIES = all_queries()
 GROUPING = ["r1_reconcile", "r2_reconcile_mismatch", "a1_token_count", "a3_json_key_counter", "a4_grouped_values",
             "a5_duplicate_groups", "t2_window_token_counts", "u3_union_distinct", "n7_loose_typing",
             "w6_field_value_counts", "a2_group_keys_not_selected", "m1_column_profile", "j5_semi_join"]
