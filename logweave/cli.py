@@ -21,6 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from logweave.operators import reconcile as R  # noqa: E402
 from logweave.operators import weblog  # noqa: E402
+from logweave.session import remove_dir, shared_dir  # noqa: E402
 from logweave.sources import files, kafka, tables  # noqa: E402
 from logweave.streaming import tokens  # noqa: E402
 
@@ -38,11 +39,21 @@ def request_etl(spark: SparkSession, a: argparse.Namespace) -> None:
     skipped = files.unnamed_files(spark, a.root, start, now, single_day=a.single_day).count()
     if skipped:
         print(f"request-etl: skipped {skipped} file(s) whose names carry no time", file=sys.stderr)
-    recs = weblog.extract_requests(lines, "value", keep=("value",), strict=a.strict)
     tables.create_request_table(spark, a.table, a.location, a.format)
-    tables.insert_partition(recs.where(~F.col("rejected")), a.table, now.strftime("%Y%m%d"), overwrite=a.overwrite)
-    if a.reject_path:
-        recs.where(F.col("rejected")).select("value").write.mode("overwrite").text(a.reject_path)
+    ds = now.strftime("%Y%m%d")
+    if not a.reject_path:
+        good = weblog.extract_requests(lines, "value", strict=True) if a.strict else weblog.good_requests(lines, "value")
+        tables.insert_partition(good, a.table, ds, overwrite=a.overwrite)
+        return
+    # both kinds are wanted: one pass over the input writes them apart, the
+    # partition and the reject files are filled from the written copy
+    stage = shared_dir(spark, "etl")
+    recs = weblog.extract_requests(lines, "value", keep=("value",), strict=a.strict)
+    recs.withColumn("value", F.when(F.col("rejected"), F.col("value"))).write.partitionBy("rejected").parquet(stage)
+    staged = spark.read.schema(recs.schema).parquet(stage)
+    tables.insert_partition(staged.where("NOT rejected"), a.table, ds, overwrite=a.overwrite)
+    staged.where("rejected").select("value").write.mode("overwrite").text(a.reject_path)
+    remove_dir(spark, stage)
 
 
 def reconcile_job(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -54,7 +65,10 @@ def stream_tokens(spark: SparkSession, a: argparse.Namespace) -> None:
     """Kafka topics (or a folder of text files) -> token counts of every
     micro-batch -> sink folders."""
     if a.files:
-        src = spark.readStream.option("maxFilesPerTrigger", a.max_files).text(a.files)
+        reader = spark.readStream
+        if a.max_files:
+            reader = reader.option("maxFilesPerTrigger", a.max_files)
+        src = reader.text(a.files)
     elif a.servers and a.topics:
         src = kafka.kafka_values(kafka.kafka_stream(spark, a.servers, a.topics.split(","), a.group_id))
     else:
@@ -85,7 +99,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--servers")
     s.add_argument("--topics")
     s.add_argument("--files", help="folder of text files, one value per line (instead of Kafka)")
-    s.add_argument("--max-files", type=int, default=1, help="files per micro-batch with --files")
+    s.add_argument("--max-files", type=int, default=0, help="most files of a micro-batch with --files (default: no limit)")
     s.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     s.add_argument("--group-id")
     s.add_argument("--sink", required=True)

@@ -7,8 +7,12 @@ no Python per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 # Fixed values that must match the reference's lenient getters (N2):
 # boolean false, int/long 0, double NaN, string "".
@@ -20,35 +24,37 @@ def _col(c: Column | str) -> Column:
 
 
 def _path(key: str) -> str:
-    return "$['" + key.replace("'", "\\'") + "']"
-
-
-def _node(c: Column | str, key: str) -> Column:
-    """The value at ``key`` as a VARIANT; NULL when missing or the text is not JSON."""
-    return F.try_variant_get(F.try_parse_json(_col(c)), _path(key), "variant")
+    """A VARIANT path to a key; the quote that the key does not hold encloses it."""
+    if "'" not in key:
+        return f"$['{key}']"
+    if '"' in key:
+        raise ValueError(f"JSON key {key!r} holds both kinds of quotes")
+    return f'$["{key}"]'
 
 
-def _number_kind(c: Column | str, key: str, t: Column) -> tuple[Column, Column]:
-    """``(is number, is fractional)``. The reference parser makes a Double of
-    number text with ``.``/``e``/``E`` and an Integer/Long otherwise; the
-    VARIANT type alone cannot tell ``28.0`` from ``28``, the raw text can."""
-    is_num = (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
-    raw = F.get_json_object(_col(c), _path(key))
-    return is_num, is_num & (raw.contains(".") | raw.contains("e") | raw.contains("E"))
+def json_field(c: Column | str, key: str) -> Column:
+    """The value at ``key`` as text (strings without quotes), whatever
+    characters the key has; NULL for a missing key or a JSON null."""
+    if "'" not in key:
+        return F.get_json_object(_col(c), f"$['{key}']")
+    return F.get(F.transform(F.array(F.from_json(_col(c), "map<string,string>")), lambda m: F.element_at(m, F.lit(key))), 0)
 
 
-def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
+def _typed(v: Column, t: Column, raw: Column, kind: str) -> tuple[Column, Column]:
     """``(ok, value)``: what the strict getter returns, and whether it would succeed.
 
-    Numbers convert like ``Number.xxxValue()`` (integral values wrap to int,
-    fractions truncate and saturate); strings parse like ``Long.parseLong`` /
-    ``Integer.parseInt`` / ``Double.parseDouble``; booleans accept JSON
-    booleans and the strings ``true``/``false`` in any case; ``string``
-    accepts only strings. A missing key or JSON null fails every kind.
+    ``v`` is the value as VARIANT, ``t`` its type, ``raw`` its text. The
+    reference parser makes a Double of number text with ``.``/``e``/``E`` and
+    an Integer/Long otherwise; the VARIANT type alone cannot tell ``28.0`` from
+    ``28``, the raw text can. Numbers convert like ``Number.xxxValue()``
+    (integral values wrap to int, fractions truncate and saturate); strings
+    parse like ``Long.parseLong`` / ``Integer.parseInt`` /
+    ``Double.parseDouble``; booleans accept JSON booleans and the strings
+    ``true``/``false`` in any case; ``string`` accepts only strings. A missing
+    key or JSON null fails every kind.
     """
-    v = _node(c, key)
-    t = F.schema_of_variant(v)
-    is_num, is_frac = _number_kind(c, key, t)
+    is_num = (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
+    is_frac = is_num & (raw.contains(".") | raw.contains("e") | raw.contains("E"))
     is_int = is_num & ~is_frac
     is_str = t == "STRING"
     s = F.try_variant_get(v, "$", "string")
@@ -77,14 +83,42 @@ def _typed(c: Column | str, key: str, kind: str) -> tuple[Column, Column]:
     raise ValueError(f"unsupported kind {kind}")
 
 
+def _strict(v: Column, t: Column, raw: Column, key: str, kind: str) -> Column:
+    ok, val = _typed(v, t, raw, kind)
+    return F.when(ok, val).otherwise(F.raise_error(F.lit(f"JSON key {key!r} missing or not a {kind}")).cast(kind))
+
+
+def _lenient(v: Column, t: Column, raw: Column, kind: str, default) -> Column:
+    if default is None:
+        default = LENIENT_DEFAULTS[kind]
+    if kind == "string":
+        frac = ((t == "DOUBLE") | t.startswith("DECIMAL") | (t == "BIGINT")) & (raw.contains(".") | raw.contains("e") | raw.contains("E"))
+        text = (F.when(frac, F.try_variant_get(v, "$", "double").cast("string"))
+                .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
+                .otherwise(F.try_variant_get(v, "$", "string")))
+        return F.coalesce(F.when(t != "VOID", text), F.lit(default))
+    ok, val = _typed(v, t, raw, kind)
+    return F.when(ok, val).otherwise(F.lit(default).cast(kind))
+
+
+def _bound(c: Column | str, key: str, use) -> Column:
+    """``use(v, t, raw)`` with the value at ``key``, each computed once: the
+    parsed parts are bound as lambda variables."""
+    text = _col(c)
+    v = F.try_variant_get(F.try_parse_json(text), _path(key), "variant")
+    parts = F.transform(F.array(F.struct(v.alias("v"), json_field(text, key).alias("r"))), lambda p: F.struct(
+        p["v"].alias("v"), F.schema_of_variant(p["v"]).alias("t"), p["r"].alias("r")))
+    return F.get(F.transform(parts, lambda p: use(p["v"], p["t"], p["r"])), 0)
+
+
 def get_strict(c: Column | str, key: str, kind: str = "bigint") -> Column:
     """Typed value of ``key``; a missing key or a value of the wrong kind raises.
 
     Numeric strings convert (``"5"`` -> 5), doubles truncate to integers
-    (1.9 -> 1), ``"true"``/``"false"`` in any case are booleans.
+    (1.9 -> 1), ``"true"``/``"false"`` in any case are booleans. For several
+    keys of one text use :func:`get_many`, which parses it once.
     """
-    ok, val = _typed(c, key, kind)
-    return F.when(ok, val).otherwise(F.raise_error(F.lit(f"JSON key {key!r} missing or not a {kind}")).cast(kind))
+    return _bound(c, key, lambda v, t, r: _strict(v, t, r, key, kind))
 
 
 def get_lenient(c: Column | str, key: str, kind: str = "bigint", default=None) -> Column:
@@ -94,18 +128,29 @@ def get_lenient(c: Column | str, key: str, kind: str = "bigint", default=None) -
     value is returned as text (numbers as Java prints them, objects and
     arrays as JSON); only a missing key or JSON null gives the default.
     """
-    if default is None:
-        default = LENIENT_DEFAULTS[kind]
-    if kind == "string":
-        v = _node(c, key)
-        t = F.schema_of_variant(v)
-        _, frac = _number_kind(c, key, t)
-        text = (F.when(frac, F.try_variant_get(v, "$", "double").cast("string"))
-                .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
-                .otherwise(F.try_variant_get(v, "$", "string")))
-        return F.coalesce(F.when(t != "VOID", text), F.lit(default))
-    ok, val = _typed(c, key, kind)
-    return F.when(ok, val).otherwise(F.lit(default).cast(kind))
+    return _bound(c, key, lambda v, t, r: _lenient(v, t, r, kind, default))
+
+
+def get_many(df: DataFrame, c: str, spec: dict[str, tuple], keep: Sequence[str] = ()) -> DataFrame:
+    """N1, N2 for several keys of one JSON column: ``keep`` columns and one
+    column for each entry ``name: (key, kind)`` (strict) or ``name: (key, kind,
+    default)`` (lenient; None for the kind's own default).
+
+    The text is parsed twice, however many getters there are: once to a
+    VARIANT, once for the raw text of all keys. Each step is a projection of
+    its own, which Catalyst does not fold back (its columns are used often).
+    """
+    wanted = list(dict.fromkeys(entry[0] for entry in spec.values()))
+    raw = ", ".join("`" + k.replace("`", "``") + "` STRING" for k in wanted)
+    parsed = df.select(*keep, F.try_parse_json(_col(c)).alias("_v"), F.from_json(_col(c), raw).alias("_r"))
+    nodes = parsed.select(*keep, *[F.try_variant_get("_v", _path(k), "variant").alias(f"_v{i}") for i, k in enumerate(wanted)],
+                          *[F.col("_r").getField(k).alias(f"_r{i}") for i, k in enumerate(wanted)])
+    typed = nodes.select("*", *[F.schema_of_variant(f"_v{i}").alias(f"_t{i}") for i in range(len(wanted))])
+    out = []
+    for name, (key, kind, *default) in spec.items():
+        v, t, r = (F.col(f"_{x}{wanted.index(key)}") for x in "vtr")
+        out.append((_lenient(v, t, r, kind, default[0]) if default else _strict(v, t, r, key, kind)).alias(name))
+    return typed.select(*keep, *out)
 
 
 def keys(c: Column | str) -> Column:
@@ -127,29 +172,36 @@ def is_null_key(c: Column | str, key: str) -> Column:
 def length(c: Column | str) -> Column:
     """Number of keys of an object, or of elements (nulls counted) of an array."""
     c = _col(c)
-    return F.when(F.trim(c).startswith("["), F.json_array_length(c)).otherwise(F.size(F.json_object_keys(c)))
+    return F.when(c.rlike(r"^[ \t\r\n]*\["), F.json_array_length(c)).otherwise(F.size(F.json_object_keys(c)))
 
 
-def canonical(c: Column | str) -> Column:
+def canonical(c: Column | str, strict: bool = False) -> Column:
     """Key-order-free text of a JSON value, for ``similar`` matching and dedupe.
 
-    Object keys come out sorted, arrays keep their order.
+    Object keys come out sorted, arrays keep their order. Text that is not
+    JSON gives NULL (filter on it for the rejects), or raises with ``strict``.
     """
-    return F.to_json(F.parse_json(_col(c)))
+    return F.to_json((F.parse_json if strict else F.try_parse_json)(_col(c)))
 
 
-def similar_key(c: Column | str) -> Column:
+#: Number text with a fraction or exponent, between JSON delimiters.
+_FRACTION = r"(?<=[\[,:\s]|^)(-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))(?=\s*(?:[,\]}]|$))"
+
+
+def similar_key(c: Column | str, strict: bool = False) -> Column:
     """Equality key for ``similar``: key order ignored, arrays ordered, and
     integral numbers kept apart from decimal ones (``1`` is not ``1.0``,
     ``1.5`` is ``1.50``), as the reference compares Integer and Double.
 
-    The canonical text alone prints ``1.0`` as ``1``; the VARIANT's inferred
-    type (BIGINT vs DECIMAL/DOUBLE) is appended with decimals folded together.
-    Mixed arrays such as ``[1.0, 2]`` and ``[1, 2.0]`` still share a key.
+    The canonical text prints ``1.0`` as ``1``. So it is followed by the
+    canonical text of the same value with every fraction put into two arrays
+    (``[[1.0]]``), which says at each place which kind the number has. NULL for
+    text that is not JSON, or an error with ``strict``. One gap: ``1e0`` and
+    ``1.0``, equal doubles in the reference, differ here.
     """
-    v = F.parse_json(_col(c))
-    kinds = F.regexp_replace(F.schema_of_variant(v), r"DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT", "FRACTION")
-    return F.concat(F.to_json(v), F.lit("|"), kinds)
+    text = _col(c)
+    marked = F.regexp_replace(text, _FRACTION, "[[$1]]")
+    return F.concat(canonical(text, strict), F.lit("|"), canonical(marked, strict))
 
 
 def loose_value(c: Column | str) -> Column:
@@ -187,12 +239,42 @@ def loose_value(c: Column | str) -> Column:
     )
 
 
-RELAXED_OPTIONS = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
+#: A quoted string of either kind, or what stands between strings.
+_PIECES = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^"']+|["']"""
+
+
+def strict_text(c: Column | str) -> Column:
+    """JSON text as the relaxed reader takes it, rewritten to strict JSON.
+
+    Strings in single quotes get double ones, names without quotes get them,
+    ``;`` separates like ``,``, a comma before a closing bracket goes, and an
+    empty place in an array is ``null``. Text inside strings stays as it is:
+    the text is cut into strings and the rest, and only the rest is changed.
+    """
+
+    def rewritten(t: Column) -> Column:
+        inner = F.replace(t.substr(F.lit(2), F.length(t) - 2), F.lit("\\'"), F.lit("'"))
+        string = F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit('"'))
+        rest = F.replace(t, F.lit(";"), F.lit(","))
+        for pattern, to in ((r"([{,]\s*)([A-Za-z_$][A-Za-z0-9_$.-]*)(\s*:)", '$1"$2"$3'),
+                            (r"([\[,]\s*)(?=,)", "$1null"), (r",(\s*[}\]])", "$1")):
+            rest = F.regexp_replace(rest, pattern, to)
+        return F.when(t.startswith('"'), t).when(t.startswith("'") & (F.length(t) > 1), string).otherwise(rest)
+
+    return F.array_join(F.transform(F.regexp_extract_all(_col(c), F.lit(_PIECES), F.lit(0)), rewritten), "")
 
 
 def from_relaxed(c: Column | str, schema: str) -> Column:
-    """Parse JSON written with single quotes or unquoted names into ``schema``."""
-    return F.from_json(_col(c), schema, RELAXED_OPTIONS)
+    """Parse relaxed JSON into ``schema``; see :func:`relaxed_rejected` for
+    the rows that are not even relaxed JSON."""
+    return F.from_json(strict_text(c), schema)
+
+
+def relaxed_rejected(c: Column | str) -> Column:
+    """True for text that the relaxed reader refuses: no JSON value after
+    rewriting, or an object with a key twice. False for a NULL text."""
+    text = _col(c)
+    return text.isNotNull() & F.try_parse_json(strict_text(text)).isNull()
 
 
 def java_number(c: Column | str) -> Column:
@@ -211,17 +293,37 @@ def java_number(c: Column | str) -> Column:
     )
 
 
-def to_json_strict(*cols: Column | str, keep_nulls: bool = True) -> Column:
+def _not_finite(x: Column, kind: DataType | None) -> Column | None:
+    """Whether a value of type ``kind`` holds a NaN or an infinity anywhere;
+    None if it cannot. Without a type only a plain float or double is looked at."""
+    if kind is None:
+        return F.typeof(x).isin("float", "double") & x.cast("string").isin("NaN", "Infinity", "-Infinity")
+    if isinstance(kind, (FloatType, DoubleType)):
+        return F.isnan(x) | (F.abs(x) == float("inf"))
+    if isinstance(kind, ArrayType):
+        return F.exists(x, lambda e: F.coalesce(_not_finite(e, kind.elementType), F.lit(False))) if _not_finite(F.lit(0.0), kind.elementType) is not None else None
+    if isinstance(kind, MapType):
+        return _not_finite(F.map_values(x), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        found = [y for f in kind.fields if (y := _not_finite(x.getField(f.name), f.dataType)) is not None]
+        return reduce(lambda p, q: p | q, [F.coalesce(y, F.lit(False)) for y in found]) if found else None
+    return None
+
+
+def to_json_strict(*cols: Column | str, keep_nulls: bool = True, types: Sequence[DataType | None] | None = None) -> Column:
     """Compact JSON object of the columns; a non-finite double raises.
 
-    NULL fields are written as ``null`` (``ignoreNullFields=false``). Pass
-    floating-point columns through :func:`java_number` for the writer's
-    number text (``12`` rather than ``12.0``).
+    The values are tested, not the text, so a string may say ``Infinity``.
+    ``types`` (the columns' data types, in order) extends the test to doubles
+    inside arrays, maps and structs. NULL fields are written as ``null``
+    (``ignoreNullFields=false``). Pass floating-point columns through
+    :func:`java_number` for the writer's number text (``12`` rather than ``12.0``).
     """
     cs = [_col(c) for c in cols]
+    tests = [y for x, t in zip(cs, types or [None] * len(cs)) if (y := _not_finite(x, t)) is not None]
     obj = F.to_json(F.struct(*cs), {"ignoreNullFields": "false" if keep_nulls else "true"})
-    return F.when(F.instr(obj, ":NaN") + F.instr(obj, ":\"NaN\"") + F.instr(obj, "Infinity") > 0,
-                  F.raise_error(F.lit("non-finite number in JSON output"))).otherwise(obj)
+    bad = reduce(lambda p, q: p | q, [F.coalesce(y, F.lit(False)) for y in tests], F.lit(False))
+    return F.when(bad, F.raise_error(F.lit("non-finite number in JSON output"))).otherwise(obj)
 
 
 def json_text(x: Column) -> Column:
@@ -239,31 +341,26 @@ def zip_object(names: Column | str, values: Column | str) -> Column:
     """Names + values -> JSON object text; a later duplicate name wins.
 
     As putting names one by one: a name without a value (values shorter than
-    names, or NULL) removes the key, values beyond the names are ignored.
-    ``map_from_entries`` raises on duplicate keys, so earlier duplicates are
-    dropped first.
+    names, or NULL) removes the key, values beyond the names are ignored. A
+    NULL name raises; no names, or no values, give NULL. The pairs are sorted
+    by name and place, so the last of each name is found without comparing
+    every name with every other.
     """
     n, v = _col(names), _col(values)
-
-    def keep_last(ns: Column) -> Column:  # names bound once as a lambda variable
-        pairs = F.arrays_zip(ns.alias("k"), v.alias("v"))
-        return F.filter(
-            pairs,
-            lambda p, i: p["k"].isNotNull()
-            & ~F.exists(F.slice(ns, i + 2, F.greatest(F.size(ns), F.lit(1))), lambda q: q == p["k"]),
-        )
-
-    last = F.get(F.transform(F.array(n), keep_last), 0)
-    return F.to_json(F.map_from_entries(F.filter(last, lambda p: p["v"].isNotNull())))
+    numbered = F.transform(n, lambda k, i: F.struct(
+        F.when(k.isNull(), F.raise_error(F.lit("NULL name in zip_object")).cast("string")).otherwise(k).alias("k"),
+        i.alias("i"), F.get(v, i).alias("v")))
+    last = F.get(F.transform(F.array(F.array_sort(numbered)), lambda ps: F.filter(
+        ps, lambda p, i: (F.get(ps, i + 1)["k"] != p["k"]) | F.get(ps, i + 1).isNull())), 0)
+    in_order = F.array_sort(F.transform(last, lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+    entries = F.transform(F.filter(in_order, lambda p: p["v"].isNotNull()), lambda p: F.struct(p["k"], p["v"]))
+    return F.when((F.size(n) > 0) & (F.size(v) > 0), F.to_json(F.map_from_entries(entries)))
 
 
 def values_of(obj: Column | str, names: Column | str) -> Column:
-    """N11 reverse: the object's values in the order of ``names`` (as JSON text).
-
-    The object is bound once as a lambda variable, so an object computed by
-    an expression is not recomputed for every name.
-    """
-    return F.get(F.transform(F.array(_col(obj)), lambda o: F.transform(
-        _col(names),
-        lambda k: F.call_function("get_json_object", o, F.concat(F.lit("$['"), k, F.lit("']"))),
-    )), 0)
+    """N11 reverse: the object's values in the order of ``names``, as JSON text
+    (a string keeps its quotes, a JSON null is ``null``); NULL for a name that
+    the object does not have. The object is parsed once, to a map of VARIANTs."""
+    parsed = F.from_json(_col(obj), "map<string,variant>")
+    return F.get(F.transform(F.array(parsed), lambda m: F.transform(
+        _col(names), lambda k: F.to_json(F.element_at(m, k)))), 0)

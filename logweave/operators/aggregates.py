@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.hashing import md5_hex
-from logweave.functions.jsoncols import json_text
+from logweave.functions.jsoncols import json_field, json_text
 from logweave.functions.text import java_split
 
 
@@ -29,35 +29,34 @@ def token_count(df: DataFrame, value_col: str = "value", sep: str = ",") -> Data
 
 def json_key_counter(df: DataFrame, json_col: str, key: str) -> DataFrame:
     """A3: ``(value, n)``: how often each value of a JSON key occurs."""
-    v = F.get_json_object(json_col, "$['" + key + "']")
+    v = json_field(json_col, key)
     return df.select(v.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def grouped_values(df: DataFrame, key_col: str, value_col: str, always_array: bool = False) -> DataFrame:
-    """A4: per key, the values seen and how often.
+def grouped_values(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
+    """A4: every value of every key with its number of occurrences, NULL
+    included: ``(key, value, n)``. One partially aggregated shuffle and rows
+    of fixed size, however many values a hot key has."""
+    return df.groupBy(key_col, value_col).agg(F.count(F.lit(1)).alias("n"))
 
-    Two aggregations: first ``(key, value) -> count`` (map-side combined),
-    then per key the sorted distinct values with their counts. The collected
-    array is bounded by the number of distinct values per key, not by the
-    number of rows, so a hot key stays small. ``values_json`` follows the
-    accumulate rule: a key seen once holds a scalar, otherwise an array of
-    its distinct values; ``always_array=True`` follows the append rule (an
-    array even for one value). Meant for value columns of bounded cardinality
-    per key (types, flags, codes); the array has one entry per distinct value.
+
+def values_json(df: DataFrame, key_col: str, value_col: str, always_array: bool = False) -> DataFrame:
+    """A4 as JSON: ``(key, n, values_json)`` with every value of a key, repeats
+    and NULLs included, sorted (NULLs first).
+
+    The accumulate rule: a key seen once holds a scalar, otherwise an array;
+    ``always_array=True`` follows the append rule (an array even for one
+    value). The text of a key is as long as its values, so one row grows with
+    the rows of its key; use :func:`grouped_values` where keys may be hot.
     """
-    pairs = df.groupBy(key_col, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    per_key = pairs.groupBy(key_col).agg(
-        F.sum("_n").alias("n"),
-        F.sort_array(F.collect_list(F.struct(F.col(value_col).alias("v"), F.col("_n").alias("c")))).alias("_vc"),
-    )
-    vals = F.transform("_vc", lambda x: x["v"])
-    return per_key.select(
-        key_col,
-        "n",
-        F.array_join(F.transform("_vc", lambda x: F.concat(x["v"].cast("string"), F.lit(":"), x["c"].cast("string"))), ",").alias("value_counts"),
-        (F.to_json(vals) if always_array
-         else F.when(F.col("n") == 1, json_text(F.get(vals, 0))).otherwise(F.to_json(vals))).alias("values_json"),
-    )
+    counted = grouped_values(df, key_col, value_col)
+    per_key = counted.groupBy(key_col).agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.col(value_col).alias("v"), F.col("n").alias("c")))).alias("_vc"))
+    values = F.flatten(F.transform("_vc", lambda x: F.array_repeat(x["v"], x["c"].cast("int"))))
+    listed = per_key.select(key_col, "n", values.alias("_v"))
+    text = F.to_json("_v")
+    return listed.select(
+        key_col, "n", (text if always_array else F.when(F.col("n") == 1, json_text(F.get("_v", 0))).otherwise(text)).alias("values_json"))
 
 
 def duplicate_groups(df: DataFrame, text_col: str, id_col: str) -> DataFrame:

@@ -14,7 +14,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_INT32_MAX = 2**31 - 1
+#: Caps up to this many rows use Spark's own limit, which brings them to one task.
+_LIMIT_ROWS = 1_000_000
+_INT64_MAX = 2**63 - 1
 
 
 def _sort_key(spec: str | Column) -> Column:
@@ -33,23 +35,41 @@ def order_nulls_last(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 def top_k(df: DataFrame, keys: Sequence[str | Column], k: int) -> DataFrame:
     """O1: the first ``k`` rows by ``keys`` (a ``TakeOrderedAndProject``:
-    each task keeps its own top ``k``, the driver merges ``k`` x tasks rows)."""
-    return order_nulls_last(df, keys).limit(row_cap_value(k))
+    each task keeps its own top ``k``, the driver merges ``k`` x tasks rows).
+    ``k = 0`` means no cap, as in :func:`row_cap`: all rows, sorted."""
+    ordered = order_nulls_last(df, keys)
+    return ordered if row_cap_value(k) == 0 else ordered.limit(k) if k <= _LIMIT_ROWS else row_cap(ordered, k)
 
 
 def row_cap_value(n: int) -> int:
-    """Validate a row cap; 0 means no cap, negative is an error."""
-    if n < 0:
-        raise ValueError("max rows must be >= 0")
-    if n > _INT32_MAX:
-        raise ValueError("max rows above 2^31-1 is not supported")
+    """Validate a 64-bit row cap; 0 means no cap, negative is an error."""
+    if not 0 <= n <= _INT64_MAX:
+        raise ValueError("max rows must be from 0 to 2^63-1")
     return n
 
 
 def row_cap(df: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` rows (0 = all rows)."""
+    """At most ``n`` rows (0 = all rows).
+
+    A small cap is Spark's ``limit``. Beyond a million rows, which ``limit``
+    would bring to one task, the cap is cut across the partitions: the rows
+    of each are counted (one row per partition comes back), all partitions
+    before the cut are kept whole and the one at the cut in part. ``df`` is
+    evaluated twice then, so it should be a read or a sort of one.
+    """
     n = row_cap_value(n)
-    return df if n == 0 else df.limit(n)
+    if n == 0:
+        return df
+    if n <= _LIMIT_ROWS:
+        return df.limit(n)
+    part = F.shiftright("_row", 33)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    left = n
+    for p, size in sorted(numbered.groupBy(part.alias("p")).count().collect()):
+        if size >= left:
+            return numbered.where(F.col("_row") < (p << 33) + left).drop("_row")
+        left -= size
+    return df
 
 
 def union_all(frames: Sequence[DataFrame], by_name: bool = True) -> DataFrame:
@@ -70,27 +90,32 @@ def _null_extend(df: DataFrame, like: DataFrame, cols: Sequence[str]) -> DataFra
 
 
 def outer_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
-    """Left or right outer equi-join that stays balanced under key skew.
-
-    AQE splits a skewed partition only on the preserved side of an outer
-    join, so a hot key on the other side would land in one task. Written as
-    ``inner join`` (AQE may split either side) plus the preserved rows whose
-    key is absent (an anti join against the *distinct* keys of the other
-    side, which partial aggregation reduces before the shuffle), it has no
-    such task. Preserved rows with a NULL key are kept, as in an outer join.
+    """Left, right or full outer equi-join that stays balanced under key skew.
+
+    AQE splits a skewed partition only on the preserved side of a left or
+    right outer join and on neither side of a full one, so a hot key could
+    land in one task. Written as ``inner join`` (AQE may split either side)
+    plus the preserved rows whose key is absent (an anti join against the
+    *distinct* keys of the other side, which partial aggregation reduces
+    before the shuffle), it has no such task. Rows with a NULL key match
+    nothing: they are set aside first, so that the inner and the anti join
+    read one and the same exchange of the preserved side.
     Column names of the two inputs must not overlap.
     """
-    if how not in ("left", "right"):
-        raise ValueError("how must be 'left' or 'right'")
-    keep, other = (left, right) if how == "left" else (right, left)
-    kk, ok = (left_key, right_key) if how == "left" else (right_key, left_key)
-    if set(keep.columns) & set(other.columns):
+    if how not in ("left", "right", "full"):
+        raise ValueError("how must be 'left', 'right' or 'full'")
+    if set(left.columns) & set(right.columns):
         raise ValueError("outer_join needs distinct column names on both sides")
-    inner = keep.join(other, keep[kk] == other[ok], "inner")
-    keys = other.select(F.col(ok).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    missing = keep.join(keys, keep[kk] == keys["_k"], "left_anti")
     cols = [*left.columns, *right.columns]
-    return inner.select(*cols).unionByName(_null_extend(missing, other, other.columns).select(*cols))
+    lk, rk = left.where(F.col(left_key).isNotNull()), right.where(F.col(right_key).isNotNull())
+    out = lk.join(rk, lk[left_key] == rk[right_key], "inner").select(*cols)
+    sides = {"left": (left, lk, left_key, rk, right_key), "right": (right, rk, right_key, lk, left_key)}
+    for keep, keyed, kk, other, ok in sides.values() if how == "full" else [sides[how]]:
+        keys = other.select(F.col(ok).alias("_k")).distinct()
+        missing = keyed.join(keys, keyed[kk] == keys["_k"], "left_anti")
+        for rows in (missing, keep.where(F.col(kk).isNull())):
+            out = out.unionByName(_null_extend(rows, other, other.columns).select(*cols))
+    return out
 
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

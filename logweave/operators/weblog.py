@@ -22,18 +22,6 @@ REQUEST_FIELDS = ("city", "country", "ip", "appid", "mobile", "imsi", "pvuid")
 URL_TOKEN = 8
 
 
-def request_fields(url: Column | str, fields: Sequence[str] = REQUEST_FIELDS) -> list[Column]:
-    """W3-W6 for one URL column: one Column per field (for ad-hoc selects;
-    :func:`with_request_fields` shares the parsing between fields).
-
-    NULL for every field when the URL has no ``?``; ``''`` for a missing
-    field, ``' '`` for a name without ``=``.
-    """
-    qs = urls.query_string(url)
-    rn, rv = F.reverse(urls.param_names(qs)), F.reverse(urls.param_values(qs))
-    return [urls.pick_last(rn, rv, f).alias(f) for f in fields]
-
-
 def with_request_fields(
     df: DataFrame, url_col: str, fields: Sequence[str] = REQUEST_FIELDS, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -61,8 +49,10 @@ def extract_requests(
 
     ``rejected`` is true for a line with fewer than ``token_index + 1``
     tokens (its fields are NULL). ``strict=True`` raises on such a line
-    instead, like the original job. Callers split good rows and rejects with
-    a filter on the flag, so both come from the same single pass.
+    instead, like the original job. A filter on the flag picks the token a
+    second time and each action is a pass of its own: use
+    :func:`good_requests` for the good rows alone, and write once, partitioned
+    by the flag, where both kinds are wanted.
     """
     tok = text.token_at(line_col, token_index)
     if strict:
@@ -72,6 +62,25 @@ def extract_requests(
     return out.select(*keep, *fields, F.col("_url").isNull().alias("rejected"))
 
 
+def good_requests(
+    lines: DataFrame,
+    line_col: str = "value",
+    fields: Sequence[str] = REQUEST_FIELDS,
+    keep: Sequence[str] = (),
+    token_index: int = URL_TOKEN,
+) -> DataFrame:
+    """W1 for callers that want the good rows only (no ``rejected`` column).
+
+    The token is picked as a one-element array and exploded, which drops lines
+    without a URL: a filter on the picked token would be pushed below the
+    projection and pick it a second time, a generator is not.
+    """
+    tok = text.token_at(line_col, token_index)
+    urls_found = F.explode(F.filter(F.array(tok), lambda u: u.isNotNull()))
+    staged = lines.select(*keep, urls_found.alias("_url"))
+    return with_request_fields(staged, "_url", fields, keep=keep).select(*keep, *fields)
+
+
 def records_as_json(df: DataFrame, fields: Sequence[str] = REQUEST_FIELDS) -> Column:
     """The record as one compact JSON object, fields in record order.
 

@@ -49,38 +49,60 @@ def _obj_mixed():
                     F.lit('", "t": "'), F.col("event_type"), F.lit('", "b": '), b, F.lit("}"))
 
 
+# a key with a quote, held by the rows of one type only
+def _obj_quoted():
+    key = F.when(F.col("event_type") == "view", F.lit("it's")).otherwise(F.lit("its"))
+    return F.concat(F.lit('{"'), key, F.lit('": '), _k(), F.lit("}"))
+
+
+D_KIND = "event_type = 'view'"
+
+
 @register("n1_strict_get", f"""
 SELECT event_id, value AS v_double, CAST(trunc(value) AS INTEGER) AS v_int, CAST({DK} AS BIGINT) AS k_long,
-       event_type = 'view' AS b_flag, CAST(json_extract(props, '$.k') AS BIGINT) AS k
+       event_type = 'view' AS b_flag, event_type AS t_text
 FROM events""")
 def n1_strict_get(spark, sf):
-    e = _events(spark, sf).select("event_id", "props", _obj_mixed().alias("j"))
-    return e.select(
-        "event_id",
-        J.get_strict("j", "v", "double").alias("v_double"),   # number
-        J.get_strict("j", "v", "int").alias("v_int"),         # number truncated
-        J.get_strict("j", "k", "bigint").alias("k_long"),     # numeric string
-        J.get_strict("j", "b", "boolean").alias("b_flag"),    # true or "False"
-        J.get_strict("props", "k", "bigint").alias("k"),
-    )
+    e = _events(spark, sf).select("event_id", _obj_mixed().alias("j"))
+    return J.get_many(e, "j", {
+        "v_double": ("v", "double"),     # number
+        "v_int": ("v", "int"),           # number truncated
+        "k_long": ("k", "bigint"),       # numeric string
+        "b_flag": ("b", "boolean"),      # true or "False"
+        "t_text": ("t", "string"),
+    }, keep=("event_id",))
+
+
+@register("n1_strict_get_single", f"""
+SELECT event_id, CAST({DK} AS BIGINT) AS k FROM events""")
+def n1_strict_get_single(spark, sf):
+    return _events(spark, sf).select("event_id", J.get_strict("props", "k", "bigint").alias("k"))
 
 
 @register("n2_lenient_get", f"""
-SELECT event_id, {DK} AS k_text, CAST(value AS VARCHAR) AS v_text, CAST(0 AS BIGINT) AS t_long,
-       FALSE AS t_flag, CAST(0 AS BIGINT) AS missing_long, '' AS missing_text, FALSE AS missing_flag
+SELECT event_id, CAST(value AS VARCHAR) AS v_text, CAST({DK} AS BIGINT) AS k_long, CAST(0 AS BIGINT) AS t_long,
+       event_type = 'view' AS b_flag, event_type AS t_text, '-' AS absent_text
 FROM events""")
 def n2_lenient_get(spark, sf):
-    e = _events(spark, sf).select("event_id", "props", _obj_mixed().alias("j"))
-    return e.select(
-        "event_id",
-        J.get_lenient("props", "k", "string").alias("k_text"),
-        J.get_lenient("j", "v", "string").alias("v_text"),     # a number as Java prints it
-        J.get_lenient("j", "t", "bigint").alias("t_long"),     # not a number -> 0
-        J.get_lenient("j", "t", "boolean").alias("t_flag"),    # not a boolean -> false
-        J.get_lenient("props", "absent", "bigint").alias("missing_long"),
-        J.get_lenient("props", "absent", "string").alias("missing_text"),
-        J.get_lenient("props", "absent", "boolean").alias("missing_flag"),
-    )
+    e = _events(spark, sf).select("event_id", _obj_mixed().alias("j"))
+    return J.get_many(e, "j", {
+        "v_text": ("v", "string", None),     # a number as Java prints it
+        "k_long": ("k", "bigint", None),
+        "t_long": ("t", "bigint", None),     # not a number -> 0
+        "b_flag": ("b", "boolean", None),
+        "t_text": ("t", "string", None),
+        "absent_text": ("absent", "string", "-"),
+    }, keep=("event_id",))
+
+
+@register("n2_lenient_defaults", f"""
+SELECT event_id, CASE WHEN {D_KIND} THEN CAST({DK} AS BIGINT) ELSE -1 END AS quoted,
+       CASE WHEN {D_KIND} THEN '' ELSE {DK} END AS plain
+FROM events""")
+def n2_lenient_defaults(spark, sf):
+    """Keys that only some rows have, one of them with a quote."""
+    e = _events(spark, sf).select("event_id", _obj_quoted().alias("j"))
+    return e.select("event_id", J.get_lenient("j", "it's", "bigint", -1).alias("quoted"), J.get_lenient("j", "its", "string").alias("plain"))
 
 
 @register("n3_key_listing", f"""
@@ -91,17 +113,18 @@ def n3_key_listing(spark, sf):
 
 
 @register("n4_has_and_is_null", f"""
-SELECT event_id, TRUE AS has_v, event_type = 'error' AS v_is_null, TRUE AS absent_is_null, FALSE AS k_is_null
+SELECT event_id, {D_KIND} AS has_quoted, NOT ({D_KIND}) AS quoted_is_null, event_type = 'error' AS v_is_null,
+       event_type = 'view' AS has_view
 FROM events""")
 def n4_has_and_is_null(spark, sf):
-    e = _events(spark, sf).select("event_id", _obj_nullable().alias("j"))
-    return e.select("event_id", J.has_key("j", "v").alias("has_v"), J.is_null_key("j", "v").alias("v_is_null"),
-                    J.is_null_key("j", "absent").alias("absent_is_null"), J.is_null_key("j", "k").alias("k_is_null"))
+    e = _events(spark, sf).select("event_id", _obj_quoted().alias("q"), _obj_nullable().alias("j"), _obj_typed().alias("t"))
+    return e.select("event_id", J.has_key("q", "it's").alias("has_quoted"), J.is_null_key("q", "it's").alias("quoted_is_null"),
+                    J.is_null_key("j", "v").alias("v_is_null"), J.has_key("t", "view").alias("has_view"))
 
 
 def _arr():
     extra = F.when(F.col("event_type") == "error", F.lit(', "e"')).otherwise(F.lit(""))
-    return F.concat(F.lit("["), _k(), F.lit(", null"), extra, F.lit("]"))
+    return F.concat(F.lit("\n\t[ "), _k(), F.lit(", null"), extra, F.lit("]"))
 
 
 @register("n5_length", f"""
@@ -114,15 +137,33 @@ def n5_length(spark, sf):
 
 
 @register("n6_canonical_dedupe", f"""
-SELECT '{{"a":' || {DK} || ',"b":"' || event_type || '"}}' AS canonical, count(*) AS n FROM events GROUP BY 1""")
+SELECT '{{"a":' || {DK} || ',"b":"' || event_type || '"}}' AS canonical, event_type IN ('view', 'error') AS fraction, count(*) AS n
+FROM events WHERE event_type <> 'signup' GROUP BY 1, 2
+UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_type = 'signup'""")
 def n6_canonical_dedupe(spark, sf):
+    """Objects with their keys in either order, integers and fractions of the
+    same size kept apart, and rows that are not JSON under a NULL key."""
     e = _events(spark, sf)
     t = F.col("event_type")
-    ab = F.concat(F.lit('{"a": '), _k(), F.lit(', "b": "'), t, F.lit('"}'))
-    ba = F.concat(F.lit('{"b": "'), t, F.lit('", "a": '), _k(), F.lit("}"))
-    j = F.when(t.isin("view", "click"), ab).otherwise(ba)
+    a = F.concat(_k(), F.when(t.isin("view", "error"), F.lit(".0")).otherwise(F.lit("")))
+    ab = F.concat(F.lit('{"a": '), a, F.lit(', "b": "'), t, F.lit('"}'))
+    ba = F.concat(F.lit('{"b": "'), t, F.lit('", "a": '), a, F.lit("}"))
+    j = F.when(t == "signup", F.lit("{not JSON")).when(t.isin("view", "click"), ab).otherwise(ba)
     keyed = e.select(J.similar_key(j).alias("key"), J.canonical(j).alias("canonical"))
-    return keyed.groupBy("key").agg(F.min("canonical").alias("canonical"), F.count(F.lit(1)).alias("n")).drop("key")
+    grouped = keyed.groupBy("key").agg(F.min("canonical").alias("canonical"), F.count(F.lit(1)).alias("n"))
+    return grouped.select("canonical", F.col("key").contains("[[").alias("fraction"), "n")
+
+
+@register("n6_mixed_arrays", f"""
+SELECT kind, count(*) AS n_rows, CAST(count(DISTINCT {DK}) AS BIGINT) AS n_keys
+FROM (SELECT props, CASE WHEN event_type IN ('view', 'click') THEN 'first' ELSE 'second' END AS kind FROM events) GROUP BY kind""")
+def n6_mixed_arrays(spark, sf):
+    """``[k.0, 2]`` and ``[k, 2.0]`` are unequal arrays: no key in common."""
+    first = F.col("event_type").isin("view", "click")
+    j = F.when(first, F.concat(F.lit("["), _k(), F.lit(".0, 2]"))).otherwise(F.concat(F.lit("["), _k(), F.lit(", 2.0]")))
+    keyed = _events(spark, sf).select(F.when(first, "first").otherwise("second").alias("kind"), J.similar_key(j).alias("key"))
+    per_key = keyed.groupBy("key").agg(F.min("kind").alias("kind"), F.max("kind").alias("other"), F.count(F.lit(1)).alias("n"))
+    return per_key.where("kind = other").groupBy("kind").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
 def _loose_sql(x: str) -> str:
@@ -155,26 +196,32 @@ def n7_loose_typing(spark, sf):
     return toks.select("token", J.loose_value("token").alias("v")).select("token", "v.kind", "v.i", "v.d", "v.b", "v.s")
 
 
-@register("n8_relaxed_input", """
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k_single, CAST(json_extract(props, '$.k') AS BIGINT) AS k_bare
+@register("n8_relaxed_input", f"""
+SELECT event_id, CAST({DK} AS BIGINT) AS k_single, CAST({DK} AS BIGINT) AS k_bare, CAST({DK} AS BIGINT) AS k_semicolon,
+       event_type || ';x' AS t_semicolon, event_type = 'error' AS rejected
 FROM events""")
 def n8_relaxed_input(spark, sf):
     e = _events(spark, sf)
     single = F.translate("props", '"', "'")          # {'k': 69}
     bare = F.translate("props", '"', "")             # {k: 69}
-    return e.select("event_id", J.from_relaxed(single, "k BIGINT")["k"].alias("k_single"),
-                    J.from_relaxed(bare, "k BIGINT")["k"].alias("k_bare"))
+    semicolon = F.concat(F.lit("{t: '"), "event_type", F.lit(";x'; k: "), _k(), F.lit(", }"))
+    twice = F.when(F.col("event_type") == "error", F.lit("{k: 1, k: 2}")).otherwise(bare)
+    staged = e.select("event_id", J.from_relaxed(single, "k BIGINT").alias("s"), J.from_relaxed(bare, "k BIGINT").alias("b"),
+                      J.from_relaxed(semicolon, "t STRING, k BIGINT").alias("c"), J.relaxed_rejected(twice).alias("rejected"))
+    return staged.select("event_id", F.col("s.k").alias("k_single"), F.col("b.k").alias("k_bare"), F.col("c.k").alias("k_semicolon"),
+                         F.col("c.t").alias("t_semicolon"), "rejected")
 
 
 @register("n9_serialise", f"""
-SELECT event_id, json_object('event_id', event_id, 'event_type', event_type,
+SELECT event_id, json_object('event_id', event_id, 'event_type', event_type, 'title', 'x:NaN Infinity ' || event_type,
     'value', json(CASE WHEN strpos(CAST(value AS VARCHAR), '.') > 0
                        THEN regexp_replace(CAST(value AS VARCHAR), '\\.?0+$', '') ELSE CAST(value AS VARCHAR) END),
     'k', CAST({DK} AS BIGINT), 'note', NULL)::VARCHAR AS json
 FROM events""")
 def n9_serialise(spark, sf):
     e = _events(spark, sf)
-    return e.select("event_id", J.to_json_strict("event_id", "event_type", J.java_number("value").alias("value"),
+    return e.select("event_id", J.to_json_strict("event_id", "event_type", F.concat(F.lit("x:NaN Infinity "), "event_type").alias("title"),
+                                                  J.java_number("value").alias("value"),
                                                   _k().cast("bigint").alias("k"),
                                                   F.lit(None).cast("string").alias("note")).alias("json"))
 
@@ -191,12 +238,15 @@ def n10_array_join(spark, sf):
 
 @register("n11_names_values", f"""
 SELECT event_id, '{{"user":"' || CAST(user_id AS VARCHAR) || '","type":"dup"}}' AS obj,
-       {DK} || ',' || CASE WHEN event_type = 'error' THEN 'NULL' ELSE '1' END || ',NULL' AS picked
+       {DK} || ',' || CASE WHEN event_type = 'error' THEN 'null' ELSE '1' END || ',NULL' AS picked,
+       '"' || {DK} || '","' || event_type || '",' || CASE WHEN {D_KIND} THEN {DK} ELSE 'NULL' END AS quoted
 FROM events""")
 def n11_names_values(spark, sf):
     e = _events(spark, sf)
     names = F.array(F.lit("type"), F.lit("user"), F.lit("type"))
     values = F.array("event_type", F.col("user_id").cast("string"), F.lit("dup"))
     picked = J.values_of(_obj_nullable(), F.array(F.lit("k"), F.lit("v"), F.lit("absent")))
-    return e.select("event_id", J.zip_object(names, values).alias("obj"),
-                    F.array_join(picked, ",", "NULL").alias("picked"))
+    of_mixed = J.values_of(_obj_mixed(), F.array(F.lit("k"), F.lit("t")))        # strings keep their quotes
+    of_quoted = J.values_of(_obj_quoted(), F.array(F.lit("it's")))
+    return e.select("event_id", J.zip_object(names, values).alias("obj"), F.array_join(picked, ",", "NULL").alias("picked"),
+                    F.array_join(F.concat(of_mixed, of_quoted), ",", "NULL").alias("quoted"))

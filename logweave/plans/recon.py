@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweave.functions.text import java_split, parse_long_or_zero
+from logweave.functions.convert import epoch_millis
 from logweave.operators import aggregates, reconcile
 from logweave.plans import duck, inputs
 from logweave.plans.registry import register
@@ -101,24 +102,34 @@ def s4_kafka_decode(spark, sf):
     return kafka.kafka_values(raw)
 
 
-@register("s5_keyed_records", f"""
-WITH {duck.EVENT_RECORDS}
-SELECT key, value FROM recs""")
+@register("s5_keyed_records", """
+SELECT CAST(epoch_us(ts) // 1000 AS VARCHAR) AS key,
+       event_type || ',' || CASE WHEN event_type = 'error' THEN '' ELSE CAST(user_id AS VARCHAR) END || ',' || json_extract_string(props, '$.k') AS value
+FROM events""")
 def s5_keyed_records(spark, sf):
-    return inputs.event_records(table(spark, sf, "events")).select("key", "value")
+    """Errors have no user: their second field stays, empty."""
+    e = table(spark, sf, "events")
+    user = F.when(F.col("event_type") != "error", F.col("user_id"))
+    return kafka.keyed_records(e, epoch_millis("ts"), ["event_type", user, F.get_json_object("props", "$.k")])
+
+
+T1_BATCHES = 3
 
 
 @register("t1_stream_batch_counts", f"""
-WITH {duck.TOKENS}
-SELECT CAST(0 AS BIGINT) AS batch_id, token, count(*) AS n FROM toks GROUP BY token""")
+WITH {duck.TOKENS.replace('SELECT CAST(epoch_us(ts)', 'SELECT event_id % 3 AS batch_id, CAST(epoch_us(ts)').replace('toks AS (SELECT ts,', 'toks AS (SELECT batch_id, ts,')}
+SELECT CAST(batch_id AS BIGINT) AS batch_id, token, count(*) AS n FROM toks GROUP BY batch_id, token""")
 def t1_stream_batch_counts(spark, sf):
-    """File stream over the events table (one file -> one micro-batch)."""
+    """A file stream that gets three deliveries of events; the query is stopped
+    and resumed from its checkpoint in between, so each delivery is one
+    micro-batch with counts of its own."""
     events = table(spark, sf, "events")
-    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf))
-    sink, ckpt = shared_dir(spark, "t1", "sink"), shared_dir(spark, "t1", "checkpoint")
-    q = stream_tokens.start_batch_token_counts(inputs.event_records(stream), sink, ckpt, available_now=True)
-    q.awaitTermination()
+    inbox, sink, ckpt = (shared_dir(spark, "t1", part) for part in ("inbox", "sink", "checkpoint"))
+    for i in range(T1_BATCHES):
+        events.where(F.col("event_id") % T1_BATCHES == i).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(events.schema).parquet(inbox)
+        q = stream_tokens.start_batch_token_counts(inputs.event_records(stream), sink, ckpt, available_now=True)
+        q.awaitTermination()
     return spark.read.parquet(sink).select(F.col("batch_id").cast("bigint").alias("batch_id"), "token", "n")
 
 

@@ -33,12 +33,20 @@ def f4_optional_filters(spark, sf):
     return o.where(cond).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
+def orders_with_lines(spark, sf):
+    """All orders with all their lines; orders without a line have NULLs there."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return relational.outer_join(o, l, "o_orderkey", "l_orderkey", "left")
+
+
 @register("f4_optional_filters_empty", """
-SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NULL AND FALSE""")
+SELECT o_orderkey, o_orderstatus FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+WHERE l_orderkey IS NULL OR FALSE""")
 def f4_optional_filters_empty(spark, sf):
-    o = table(spark, sf, "orders")
-    cond = P.all_of(P.opt_equals("o_orderstatus", ""), P.opt_in("o_custkey", []))
-    return o.where(cond).select("o_orderkey", "o_orderstatus")
+    """An empty value means IS NULL, an empty list matches nothing."""
+    cond = P.opt_equals("l_orderkey", "") | P.opt_in("o_custkey", [])
+    return orders_with_lines(spark, sf).where(cond).select("o_orderkey", "o_orderstatus")
 
 
 @register("f5_safe_literals", """
@@ -54,12 +62,18 @@ def f5_safe_literals(spark, sf):
 
 
 @register("f6_like_escape", r"""
-SELECT p_partkey, p_name, p_brand FROM part
-WHERE p_brand LIKE 'Brand#1_' ESCAPE '\' OR p_name LIKE '%\_%' ESCAPE '\' OR p_type LIKE 'PROMO\%%' ESCAPE '\'""")
+WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN p_type || '_x' ELSE p_type || ' x' END AS tag,
+                  CASE WHEN p_size % 5 = 0 THEN 'PROMO%' || p_brand ELSE 'PROMO' || p_brand END AS promo FROM part)
+SELECT p_partkey, p_brand LIKE 'Brand#1_' ESCAPE '\' AS one_digit, tag LIKE '%\_%' ESCAPE '\' AS underscore,
+       promo LIKE 'PROMO\%%' ESCAPE '\' AS percent
+FROM p""")
 def f6_like_escape(spark, sf):
     p = table(spark, sf, "part")
-    cond = F.col("p_brand").like("Brand#1_") | F.col("p_name").like(r"%\_%") | F.col("p_type").like(r"PROMO\%%")
-    return p.where(cond).select("p_partkey", "p_name", "p_brand")
+    size = F.col("p_size")
+    tag = F.concat("p_type", F.when(size % 3 == 0, F.lit("_x")).otherwise(F.lit(" x")))
+    promo = F.concat(F.when(size % 5 == 0, F.lit("PROMO%")).otherwise(F.lit("PROMO")), "p_brand")
+    return p.select("p_partkey", F.col("p_brand").like("Brand#1_").alias("one_digit"),
+                    tag.like(r"%\_%").alias("underscore"), promo.like(r"PROMO\%%").alias("percent"))
 
 
 @register("f7_in_subquery", """
@@ -96,49 +110,42 @@ def j1_inner_join(spark, sf):
     return o.join(l, o.o_orderkey == l.l_orderkey, "inner").select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity")
 
 
-URGENT_OPEN = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"
-
-
-def urgent_open_orders(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"))
-
-
-@register("j2_left_outer", f"""
-SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE {URGENT_OPEN}) o
-ON c_custkey = o_custkey""")
+@register("j2_left_outer", """
+SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""")
 def j2_left_outer(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
-    o = urgent_open_orders(spark, sf).select("o_orderkey", "o_custkey")
-    return relational.outer_join(c, o, "c_custkey", "o_custkey", "left").select("c_custkey", "o_orderkey")
+    return orders_with_lines(spark, sf).select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity")
 
 
 @register("j2_right_outer", """
-SELECT l_orderkey, l_linenumber, p_partkey FROM (SELECT * FROM lineitem WHERE l_quantity >= 49) l
-RIGHT JOIN part ON l_partkey = p_partkey""")
+SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey""")
 def j2_right_outer(spark, sf):
-    l = table(spark, sf, "lineitem").where(F.col("l_quantity") >= 49).select("l_orderkey", "l_linenumber", "l_partkey")
-    p = table(spark, sf, "part").select("p_partkey")
-    return relational.outer_join(l, p, "l_partkey", "p_partkey", "right").select("l_orderkey", "l_linenumber", "p_partkey")
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return relational.outer_join(l, o, "l_orderkey", "o_orderkey", "right").select("l_orderkey", "l_linenumber", "o_orderkey")
 
 
 @register("j3_full_outer", """
-WITH r AS (SELECT l_orderkey, count(*) AS n_returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
-     f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
-SELECT o_orderkey, l_orderkey, n_returned FROM f FULL OUTER JOIN r ON o_orderkey = l_orderkey""")
+SELECT o_orderkey, l_orderkey, l_linenumber FROM orders FULL OUTER JOIN lineitem ON o_orderkey = l_orderkey""")
 def j3_full_outer(spark, sf):
-    r = (table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
-         .groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_returned")))
-    f = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey")
-    return f.join(r, f.o_orderkey == r.l_orderkey, "full").select("o_orderkey", "l_orderkey", "n_returned")
+    o = table(spark, sf, "orders").select("o_orderkey")
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return relational.outer_join(o, l, "o_orderkey", "l_orderkey", "full").select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@register("j3_full_outer_ids", """
+SELECT o_orderkey, event_id, user_id FROM orders FULL OUTER JOIN events ON o_orderkey = event_id""")
+def j3_full_outer_ids(spark, sf):
+    """Two id ranges that overlap in part: rows without a partner on either side."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    return relational.outer_join(o, e, "o_orderkey", "event_id", "full").select("o_orderkey", "event_id", "user_id")
 
 
-@register("j5_semi_join", f"""
-SELECT c_custkey, c_name FROM customer
-WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {URGENT_OPEN})""")
+@register("j5_semi_join", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def j5_semi_join(spark, sf):
-    c = table(spark, sf, "customer")
-    return relational.semi_join(c, urgent_open_orders(spark, sf), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    return relational.semi_join(o, l, "o_orderkey", "l_orderkey").select("o_orderkey", "o_custkey")
 
 
 # A2-A5 ---------------------------------------------------------------------
@@ -169,15 +176,28 @@ def a3_json_key_counter(spark, sf):
     return aggregates.json_key_counter(table(spark, sf, "events"), "props", "k")
 
 
-@register("a4_grouped_values", """
-WITH p AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL)
-SELECT user_id, CAST(sum(c) AS BIGINT) AS n,
-  string_agg(event_type || ':' || CAST(c AS VARCHAR), ',' ORDER BY event_type) AS value_counts,
-  CASE WHEN sum(c) = 1 THEN to_json(min(event_type))::VARCHAR
-       ELSE to_json(list(event_type ORDER BY event_type))::VARCHAR END AS values_json
-FROM p GROUP BY user_id""")
+# the value is NULL for errors, so a NULL's count shows
+A4_EVENTS = "(SELECT user_id, CASE WHEN event_type <> 'error' THEN event_type END AS kind FROM events)"
+
+
+def _user_kinds(spark, sf):
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return table(spark, sf, "events").select("user_id", kind.alias("kind"))
+
+
+@register("a4_grouped_values", f"""
+SELECT user_id, kind, count(*) AS n FROM {A4_EVENTS} GROUP BY user_id, kind""")
 def a4_grouped_values(spark, sf):
-    return aggregates.grouped_values(table(spark, sf, "events"), "user_id", "event_type")
+    return aggregates.grouped_values(_user_kinds(spark, sf), "user_id", "kind")
+
+
+@register("a4_values_json", f"""
+SELECT user_id, count(*) AS n,
+  CASE WHEN count(*) = 1 THEN coalesce(to_json(min(kind))::VARCHAR, 'null')
+       ELSE to_json(list(kind ORDER BY kind NULLS FIRST))::VARCHAR END AS values_json
+FROM {A4_EVENTS} GROUP BY user_id""")
+def a4_values_json(spark, sf):
+    return aggregates.values_json(_user_kinds(spark, sf), "user_id", "kind")
 
 
 @register("a5_duplicate_groups", """
@@ -205,15 +225,24 @@ def o2_order_by_unselected(spark, sf):
     return relational.top_k(o, ["-o_totalprice", "o_orderkey"], 20).select("o_orderkey", "o_custkey")
 
 
-@register("o3_nulls_last", f"""
-WITH u AS (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE {URGENT_OPEN} GROUP BY o_custkey)
-SELECT c_custkey, n_urgent FROM customer LEFT JOIN u ON c_custkey = o_custkey
-ORDER BY n_urgent ASC NULLS LAST, c_custkey DESC NULLS LAST LIMIT 25""")
+@register("o1_no_cap", """
+SELECT o_orderkey, o_totalprice FROM orders""")
+def o1_no_cap(spark, sf):
+    """A cap of 0 keeps every row."""
+    return relational.top_k(table(spark, sf, "orders"), ["-o_totalprice", "o_orderkey"], 0).select("o_orderkey", "o_totalprice")
+
+
+@register("o3_nulls_last", """
+WITH n AS (SELECT o_orderkey, sum(l_quantity) AS qty FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+a AS (SELECT 'up' AS direction, o_orderkey, qty FROM n ORDER BY qty ASC NULLS LAST, o_orderkey LIMIT 25),
+d AS (SELECT 'down' AS direction, o_orderkey, qty FROM n ORDER BY qty DESC NULLS LAST, o_orderkey LIMIT 25)
+SELECT * FROM a UNION ALL SELECT * FROM d""")
 def o3_nulls_last(spark, sf):
-    u = urgent_open_orders(spark, sf).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_urgent"))
-    c = table(spark, sf, "customer")
-    j = c.join(u, c.c_custkey == u.o_custkey, "left").select("c_custkey", "n_urgent")
-    return relational.top_k(j, ["n_urgent", "-c_custkey"], 25)
+    """Both directions: the NULLs of orders without a line lead in neither."""
+    n = orders_with_lines(spark, sf).groupBy("o_orderkey").agg(F.sum("l_quantity").alias("qty"))
+    up = relational.top_k(n, ["qty", "o_orderkey"], 25).select(F.lit("up").alias("direction"), "o_orderkey", "qty")
+    down = relational.top_k(n, ["-qty", "o_orderkey"], 25).select(F.lit("down").alias("direction"), "o_orderkey", "qty")
+    return relational.union_all([up, down])
 
 
 @register("o4_row_cap", """

@@ -10,41 +10,49 @@ from logweave.functions import hashing as H
 from logweave.operators.profile import column_profile
 from logweave.plans import duck
 from logweave.plans.registry import register
-from logweave.plans.relational import URGENT_OPEN, urgent_open_orders
-from logweave.plans.web import request_records
+from logweave.plans.relational import orders_with_lines
+from logweave.plans.web import good_records
 from logweave.session import table
 
 # C -------------------------------------------------------------------------
 
+# NULL counts: orders without a line
+LINES_OF_ORDERS = """
+n AS (SELECT o_orderkey, any_value(o_totalprice) AS price, nullif(count(l_orderkey), 0) AS n_lines
+      FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
+
+
+def _lines_of_orders(spark, sf):
+    n = F.count("l_orderkey")
+    return orders_with_lines(spark, sf).groupBy("o_orderkey").agg(
+        F.first("o_totalprice").alias("price"), F.when(n > 0, n).alias("n_lines"))
+
+
 @register("c1_to_number", f"""
-WITH u AS (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE {URGENT_OPEN} GROUP BY o_custkey)
-SELECT c_custkey,
-  CAST(trunc(c_acctbal) AS BIGINT) AS acct_long,
-  CAST(CASE WHEN (c_custkey & 255) >= 128 THEN (c_custkey & 255) - 256 ELSE (c_custkey & 255) END AS TINYINT) AS key_byte,
-  CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS BIGINT) AS positive,
-  CAST(coalesce(n_urgent, 0) AS BIGINT) AS n_urgent
-FROM customer LEFT JOIN u ON c_custkey = o_custkey""")
+WITH {LINES_OF_ORDERS}
+SELECT o_orderkey,
+  CAST(trunc(price) AS BIGINT) AS price_long,
+  CAST(CASE WHEN (o_orderkey & 255) >= 128 THEN (o_orderkey & 255) - 256 ELSE (o_orderkey & 255) END AS TINYINT) AS key_byte,
+  CAST(CASE WHEN price > 100000 THEN 1 ELSE 0 END AS BIGINT) AS dear,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
+FROM n""")
 def c1_to_number(spark, sf):
-    u = urgent_open_orders(spark, sf).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_urgent"))
-    c = table(spark, sf, "customer")
-    j = c.join(u, c.c_custkey == u.o_custkey, "left").withColumn("pos", F.col("c_acctbal") > 0)
+    j = _lines_of_orders(spark, sf).withColumn("dear", F.col("price") > 100000)
     return j.select(
-        "c_custkey",
-        C.to_number(j, "c_acctbal").alias("acct_long"),
-        C.to_number(j, "c_custkey", "tinyint", wrap=True).alias("key_byte"),
-        C.to_number(j, "pos").alias("positive"),
-        C.to_number(j, "n_urgent").alias("n_urgent"),
+        "o_orderkey",
+        C.to_number(j, "price").alias("price_long"),
+        C.to_number(j, "o_orderkey", "tinyint", wrap=True).alias("key_byte"),
+        C.to_number(j, "dear").alias("dear"),
+        C.to_number(j, "n_lines").alias("n_lines"),
     )
 
 
 @register("c2_to_boolean", f"""
-WITH u AS (SELECT DISTINCT o_custkey, TRUE AS has_urgent FROM orders WHERE {URGENT_OPEN})
-SELECT c_custkey, coalesce(has_urgent, FALSE) AS has_urgent FROM customer LEFT JOIN u ON c_custkey = o_custkey""")
+WITH {LINES_OF_ORDERS}
+SELECT o_orderkey, coalesce(n_lines > 3, FALSE) AS many_lines FROM n""")
 def c2_to_boolean(spark, sf):
-    u = urgent_open_orders(spark, sf).select("o_custkey", F.lit(True).alias("has_urgent")).distinct()
-    c = table(spark, sf, "customer")
-    j = c.join(u, c.c_custkey == u.o_custkey, "left")
-    return j.select("c_custkey", C.to_boolean(j, "has_urgent").alias("has_urgent"))
+    j = _lines_of_orders(spark, sf).withColumn("many", F.col("n_lines") > 3)
+    return j.select("o_orderkey", C.to_boolean(j, "many").alias("many_lines"))
 
 
 @register("c3_to_text", """
@@ -197,7 +205,7 @@ SELECT event_id, city,
 FROM records WHERE NOT rejected""")
 def h3_pseudonymised_records(spark, sf):
     """W1 records with the personal fields replaced by keyed hashes."""
-    r = request_records(spark, sf).where(~F.col("rejected"))
+    r = good_records(spark, sf)
     return r.select("event_id", "city", H.hmac_hex("mobile", HMAC_KEY).alias("mobile_key"),
                     H.hmac_hex("imsi", HMAC_KEY).alias("imsi_key"))
 

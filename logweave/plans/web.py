@@ -20,6 +20,11 @@ def request_records(spark, sf):
     return weblog.extract_requests(lines, "value", keep=("event_id", "ts"))
 
 
+def good_records(spark, sf):
+    lines = inputs.access_lines(table(spark, sf, "events"))
+    return weblog.good_requests(lines, "value", keep=("event_id", "ts"))
+
+
 @register("w1_request_records", f"""
 WITH {duck.REQUEST_RECORDS}
 SELECT event_id, {', '.join(FIELDS)}, rejected FROM records""")
@@ -56,11 +61,18 @@ def w4_param_explode(spark, sf):
         .select("page_id", "pos", F.get("kv", 0).alias("name"), F.get("kv", 1).alias("value"))
 
 
+# escapes, plus signs and a malformed escape, by row
+W5_SUFFIX = {0: "&q=a%20b+c%C3%A9", 1: "&q=x+y%2Bz", 2: "&q=100%zz+"}
+
+
 @register("w5_url_decode", f"""
-SELECT page_id, {duck.decode('url')} AS decoded FROM pages""")
+WITH u AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '{W5_SUFFIX[0]}' WHEN 1 THEN '{W5_SUFFIX[1]}' ELSE '{W5_SUFFIX[2]}' END AS u FROM pages)
+SELECT page_id, {duck.decode('u')} AS decoded FROM u""")
 def w5_url_decode(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", urls.decode_or_raw("url").alias("decoded"))
+    kind = F.col("page_id") % 3
+    suffix = F.when(kind == 0, F.lit(W5_SUFFIX[0])).when(kind == 1, F.lit(W5_SUFFIX[1])).otherwise(F.lit(W5_SUFFIX[2]))
+    return p.select("page_id", urls.decode_or_raw(F.concat("url", suffix)).alias("decoded"))
 
 
 @register("w6_named_fields", f"""
@@ -86,8 +98,7 @@ def w7_record_json(spark, sf):
 WITH {duck.REQUEST_RECORDS}
 SELECT {', '.join(FIELDS)}, strftime(ts, '%Y%m%d') AS ds FROM records WHERE NOT rejected""")
 def w8_partition_layout(spark, sf):
-    r = request_records(spark, sf).where(~F.col("rejected"))
-    return weblog.partition_layout(r, F.date_format("ts", "yyyyMMdd"))
+    return weblog.partition_layout(good_records(spark, sf), F.date_format("ts", "yyyyMMdd"))
 
 
 @register("h4_canonical_params", """

@@ -19,6 +19,9 @@ _LOCAL_DEFAULTS = {
 }
 
 
+_REMOVED_AT_EXIT: set[str] = set()
+
+
 def get_session(master: str | None = None, app: str = "logweave", **conf: str) -> SparkSession:
     """Build (or reuse) a session.
 
@@ -66,7 +69,21 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         else:
             spark.conf.set("spark.checkpoint.dir", root)
     name = "/".join([*parts, uuid.uuid4().hex]) if parts else uuid.uuid4().hex
-    return f"{root.rstrip('/')}/logweave/{name}"
+    own = f"{root.rstrip('/')}/logweave"
+    if sc is not None and root == sc.getCheckpointDir() and own not in _REMOVED_AT_EXIT:
+        # the application's own folder: what nobody removes earlier goes when the driver ends
+        target = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _REMOVED_AT_EXIT.add(own)
+    return f"{own}/{name}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`shared_dir` once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,10 +31,11 @@ def kafka_values(df: DataFrame) -> DataFrame:
 
 
 def keyed_records(df: DataFrame, key: Column | str, values: Sequence[Column | str], sep: str = ",") -> DataFrame:
-    """``(key, value)`` strings, value = the given columns joined by ``sep``."""
+    """``(key, value)`` strings, value = the given columns joined by ``sep``.
+    A NULL column is an empty field, so the others keep their places."""
     k = F.col(key) if isinstance(key, str) else key
     vs = [F.col(v) if isinstance(v, str) else v for v in values]
-    return df.select(k.cast("string").alias("key"), F.concat_ws(sep, *[v.cast("string") for v in vs]).alias("value"))
+    return df.select(k.cast("string").alias("key"), F.concat_ws(sep, *[F.coalesce(v.cast("string"), F.lit("")) for v in vs]).alias("value"))
 
 
 def write_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str):

@@ -1,5 +1,5 @@
 """Table sinks: staging overwrite (S6), partitioned tables (S7), partition
-insert (S8) and schema-only reads (S11).
+insert (S8).
 
 Writes never funnel through one task: the file count follows the input
 splits (or AQE's rebalance) and ``maxRecordsPerFile`` caps file size.
@@ -11,6 +11,7 @@ import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logweave.functions.predicates import quote_literal
 from logweave.operators.weblog import REQUEST_FIELDS
@@ -26,6 +27,13 @@ ORC_OPTIONS = {"compression": "snappy", "orc.stripe.size": "268435456"}
 PARQUET_OPTIONS = {"compression": "snappy"}
 
 
+def replace_staging_table(df: DataFrame, name: str, fmt: str = "orc", max_records_per_file: int = 5_000_000) -> None:
+    """Drop the staging table if there is one and write it anew."""
+    drop_table(df.sparkSession, name)
+    (df.write.format(fmt).option("maxRecordsPerFile", max_records_per_file)
+       .option("compression", "snappy").saveAsTable(name))
+
+
 def write_staging(df: DataFrame, path: str, fmt: str = "orc", max_records_per_file: int = 5_000_000) -> None:
     """Overwrite a staging location in one pass.
 
@@ -65,33 +73,32 @@ def insert_partition(
     not duplicate rows; ``overwrite=False`` appends like the original job.
     With ``ds`` given it is a static partition (``INSERT ... PARTITION
     (ds='...')``); with ``ds=None`` the frame's own ``ds`` column picks the
-    partitions and only those present in the data are replaced; that path
-    sets ``spark.sql.sources.partitionOverwriteMode=dynamic`` for the one
-    statement (file-source catalog tables take no per-write option for it).
+    partitions and only those present in the data are replaced: the files are
+    written at the table's location with the per-write overwrite mode (no
+    session setting changes) and the partitions are then registered.
+    Rows are rebalanced before the write, by ``ds`` where it varies: AQE
+    splits a hot day over several files and joins small ones.
     """
     spark = df.sparkSession
     cols = ", ".join(f"`{f}`" for f in fields)
-    mode = "OVERWRITE" if overwrite else "INTO"
     if ds is not None:
         if not _DS_RE.match(ds):
             raise ValueError(f"bad partition value {ds!r}")
+        mode = "OVERWRITE" if overwrite else "INTO"
         spark.sql(f"INSERT {mode} TABLE {table} PARTITION (ds = {quote_literal(ds)}) SELECT {cols} FROM {{src}}",
-                  src=df.select(*fields))
+                  src=df.select(*fields).hint("rebalance"))
+        return
+    rows = df.select(*fields, F.col("ds").cast("string").alias("ds")).hint("rebalance", "ds")
+    if not overwrite:
+        spark.sql(f"INSERT INTO TABLE {table} PARTITION (ds) SELECT {cols}, ds FROM {{src}}", src=rows)
         return
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        spark.sql(f"INSERT {mode} TABLE {table} PARTITION (ds) SELECT {cols}, ds FROM {{src}}",
-                  src=df.select(*fields, "ds"))
-    finally:
-        spark.conf.set(key, before)
+    about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    fmt = about["Provider"].lower()
+    writer = rows.write.mode("overwrite").partitionBy("ds").option("partitionOverwriteMode", "dynamic")
+    writer.options(**(ORC_OPTIONS if fmt == "orc" else PARQUET_OPTIONS)).format(fmt).save(about["Location"])
+    spark.sql(f"MSCK REPAIR TABLE {table}")
+    spark.catalog.refreshTable(table)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
-def schema_only(df: DataFrame) -> DataFrame:
-    """Zero rows, full schema (no data is read)."""
-    return df.limit(0)

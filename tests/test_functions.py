@@ -200,3 +200,56 @@ def test_zip_object_put_semantics(spark):
                                "n array<string>, v array<string>")
     got = [r[0] for r in df.select(J.zip_object("n", "v")).collect()]
     assert got == ['{"a":"1"}', "{}", '{"a":"1"}']
+
+
+def test_json_keys_with_quotes(spark):
+    df = spark.createDataFrame([("""{"it's": 5, "a": "x"}""",), ('{"a": 1}',), ("no JSON",)], "j string")
+    got = df.select(J.get_lenient("j", "it's").alias("q"), J.is_null_key("j", "it's").alias("n"),
+                    J.has_key("j", "it's").alias("h"), J.json_field("j", "it's").alias("f")).collect()
+    assert [tuple(r) for r in got] == [(5, False, True, "5"), (0, True, False, None), (0, True, False, None)]
+
+
+def test_get_many_parses_once(spark):
+    df = spark.createDataFrame([(1, """{"a": 1.9, "b": "7", "c": null, "it's": "TRUE"}""")], "id int, j string")
+    out = J.get_many(df, "j", {"a": ("a", "int"), "b": ("b", "bigint"), "c": ("c", "string", "-"), "q": ("it's", "boolean"), "d": ("d", "double", 1.5)}, keep=["id"])
+    assert tuple(out.collect()[0]) == (1, 1, 7, "-", True, 1.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 2 and plan.count("from_json") <= 2
+
+
+def test_relaxed_json(spark):
+    texts = ["{a:1;b:2}", "{a:1,}", "{'a':'x\\'y;z','b':[,]}", "{a:1,a:2}", '{"a":"q;,}"}', "oops", None, '{"a":[1,,2,]}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = df.select(J.from_relaxed("j", "a STRING, b STRING").alias("v"), J.relaxed_rejected("j").alias("r")).collect()
+    assert [r.r for r in got] == [False, False, False, True, False, True, False, False]
+    assert [(r.v.a, r.v.b) for r in got[:3]] == [("1", "2"), ("1", None), ("x'y;z", "[null]")]
+    assert got[4].v.a == "q;,}" and got[7].v.a == "[1,null,2]"
+
+
+def test_similar_key_tells_numbers_apart(spark):
+    texts = ['[{"a":1},{"a":2.5}]', '[{"a":1.0},{"a":2.5}]', "[1.0,2]", "[1,2.0]", "1.0", "1", "[[1]]", '{"a":"x: 1.5, y"}', "bad"]
+    keys = [r.k for r in spark.createDataFrame([(t,) for t in texts], "j string").select(J.similar_key("j").alias("k")).collect()]
+    assert len(set(keys)) == len(texts) and keys[-1] is None
+    same = spark.createDataFrame([('{"b":1.50,"a":[1]}',), ('{ "a":[1], "b":1.5}',)], "j string")
+    assert same.select(J.similar_key("j").alias("k")).distinct().count() == 1
+
+
+def test_json_length_and_writer(spark):
+    df = spark.createDataFrame([("\n[1,2]",), ("\t {\"a\":1}",)], "j string")
+    assert [r.n for r in df.select(J.length("j").alias("n")).collect()] == [2, 1]
+    good = spark.createDataFrame([(1.5, "Infinity War x:NaN", [1.0])], "x double, t string, a array<double>")
+    kinds = [f.dataType for f in good.schema]
+    assert good.select(J.to_json_strict("x", "t", "a", types=kinds)).collect()[0][0] == '{"x":1.5,"t":"Infinity War x:NaN","a":[1.0]}'
+    for bad in ((float("nan"), "a", [1.0]), (1.0, "a", [float("inf")])):
+        with pytest.raises(Exception, match="non-finite"):
+            spark.createDataFrame([bad], good.schema).select(J.to_json_strict("x", "t", "a", types=kinds)).collect()
+
+
+def test_zip_object_and_values(spark):
+    df = spark.createDataFrame([(["a", "b", "a"], ["1", None, "3"]), (["x", "y"], ["1"]), ([], ["1"]), (["a"], [])], "n array<string>, v array<string>")
+    assert [r.o for r in df.select(J.zip_object("n", "v").alias("o")).collect()] == ['{"a":"3"}', '{"x":"1"}', None, None]
+    with pytest.raises(Exception, match="NULL name"):
+        spark.createDataFrame([(["a", None], ["1", "2"])], df.schema).select(J.zip_object("n", "v")).collect()
+    obj = spark.createDataFrame([("""{"a":"1","b":1,"c":null,"it's":[1, 2]}""",)], "j string")
+    names = F.array(*[F.lit(k) for k in ("a", "b", "c", "it's", "zz")])
+    assert obj.select(J.values_of("j", names).alias("v")).collect()[0].v == ['"1"', "1", "null", "[1,2]", None]

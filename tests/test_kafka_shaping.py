@@ -7,13 +7,13 @@ from logweave.sources import kafka
 
 
 def test_keyed_records_and_decode(spark):
-    df = spark.createDataFrame([(1700000000000, "a", 123, None)], "ts bigint, t string, n int, x string")
-    recs = kafka.keyed_records(df, "ts", ["t", "n", "x"])
+    df = spark.createDataFrame([(1700000000000, "a", None, 123)], "ts bigint, t string, x string, n int")
+    recs = kafka.keyed_records(df, "ts", ["t", "x", "n"])
     r = recs.collect()[0]
-    assert (r.key, r.value) == ("1700000000000", "a,123")      # NULL fields are skipped by concat_ws
+    assert (r.key, r.value) == ("1700000000000", "a,,123")      # a NULL field stays, empty
     raw = recs.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
     back = kafka.kafka_values(raw).collect()[0]
-    assert (back.key, back.value) == ("1700000000000", "a,123")
+    assert (back.key, back.value) == ("1700000000000", "a,,123")
 
 
 def test_sample_record_token_count(spark):

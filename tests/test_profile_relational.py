@@ -4,6 +4,7 @@ import datetime as dt
 import decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.operators import profile, relational
 
@@ -27,7 +28,20 @@ def test_row_cap(spark):
     with pytest.raises(ValueError):
         relational.row_cap(df, -1)
     with pytest.raises(ValueError):
-        relational.row_cap(df, 2**31)
+        relational.row_cap(df, 2**63)
+    assert relational.row_cap(df, 2**40).count() == 10
+    assert relational.top_k(df, [df.columns[0]], 0).count() == 10
+    assert relational.top_k(df, [df.columns[0]], 4).count() == 4
+
+
+def test_large_cap_is_cut_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(relational, "_LIMIT_ROWS", 10)
+    df = spark.range(0, 1000, 1, 7)
+    for n in (11, 143, 500, 999, 1000, 5000):
+        got = relational.row_cap(df, n)
+        assert [r.id for r in got.collect()] == list(range(min(n, 1000)))
+    top = relational.top_k(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), ["-x"], 50)
+    assert sorted(r.x for r in top.collect()) == list(range(950, 1000))
 
 
 def test_nulls_last_both_ways(spark):
@@ -60,6 +74,10 @@ def test_outer_join_equals_plain_outer_join(spark):
     got = sorted(map(tuple, relational.outer_join(right, left, "rk", "lk", "right").collect()), key=repr)
     want = sorted(map(tuple, right.join(left, right.rk == left.lk, "right").collect()), key=repr)
     assert got == want
+    more = right.unionByName(spark.createDataFrame([(None, 7), (55, 8)], "rk int, v int"))
+    got = sorted(map(tuple, relational.outer_join(left, more, "lk", "rk", "full").collect()), key=repr)
+    want = sorted(map(tuple, left.join(more, left.lk == more.rk, "full").collect()), key=repr)
+    assert got == want and len(got) == 95
 
 
 def test_semi_join_uses_distinct_keys(spark):
