@@ -12,7 +12,8 @@ Template (each turn on its own):
     assistant   text </s>
     other      [ROLE name] text [/ROLE]
 
-Inside texts and role names `\\`, `<` and `[` are written `\\\\`, `\\l` and `\\b`.
+Inside texts and role names `\\`, `<` and `[` are written `\\\\`, `\\l` and `\\b`,
+in role names `]` is `\\c`.
 So no control string can occur in a text, and what a reader finds between the
 marks is unescaped to exactly the text that went in.
 
@@ -42,7 +43,7 @@ def escape(text: Column) -> Column:
 
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_MEANING = {"\\": "\\", "l": "<", "b": "["}
+_MEANING = {"\\": "\\", "l": "<", "b": "[", "c": "]"}
 
 
 def unescape(text: str) -> str:
@@ -60,7 +61,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def _marks(turn: Column) -> tuple[Column, Column]:
     role = turn["role"]
-    before = F.concat(F.lit(_OTHER[0]), escape(role), F.lit(_OTHER[1]))
+    name = F.replace(escape(role), F.lit("]"), F.lit("\\c"))
+    before = F.concat(F.lit(_OTHER[0]), name, F.lit(_OTHER[1]))
     after = F.lit(_OTHER[2])
     for name, (left, right) in MARKS.items():
         before = F.when(role == name, F.lit(left)).otherwise(before)

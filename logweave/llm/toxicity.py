@@ -5,8 +5,8 @@ five and four bytes, so an unseen form of a known stem is not lost. Filters of s
 text; the largest response of each filter anywhere in the text (max pooling)
 feeds a logistic output, so one phrase decides however long the text is. The
 network is trained in numpy on a bounded sample of labelled documents
-(`per_label` of each label, of at most `max_chars` characters, chosen by a hash
-of the id); the output is shifted from the sample's to the labelled rows' share
+(`per_label` of each label, chosen by a hash of the id, of at most `max_chars`
+characters); the output is shifted from the sample's to the labelled rows' share
 of toxic documents. Scoring is one narrow pass over whole texts: the product of
 every embedding with every filter column is tabulated once, so a response is a
 sum of table rows.
@@ -191,19 +191,24 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, le
     return net
 
 
-def fit(labelled: DataFrame, per_label: int = 3000, max_chars: int = 20_000) -> Network | None:
-    """Train on a bounded sample of `labelled` (doc_id, text, toxic 0/1). None
-    unless both labels occur."""
-    rows = labelled.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "toxic").where(
-        F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.length("text") <= max_chars))
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 20_000) -> Network | None:
+    """Train on a bounded sample: about `per_label` rows of each label of
+    `labels` (doc_id, toxic 0/1; one row an id), taken by a hash of the id, and
+    their texts of at most `max_chars` characters in `docs` (doc_id, text).
+    None unless both labels occur."""
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = F.lit(False)
     for label, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("toxic") == label) & (draw < per_label / n))
-    got = rows.where(chosen).select("text", "toxic", F.xxhash64("id").alias("k")).orderBy("k", "text").limit(4 * per_label).collect()
+        chosen = chosen | ((F.col("toxic") == label) & (F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < per_label / n))
+    sample = F.broadcast(labels.where(chosen).limit(4 * per_label))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    got = texts.join(sample, "doc_id").select("text", "toxic", order.alias("k")).orderBy("k", "text").limit(4 * per_label).collect()
+    if len({r["toxic"] for r in got}) < 2:
+        return None
     return train([r["text"] for r in got], [r["toxic"] for r in got], counts[1] / (counts[0] + counts[1]))
 
 
