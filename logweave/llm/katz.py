@@ -286,8 +286,8 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) ->
     log10((c + 0.5) / (N + 0.5 (V + 1))); a null text has only its end token."""
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
     held = docs.sparkSession.sparkContext.broadcast(model.plain())
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    schema = f"lw_row long, {kinds}, n_tokens long, n_known long, base double, log double, rare array<long>, times array<int>"
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    schema = f"lw_row long, {kinds}n_tokens long, n_known long, base double, log double, rare array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, *rest = held.value
