@@ -102,37 +102,50 @@ def to_date_strict(c: Column | str) -> Column:
     return _or_raise(c, F.try_to_date(c, "yyyy-MM-dd"), "date")
 
 
-def time_millis(c: Column | str) -> Column:
+def time_millis(c: Column | str, zone: str | None = None, zoned: bool | None = None) -> Column:
     """``HH:mm:ss.SSS`` with an optional offset or zone id -> epoch millis
     of that time on 1970-01-01.
 
-    Without a zone the session time zone applies (as the client used its
-    session zone); with one, that zone's offset on 1970-01-01. The value is
-    not folded into one day: 22:00 at -05:00 gives 97,200,000. Bad text raises.
+    Without a zone in the text ``zone`` applies, or the session time zone (as
+    the client used its session zone); with one, that zone's offset on
+    1970-01-01. The value is not folded into one day: 22:00 at -05:00 gives
+    97,200,000. ``zoned`` is the declared kind, see :func:`to_timestamp_zoned`.
+    Bad text raises.
     """
     c = F.col(c) if isinstance(c, str) else c
-    return F.unix_millis(to_timestamp_zoned(F.concat(F.lit("1970-01-01 "), c)))
+    return F.unix_millis(to_timestamp_zoned(F.concat(F.lit("1970-01-01 "), c), zone, zoned))
 
 
-_TS_PATTERNS = (
-    "yyyy-MM-dd HH:mm:ss.SSS XXX",
-    "yyyy-MM-dd HH:mm:ss.SSS xx",
-    "yyyy-MM-dd HH:mm:ss.SSS VV",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-)
+_LOCAL = "yyyy-MM-dd HH:mm:ss.SSS"
+#: What the end of a text with a zone looks like, and the pattern that reads it.
+_ZONES = ((r" [+-][0-9]{2}:[0-9]{2}$", "XXX"), (r" [+-][0-9]{4}$", "xx"), (r" [A-Za-z][A-Za-z0-9_/+-]*$", "VV"))
 
 
-def to_timestamp_zoned(c: Column | str) -> Column:
+def to_timestamp_zoned(c: Column | str, zone: str | None = None, zoned: bool | None = None) -> Column:
     """``yyyy-MM-dd HH:mm:ss.SSS`` with an optional offset or zone id.
 
-    Text without a zone is read in the session time zone. Result is an
-    instant (``TIMESTAMP``); unparseable text raises.
+    Text without a zone is read in ``zone``, or in the session time zone.
+    ``zoned`` is the declared kind of the column: True for a type with a time
+    zone (text without one is an error), False for one without (text with one
+    is an error), None for either. The end of the text says which pattern it
+    has, so it is parsed once. Result is an instant (``TIMESTAMP``); other
+    text raises.
     """
     c = F.col(c) if isinstance(c, str) else c
-    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in _TS_PATTERNS])
-    return F.when(c.isNull() | parsed.isNotNull(), parsed).otherwise(
-        F.raise_error(F.concat(F.lit("bad timestamp: "), c)).cast("timestamp")
-    )
+
+    def local(x: Column) -> Column:
+        if zone is None:
+            return F.try_to_timestamp(x, F.lit(_LOCAL))
+        return F.try_to_timestamp(F.concat(x, F.lit(" " + zone)), F.lit(f"{_LOCAL} {'XXX' if zone[:1] in '+-' else 'VV'}"))
+
+    def parsed(x: Column) -> Column:
+        out = F.lit(None).cast("timestamp") if zoned else local(x)
+        for tail, pattern in reversed(_ZONES):
+            found = F.lit(None).cast("timestamp") if zoned is False else F.try_to_timestamp(x, F.lit(f"{_LOCAL} {pattern}"))
+            out = F.when(x.rlike(tail), found).otherwise(out)
+        return out
+
+    return F.coalesce(parsed(c), F.when(c.isNotNull(), F.raise_error(F.concat(F.lit("bad timestamp: "), c)).cast("timestamp")))
 
 
 def interval_months(c: Column | str) -> Column:

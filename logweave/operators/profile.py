@@ -56,6 +56,8 @@ def engine_type(dt: T.DataType) -> str:
     for cls, name in simple.items():
         if isinstance(dt, cls):
             return name
+    if dt.typeName().startswith("time") and not dt.typeName().startswith("timestamp"):
+        return "time"
     if isinstance(dt, T.CharType):
         return "char"
     if isinstance(dt, T.VarcharType):
@@ -82,9 +84,17 @@ def declared(dt: T.DataType) -> tuple[str, int, bool, int, int, int, str]:
     return name, code, signed, p, s, w, cls
 
 
+def element_code(dt: T.DataType) -> int | None:
+    """JDBC code of an array's elements; None for other types."""
+    return declared(dt.elementType)[1] if isinstance(dt, T.ArrayType) else None
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """M1: one row per column with declared and measured attributes.
 
+    Declared: the type's name, codes and widths (``element_jdbc_type`` for
+    arrays) and ``nullable``, whether the schema allows NULLs.
+
     Measured: ``null_count`` and ``max_width`` (longest value rendered as
     text). ``width_ok`` says whether the data fits the declared width.
     """
@@ -103,6 +113,7 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.lit(i + 1).alias("ordinal"), F.lit(f.name.lower()).alias("column_name"), F.lit(name).alias("type_name"),
                 F.lit(code).alias("jdbc_type"), F.lit(signed).alias("signed"), F.lit(p).alias("precision"),
                 F.lit(s).alias("scale"), F.lit(w).alias("display_width"), F.lit(cls).alias("class_name"),
+                F.lit(element_code(f.dataType)).cast("int").alias("element_jdbc_type"), F.lit(f.nullable).alias("nullable"),
                 F.col(f"n{i}").alias("null_count"), F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("bigint").alias("max_width"),
             )
         )

@@ -81,21 +81,26 @@ def c5_to_date(spark, sf):
 
 
 @register("c6_to_time", """
-SELECT event_id, (epoch_us(ts) // 1000) % 86400000 - 28800000 AS utc_millis FROM events""")
+SELECT event_id, (epoch_us(ts) // 1000) % 86400000 - 28800000 AS utc_millis,
+       (epoch_us(ts) // 1000) % 86400000 - 28800000 AS passed_millis FROM events""")
 def c6_to_time(spark, sf):
     e = table(spark, sf, "events")
     zone = F.when(F.col("event_type") == "view", F.lit(" Asia/Shanghai")).otherwise(F.lit(" +08:00"))
     txt = F.concat(F.date_format("ts", "HH:mm:ss.SSS"), zone)
-    return e.select("event_id", C.time_millis(txt).alias("utc_millis"))
+    plain = F.date_format("ts", "HH:mm:ss.SSS")
+    return e.select("event_id", C.time_millis(txt, zoned=True).alias("utc_millis"),
+                    C.time_millis(plain, zone="Asia/Shanghai", zoned=False).alias("passed_millis"))
 
 
 @register("c7_to_timestamp_zoned", """
-SELECT event_id, epoch_us(ts) // 1000 - 28800000 AS epoch_millis FROM events""")
+SELECT event_id, epoch_us(ts) // 1000 - 28800000 AS epoch_millis, epoch_us(ts) // 1000 - 28800000 AS passed_millis FROM events""")
 def c7_to_timestamp_zoned(spark, sf):
     e = table(spark, sf, "events")
     zone = F.when(F.col("event_type") == "view", F.lit(" Asia/Shanghai")).otherwise(F.lit(" +08:00"))
     txt = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), zone)
-    return e.select("event_id", F.unix_millis(C.to_timestamp_zoned(txt)).alias("epoch_millis"))
+    plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    return e.select("event_id", F.unix_millis(C.to_timestamp_zoned(txt)).alias("epoch_millis"),
+                    F.unix_millis(C.to_timestamp_zoned(plain, zone="+08:00", zoned=False)).alias("passed_millis"))
 
 
 @register("c8_to_interval", """
@@ -212,24 +217,58 @@ def h3_pseudonymised_records(spark, sf):
 
 # M1 ------------------------------------------------------------------------
 
-def _profile_sql() -> str:
-    cols = [  # name, type, jdbc, signed, precision, scale, width, class
-        ("c_custkey", "bigint", -5, True, 19, 0, 20, "java.lang.Long"),
-        ("c_name", "varchar", -16, True, 1073741824, 0, 1073741824, "java.lang.String"),
-        ("c_nationkey", "integer", 4, True, 10, 0, 11, "java.lang.Integer"),
-        ("c_acctbal", "double", 8, True, 17, 0, 24, "java.lang.Double"),
-        ("c_mktsegment", "varchar", -16, True, 1073741824, 0, 1073741824, "java.lang.String"),
-    ]
+# Declared attributes by type: jdbc code, signed, precision, scale, width, class, element code
+_DECLARED = {
+    "bigint": (-5, True, 19, 0, 20, "java.lang.Long", None),
+    "integer": (4, True, 10, 0, 11, "java.lang.Integer", None),
+    "smallint": (5, True, 5, 0, 6, "java.lang.Short", None),
+    "tinyint": (-6, True, 3, 0, 4, "java.lang.Byte", None),
+    "boolean": (16, False, 0, 0, 5, "java.lang.Boolean", None),
+    "double": (8, True, 17, 0, 24, "java.lang.Double", None),
+    "varchar": (-16, True, 1073741824, 0, 1073741824, "java.lang.String", None),
+    "varbinary": (-4, True, 1073741824, 0, 1073741824, "byte[]", None),
+    "decimal(14,2)": (3, True, 14, 2, 16, "java.math.BigDecimal", None),
+    "date": (91, True, 0, 0, 10, "java.sql.Date", None),
+    "timestamp": (93, True, 3, 0, 23, "java.sql.Timestamp", None),
+    "array(bigint)": (2003, False, 0, 0, 0, "java.lang.String", -5),
+}
+
+
+def _profile_sql(columns: dict[str, tuple[str, str]], source: str) -> str:
+    """columns: name -> (type name, expression over ``source``); array(...) is never NULL."""
     parts = []
-    for i, (n, t, code, signed, p, s, w, cls) in enumerate(cols, 1):
+    for i, (n, (t, x)) in enumerate(columns.items(), 1):
+        code, signed, p, s, w, cls, element = _DECLARED[t]
+        widest = f"coalesce(max(length(CAST({x} AS VARCHAR))), 0)"
         parts.append(
             f"SELECT {i} AS ordinal, '{n}' AS column_name, '{t}' AS type_name, {code} AS jdbc_type, "
             f"{str(signed).upper()} AS signed, {p} AS precision, {s} AS scale, {w} AS display_width, "
-            f"'{cls}' AS class_name, count(*) - count({n}) AS null_count, "
-            f"CAST(coalesce(max(length(CAST({n} AS VARCHAR))), 0) AS BIGINT) AS max_width, "
-            f"coalesce(max(length(CAST({n} AS VARCHAR))), 0) <= {w} AS width_ok FROM customer"
+            f"'{cls}' AS class_name, CAST({'NULL' if element is None else element} AS INTEGER) AS element_jdbc_type, "
+            f"{str(not t.startswith('array')).upper()} AS nullable, "
+            f"count(*) - count({x}) AS null_count, CAST({widest} AS BIGINT) AS max_width, "
+            f"{f'{widest} <= {w}' if w else 'TRUE'} AS width_ok FROM {source}"
         )
     return "\nUNION ALL\n".join(parts)
 
 
-register("m1_column_profile", _profile_sql())(lambda spark, sf: column_profile(table(spark, sf, "customer")))
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "varchar", "c_nationkey": "integer", "c_acctbal": "double", "c_mktsegment": "varchar"}
+register("m1_column_profile", _profile_sql({n: (t, n) for n, t in _CUSTOMER.items()}, "customer"))(
+    lambda spark, sf: column_profile(table(spark, sf, "customer")))
+
+# name -> type name, DuckDB expression, Spark expression; NULLs in every second row of some
+_TYPED = {
+    "flag": ("boolean", "o_orderkey % 3 = 0", "o_orderkey % 3 = 0"),
+    "tiny": ("tinyint", "CAST(o_orderkey % 100 AS TINYINT)", "CAST(o_orderkey % 100 AS TINYINT)"),
+    "small": ("smallint", "CAST(-(o_orderkey % 10000) AS SMALLINT)", "CAST(-(o_orderkey % 10000) AS SMALLINT)"),
+    "price": ("decimal(14,2)", "CAST(floor(o_totalprice) AS DECIMAL(14, 2))", "CAST(floor(o_totalprice) AS DECIMAL(14, 2))"),
+    "day": ("date", "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+    "noon": ("timestamp", "CAST(o_orderdate AS DATE) + INTERVAL 12 HOUR", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ) + INTERVAL 12 HOURS"),
+    "raw": ("varbinary", "CAST(o_orderstatus AS BLOB)", "CAST(o_orderstatus AS BINARY)"),
+    "ids": ("array(bigint)", "[o_orderkey, o_custkey]", "array(o_orderkey, o_custkey)"),
+    "odd": ("bigint", "CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END", "CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END"),
+}
+
+
+@register("m1_profile_types", _profile_sql({n: (t, x) for n, (t, x, _) in _TYPED.items()}, "orders"))
+def m1_profile_types(spark, sf):
+    return column_profile(table(spark, sf, "orders").selectExpr(*[f"{x} AS {n}" for n, (_, _, x) in _TYPED.items()]))

@@ -253,3 +253,17 @@ def test_zip_object_and_values(spark):
     obj = spark.createDataFrame([("""{"a":"1","b":1,"c":null,"it's":[1, 2]}""",)], "j string")
     names = F.array(*[F.lit(k) for k in ("a", "b", "c", "it's", "zz")])
     assert obj.select(J.values_of("j", names).alias("v")).collect()[0].v == ['"1"', "1", "null", "[1,2]", None]
+
+
+def test_declared_kind_and_passed_zone(spark):
+    df = spark.createDataFrame([("2024-01-01 12:00:00.000",), ("2024-01-01 12:00:00.000 +08:00",), ("2024-01-01 12:00:00.000 +0800",),
+                                ("2024-01-01 12:00:00.000 Asia/Shanghai",)], "t string")
+    millis = lambda d, **kw: [r[0] for r in d.select(F.unix_millis(C.to_timestamp_zoned("t", **kw))).collect()]
+    noon = 1704110400000
+    assert millis(df) == [noon, noon - 28800000, noon - 28800000, noon - 28800000]
+    assert millis(df.limit(1), zone="+02:00", zoned=False) == [noon - 7200000]
+    assert millis(df.limit(1), zone="America/New_York") == [noon + 18000000]
+    with pytest.raises(Exception, match="bad timestamp"):
+        millis(df, zoned=True)
+    with pytest.raises(Exception, match="bad timestamp"):
+        millis(df, zoned=False)

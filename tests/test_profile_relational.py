@@ -86,3 +86,12 @@ def test_semi_join_uses_distinct_keys(spark):
     assert sorted(r.lk for r in out.collect()) == [1, 2, 3]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan
+
+
+def test_declared_time_and_arrays():
+    from pyspark.sql import types as T
+
+    if hasattr(T, "TimeType"):
+        assert profile.declared(T.TimeType())[:2] == ("time", 92)
+    assert profile.declared(T.TimestampNTZType())[1] == profile.declared(T.TimestampType())[1] == 93
+    assert profile.element_code(T.ArrayType(T.DateType())) == 91 and profile.element_code(T.DateType()) is None
