@@ -3,6 +3,8 @@ broadcasts and connected components."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,12 @@ class Scratch:
     """Written tables in the shared folder, one sub-folder per name.
 
     They cut lineage and survive lost executors. `drop` deletes a table as
-    soon as nothing reads it any more; the whole folder goes when the driver's
-    file system handle closes.
+    soon as nothing reads it any more; the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = shared_dir(spark, "llm", name)
-        self._fs(self.root).deleteOnExit(self._path(self.root))
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,6 +87,13 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def with_constant(value: bytes, use: Callable[[Column], Column]) -> Column:
+    """`use(c)` with c standing for a large constant. As the only element of a
+    constant array it is a plain reference for every row, and the plan's text
+    shows the array, not its bytes."""
+    return F.get(F.transform(F.array(F.lit(value)), use), F.lit(0))
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b longs); root is the smallest
     node of the component.

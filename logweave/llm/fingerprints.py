@@ -15,9 +15,12 @@ word, or 1 if the fingerprints are equal. A text with fewer than `min_words`
 lexicon words has a hash of the whole text as its fingerprint.
 
 At most (mean distinct words of a text) / `low` words can be in the band, so
-the lexicon is bounded whatever the corpus; it is sent to every task if its
-written size allows, else the words are shuffled to it. DataFrame expressions
-only.
+the lexicon is bounded whatever the corpus. It is packed into a hash table of
+bytes, a constant of the expressions: each word has a mark of 7 bits at one of
+two places. So a text finds its lexicon words without being taken apart into
+rows, and the texts are shuffled once, to meet their successors. (About one
+other word in five hundred matches a mark by chance; it then counts as a lexicon
+word, in every text alike.) DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, keyed_texts, words_of
+from logweave.llm.common import keyed_texts, with_constant, words_of
 
 #: Subsets of a family, and for each family the bits that tell its subsets
 #: apart and how many of those bits' values are subsets (1 / 2**thin of them).
@@ -42,12 +45,13 @@ def terms(text: Column | str) -> Column:
 
 
 def lexicon(texts: DataFrame, low: float = 1e-3, high: float = 0.1) -> DataFrame:
-    """(term) of every word in between `low` and `high` of the rows of `texts` (text)."""
+    """(term) of every word in between `low` and `high` of the rows of `texts`
+    (text), and in two of them at least."""
     if not 0 < low <= high <= 1:
         raise ValueError("0 < low <= high <= 1 is needed")
     n = texts.count()
     counts = texts.select(F.explode(terms("text")).alias("term")).groupBy("term").count()
-    return counts.where(F.col("count").between(low * n, high * n)).select("term")
+    return counts.where(F.col("count").between(max(2, low * n), high * n)).select("term")
 
 
 def _members(found: Column, family: int, thin: int, shift: int) -> Column:
@@ -105,17 +109,47 @@ def fingerprint_string(hashes: str, text: Column) -> Column:
                   ).otherwise(F.concat(F.lit("t"), F.lower(F.hex(text))))
 
 
-def fingerprints(scratch: Scratch, texts: DataFrame, words: DataFrame, keys: list[str], min_words: int = 4) -> DataFrame:
-    """`texts` (keys, terms array, see `terms`) -> (keys, fp array) of the rows
-    with at least `min_words` words of the lexicon `words` (term, from table
-    `lexicon` of `scratch`)."""
-    rows = texts.select(*keys, F.explode("terms").alias("term"))
-    kept = rows.join(scratch.small(words, "lexicon"), "term")
-    found = kept.groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("found"))
-    return found.where(F.size("found") >= min_words).select(*keys, _subset_hashes(F.col("found")).alias("fp"))
+def packed(words: list[int]) -> bytes:
+    """The hash table of a lexicon of 63-bit hashes: 8 places a word, so that
+    nearly all find one of their two places free; the others are left out."""
+    size = 1 << max(16, min(MAX_BITS, (8 * max(len(words), 1) - 1).bit_length()))
+    table = bytearray(size)
+    for w in sorted(words):
+        mark = (w >> 56) + 1 if w >> 56 < 127 else 127
+        spots = (w & (size - 1), (w >> MAX_BITS) & (size - 1))
+        if any(table[x] == mark for x in spots):
+            continue
+        free = next((x for x in spots if not table[x]), None)
+        if free is not None:
+            table[free] = mark
+    return bytes(table)
 
 
-MAX_RANGES = 1 << 14
+def lexicon_words(found: Column, table: Column, size: int) -> Column:
+    """The terms of an array that are in the packed lexicon of `size` bytes, sorted."""
+
+    def at(place: Column) -> Column:
+        spot = place.bitwiseAND(F.lit(size - 1).cast("long")).cast("int") + 1
+        return F.ascii(F.substring(table, spot, 1).cast("string"))
+
+    def within(t: Column) -> Column:
+        mark = F.least(F.shiftright(t, 56).cast("int") + 1, F.lit(127))
+        return (at(t) == mark) | (at(F.shiftright(t, MAX_BITS)) == mark)
+
+    return F.sort_array(F.filter(found, within))
+
+
+def fingerprint(text: Column, table: bytes, min_words: int = 4) -> Column:
+    """The subset hashes of a text, empty for fewer than `min_words` lexicon words."""
+    own = F.array(with_constant(table, lambda t: lexicon_words(terms(text), t, len(table))))
+    hashes = F.transform(own, lambda found: F.when(
+        F.size(found) >= min_words, _subset_hashes(found)).otherwise(F.array().cast("array<bigint>")))
+    return F.get(hashes, F.lit(0))
+
+
+#: Binary logarithm of the largest packed lexicon.
+MAX_BITS = 24
+MAX_RANGES = 1 << 16
 
 
 def with_ranges(docs: DataFrame, rows_each: int = 256) -> DataFrame:
@@ -157,24 +191,18 @@ def edited_fingerprints(docs: DataFrame, low: float = 1e-3, high: float = 0.1) -
     near_next) for every row; a null text is an empty one, rows with one id
     follow each other by the hash of their text, a single row is its own next.
     """
-    scratch = Scratch(docs.sparkSession, "fingerprints")
-    words = scratch.write(lexicon(docs.select(F.coalesce("text", F.lit("")).alias("text")), low, high), "lexicon")
+    own = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    table = packed([r["term"] for r in lexicon(own, low, high).toLocalIterator()])
     line = W.partitionBy("part").orderBy("guest", "did", "th")
-    keys = ["part", "place"]
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = with_ranges(docs).withColumn("place", F.row_number().over(line)).withColumn("next", F.coalesce(F.lead("text").over(line), F.lit("")))
+    rows = with_ranges(docs).withColumn("next", F.coalesce(F.lead("text").over(line), F.lit("")))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut)))
-    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("s")), F.struct(
-        F.lit(1).alias("side"), F.col("edited").alias("s")))).alias("v")).select(*keys, "v.side", terms("v.s").alias("terms"))
-    fps = fingerprints(scratch, both, words, [*keys, "side"])
-    fps = fps.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("b"))
-    whole = rows.select(*keys, "guest", "did", "th", "doc_id", n.cast("long").alias("n_chars"), "edited",
-                        F.xxhash64("text").alias("ta"), F.xxhash64("edited").alias("tb")).join(fps, keys, "left")
-    named = whole.withColumn("fingerprint", fingerprint_string("a", F.col("ta"))).withColumn(
-        "edited_fingerprint", fingerprint_string("b", F.col("tb")))
-    after = named.withColumn("na", F.lead("a").over(line)).withColumn("next_fingerprint", F.lead("fingerprint").over(line))
-    return after.where("guest = 0").select(
-        "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
+    rows = rows.withColumn("a", fingerprint(F.col("text"), table)).withColumn("b", fingerprint(F.col("edited"), table))
+    rows = rows.withColumn("fingerprint", fingerprint_string("a", F.xxhash64("text")))
+    after = rows.withColumn("na", F.lead("a").over(line)).withColumn("next_fingerprint", F.lead("fingerprint").over(line))
+    named = after.where("guest = 0").withColumn("edited_fingerprint", fingerprint_string("b", F.xxhash64("edited")))
+    return named.select(
+        "doc_id", n.cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
         likeness("a", "b", F.col("fingerprint") == F.col("edited_fingerprint")).alias("near_edited"),
         likeness("a", "na", F.col("fingerprint") == F.col("next_fingerprint")).alias("near_next"))
