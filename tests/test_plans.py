@@ -62,3 +62,29 @@ def test_scans_read_only_needed_columns(spark):
     schema = [l for l in plan.splitlines() if l.startswith("ReadSchema")][0]
     fields = schema.split("struct<", 1)[1].rstrip(">").split(",")
     assert [f.split(":")[0] for f in fields] == ["l_orderkey", "l_linenumber", "l_extendedprice", "l_tax"]
+
+
+def test_good_requests_pick_the_token_once(spark):
+    """W8's family renders the line and picks the token as often as W1 does:
+    no second copy in a pushed filter (its own `ds` adds one date_format)."""
+    w1 = _plan(spark, "w1_request_records")
+    for name, extra in (("w8_partition_layout", 1), ("h3_pseudonymised_records", 0)):
+        plan = _plan(spark, name)
+        assert plan.count("date_format") <= w1.count("date_format") + extra, name
+        assert "substring_index" not in plan or plan.count("substring_index") <= w1.count("substring_index"), name
+
+
+def test_json_is_parsed_twice_for_all_getters(spark):
+    for name in ("n1_strict_get", "n2_lenient_get"):
+        plan = _plan(spark, name)
+        assert plan.count("parseJson") + plan.count("try_parse_json") <= 2, name
+        assert plan.count("from_json") <= 2 and plan.count("get_json_object") <= 3, name
+
+
+def test_insert_is_rebalanced(spark):
+    """The plan that writes a partition insert spreads a hot day over tasks."""
+    from logweave.plans.web import good_records
+    from logweave.operators import weblog
+
+    rows = weblog.partition_layout(good_records(spark, SF_SMALL), "20240101").hint("rebalance", "ds")
+    assert "REBALANCE" in rows._jdf.queryExecution().executedPlan().toString()
