@@ -198,7 +198,7 @@ SELECT c_custkey, {_hmac_sql('c_name', 'sha256')} AS name_hmac,
 FROM customer""")
 def h3_keyed_hash(spark, sf):
     c = table(spark, sf, "customer")
-    return c.select("c_custkey", H.hmac_hex("c_name", HMAC_KEY).alias("name_hmac"),
+    return c.select("c_custkey", H.hmac_hex("c_name", H.key_pads(spark, HMAC_KEY)).alias("name_hmac"),
                     H.hmac_base64("c_name", HMAC_KEY, "sha1").alias("name_sig"))
 
 
@@ -211,8 +211,9 @@ FROM records WHERE NOT rejected""")
 def h3_pseudonymised_records(spark, sf):
     """W1 records with the personal fields replaced by keyed hashes."""
     r = good_records(spark, sf)
-    return r.select("event_id", "city", H.hmac_hex("mobile", HMAC_KEY).alias("mobile_key"),
-                    H.hmac_hex("imsi", HMAC_KEY).alias("imsi_key"))
+    pads = H.key_pads(spark, HMAC_KEY)
+    return r.select("event_id", "city", H.hmac_hex("mobile", pads).alias("mobile_key"),
+                    H.hmac_hex("imsi", pads).alias("imsi_key"))
 
 
 # M1 ------------------------------------------------------------------------

@@ -267,3 +267,12 @@ def test_declared_kind_and_passed_zone(spark):
         millis(df, zoned=True)
     with pytest.raises(Exception, match="bad timestamp"):
         millis(df, zoned=False)
+
+
+def test_key_pads_stay_out_of_plans(spark):
+    key = b"secret-key"
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    out = df.select(H.hmac_hex("t", H.key_pads(spark, key)).alias("h"))
+    assert [r.h for r in out.collect()] == [hmac.new(key, b"a", hashlib.sha256).hexdigest(), None]
+    text = out._jdf.queryExecution().toString().lower()
+    assert not any(pad.hex() in text for pad in H._pads(key, "sha256"))
