@@ -3,6 +3,7 @@ broadcasts and connected components."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,16 @@ class Scratch:
         for name in names:
             path = f"{self.root}/{name}"
             self._fs(path).delete(self._path(path), True)
+        self.release()
+
+    def release(self) -> None:
+        """Let executors delete the shuffle files of the jobs that are done.
+
+        Spark does so when the driver's garbage collector finds their plans,
+        which on a driver with a large heap can be after the whole operator.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def small(self, df: DataFrame, name: str, factor: int = 4) -> DataFrame:
         """`df` (read from table `name`) with a broadcast hint if the written

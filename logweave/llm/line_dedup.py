@@ -10,9 +10,9 @@ more; judged on the input, so a removed line still removes later ones.
 2. Lines with equal sets collapse to their earliest line before any join.
 3. Prefix filter: of n words in order of rarity, two similar sets share one of
    the first n - ceil(t*n) + 1. Length and positional filters bound the
-   overlap that a shared prefix word still allows, and a 128-bit map of the
+   overlap that a shared prefix word still allows, and a 64-bit map of the
    words bounds it from above once more (words of one set whose bit is not set
-   in the other are surely missing there).
+   in the other are surely missing there), all within the join.
 4. Two passes. First each line meets only the earliest document that holds
    one of its three rarest words, where many lines do; in a dense group this settles almost all
    lines with one candidate each. Then the lines not settled meet all earlier
@@ -32,31 +32,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACES, Scratch, doc_order, keyed_texts, words_of
+from logweave.llm.common import LOWEST, SPACES, Scratch, doc_order, keyed_texts, with_constant, words_of
 
 BUCKETS = 1 << 20
 #: Words of at least this share of all words are told apart by frequency; the
 #: others count as equally rare.
-FREQUENT = 1e-6
+FREQUENT = 3e-7
 #: Number of the rarest words looked at in the first pass, and the least number
 #: of lines that share one of them to be worth it there. Neither changes the
 #: result: the second pass covers whatever the first leaves.
 FIRST = 3
-DENSE = 16
+DENSE = 4
 KEY = ["did", "th", "line"]
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+def _short(h: Column) -> Column:
+    """The upper half of a word's hash: enough to count by."""
+    return F.shiftright(h, 32).cast("int")
+
+
+def _bucket(short: Column) -> Column:
+    return short.bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _rarity_table(docs: DataFrame) -> bytes:
     """A byte for each hash bucket: twice the binary logarithm of the count of
     the bucket's most frequent word, 0 if that is below a share of FREQUENT of
-    all words. At most 1 / FREQUENT words reach that share, so what comes to
+    all words that occur twice. At most 1 / FREQUENT words reach that share, so what comes to
     the driver is bounded whatever the corpus."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w")).select(F.xxhash64("w").alias("h"))
-    counts = words.groupBy("h").count()
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w")).select(_short(F.xxhash64("w")).alias("h"))
+    counts = words.groupBy("h").count().where("count > 1")
     tops = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max("count").alias("n"), F.sum("count").alias("all"))
     rows = tops.withColumn("total", F.sum("all").over(W.partitionBy(F.lit(1)))).where(F.col("n") >= F.col("total") * FREQUENT).collect()
     table = bytearray(BUCKETS)
@@ -74,60 +79,71 @@ def _min_overlap(na: Column, nb: Column, t: float) -> Column:
     return F.ceil(F.lit(t) / (1 + t) * (na + nb) - F.lit(1e-9))
 
 
-def _bitmap(codes: Column) -> list[Column]:
-    """128 bits, one by the low bits of each code, as two longs."""
-    return [
-        F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: F.when(
-            x.bitwiseAND(F.lit(64).cast("long")) == 64 * k,
-            acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))),
-        ).otherwise(acc)).alias(f"m{k}")
-        for k in range(2)]
+def _bitmap(codes: Column) -> Column:
+    """64 bits, one by the low bits of each code."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
 def _prefix_tokens(sets: DataFrame) -> DataFrame:
-    """(token, h, did, until, n, j) of every prefix word of every set: earlier
-    lines are sought in documents up to `until`, nowhere if that is null."""
-    return sets.select("h", "did", "until", "n", F.posexplode("prefix").alias("j", "token"))
+    """(token, h, did, m, meta, j) of every prefix word of every set. meta is
+    the set's size and, in its lowest bit, whether earlier matches are sought
+    (column `open`). No key is null; without saying so the optimizer would put
+    a filter of its own under each side of a join of the tokens with
+    themselves, and shuffle them twice."""
+    known = sets.where("h IS NOT NULL AND did IS NOT NULL AND n IS NOT NULL")
+    meta = F.shiftleft(F.col("n").cast("long"), 1) + F.col("open").cast("int")
+    return known.select("h", "did", "m", meta.alias("meta"), F.posexplode("prefix").alias("j", "token"))
 
 
 def _candidates(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
-    """(a, b) set hashes of pairs that share a prefix word and pass the length
-    and positional filters; a stands in no later document than b."""
+    """(a, b) set hashes of pairs that share a prefix word and pass the length,
+    positional and bitmap filters; b is open and a in no later document. Both
+    sides use the same columns, so a join of one table with itself is one
+    shuffle."""
     a, b = left.alias("a"), right.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
+    na, nb = F.shiftright("a.meta", 1), F.shiftright("b.meta", 1)
+    until = F.when(F.col("b.meta").bitwiseAND(F.lit(1).cast("long")) == 1, F.col("b.did")).otherwise(F.lit(LOWEST))
+    need = _min_overlap(na, nb, t)
     bound = F.least(na - F.col("a.j"), nb - F.col("b.j"))   # the shared word and what may follow it
+    missing = lambda x, y: F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m"))))
     return a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.col("a.did") <= F.col("b.until")) & (F.col("a.h") != F.col("b.h"))
-        & (F.least(na, nb) >= F.ceil(F.lit(t) * F.greatest(na, nb) - F.lit(1e-9)))
-        & (bound >= _min_overlap(na, nb, t))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+        (F.col("a.did") <= until) & (F.col("a.h") != F.col("b.h"))
+        & (F.least(na, nb) >= F.ceil(F.lit(t) * F.greatest(na, nb) - F.lit(1e-9))) & (bound >= need)
+        & (na - missing("a", "b") >= need) & (nb - missing("b", "a") >= need)).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
 
 
 def _verified(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: float, name: str) -> DataFrame:
     """(h) of the later set of every candidate pair that is similar enough."""
     pairs = scratch.write(pairs.distinct(), f"pairs_{name}")
     ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), f"ends_{name}")
-    info = scratch.write(
-        sets.select("h", *KEY, "n", "m0", "m1").join(scratch.small(ends, f"ends_{name}"), "h"), f"info_{name}")
+    info = scratch.write(sets.select("h", *KEY).join(scratch.small(ends, f"ends_{name}"), "h"), f"info_{name}")
     side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in info.columns])
     both = pairs.join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b"))
     earlier = F.struct(*[F.col(f"{c}_a") for c in KEY]) < F.struct(*[F.col(f"{c}_b") for c in KEY])
-    missing = lambda x, y: sum(
-        (F.bit_count(F.col(f"m{k}_{x}").bitwiseAND(F.bitwise_not(F.col(f"m{k}_{y}")))) for k in range(2)), F.lit(0))
-    need = _min_overlap(F.col("n_a"), F.col("n_b"), t)
-    close = both.where(earlier).where((F.col("n_a") - missing("a", "b") >= need) & (F.col("n_b") - missing("b", "a") >= need))
-    close = scratch.write(close.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in KEY]), f"close_{name}")
+    close = scratch.write(both.where(earlier).select("a", "b", *[f"{c}_{s}" for s in "ab" for c in KEY]), f"close_{name}")
     # the words of those lines only: whole documents are matched first, lines next
     wanted = close.select(*[F.col(f"{c}_a").alias(c) for c in KEY]).unionByName(close.select(*[F.col(f"{c}_b").alias(c) for c in KEY]))
     wanted = scratch.write(wanted.groupBy("did", "th").agg(F.collect_set("line").alias("wanted")), f"wanted_{name}")
     found = keyed_texts(docs).join(scratch.small(wanted, f"wanted_{name}"), ["did", "th"]).select(
         "did", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.array_contains("wanted", F.col("line")))
     words = scratch.write(found.select(*KEY, F.array_distinct(words_of("s")).alias("words")), f"words_{name}")
-    side = lambda s: words.select(*[F.col(c).alias(f"{c}_{s}") for c in KEY], F.col("words").alias(f"words_{s}"))
-    full = close.join(side("a"), [f"{c}_a" for c in KEY]).join(side("b"), [f"{c}_b" for c in KEY])
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b") - common
-    out = scratch.write(full.where(common >= F.lit(t) * union - F.lit(1e-9)).select(F.col("b").alias("h")).distinct(), f"similar_{name}")
-    scratch.drop(*[f"{part}_{name}" for part in ("pairs", "ends", "info", "close", "wanted", "words")])
+    scratch.drop(*[f"{part}_{name}" for part in ("pairs", "ends", "info", "wanted")])
+
+    def similar(rows: DataFrame, part: str) -> DataFrame:
+        side = lambda s: words.select(*[F.col(c).alias(f"{c}_{s}") for c in KEY], F.col("words").alias(f"words_{s}"))
+        full = rows.join(side("a"), [f"{c}_a" for c in KEY]).join(side("b"), [f"{c}_b" for c in KEY])
+        common = F.size(F.array_intersect("words_a", "words_b"))
+        union = F.size("words_a") + F.size("words_b") - common
+        return scratch.write(full.where(common >= F.lit(t) * union - F.lit(1e-9)).select(F.col("b").alias("h")).distinct(), f"similar_{name}_{part}")
+
+    # one earlier line settles a line: first each against its earliest partner, then
+    # whatever is left against all of its partners
+    keys = [f"{c}_{s}" for s in "ab" for c in KEY]
+    one = similar(close.groupBy("b").agg(F.min(F.struct(*keys)).alias("k")).select("b", "k.*"), "one")
+    left = scratch.write(close.join(scratch.small(one, f"similar_{name}_one").withColumnRenamed("h", "b"), "b", "left_anti").select("b", *keys), f"left_{name}")
+    out = scratch.write(one.unionByName(similar(left, "all")), f"similar_{name}")
+    scratch.drop(*[f"{part}_{name}" for part in ("close", "words", "left")], f"similar_{name}_one", f"similar_{name}_all")
     return out
 
 
@@ -142,35 +158,39 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    rarity = F.lit(_rarity_table(docs))
 
-    def code(h: Column) -> Column:
-        # rarity in the high bits, 56 bits of the word's hash below: ascending order is order of rarity
-        rare = F.ascii(F.substring(rarity, _bucket(h) + 1, 1).cast("string")).cast("long")
-        return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def codes(rarity: Column) -> Column:
+        def code(h: Column) -> Column:
+            # rarity in the high bits, 56 bits of the word's hash below: ascending order is order of rarity
+            rare = F.ascii(F.substring(rarity, _bucket(_short(h)) + 1, 1).cast("string")).cast("long")
+            return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+        hashes = F.transform(words_of("s"), lambda w: F.xxhash64(w))
+        return F.sort_array(F.transform(F.array_distinct(hashes), code))
 
-    hashes = F.transform(words_of("s"), lambda w: F.xxhash64(w))
-    coded = text_lines(docs).select(*KEY, F.sort_array(F.transform(F.array_distinct(hashes), code)).alias("codes"))
+    coded = text_lines(docs).select(*KEY, with_constant(_rarity_table(docs), codes).alias("codes"))
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int"))
     # short lines are filtered on the written table: a filter here would code every line twice
     lines = scratch.write(
         coded.select(*KEY, F.xxhash64("codes").alias("h"), n.alias("n"), F.transform(prefix, lambda x: F.hash(x)).alias("prefix"),
-                     *_bitmap(F.col("codes"))), "lines").where(F.col("n") >= min_words)
+                     _bitmap(F.col("codes")).alias("m")), "lines").where(F.col("n") >= min_words)
     # equal sets: their earliest line stands for all; every other attribute follows from the set
-    first = F.min(F.struct(*KEY, "n", "prefix", "m0", "m1")).alias("f")
+    first = F.min(F.struct(*KEY, "n", "prefix", "m")).alias("f")
     sets = scratch.write(lines.groupBy("h").agg(first).select("h", "f.*"), "sets")
+    scratch.release()
 
-    rare = _prefix_tokens(sets.withColumn("until", F.col("did"))).where(F.col("j") < FIRST)
+    rare = _prefix_tokens(sets.withColumn("open", F.lit(True))).where(F.col("j") < FIRST)
     earliest = scratch.write(
-        rare.groupBy("token").agg(F.min("did").alias("did"), F.count("*").alias("k")).where(F.col("k") >= DENSE).select("token", "did"), "earliest")
-    pivots = scratch.write(rare.join(earliest, ["token", "did"]), "pivots")
-    settled = _verified(scratch, docs, sets, _candidates(pivots, rare, threshold), threshold, "first")
-    scratch.drop("earliest", "pivots")
+        rare.groupBy("token").agg(F.min("did").alias("of"), F.count("*").alias("k")).where(F.col("k") >= DENSE).select("token", "of"), "earliest")
+    dense = scratch.write(rare.join(scratch.small(earliest, "earliest"), "token"), "dense")
+    pivots = dense.where("did = of").drop("of")
+    settled = _verified(scratch, docs, sets, _candidates(pivots, dense.drop("of"), threshold), threshold, "first")
+    scratch.drop("earliest", "dense")
 
-    marked = sets.select("h", "did", "n", "prefix").join(
+    marked = sets.select("h", "did", "n", "m", "prefix").join(
         scratch.small(settled, "similar_first").withColumn("settled", F.lit(True)), "h", "left")
-    tokens = _prefix_tokens(marked.withColumn("until", F.when(F.col("settled").isNull(), F.col("did"))))
+    tokens = _prefix_tokens(marked.withColumn("open", F.col("settled").isNull()))
     rest = _verified(scratch, docs, sets, _candidates(tokens, tokens, threshold), threshold, "rest")
 
     similar = settled.unionByName(rest).distinct().withColumn("similar", F.lit(True))

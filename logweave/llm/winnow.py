@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, ascii_lower, doc_order
+from logweave.llm.common import Scratch, ascii_lower, doc_order, keyed_texts
 
 #: What separates words: ASCII other than digits and lower-case letters.
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
@@ -102,8 +102,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) ->
         own = items.where(F.size("words") >= window) if n == window else items.where(F.size("words") == n)
         grams = scratch.write(_windows(own, n).select("item_id", "gram").distinct(), f"grams_{n}")
         keys = scratch.write(found.where(F.col("length") == n).select("did", "th"), f"keys_{n}")
-        again = texts.join(scratch.small(keys, f"keys_{n}"), ["did", "th"])
-        match = _windows(again, n).join(scratch.small(grams, f"grams_{n}"), "gram").select(
+        again = keyed_texts(docs).join(scratch.small(keys, f"keys_{n}"), ["did", "th"])
+        match = _windows(again.select("did", "th", item_words("text").alias("words")), n).join(scratch.small(grams, f"grams_{n}"), "gram").select(
             "did", "th", "item_id", F.col("s").cast("int").alias("s"), F.lit(n).alias("length"))
         starts = match if starts is None else starts.unionByName(match)
     runs = F.collect_set(F.struct("s", "length"))
