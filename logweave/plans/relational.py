@@ -176,6 +176,15 @@ def a3_json_key_counter(spark, sf):
     return aggregates.json_key_counter(table(spark, sf, "events"), "props", "k")
 
 
+@register("a3_quoted_key", """
+SELECT CASE WHEN event_type = 'view' THEN json_extract_string(props, '$.k') END AS value, count(*) AS n FROM events GROUP BY 1""")
+def a3_quoted_key(spark, sf):
+    """A key with a quote, which only some rows have."""
+    key = F.when(F.col("event_type") == "view", F.lit("it's")).otherwise(F.lit("its"))
+    text = F.concat(F.lit('{"'), key, F.lit('": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    return aggregates.json_key_counter(table(spark, sf, "events").select(text.alias("j")), "j", "it's")
+
+
 # the value is NULL for errors, so a NULL's count shows
 A4_EVENTS = "(SELECT user_id, CASE WHEN event_type <> 'error' THEN event_type END AS kind FROM events)"
 
