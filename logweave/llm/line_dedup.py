@@ -10,15 +10,17 @@ more; judged on the input, so a removed line still removes later ones.
 2. Lines with equal sets collapse to their earliest line before any join.
 3. Prefix filter: of n words in order of rarity, two similar sets share one of
    the first n - ceil(t*n) + 1. Length and positional filters bound the
-   overlap that a shared prefix word still allows, and a 64-bit map of the
-   words bounds it from above once more (words of one set whose bit is not set
+   overlap that a shared prefix word still allows, and a 128-bit map of
+   the words bounds it from above once more (words of one set whose bit is not set
    in the other are surely missing there), all within the join.
 4. Two passes. First each line meets only the earliest document that holds
-   one of its three rarest words, where many lines do; in a dense group this settles almost all
-   lines with one candidate each. Then the lines not settled meet all earlier
-   lines with a common prefix word. So a large group of near copies never
-   yields all its pairs, and no candidate of an unsettled line is dropped.
-5. What is left is verified on the words themselves.
+   one of its three rarest words, where several lines do; in a dense group this
+   settles almost all lines with one candidate each. Then the lines not settled
+   meet all earlier lines with a common prefix word. So a large group of near
+   copies never yields all its pairs, and no candidate of an unsettled line is
+   dropped.
+5. Candidates are verified on 64-bit hashes of their words: each line against its
+   earliest partner, and where that fails against all of them.
 
 Everything is DataFrame expressions; hot prefix words are split by adaptive
 execution, since both sides of the joins are read from written tables.
@@ -58,8 +60,8 @@ def _bucket(short: Column) -> Column:
 def _rarity_table(docs: DataFrame) -> bytes:
     """A byte for each hash bucket: twice the binary logarithm of the count of
     the bucket's most frequent word, 0 if that is below a share of FREQUENT of
-    all words that occur twice. At most 1 / FREQUENT words reach that share, so what comes to
-    the driver is bounded whatever the corpus."""
+    all words that occur twice. What comes to the driver is one row a bucket at
+    most, whatever the corpus."""
     words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w")).select(_short(F.xxhash64("w")).alias("h"))
     counts = words.groupBy("h").count().where("count > 1")
     tops = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max("count").alias("n"), F.sum("count").alias("all"))
@@ -79,21 +81,24 @@ def _min_overlap(na: Column, nb: Column, t: float) -> Column:
     return F.ceil(F.lit(t) / (1 + t) * (na + nb) - F.lit(1e-9))
 
 
-def _bitmap(codes: Column) -> Column:
-    """64 bits, one by the low bits of each code."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+def _bitmap(codes: Column) -> list[Column]:
+    """128 bits, one by the low bits of each code, as two longs."""
+    low = lambda x, bits: x.bitwiseAND(F.lit(bits).cast("long"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), low(x, 63).cast("int"))
+    half = lambda k: F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: F.when(
+        low(x, 64) == 64 * k, acc.bitwiseOR(bit(x))).otherwise(acc))
+    return [half(0).alias("m0"), half(1).alias("m1")]
 
 
 def _prefix_tokens(sets: DataFrame) -> DataFrame:
-    """(token, h, did, m, meta, j) of every prefix word of every set. meta is
+    """(token, h, did, m0, m1, meta, j) of every prefix word of every set. meta is
     the set's size and, in its lowest bit, whether earlier matches are sought
     (column `open`). No key is null; without saying so the optimizer would put
     a filter of its own under each side of a join of the tokens with
     themselves, and shuffle them twice."""
     known = sets.where("h IS NOT NULL AND did IS NOT NULL AND n IS NOT NULL")
     meta = F.shiftleft(F.col("n").cast("long"), 1) + F.col("open").cast("int")
-    return known.select("h", "did", "m", meta.alias("meta"), F.posexplode("prefix").alias("j", "token"))
+    return known.select("h", "did", "m0", "m1", meta.alias("meta"), F.posexplode("prefix").alias("j", "token"))
 
 
 def _candidates(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
@@ -106,7 +111,8 @@ def _candidates(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     until = F.when(F.col("b.meta").bitwiseAND(F.lit(1).cast("long")) == 1, F.col("b.did")).otherwise(F.lit(LOWEST))
     need = _min_overlap(na, nb, t)
     bound = F.least(na - F.col("a.j"), nb - F.col("b.j"))   # the shared word and what may follow it
-    missing = lambda x, y: F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m"))))
+    lacks = lambda x, y, m: F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{m}"))))
+    missing = lambda x, y: lacks(x, y, "m0") + lacks(x, y, "m1")
     return a.join(b, F.col("a.token") == F.col("b.token")).where(
         (F.col("a.did") <= until) & (F.col("a.h") != F.col("b.h"))
         & (F.least(na, nb) >= F.ceil(F.lit(t) * F.greatest(na, nb) - F.lit(1e-9))) & (bound >= need)
@@ -116,18 +122,20 @@ def _candidates(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
 def _verified(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: float, name: str) -> DataFrame:
     """(h) of the later set of every candidate pair that is similar enough."""
     pairs = scratch.write(pairs.distinct(), f"pairs_{name}")
+    scratch.release()
     ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), f"ends_{name}")
     info = scratch.write(sets.select("h", *KEY).join(scratch.small(ends, f"ends_{name}"), "h"), f"info_{name}")
     side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in info.columns])
     both = pairs.join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b"))
     earlier = F.struct(*[F.col(f"{c}_a") for c in KEY]) < F.struct(*[F.col(f"{c}_b") for c in KEY])
     close = scratch.write(both.where(earlier).select("a", "b", *[f"{c}_{s}" for s in "ab" for c in KEY]), f"close_{name}")
-    # the words of those lines only: whole documents are matched first, lines next
+    # the words of those lines only, as hashes, which are smaller than the words to
+    # shuffle: whole documents are matched first, lines next
     wanted = close.select(*[F.col(f"{c}_a").alias(c) for c in KEY]).unionByName(close.select(*[F.col(f"{c}_b").alias(c) for c in KEY]))
     wanted = scratch.write(wanted.groupBy("did", "th").agg(F.collect_set("line").alias("wanted")), f"wanted_{name}")
     found = keyed_texts(docs).join(scratch.small(wanted, f"wanted_{name}"), ["did", "th"]).select(
         "did", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.array_contains("wanted", F.col("line")))
-    words = scratch.write(found.select(*KEY, F.array_distinct(words_of("s")).alias("words")), f"words_{name}")
+    words = scratch.write(found.select(*KEY, F.array_distinct(F.transform(words_of("s"), lambda w: F.xxhash64(w))).alias("words")), f"words_{name}")
     scratch.drop(*[f"{part}_{name}" for part in ("pairs", "ends", "info", "wanted")])
 
     def similar(rows: DataFrame, part: str) -> DataFrame:
@@ -165,18 +173,19 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
             rare = F.ascii(F.substring(rarity, _bucket(_short(h)) + 1, 1).cast("string")).cast("long")
             return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-        hashes = F.transform(words_of("s"), lambda w: F.xxhash64(w))
-        return F.sort_array(F.transform(F.array_distinct(hashes), code))
+        return F.transform("d", code)
 
-    coded = text_lines(docs).select(*KEY, with_constant(_rarity_table(docs), codes).alias("codes"))
-    n = F.size("codes")
+    # distinct and sort stay outside the lambdas, where they are compiled for longs
+    hashed = text_lines(docs).select(*KEY, F.array_distinct(F.transform(words_of("s"), lambda w: F.xxhash64(w))).alias("d"))
+    coded = hashed.select(*KEY, F.size("d").alias("n"), F.sort_array(with_constant(_rarity_table(docs), codes)).alias("codes"))
+    n = F.col("n")
     prefix = F.slice("codes", 1, (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int"))
     # short lines are filtered on the written table: a filter here would code every line twice
     lines = scratch.write(
-        coded.select(*KEY, F.xxhash64("codes").alias("h"), n.alias("n"), F.transform(prefix, lambda x: F.hash(x)).alias("prefix"),
-                     _bitmap(F.col("codes")).alias("m")), "lines").where(F.col("n") >= min_words)
+        coded.select(*KEY, F.xxhash64("codes").alias("h"), "n", F.transform(prefix, lambda x: F.hash(x)).alias("prefix"),
+                     *_bitmap(F.col("codes"))), "lines").where(F.col("n") >= min_words)
     # equal sets: their earliest line stands for all; every other attribute follows from the set
-    first = F.min(F.struct(*KEY, "n", "prefix", "m")).alias("f")
+    first = F.min(F.struct(*KEY, "n", "prefix", "m0", "m1")).alias("f")
     sets = scratch.write(lines.groupBy("h").agg(first).select("h", "f.*"), "sets")
     scratch.release()
 
@@ -188,7 +197,7 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
     settled = _verified(scratch, docs, sets, _candidates(pivots, dense.drop("of"), threshold), threshold, "first")
     scratch.drop("earliest", "dense")
 
-    marked = sets.select("h", "did", "n", "m", "prefix").join(
+    marked = sets.select("h", "did", "n", "m0", "m1", "prefix").join(
         scratch.small(settled, "similar_first").withColumn("settled", F.lit(True)), "h", "left")
     tokens = _prefix_tokens(marked.withColumn("open", F.col("settled").isNull()))
     rest = _verified(scratch, docs, sets, _candidates(tokens, tokens, threshold), threshold, "rest")
