@@ -14,8 +14,8 @@ more; judged on the input, so a removed line still removes later ones.
    the words bounds it from above once more (words of one set whose bit is not set
    in the other are surely missing there), all within the join.
 4. Two passes. First each line meets only the earliest document that holds
-   one of its three rarest words, where several lines do; in a dense group this
-   settles almost all lines with one candidate each. Then the lines not settled
+   one of its eight rarest words; in a dense group this settles almost all
+   lines with a candidate or two each. Then the lines not settled
    meet all earlier lines with a common prefix word. So a large group of near
    copies never yields all its pairs, and no candidate of an unsettled line is
    dropped.
@@ -40,11 +40,10 @@ BUCKETS = 1 << 20
 #: Words of at least this share of all words are told apart by frequency; the
 #: others count as equally rare.
 FREQUENT = 3e-7
-#: Number of the rarest words looked at in the first pass, and the least number
-#: of lines that share one of them to be worth it there. Neither changes the
-#: result: the second pass covers whatever the first leaves.
-FIRST = 3
-DENSE = 4
+#: Number of the rarest words looked at in the first pass: enough that edits of
+#: a copy, which are its rarest words, leave some it shares. Does not change the
+#: result, the second pass covers whatever the first leaves.
+FIRST = 8
 KEY = ["did", "th", "line"]
 
 
@@ -191,11 +190,10 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
 
     rare = _prefix_tokens(sets.withColumn("open", F.lit(True))).where(F.col("j") < FIRST)
     earliest = scratch.write(
-        rare.groupBy("token").agg(F.min("did").alias("of"), F.count("*").alias("k")).where(F.col("k") >= DENSE).select("token", "of"), "earliest")
-    dense = scratch.write(rare.join(scratch.small(earliest, "earliest"), "token"), "dense")
-    pivots = dense.where("did = of").drop("of")
-    settled = _verified(scratch, docs, sets, _candidates(pivots, dense.drop("of"), threshold), threshold, "first")
-    scratch.drop("earliest", "dense")
+        rare.groupBy("token").agg(F.min("did").alias("of"), F.count("*").alias("k")).where("k > 1").select(F.col("token").alias("t"), "of"), "earliest")
+    pivots = rare.join(earliest, (F.col("token") == F.col("t")) & (F.col("did") == F.col("of"))).drop("t", "of")
+    settled = _verified(scratch, docs, sets, _candidates(pivots, rare, threshold), threshold, "first")
+    scratch.drop("earliest")
 
     marked = sets.select("h", "did", "n", "m0", "m1", "prefix").join(
         scratch.small(settled, "similar_first").withColumn("settled", F.lit(True)), "h", "left")
