@@ -14,7 +14,7 @@ more; judged on the input, so a removed line still removes later ones.
    the words bounds it from above once more (words of one set whose bit is not set
    in the other are surely missing there), all within the join.
 4. Two passes. First each line meets only the earliest document that holds
-   one of its eight rarest words; in a dense group this settles almost all
+   one of its six rarest words; in a dense group this settles almost all
    lines with a candidate or two each. Then the lines not settled
    meet all earlier lines with a common prefix word. So a large group of near
    copies never yields all its pairs, and no candidate of an unsettled line is
@@ -43,7 +43,7 @@ FREQUENT = 3e-7
 #: Number of the rarest words looked at in the first pass: enough that edits of
 #: a copy, which are its rarest words, leave some it shares. Does not change the
 #: result, the second pass covers whatever the first leaves.
-FIRST = 8
+FIRST = 6
 KEY = ["did", "th", "line"]
 
 
@@ -64,10 +64,10 @@ def _rarity_table(docs: DataFrame) -> bytes:
     words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w")).select(_short(F.xxhash64("w")).alias("h"))
     counts = words.groupBy("h").count().where("count > 1")
     tops = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max("count").alias("n"), F.sum("count").alias("all"))
-    rows = tops.withColumn("total", F.sum("all").over(W.partitionBy(F.lit(1)))).where(F.col("n") >= F.col("total") * FREQUENT).collect()
+    rows = tops.withColumn("total", F.sum("all").over(W.partitionBy(F.lit(1)))).where(F.col("n") >= F.col("total") * FREQUENT)
     table = bytearray(BUCKETS)
-    for row in rows:
-        table[row["b"]] = min(127, int(2 * math.log2(row["n"])))
+    for bucket, n in rows.select("b", "n").toLocalIterator():     # never all rows at once
+        table[bucket] = min(127, int(2 * math.log2(n)))
     return bytes(table)
 
 
@@ -191,7 +191,9 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
     rare = _prefix_tokens(sets.withColumn("open", F.lit(True))).where(F.col("j") < FIRST)
     earliest = scratch.write(
         rare.groupBy("token").agg(F.min("did").alias("of"), F.count("*").alias("k")).where("k > 1").select(F.col("token").alias("t"), "of"), "earliest")
-    pivots = rare.join(earliest, (F.col("token") == F.col("t")) & (F.col("did") == F.col("of"))).drop("t", "of")
+    # no document is before the earliest; as an inequality it leaves the word as the
+    # only join key, so that one shuffle of `rare` serves both joins
+    pivots = rare.join(earliest, (F.col("token") == F.col("t")) & (F.col("did") <= F.col("of"))).drop("t", "of")
     settled = _verified(scratch, docs, sets, _candidates(pivots, rare, threshold), threshold, "first")
     scratch.drop("earliest")
 
