@@ -122,7 +122,8 @@ def _verified(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFra
     """(h) of the later set of every candidate pair that is similar enough."""
     pairs = scratch.write(pairs.distinct(), f"pairs_{name}")
     scratch.release()
-    ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), f"ends_{name}")
+    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
+    ends = scratch.write(ends.distinct(), f"ends_{name}")
     info = scratch.write(sets.select("h", *KEY).join(scratch.small(ends, f"ends_{name}"), "h"), f"info_{name}")
     side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in info.columns])
     both = pairs.join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b"))
