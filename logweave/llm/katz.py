@@ -10,13 +10,16 @@ backoff weight that makes every context's distribution sum to exactly 1:
     P(w)       = d c(w) / N               for a word seen in training, and
     P(unseen)  = 1 - sum of P(w)          for any other (one class).
 
-All words are kept, with exact counts, however rare. A pair or triple is kept
-if it makes up at least the share `share` of all tokens; as one cannot be more
-frequent than its parts, only words, then pairs, of that share are looked at
-for the next order. At most 1 / share n-grams reach it, at every corpus size,
-so what scoring holds in memory is bounded: those n-grams, and the words of
-share `word_share`. Rarer words are looked up by a join on the full word table
-(no such word is frequent, so no key of that join is hot).
+All words, pairs and triples are kept, with exact counts, however rare. A pair
+or triple is a row (a, b): the key of its context and the key of the n-gram one
+order down that it ends with. Its own key is Spark's xxhash64 of the two, which
+tasks compute alike. Backoff weights are sums grouped by context; scoring looks
+triples up by a join, what misses goes on to pairs, then to words. The words of
+share `word_share` are held in memory for the base score, rarer ones are looked
+up by a join on the full word table.
+
+A caller that wants a model in memory instead names a `share`: then only pairs
+and triples of that share of all tokens are kept, at most 1 / share of them.
 
 A text is its words, ASCII-lower-cased, and one end token. Its score is the sum
 of the base-10 logarithms of its tokens' probabilities.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.bytewords import LOWER, NOT_SPACE, slices, word_counts, word_hashes, word_spans
+from logweave.llm.bytewords import LOWER, NOT_SPACE, mix, slices, word_counts, word_hashes, word_spans
 from logweave.llm.common import Scratch
 
 #: Counts up to K are discounted.
@@ -104,6 +107,66 @@ def _triple_keys(kept: Kept, toks: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return (pair[ok - 1] << WORD_BITS) | ids[ok]
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _xxhash64(values: np.ndarray, seed) -> np.ndarray:
+    """Spark's xxhash64 of longs."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (seed + _P5 + np.uint64(8)) ^ (turn(values * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams (a, b), as F.xxhash64("a", "b")."""
+    return _xxhash64(b, _xxhash64(a, np.full(1, 42, np.uint64)))
+
+
+def _pairs(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inner = np.ones(len(toks), bool)
+    inner[heads] = False
+    at = np.flatnonzero(inner)
+    return toks[at - 1], toks[at]
+
+
+def _triples(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inner = np.ones(len(toks), bool)
+    inner[heads] = False
+    at = np.flatnonzero(inner[1:] & inner[:-1]) + 1
+    keys = gram_keys(toks[:-1], toks[1:])
+    return keys[at - 2], keys[at - 1]
+
+
+def _gram_counts(texts: DataFrame, grams_of) -> DataFrame:
+    """(a, b, c) of all n-grams of `texts` (text). Counted in the task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            _, at, n = np.unique(gram_keys(a, b), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["a", "b", "c"])
+
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                toks, heads = tokens(part)
+                held.append(grams_of(toks, heads[:-1]))
+                size += len(held[-1][0])
+                if size >= BUFFER // 4:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    return texts.select("text").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
 def _counts(texts: DataFrame, keys_of) -> DataFrame:
     """(key, c) over all rows of `texts` (text): keys_of(tokens, heads) are the
     keys of one slice. Counted in the task first."""
@@ -159,6 +222,24 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Tables:
+    """All pairs and triples (key, c, p) and all contexts (key, back)."""
+
+    pairs: DataFrame
+    triples: DataFrame
+    words_before: DataFrame
+    pairs_before: DataFrame
+    scratch: Scratch                # where they are written
+
+
+def _factor(factors: np.ndarray, c: Column) -> Column:
+    out = F.lit(float(factors[K + 1]))
+    for r in range(1, K + 1):
+        out = F.when(c == r, F.lit(float(factors[r]))).otherwise(out)
+    return out
+
+
 @dataclass
 class Model:
     kept: Kept
@@ -169,16 +250,14 @@ class Model:
     unseen: float                   # log10 P of the class of unseen words
     total: int
     distinct: int
+    tables: Tables | None = None    # none: pairs and triples are those in memory
 
     def plain(self) -> tuple:
         return self.kept.plain(), self.logs, self.backs, self.counts, self.rare, self.unseen, self.total, self.distinct
 
     def word_log(self, c: Column) -> Column:
         """log10 P of a word of the full word table by its count (null: unseen)."""
-        factor = F.lit(1.0)
-        for r in range(1, K + 1):
-            factor = F.when(c == r, F.lit(float(self.rare[r]))).otherwise(factor)
-        return F.when(c > 0, F.log10(factor * c / F.lit(float(max(self.total, 1))))).otherwise(F.lit(self.unseen))
+        return F.when(c > 0, F.log10(_factor(self.rare, c) * c / F.lit(float(max(self.total, 1))))).otherwise(F.lit(self.unseen))
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -195,9 +274,10 @@ def _count_of_counts(df: DataFrame) -> dict[int, int]:
     return {r["c"]: r["n"] for r in df.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
 
 
-def fit(scratch: Scratch, texts: DataFrame, share: float = 2.5e-7, word_share: float = 1e-7) -> tuple[Model, DataFrame]:
-    """Learn from all rows of `texts` (text); (model, word table (key, c))."""
-    if not (2.0 ** -WORD_BITS < word_share <= share <= 1):
+def fit(scratch: Scratch, texts: DataFrame, share: float | None = None, word_share: float = 1e-7) -> tuple[Model, DataFrame]:
+    """Learn from all rows of `texts` (text); (model, word table (key, c)).
+    Without `share` all pairs and triples are kept, in tables."""
+    if not (2.0 ** -WORD_BITS < word_share <= (1 if share is None else share) <= 1):
         raise ValueError("word_share must be above 2**-24 and not above share")
     sc = texts.sparkSession.sparkContext
     words = scratch.write(_counts(texts, lambda toks, heads: toks).select(F.lit(1).alias("order"), "key", "c"), "ngrams_1", "order")
@@ -207,7 +287,7 @@ def fit(scratch: Scratch, texts: DataFrame, share: float = 2.5e-7, word_share: f
     by = np.argsort(key.view(np.uint64))
     kept = Kept(key.view(np.uint64)[by], np.zeros(0, np.int64), np.zeros(0, np.int64))
     counts = [c[by]]
-    for order, keys_of in ((2, _pair_keys), (3, _triple_keys)):
+    for order, keys_of in ((2, _pair_keys), (3, _triple_keys)) if share is not None else ():
         held = sc.broadcast(kept.plain())
         found = scratch.write(_counts(texts, _with(held, keys_of)).select(F.lit(order).alias("order"), "key", "c"), f"all_{order}")
         factors.append(discounts(_count_of_counts(found)))
@@ -227,6 +307,11 @@ def fit(scratch: Scratch, texts: DataFrame, share: float = 2.5e-7, word_share: f
         rare, left = factors[0] * total / (total + 1), 1 / (total + 1)
         d[0] = d[0] * total / (total + 1)
     p1 = d[0] * counts[0] / max(total, 1)
+    if share is None:
+        none = np.zeros(0)
+        model = Model(kept, [_log(p1), none, none], [none, none], counts[0], rare, float(np.log10(left)), int(total), int(distinct))
+        model.tables = _tables(scratch, texts, words.select("key", "c", F.pow(F.lit(10.0), model.word_log(F.col("c"))).alias("p")))
+        return model, words
     # pairs and triples: P of the kept, and the weight that spreads the rest over all others
     context, word = kept.pairs >> WORD_BITS, kept.pairs & ((1 << WORD_BITS) - 1)
     p2, a1 = _higher(context, d[1] * counts[1], counts[0], p1[word])
@@ -251,6 +336,32 @@ def _higher(context: np.ndarray, mass: np.ndarray, of: np.ndarray, lower: np.nda
     return p, np.where(held > 0, (1 - held / total) / np.maximum(base, 1e-12), 1.0)
 
 
+def _tables(scratch: Scratch, texts: DataFrame, words: DataFrame) -> Tables:
+    """Count all pairs and triples of `texts`; words: (key, c, p). As `_higher`,
+    by grouped sums."""
+    lower, name, made = words, "ngrams_1", []
+    for order, grams_of in ((2, _pairs), (3, _triples)):
+        found = scratch.write(_gram_counts(texts, grams_of), f"all_{order}")
+        scratch.release()
+        factors = discounts(_count_of_counts(found))
+        mass = _factor(factors, F.col("c")) * F.col("c")
+        below = scratch.small(lower.select(F.col("key").alias("b"), "p"), name)
+        sums = scratch.write(found.join(below, "b").groupBy("a").agg(F.sum(mass).alias("held"), F.sum("p").alias("base")), f"sums_{order}")
+        scratch.release()
+        of = scratch.small(lower.select(F.col("key").alias("a"), "c"), name)
+        total = F.when(F.col("held") > F.col("c") * (1 - 1e-9), F.col("held") + 1).otherwise(F.greatest("c", F.lit(1)))
+        back = (1 - F.col("held") / F.col("total")) / F.greatest(1 - F.col("base"), F.lit(1e-12))
+        before = sums.join(of, "a").withColumn("total", total.cast("double")).select("a", "total", back.alias("back"))
+        before = scratch.write(before, f"contexts_{order}")
+        scratch.drop(f"sums_{order}")
+        share = found.join(scratch.small(before.select("a", "total"), f"contexts_{order}"), "a")
+        lower, name = scratch.write(share.select(
+            F.lit(order).alias("order"), F.xxhash64("a", "b").alias("key"), "c", (mass / F.col("total")).alias("p")), f"ngrams_{order}", "order"), f"ngrams_{order}"
+        scratch.drop(f"all_{order}")
+        made.append((lower.select("key", "p"), before.select(F.col("a").alias("key"), "back")))
+    return Tables(made[0][0], made[1][0], made[0][1], made[1][1], scratch)
+
+
 def _with(held, keys_of):
     return lambda toks, heads: keys_of(Kept(*held.value), toks, heads)
 
@@ -286,8 +397,9 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) ->
     log10((c + 0.5) / (N + 0.5 (V + 1))); a null text has only its end token."""
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
     held = docs.sparkSession.sparkContext.broadcast(model.plain())
+    whole = model.tables is not None
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    schema = f"lw_row long, {kinds}n_tokens long, n_known long, base double, log double, rare array<long>, times array<int>"
+    schema = f"lw_row long, {kinds}n_tokens long, n_known long, base double, log double, rare array<long>, times array<int>" + ", toks array<long>" * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, *rest = held.value
@@ -309,12 +421,13 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) ->
                 offsets = pa.array(np.cumsum(sizes).astype(np.int32))
                 own = batch.slice(part.rows.start, part.rows.stop - part.rows.start)
                 sums = lambda x: np.add.reduceat(x, heads[:-1])  # noqa: E731  every text has a token
+                all_toks = [pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(toks.view(np.int64)))] if whole else []
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns[:-1], pa.array(np.diff(heads).astype(np.int64)), pa.array(sums((ids >= 0).astype(np.int64))),
                      pa.array(sums(base)), pa.array(sums(logs)),
                      pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes))),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))],
-                    names=["lw_row", *others, "n_tokens", "n_known", "base", "log", "rare", "times"])
+                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32))), *all_toks],
+                    names=["lw_row", *others, "n_tokens", "n_known", "base", "log", "rare", "times", *["toks"] * whole])
 
     rows = scratch.write(
         docs.select(F.monotonically_increasing_id().alias("lw_row"), *others, F.col("text").cast("string")).mapInArrow(run, schema), "rows")
@@ -325,6 +438,62 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) ->
         F.sum(F.col("times") * F.when(F.col("c") > 0, 1).otherwise(0)).alias("r_known"),
         F.sum(F.col("times") * floor).alias("r_base"), F.sum(F.col("times") * model.word_log(F.col("c"))).alias("r_log"))
     zero = F.lit(0)
+    if whole:
+        logs = _table_logs(scratch, rows.select("lw_row", "toks"), model, words)
+        answers = answers.drop("r_log")
+        rows = rows.drop("log", "toks").join(logs.withColumnRenamed("log", "r_log"), "lw_row", "left").withColumn("log", F.lit(0.0))
     return rows.drop("rare", "times").join(answers, "lw_row", "left").select(
         *others, "n_tokens", (F.col("n_known") + F.coalesce("r_known", zero)).alias("n_known"),
         (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"), (F.col("log") + F.coalesce("r_log", zero)).alias("score"))
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lw_row, a, v, w) of every token of (lw_row, toks): the key of the pair
+    before it, the word before it, the word. Before each text stand two words
+    made up from its row, which no table holds: so its first tokens back off,
+    and no key is null."""
+    for batch in batches:
+        row, lists = batch.column(0).to_numpy(), batch.column(1)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy().view(np.uint64)
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 19), "right")) - 1)
+            hi = min(hi, len(row))
+            n, own = np.diff(at[lo:hi + 1]), row[lo:hi].view(np.uint64)
+            start = mix(np.repeat(own * np.uint64(2), 2) + np.tile(np.array([0, 1], np.uint64), hi - lo))
+            toks = np.insert(values[at[lo]:at[hi]], np.repeat(at[lo:hi] - at[lo], 2), start)
+            real = np.ones(len(toks), bool)
+            first = at[lo:hi] - at[lo] + 2 * np.arange(hi - lo)
+            real[first] = real[first + 1] = False
+            w = np.flatnonzero(real)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(row[lo:hi], n)), pa.array(gram_keys(toks[w - 2], toks[w - 1]).view(np.int64)),
+                 pa.array(toks[w - 1].view(np.int64)), pa.array(toks[w].view(np.int64))], names=["lw_row", "a", "v", "w"])
+            lo = hi
+
+
+def _table_logs(scratch: Scratch, rows: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """(lw_row, log) of `rows` (lw_row, toks): the sum of log10 P of all tokens."""
+    named = lambda df, key, value, to: df.select(F.col("key").alias(key), F.col(value).alias(to))
+    tables = model.tables
+    small = lambda df, key, value, to, name: tables.scratch.small(named(df, key, value, to), name)
+    asks = rows.mapInArrow(_asks, "lw_row long, a long, v long, w long").withColumn("vw", F.xxhash64("v", "w")).withColumn("key", F.xxhash64("a", "vw"))
+    met = asks.join(small(tables.triples, "key", "p", "p", "ngrams_3"), "key", "left")
+    miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("a", "v", "w", "vw")]
+    met = scratch.write(met.select("lw_row", F.log10("p").alias("log"), *miss), "asked_3")
+    scratch.release()
+    left = met.where("log IS NULL").drop("log").join(small(tables.pairs_before, "a", "back", "back", "contexts_3"), "a", "left")
+    left = left.join(small(tables.pairs, "vw", "p", "p", "ngrams_2"), "vw", "left")
+    back = lambda: F.log10(F.greatest(F.coalesce("back", F.lit(1.0)), F.lit(1e-300)))
+    miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("v", "w")]
+    left = scratch.write(left.select("lw_row", F.log10("p").alias("log"), back().alias("more"), *miss), "asked_2")
+    scratch.release()
+    last = left.where("log IS NULL").drop("log").join(small(tables.words_before, "v", "back", "back", "contexts_2"), "v", "left")
+    last = last.join(small(words, "w", "c", "c", "ngrams_1"), "w", "left").select(
+        "lw_row", (F.col("more") + back() + model.word_log(F.col("c"))).alias("log"))
+    every = met.where("log IS NOT NULL").select("lw_row", "log").unionByName(
+        left.where("log IS NOT NULL").select("lw_row", (F.col("log") + F.col("more")).alias("log"))).unionByName(last)
+    out = scratch.write(every.groupBy("lw_row").agg(F.sum("log").alias("log")), "logs")
+    scratch.drop("asked_3", "asked_2")
+    return out
