@@ -32,7 +32,7 @@ def reject_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later matches of a line go; documents of which no text is
     left go, and n_chars follows the text."""
-    out = line_dedup.remove_later_lines(docs, threshold=0.8, min_words=5)
+    out = line_dedup.remove_later_lines(docs, threshold=0.8, min_words=1)
     left = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*docs.columns)

@@ -134,7 +134,7 @@ SELECT l.doc_id, count(*) AS n_lines, count(gone.line) AS n_removed,
 FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line GROUP BY l.doc_id
 """)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_later_lines(_documents(spark, sf_dir), threshold=0.8, min_words=5)
+    out = line_dedup.remove_later_lines(_documents(spark, sf_dir), threshold=0.8, min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

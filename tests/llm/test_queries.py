@@ -81,3 +81,18 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
     groups = QUERIES["op4_simhash"](spark, SF_SMALL)
     assert kept.join(groups, "doc_id").groupBy("component_id").agg(F.count("*").alias("n")).where("n <> 1").count() == 0
     assert kept.count() == groups.select("component_id").distinct().count()
+
+
+def test_short_lines_are_matched_too(spark, con):
+    # the oracle's SQL leaves lines of 1 to 4 words alone; without that cut it is the whole operator
+    sql = ORACLES["op9_line_dedup"]
+    assert sql.count("len(ws) >= 5") == 1
+    assert compare(QUERIES["op9_line_dedup"](spark, SF_SMALL), con, sql.replace("len(ws) >= 5", "len(ws) >= 1")) is None
+
+
+def test_line_stage_removes_short_copies(spark):
+    texts = ["one two three four\nsame", "same\nown line here", "one two three four five\n\nlast", "\nother"]
+    docs = frame(spark, [{"doc_id": i, "text": t, "lang": "en", "source": "src0", "n_chars": len(t), "did": 1, "th": "x", "words": None}
+                         for i, t in enumerate(texts)])
+    kept = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF_SMALL)
+    assert {r.doc_id: r.text for r in kept.collect()} == {0: texts[0], 1: "own line here", 2: "\nlast", 3: texts[3]}
