@@ -306,6 +306,44 @@ def test_mix(spark):
         mixing.mix(out, targets, 0)
 
 
+def test_saturated_cells_leave_the_targets_met(spark):
+    # raking alone asks for 120 of the 100 of (src0, de)
+    targets = {"source": {"src0": 0.5, "src1": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.6, "short": 0.4}}
+    sizes = {("src0", "de"): 100, ("src0", "en"): 1900, ("src1", "de"): 900, ("src1", "en"): 1100}
+    cells = [(*c, topic, n * k) for c, n in sizes.items() for topic, k in (("prose", 6), ("short", 4))]
+    factors, report = mixing.calibrate(cells, targets, 0.5)
+    p = {c: min(1.0, factors["source"][c[0]] * factors["lang"][c[1]] * factors["topic"][c[2]]) for c in cells}
+    assert any(x == 1.0 for x in p.values()) and all(0 < x <= 1 for x in p.values())
+    kept = sum(p[c] * c[3] for c in cells)
+    assert abs(kept - 20000) < 1e-3
+    for k, d in enumerate(mixing.DIMENSIONS):
+        for v, w in targets[d].items():
+            assert abs(sum(p[c] * c[3] for c in cells if c[k] == v) / kept - w) < 1e-6
+    assert all(abs(wanted - reached) < 1e-6 for _, _, wanted, reached in report)
+
+
+def test_sample_has_the_target_shares(spark):
+    # de in src0 is scarce and saturates; topics are all short
+    docs = [(k, "word " * 20, "src0" if k % 2 else "src1", "de" if k % 20 in (2, 4, 6, 8) or k % 40 in (1, 10) else "en") for k in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"src0": 0.5, "src1": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {}}
+    got = mixing.mix(df, targets, 0.5).collect()
+    assert any(r.p == 1.0 for r in got) and abs(sum(r.p for r in got) - 2000) < 1e-3
+    kept = [r for r in got if r.kept]
+    assert abs(sum(r.p for r in got if r.lang == "de") - 800) < 1e-3 and abs(sum(r.p for r in got if r.source == "src0") - 1000) < 1e-3
+    assert abs(sum(r.lang == "de" for r in kept) / len(kept) - 0.4) < 0.03
+
+
+def test_a_target_beyond_the_budget_takes_all_there_is(spark):
+    targets = {"source": {"a": 0.5, "b": 0.25, "c": 0.25}, "lang": {}, "topic": {}}
+    cells = [("a", "*", "*", 100), ("b", "*", "*", 1000), ("c", "*", "*", 900)]
+    factors, report = mixing.calibrate(cells, targets, 0.5)
+    reached = {v: x for d, v, _, x in report if d == "source"}
+    assert min(1.0, factors["source"]["a"] * factors["lang"]["*"] * factors["topic"]["*"]) == 1.0
+    assert all(abs(reached[v] - x) < 1e-9 for v, x in {"a": 0.1, "b": 0.45, "c": 0.45}.items())
+    assert mixing.calibrate([], targets, 0.5) == ({d: {} for d in mixing.DIMENSIONS}, [])
+
+
 # --- chat
 
 def conversations(spark):
