@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import chat, fingerprints, katz, langid, line_dedup, mixing, simhash, substring_dedup, toxicity, winnow
+from logweave.llm import (
+    chat, fingerprints, katz, langid, line_dedup, mixing, packing, simhash, spelling, substring_dedup, toxicity, vector_codes, winnow)
 from logweave.llm.common import Scratch
 from logweave.session import table
 
@@ -211,3 +213,54 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.examples(talk.unionByName(trap)))
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """DuckDB SQL of the product codes: every part against every entry."""
+    def assigned(k: int) -> str:
+        return f"""
+a{k} AS (SELECT r, p.part, any_value(p.x) AS x,
+                min(struct_pack(d := list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := entry)) AS best
+         FROM p JOIN c{k} c ON c.part = p.part GROUP BY r, p.part)"""
+
+    def refined(k: int) -> str:
+        return f"""
+m{k} AS (SELECT part, best.e AS entry, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS v
+         FROM a{k}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL),
+c{k + 1} AS (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{k} c
+             LEFT JOIN (SELECT part, entry, list(v ORDER BY i) AS x FROM m{k} GROUP BY part, entry) n USING (part, entry))"""
+
+    steps = ",".join(assigned(k) + "," + refined(k) for k in range(rounds))
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+p AS (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, unnest(range(0, {parts})) AS t(part)),
+c0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries}),{steps},{assigned(rounds)},
+coded AS (SELECT r, string_agg(lpad(to_hex(best.e), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) FROM c{rounds}, unnest(range(1, len(x) + 1)) AS t(i)) AS codebooks_sha256
+FROM coded JOIN k USING (r)"""
+
+
+@_query(_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+#: The tokenizer file of op12.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(TOKENIZER, "rb") as f:
+        tokenizer = f.read()
+    return packing.pack(_documents(spark, sf_dir), tokenizer, length=2048, end_id=1)
+
+
+@_query()
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_documents(spark, sf_dir), min_length=6, min_count=5, drop_every=199), ratio=5)
