@@ -14,8 +14,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators import ranks
+
 #: Caps up to this many rows use Spark's own limit, which brings them to one task.
-_LIMIT_ROWS = 1_000_000
+LIMIT_ROWS = 1_000_000
 _INT64_MAX = 2**63 - 1
 
 
@@ -33,12 +35,21 @@ def order_nulls_last(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*[_sort_key(k) for k in keys])
 
 
-def top_k(df: DataFrame, keys: Sequence[str | Column], k: int) -> DataFrame:
-    """O1: the first ``k`` rows by ``keys`` (a ``TakeOrderedAndProject``:
-    each task keeps its own top ``k``, the driver merges ``k`` x tasks rows).
-    ``k = 0`` means no cap, as in :func:`row_cap`: all rows, sorted."""
-    ordered = order_nulls_last(df, keys)
-    return ordered if row_cap_value(k) == 0 else ordered.limit(k) if k <= _LIMIT_ROWS else row_cap(ordered, k)
+def _rank_keys(keys: Sequence[str]) -> list[ranks.Key]:
+    if not all(isinstance(k, str) for k in keys):
+        raise ValueError("keys are column names, with '-' in front for descending order")
+    return [ranks.Key(k[1:], True) if k.startswith("-") else ranks.Key(k) for k in keys]
+
+
+def top_k(df: DataFrame, keys: Sequence[str], k: int, limit_rows: int = LIMIT_ROWS) -> DataFrame:
+    """O1: the first ``k`` rows by ``keys`` (``"-col"`` descending, NULLs last), sorted.
+
+    Up to ``limit_rows`` this is a ``TakeOrderedAndProject`` (each task keeps
+    its own top ``k``), beyond it rank selection by key and a distributed sort
+    of the rows found. ``k = 0`` means no cap, as in :func:`row_cap`."""
+    if 0 < row_cap_value(k) <= limit_rows:
+        return order_nulls_last(df, keys).limit(k)
+    return order_nulls_last(df if k == 0 else ranks.first_rows(df, _rank_keys(keys), k, limit_rows), keys)
 
 
 def row_cap_value(n: int) -> int:
@@ -48,28 +59,23 @@ def row_cap_value(n: int) -> int:
     return n
 
 
-def row_cap(df: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` rows (0 = all rows).
+def row_cap(df: DataFrame, n: int, limit_rows: int = LIMIT_ROWS) -> DataFrame:
+    """At most ``n`` rows (0 = all rows): the first ones of a sorted
+    frame, any of another.
 
-    A small cap is Spark's ``limit``. Beyond a million rows, which ``limit``
-    would bring to one task, the cap is cut across the partitions: the rows
-    of each are counted (one row per partition comes back), all partitions
-    before the cut are kept whole and the one at the cut in part. ``df`` is
-    evaluated twice then, so it should be a read or a sort of one.
+    Up to ``limit_rows`` this is Spark's ``limit``, which brings the rows to
+    one task. A larger cap is found by rank selection on the frame's own sort
+    keys (see :mod:`logweave.operators.ranks`), or on a hash of the rows if it
+    is not sorted: exactly ``n`` rows, whatever the partitioning.
     """
     n = row_cap_value(n)
     if n == 0:
         return df
-    if n <= _LIMIT_ROWS:
+    if n <= limit_rows:
         return df.limit(n)
-    part = F.shiftright("_row", 33)
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    left = n
-    for p, size in sorted(numbered.groupBy(part.alias("p")).count().collect()):
-        if size >= left:
-            return numbered.where(F.col("_row") < (p << 33) + left).drop("_row")
-        left -= size
-    return df
+    keys = ranks.sort_keys(df)
+    capped = ranks.first_rows(df, keys, n, limit_rows)
+    return capped.orderBy(*[k.order for k in keys]) if keys else capped
 
 
 def union_all(frames: Sequence[DataFrame], by_name: bool = True) -> DataFrame:

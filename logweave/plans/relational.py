@@ -261,6 +261,41 @@ def o4_row_cap(spark, sf):
     return relational.row_cap(relational.order_nulls_last(l, ["l_orderkey", "l_linenumber"]), 100)
 
 
+#: A switch so low that the tables take the path of large caps.
+_LOW = 1000
+
+
+@register("o1_top_k_by_rank", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem
+ORDER BY l_shipdate DESC NULLS LAST, l_extendedprice ASC NULLS LAST, l_orderkey, l_linenumber
+LIMIT (SELECT count(*) * 2 // 5 FROM lineitem)""")
+def o1_top_k_by_rank(spark, sf):
+    """Two fifths of the lines, found by rank selection on four keys."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    return relational.top_k(l, ["-l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber"], l.count() * 2 // 5, limit_rows=_LOW)
+
+
+@register("o4_row_cap_by_rank", """
+WITH j AS (SELECT o_orderkey, l_linenumber, o_orderpriority FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+cap AS (SELECT count(*) // 3 AS n FROM j)
+SELECT o_orderpriority, count(*) AS n FROM (SELECT * FROM j ORDER BY o_orderpriority, o_orderkey, l_linenumber LIMIT (SELECT n FROM cap))
+GROUP BY o_orderpriority
+UNION ALL SELECT 'any', n FROM cap UNION ALL SELECT 'any, in the join', n FROM cap""")
+def o4_row_cap_by_rank(spark, sf):
+    """A third of a join's rows: of a sorted one the first, of another any,
+    all of which are rows of the join."""
+    j = (table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+         .select("o_orderkey", "l_linenumber", "o_orderpriority"))
+    n = j.count() // 3
+    first = relational.row_cap(relational.order_nulls_last(j, ["o_orderpriority", "o_orderkey", "l_linenumber"]), n, limit_rows=_LOW)
+    some = relational.row_cap(j, n, limit_rows=_LOW)
+    counted = first.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return relational.union_all([
+        counted, some.agg(F.count("*").alias("n")).select(F.lit("any").alias("o_orderpriority"), "n"),
+        some.join(j.distinct(), j.columns, "left_semi")
+        .agg(F.count("*").alias("n")).select(F.lit("any, in the join").alias("o_orderpriority"), "n")])
+
+
 # U, S11 --------------------------------------------------------------------
 
 U1_SLICES = 4

@@ -6,7 +6,7 @@ import decimal
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.operators import profile, relational
+from logweave.operators import profile, ranks, relational
 
 
 def test_profile_attributes(spark):
@@ -34,14 +34,55 @@ def test_row_cap(spark):
     assert relational.top_k(df, [df.columns[0]], 4).count() == 4
 
 
-def test_large_cap_is_cut_across_partitions(spark, monkeypatch):
-    monkeypatch.setattr(relational, "_LIMIT_ROWS", 10)
+def test_large_cap_of_a_sorted_frame(spark):
     df = spark.range(0, 1000, 1, 7)
-    for n in (11, 143, 500, 999, 1000, 5000):
-        got = relational.row_cap(df, n)
+    for n in (11, 999, 1000, 5000):
+        got = relational.row_cap(df.orderBy("id"), n, limit_rows=10)
         assert [r.id for r in got.collect()] == list(range(min(n, 1000)))
-    top = relational.top_k(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), ["-x"], 50)
-    assert sorted(r.x for r in top.collect()) == list(range(950, 1000))
+    top = relational.top_k(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), ["-x"], 50, limit_rows=10)
+    assert [r.x for r in top.collect()] == list(range(999, 949, -1))
+
+
+@pytest.mark.parametrize("partitions,coalesce", [(8, "true"), (200, "true"), (200, "false")])
+def test_large_caps_are_exact(spark, monkeypatch, partitions, coalesce):
+    monkeypatch.setattr(ranks, "SMALL", 20)
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", partitions)
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    left = own.range(6000).select((F.col("id") % 50).alias("k"), F.col("id").alias("a"))
+    joined = left.join(own.range(50).select(F.col("id").alias("k"), (F.col("id") * 3).alias("b")), "k")
+    for n in (2500,):
+        sorted_ = relational.row_cap(joined.orderBy(F.desc("b"), "a"), n, limit_rows=100)
+        assert [tuple(r) for r in sorted_.collect()] == [tuple(r) for r in joined.orderBy(F.desc("b"), "a").collect()][:n]
+        some = relational.row_cap(joined, n, limit_rows=100)
+        rows = [tuple(r) for r in some.collect()]
+        assert len(rows) == len(set(rows)) == n and some.exceptAll(joined).count() == 0
+
+
+def test_large_caps_with_ties_nulls_and_types(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL", 5)
+    ts = dt.datetime(2024, 3, 31, 2, 30)
+    data = [(i % 3 or None, float("nan") if i % 7 == 0 else i % 5 - 0.5, "x" * (i % 4), bytearray([i % 6, 255]), ts + dt.timedelta(microseconds=i % 9),
+             dt.date(1900 + i % 11, 1, 1), decimal.Decimal(i % 13) / 100, {"m": i % 2}) for i in range(600)]
+    df = spark.createDataFrame(data, "a int, b double, c string, d binary, e timestamp_ntz, f date, g decimal(5,2), h map<string,int>")
+    df = df.withColumn("t", F.col("e").cast("timestamp"))
+    for keys, n in ((["a", "-b"], 300), (["d", "-e"], 31), (["-t", "f", "g"], 599), (["-d", "-f", "-b"], 301)):
+        got = relational.top_k(df, keys, n, limit_rows=10).cache()
+        of = [k.lstrip("-") for k in keys]
+        want = relational.order_nulls_last(df, keys).select(*of).limit(n).collect()
+        assert repr(got.select(*of).collect()) == repr(want) and got.select("a", "c", "f").exceptAll(df.select("a", "c", "f")).count() == 0
+    same = spark.range(500).select(F.lit(1).alias("x"), F.lit(None).cast("string").alias("y"))
+    monkeypatch.setattr(ranks, "_COPIES", 64)
+    assert [tuple(r) for r in relational.row_cap(same, 433, limit_rows=10).collect()] == [(1, None)] * 433
+    assert relational.top_k(same, ["y"], 433, limit_rows=10).count() == 433
+    assert relational.row_cap(df.limit(0), 50, limit_rows=10).count() == 0
+
+
+def test_cap_of_a_frame_sorted_by_a_dropped_column(spark):
+    df = spark.range(100).select(F.col("id"), (-F.col("id")).alias("k"))
+    with pytest.raises(ValueError):
+        relational.row_cap(df.orderBy(F.col("k") % 10).select("id"), 50, limit_rows=10)
+    assert [r.id for r in relational.row_cap(df.orderBy("k").select("id", F.col("k").alias("z")), 50, limit_rows=10).collect()] == list(range(99, 49, -1))
 
 
 def test_nulls_last_both_ways(spark):
