@@ -7,6 +7,7 @@ no Python per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Sequence
 
@@ -239,29 +240,105 @@ def loose_value(c: Column | str) -> Column:
     )
 
 
-#: A quoted string of either kind, or what stands between strings.
-_PIECES = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^"']+|["']"""
+#: Stand-ins, while a text is cut into tokens, for an escaped backslash, double
+#: quote and single quote (code points that are never assigned characters).
+_ESCAPED = {"\\\\": "\ufdd0", '\\"': "\ufdd1", "\\'": "\ufdd2"}
 
+#: Tokens of relaxed JSON: strings, brackets and separators, bare text (which
+#: starts with no quote and ends before any of ,:]}/\"[{;=#), any other character.
+_TOKENS = (r"""(?s)"[^"\n\r\x00]*+"|'[^'\n\r\x00]*+'|[\[\]{},;:]"""
+           "|[^\\x00-\\x20,:\\]}/\\\\\"\\[{;=#'\ufdd0-\ufdd2][^\\x00-\\x1f,:\\]}/\\\\\"\\[{;=#\ufdd0-\ufdd2]*+|[^\\x01-\\x20]")
 
-def strict_text(c: Column | str) -> Column:
-    """JSON text as the relaxed reader takes it, rewritten to strict JSON.
+_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
-    Strings in single quotes get double ones, names without quotes get them,
-    ``;`` separates like ``,``, a comma before a closing bracket goes, and an
-    empty place in an array is ``null``. Text inside strings stays as it is:
-    the text is cut into strings and the rest, and only the rest is changed.
-    """
 
-    def rewritten(t: Column) -> Column:
-        inner = F.replace(t.substr(F.lit(2), F.length(t) - 2), F.lit("\\'"), F.lit("'"))
-        string = F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit('"'))
-        rest = F.replace(t, F.lit(";"), F.lit(","))
-        for pattern, to in ((r"([{,]\s*)([A-Za-z_$][A-Za-z0-9_$.-]*)(\s*:)", '$1"$2"$3'),
-                            (r"([\[,]\s*)(?=,)", "$1null"), (r",(\s*[}\]])", "$1")):
-            rest = F.regexp_replace(rest, pattern, to)
-        return F.when(t.startswith('"'), t).when(t.startswith("'") & (F.length(t) > 1), string).otherwise(rest)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _unquoted(t: Column, as_key: Column) -> Column:
+    """Bare text as JSON text: true, false and null in any case, an int or long
+    in its own digits, a finite double; all else, and every key, a string."""
+    low, number = F.lower(t), t.try_cast("double")
+    starts = t.rlike("^[0-9-]")
+    whole = starts & ~t.rlike("[.eE]") & t.rlike(_NUMBER) & (t != "-0") & t.try_cast("bigint").isNotNull()
+    broken = starts & t.rlike("[.eE]") & number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    word = F.when(low.isin("true", "false", "null"), low)
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    return (F.when(as_key, quoted(F.coalesce(word, F.when(broken, number.cast("string")), t)))
+            .when(word.isNotNull(), word).when(whole, t)
+            .when(broken, F.when(t.rlike(_NUMBER), t).otherwise(number.cast("string"))).otherwise(quoted(t)))
+
+
+def _string(t: Column) -> Column:
+    """A quoted token as a JSON string."""
+    body = t.substr(F.lit(2), F.length(t) - 2)
+    body = F.when(t.startswith("'"), F.replace(body, F.lit('"'), F.lit('\\"'))).otherwise(body)
+    plain = body
+    for code in (c for c in range(1, 32) if c not in (10, 13)):     # allowed in strings here, not in strict JSON
+        plain = F.replace(plain, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(body.rlike(r"[\x01-\x1f]"), plain).otherwise(body), F.lit('"'))
+
 
-    return F.array_join(F.transform(F.regexp_extract_all(_col(c), F.lit(_PIECES), F.lit(0)), rewritten), "")
+def _end_of_value(tokens: Column) -> Column:
+    """How many tokens the first value takes, by a fold over the brackets (and
+    ``;``) with the open ones as state; below 1 if it is no object or array, is
+    not closed, brackets do not match or ``;`` stands in an array."""
+    marks = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
+                     lambda x: (F.length(x["t"]) == 1) & (F.instr(F.lit("{}[];"), x["t"]) > 0))
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        t, top = x["t"], F.right(s["open"], F.lit(1))
+        rest = s["open"].substr(F.lit(1), F.length(s["open"]) - 1)
+        fits = F.when(t == "}", top == "{").when(t == "]", top == "[").otherwise((t != ";") | (top == "{"))
+        left = F.when(t.isin("}", "]"), rest).when(t == ";", s["open"]).otherwise(F.concat(s["open"], t))
+        end = F.when(~fits, F.lit(-1)).when(left == "", x["i"] + 1).otherwise(F.lit(0))
+        return F.when(s["end"] != 0, s).otherwise(F.struct(left.alias("open"), end.alias("end")))
+
+    return F.when(F.get(tokens, F.lit(0)).isin("{", "["), F.aggregate(marks, start, step, lambda s: s["end"])).otherwise(F.lit(-1))
+
+
+def strict_text(c: Column | str) -> Column:
+    """JSON text as the relaxed reader takes it, rewritten to strict JSON;
+    NULL where the brackets already show that it is none.
+
+    Strings may stand in single quotes; names and values need no quotes (a
+    value is then typed like :func:`loose_value`, ``007`` is a string); ``;``
+    separates the pairs of an object like ``,``; a separator before the closing
+    bracket goes, an empty place in an array is ``null``; what follows the
+    first value is not read. The text is cut into tokens once; a fold over them
+    finds where the value ends, and every token up to there is written with
+    regard to its neighbours only.
+    """
+    marked = _col(c)
+    for text, mark in _ESCAPED.items():
+        marked = F.replace(marked, F.lit(text), F.lit(mark))
+
+    def written(ts: Column) -> Callable[[Column, Column], Column]:
+        def token(t: Column, i: Column) -> Column:
+            before, after = F.when(i > 0, F.get(ts, i - 1)), F.coalesce(F.get(ts, i + 1), F.lit(""))
+            first = F.left(t, F.lit(1))
+            comma = F.when((after == "]") | ((after == "}") & (F.coalesce(before, F.lit("")) != "{")), F.lit("")).when(
+                (after == ",") & (t == ","), F.lit(",null")).otherwise(F.lit(","))
+            return (F.when(t.isin(",", ";"), comma)
+                    .when((t == "[") & (after == ","), F.lit("[null"))
+                    .when(t.isin("{", "}", "[", "]", ":"), t)
+                    .when(first.isin('"', "'") & (F.length(t) > 1), _string(t))
+                    .when((F.length(t) == 1) & first.isin('"', "'", "/", "\\", "=", "#", *_ESCAPED.values()), t)
+                    .otherwise(_unquoted(F.rtrim(t), after == ":")))
+        return token
+
+    def whole(ts: Column) -> Column:
+        def text(end: Column) -> Column:
+            out = F.array_join(F.transform(F.slice(ts, 1, F.greatest(end, F.lit(0))), written(ts)), "")
+            for raw, mark in _ESCAPED.items():
+                out = F.replace(out, F.lit(mark), F.lit("'" if raw == "\\'" else raw))
+            return F.when(end > 0, out)
+        return _let(_end_of_value(ts), text)
+
+    return _let(F.regexp_extract_all(marked, F.lit(_TOKENS), F.lit(0)), whole)
 
 
 def from_relaxed(c: Column | str, schema: str) -> Column:

@@ -212,6 +212,24 @@ def n8_relaxed_input(spark, sf):
                          F.col("c.t").alias("t_semicolon"), "rejected")
 
 
+@register("n8_relaxed_values", f"""
+SELECT event_id, event_type AS bare, event_type || ' of ' || {DK} AS spaced, '00' || {DK} AS padded, event_type = 'error' AS flag,
+       CAST({DK} AS BIGINT) AS key, [NULL, CAST({DK} AS BIGINT), NULL] AS places, event_type = 'click' AS rejected
+FROM events""")
+def n8_relaxed_values(spark, sf):
+    """Bare words and numbers as values, keys that start with a digit, empty
+    places of arrays; a key twice in a nested object is refused."""
+    e = _events(spark, sf)
+    flag = F.when(F.col("event_type") == "error", F.lit("TRUE")).otherwise(F.lit("False"))
+    text = F.concat(F.lit("{a:"), "event_type", F.lit("; b: "), "event_type", F.lit(" of "), _k(), F.lit(" ,7c:00"), _k(), F.lit(",d:"), flag,
+                    F.lit(",'e':"), _k(), F.lit(",f:[,"), _k(), F.lit(",,],} and more"))
+    nested = F.concat(F.lit("{a:{x:"), "event_type", F.when(F.col("event_type") == "click", F.lit(",x:1")).otherwise(F.lit(",y:1")), F.lit("}}"))
+    v = J.from_relaxed(text, "a string, b string, `7c` string, d boolean, e bigint, f array<bigint>")
+    staged = e.select("event_id", v.alias("v"), J.relaxed_rejected(nested).alias("rejected"))
+    return staged.select("event_id", F.col("v.a").alias("bare"), F.col("v.b").alias("spaced"), F.col("v.7c").alias("padded"), F.col("v.d").alias("flag"),
+                         F.col("v.e").alias("key"), F.col("v.f").alias("places"), "rejected")
+
+
 @register("n9_serialise", f"""
 SELECT event_id, json_object('event_id', event_id, 'event_type', event_type, 'title', 'x:NaN Infinity ' || event_type,
     'value', json(CASE WHEN strpos(CAST(value AS VARCHAR), '.') > 0

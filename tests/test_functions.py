@@ -226,6 +226,32 @@ def test_relaxed_json(spark):
     assert got[4].v.a == "q;,}" and got[7].v.a == "[1,null,2]"
 
 
+RELAXED = {
+    "{a:hello}": '{"a":"hello"}', "{1a:2}": '{"1a":2}', "{a:TRUE}": '{"a":true}', "{a:007}": '{"a":"007"}',
+    "{a: hello world , b:'x'}": '{"a":"hello world","b":"x"}', "{a:it's}": '{"a":"it\'s"}', "{a:1;b:2,}": '{"a":1,"b":2}',
+    "[,]": "[null]", "[1,,2,]": "[1,null,2]", "[,,]": "[null,null]", "[[],{},]": "[[],{}]", "{a:nUll,b:'null'}": '{"a":null,"b":"null"}',
+    "{TRUE:1,1.50:2}": '{"true":1,"1.5":2}', "{a:'say \"hi\"',b:\"it\\'s \\\\\"}": '{"a":"say \\"hi\\"","b":"it\'s \\\\"}',
+    "{a:-0,b:.5,c:1.50,d:12345678901234567890,e:1e400,f:-7}": '{"a":"-0","b":".5","c":1.50,"d":"12345678901234567890","e":"1e400","f":-7}',
+    "{a:'x\ty'}": '{"a":"x\\u0009y"}', "{a:\n 1 \n}": '{"a":1}', "{a:1} what follows": '{"a":1}', "{a:[{b:c}]}": '{"a":[{"b":"c"}]}',
+}
+REFUSED = ["[1;2]", "{a:[1;2]}", "{a:{b:1,b:2}}", "{a:1,,b:2}", "{a:1;;b:2}", "{,}", "{;}", "{a:[1}", "{a:1", "{a}", "{a:1:2}", "{a:}", "{a=1}", "{a:b/c}",
+           "{a:#1}", '{a:"\\x"}', "{a:'open}", "{a:'line\nbreak'}", "{a:hello\nworld}", '{a:\\"x}', "", "  ", "5", "x{a:1}"]
+
+
+def test_relaxed_grammar(spark):
+    rows = [(t, w) for t, w in RELAXED.items()] + [(t, None) for t in REFUSED]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, w string")
+    for r in df.select("t", "w", J.strict_text("t").alias("got"), J.relaxed_rejected("t").alias("refused")).collect():
+        assert r.refused == (r.w is None), r
+        assert r.w is None or r.got == r.w, r
+
+
+def test_relaxed_text_of_any_length(spark):
+    long = "{a:'" + "\\n\\\"x" * 30000 + "', b:[" + "1," * 20000 + "]}"
+    got = spark.createDataFrame([(long,)], "t string").select(J.from_relaxed("t", "a string, b array<int>").alias("v"), J.relaxed_rejected("t").alias("r")).first()
+    assert (got.r, len(got.v.a), got.v.b) == (False, 90000, [1] * 20000)
+
+
 def test_similar_key_tells_numbers_apart(spark):
     texts = ['[{"a":1},{"a":2.5}]', '[{"a":1.0},{"a":2.5}]', "[1.0,2]", "[1,2.0]", "1.0", "1", "[[1]]", '{"a":"x: 1.5, y"}', "bad"]
     keys = [r.k for r in spark.createDataFrame([(t,) for t in texts], "j string").select(J.similar_key("j").alias("k")).collect()]
