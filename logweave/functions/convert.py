@@ -173,6 +173,30 @@ def interval_millis(c: Column | str) -> Column:
     ).otherwise(v)
 
 
+def to_ym_interval(c: Column | str) -> Column:
+    """Year-month interval text as an ``INTERVAL YEAR TO MONTH``."""
+    return F.make_ym_interval(F.lit(0), interval_months(c))
+
+
+def to_dt_interval(c: Column | str) -> Column:
+    """Day-time interval text as an ``INTERVAL DAY TO SECOND``."""
+    ms = interval_millis(c)
+    days, rest = F.floor(ms / 86400000), F.pmod(ms, F.lit(86400000))
+    return F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), (rest / F.lit(1000).cast("decimal(4,0)")).cast("decimal(18,6)"))
+
+
+def months_of(c: Column | str) -> Column:
+    """Total months of an ``INTERVAL YEAR TO MONTH`` (INT)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.cast("interval month").cast("int")
+
+
+def millis_of(c: Column | str) -> Column:
+    """Total milliseconds of an ``INTERVAL DAY TO SECOND`` (BIGINT)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (c.cast("interval second").cast("decimal(24,6)") * 1000).cast("bigint")
+
+
 def slice_strict(arr: Column | str, index: int | Column, count: int | Column) -> Column:
     """1-based slice; ``index < 1``, ``count < 0`` or running past the
     end raises instead of truncating."""

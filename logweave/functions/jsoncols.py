@@ -185,24 +185,48 @@ def canonical(c: Column | str, strict: bool = False) -> Column:
     return F.to_json((F.parse_json if strict else F.try_parse_json)(_col(c)))
 
 
-#: Number text with a fraction or exponent, between JSON delimiters.
-_FRACTION = r"(?<=[\[,:\s]|^)(-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))(?=\s*(?:[,\]}]|$))"
+#: Stands before a number that is a double, or text that the reader takes for a
+#: string, in a similarity key (never an assigned character).
+DOUBLE_MARK = "\ufdd0"
+
+
+def similar_key(c: Column | str, strict: bool = False, relaxed: bool = False) -> Column:
+    """Equality key for ``similar``: key order ignored, arrays ordered,
+    numbers equal as the reference's values are.
+
+    A number without a fraction or exponent is an int or long, any other is a
+    double and equal to every way to write that double (``1e0`` and ``1.0``;
+    ``0.0`` and ``-0.0`` differ, as do ``1`` and ``1.0``); what does not print
+    back as a long (``-0``, twenty digits) or is no finite double is a string.
+    So the tokens of the text are rewritten, a double to an object that no
+    other value can be, then the value is parsed and printed with its keys
+    sorted, at any depth. NULL for text that is not JSON, or an error with
+    ``strict``. ``relaxed`` takes relaxed JSON (N8).
+    """
+    marked = _without_stand_ins(strict_text(c) if relaxed else _col(c))
+    for text, mark in _ESCAPED_STRICT.items():
+        marked = F.replace(marked, F.lit(text), F.lit(mark))
+    marked = F.regexp_replace(marked, r"\\u[fF][dD][dD]0", DOUBLE_MARK * 2)      # a text's own
 
+    def number(t: Column) -> Column:
+        value, fraction = t.try_cast("double"), t.rlike("[.eE]")
+        finite = F.abs(value) != float("inf")
+        double = F.concat(F.lit(f'{{"{DOUBLE_MARK}":"'), value.cast("string"), F.lit('"}'))
+        whole = (t != "-0") & t.try_cast("bigint").isNotNull()
+        return F.when(fraction & finite, double).when(~fraction & whole, t).otherwise(F.concat(F.lit('"'), t, F.lit('"')))
 
-def similar_key(c: Column | str, strict: bool = False) -> Column:
-    """Equality key for ``similar``: key order ignored, arrays ordered, and
-    integral numbers kept apart from decimal ones (``1`` is not ``1.0``,
-    ``1.5`` is ``1.50``), as the reference compares Integer and Double.
+    def token(t: Column) -> Column:
+        return F.when(t.rlike(_NUMBER), number(t)).otherwise(t)
 
-    The canonical text prints ``1.0`` as ``1``. So it is followed by the
-    canonical text of the same value with every fraction put into two arrays
-    (``[[1.0]]``), which says at each place which kind the number has. NULL for
-    text that is not JSON, or an error with ``strict``. One gap: ``1e0`` and
-    ``1.0``, equal doubles in the reference, differ here.
-    """
-    text = _col(c)
-    marked = F.regexp_replace(text, _FRACTION, "[[$1]]")
-    return F.concat(canonical(text, strict), F.lit("|"), canonical(marked, strict))
+    text = F.array_join(F.transform(F.regexp_extract_all(marked, F.lit(_STRICT_TOKENS), F.lit(0)), token), "")
+    for raw, mark in _ESCAPED_STRICT.items():
+        text = F.replace(text, F.lit(mark), F.lit(raw))
+    return canonical(text, strict)
+
+
+#: Tokens of strict JSON that matter to numbers: strings, numbers, anything else.
+_ESCAPED_STRICT = {"\\\\": "\ufdd3", '\\"': "\ufdd4"}
+_STRICT_TOKENS = r"""(?s)"[^"]*+"|[-+.0-9eE]++|[^"0-9eE.+-]++|."""
 
 
 def loose_value(c: Column | str) -> Column:
@@ -252,6 +276,13 @@ _TOKENS = (r"""(?s)"[^"\n\r\x00]*+"|'[^'\n\r\x00]*+'|[\[\]{},;:]"""
 _NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
+def _without_stand_ins(text: Column) -> Column:
+    """The text with the code points that stand in for others written as escapes."""
+    for code in range(0xFDD0, 0xFDD5):
+        text = F.replace(text, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return text
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once a row."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -312,7 +343,7 @@ def strict_text(c: Column | str) -> Column:
     finds where the value ends, and every token up to there is written with
     regard to its neighbours only.
     """
-    marked = _col(c)
+    marked = _without_stand_ins(_col(c))
     for text, mark in _ESCAPED.items():
         marked = F.replace(marked, F.lit(text), F.lit(mark))
 

@@ -8,7 +8,7 @@ so there is no join and nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,59 @@ def element_code(dt: T.DataType) -> int | None:
     return declared(dt.elementType)[1] if isinstance(dt, T.ArrayType) else None
 
 
+def _leaves(path: str, dt: T.DataType, value: Column, repeated: bool):
+    """(path, type, values, repeated) of every leaf of a column. ``value`` is
+    the value itself, or with ``repeated`` the array of all values that stand
+    at that path in a row."""
+    if isinstance(dt, T.StructType) and dt.fields:
+        for f in dt.fields:
+            def field(x: Column, name: str = f.name) -> Column:
+                return x[name]
+            inner = F.transform(value, lambda x: field(x)) if repeated else field(value)
+            yield from _leaves(f"{path}.{f.name}", f.dataType, inner, repeated)
+    elif isinstance(dt, T.ArrayType):
+        inner = F.flatten(F.filter(value, lambda x: x.isNotNull())) if repeated else value
+        yield from _leaves(f"{path}.element", dt.elementType, inner, True)
+    elif isinstance(dt, T.MapType):
+        for part, kind, of in (("key", dt.keyType, F.map_keys), ("value", dt.valueType, F.map_values)):
+            held = F.flatten(F.transform(F.filter(value, lambda x: x.isNotNull()), of)) if repeated else of(value)
+            yield from _leaves(f"{path}.{part}", kind, held, True)
+    else:
+        yield path, dt, value, repeated
+
+
+def nested_profile(df: DataFrame) -> DataFrame:
+    """M1 for nested types: one row per leaf of the columns, in order.
+
+    A leaf is a field of a struct, the elements of an array, the keys or values
+    of a map, at any depth, under the path ``column.field``, ``.element``,
+    ``.key`` or ``.value``; a flat column is its own leaf. ``value_count`` is
+    how many values stand there in all rows, NULLs included (a NULL array or
+    map has none, a field of a NULL struct is a NULL), ``null_count`` and
+    ``max_width`` are taken over them. One aggregation, as for flat columns.
+    """
+    leaves = [x for f in df.schema.fields for x in _leaves(f.name.lower(), f.dataType, F.col(f"`{f.name}`"), False)]
+    aggs = []
+    for i, (_, _, v, repeated) in enumerate(leaves):
+        text = lambda x: F.length(x.cast("string"))
+        if repeated:
+            aggs += [F.sum(F.when(v.isNotNull(), F.size(v)).cast("long")).alias(f"c{i}"),
+                     F.sum(F.when(v.isNotNull(), F.size(F.filter(v, lambda x: x.isNull()))).cast("long")).alias(f"n{i}"),
+                     F.max(F.array_max(F.transform(v, text))).alias(f"w{i}")]
+        else:
+            aggs += [F.count(F.lit(1)).alias(f"c{i}"), F.count_if(v.isNull()).alias(f"n{i}"), F.max(text(v)).alias(f"w{i}")]
+    rows = []
+    for i, (path, dt, _, _) in enumerate(leaves):
+        name, code, _, p, s, w, _ = declared(dt)
+        rows.append(F.struct(
+            F.lit(i + 1).alias("ordinal"), F.lit(path).alias("path"), F.lit(name).alias("type_name"), F.lit(code).alias("jdbc_type"),
+            F.lit(p).alias("precision"), F.lit(s).alias("scale"), F.lit(w).alias("display_width"),
+            F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("bigint").alias("value_count"), F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("bigint").alias("null_count"),
+            F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("bigint").alias("max_width")))
+    out = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return out.withColumn("width_ok", (F.col("display_width") == 0) | (F.col("max_width") <= F.col("display_width")))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """M1: one row per column with declared and measured attributes.
 

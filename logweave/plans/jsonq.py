@@ -151,7 +151,7 @@ def n6_canonical_dedupe(spark, sf):
     j = F.when(t == "signup", F.lit("{not JSON")).when(t.isin("view", "click"), ab).otherwise(ba)
     keyed = e.select(J.similar_key(j).alias("key"), J.canonical(j).alias("canonical"))
     grouped = keyed.groupBy("key").agg(F.min("canonical").alias("canonical"), F.count(F.lit(1)).alias("n"))
-    return grouped.select("canonical", F.col("key").contains("[[").alias("fraction"), "n")
+    return grouped.select("canonical", F.col("key").contains(J.DOUBLE_MARK).alias("fraction"), "n")
 
 
 @register("n6_mixed_arrays", f"""
@@ -166,6 +166,25 @@ def n6_mixed_arrays(spark, sf):
     return per_key.where("kind = other").groupBy("kind").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
+@register("n6_equal_numbers", f"""
+SELECT 'double' AS kind, count(*) AS n_rows, CAST(count(DISTINCT {DK}) AS BIGINT) AS n_keys FROM events WHERE event_type IN ('click', 'view')
+UNION ALL
+SELECT CASE WHEN event_type = 'error' THEN 'long' ELSE 'text' END, count(*), CAST(count(DISTINCT {DK}) AS BIGINT) FROM events
+WHERE event_type NOT IN ('click', 'view') GROUP BY 1""")
+def n6_equal_numbers(spark, sf):
+    """A double in three spellings is one value, deep in arrays of objects with
+    their keys in any order; an int of that size and text are others."""
+    t, i = F.col("event_type"), F.col("event_id") % 3
+    double = F.concat(_k(), F.when(i == 0, F.lit(".0")).when(i == 1, F.lit("e0")).otherwise(F.lit(".00E+00")))
+    number = F.when(t.isin("click", "view"), double).when(t == "error", _k()).otherwise(F.concat(F.lit('"'), _k(), F.lit('.0"')))
+    ab = F.concat(F.lit('[[{"a": {"x": '), number, F.lit('}, "b": [1, -0.0]}], 2]'))
+    ba = F.concat(F.lit('[[{"b": [1,-0.0e1], "a": {"x":'), number, F.lit("}}],2]"))
+    kind = F.when(t.isin("click", "view"), "double").when(t == "error", "long").otherwise("text")
+    keyed = _events(spark, sf).select(kind.alias("kind"), J.similar_key(F.when(i == 1, ab).otherwise(ba)).alias("key"))
+    per_key = keyed.groupBy("key").agg(F.min("kind").alias("kind"), F.max("kind").alias("other"), F.count(F.lit(1)).alias("n"))
+    return per_key.where("kind = other").groupBy("kind").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+
+
 def _loose_sql(x: str) -> str:
     frac = f"(strpos({x}, '.') > 0 OR strpos({x}, 'e') > 0 OR strpos({x}, 'E') > 0)"
     num = f"regexp_matches({x}, '^[0-9-]')"

@@ -209,6 +209,20 @@ def a4_values_json(spark, sf):
     return aggregates.values_json(_user_kinds(spark, sf), "user_id", "kind")
 
 
+@register("a4_value_pieces", f"""
+WITH v AS (SELECT user_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY kind NULLS FIRST) - 1 AS i
+           FROM (SELECT CASE WHEN event_id % 3 = 0 THEN -1 WHEN event_id % 100 = 1 THEN NULL ELSE user_id END AS user_id,
+                        CASE WHEN event_type <> 'error' THEN event_type || event_id % 500 END AS kind FROM events))
+SELECT user_id, i // 7 AS piece, count(*) AS n, to_json(list(kind ORDER BY i))::VARCHAR AS values_json
+FROM v GROUP BY user_id, i // 7""")
+def a4_value_pieces(spark, sf):
+    """One user holds a third of all rows; seven values to a piece."""
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_type") != "error", F.concat("event_type", (F.col("event_id") % 500).cast("string")))
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(-1)).when(F.col("event_id") % 100 != 1, F.col("user_id"))
+    return aggregates.value_pieces(e.select(user.alias("user_id"), kind.alias("kind")), "user_id", "kind", 7, shared_dir(spark, "a4"))
+
+
 @register("a5_duplicate_groups", """
 SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id
 FROM documents GROUP BY md5(text) HAVING count(*) > 1""")

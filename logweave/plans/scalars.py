@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import convert as C
 from logweave.functions import hashing as H
-from logweave.operators.profile import column_profile
+from logweave.operators.profile import column_profile, nested_profile
 from logweave.plans import duck
 from logweave.plans.registry import register
 from logweave.plans.relational import orders_with_lines
@@ -115,6 +115,27 @@ def c8_to_interval(spark, sf):
     return e.select("event_id", C.interval_months(ym).alias("months"), C.interval_millis(dt).alias("millis"))
 
 
+@register("c8_interval_columns", """
+WITH t AS (SELECT event_type, ts, CAST((year(ts) - 2000) * 12 + month(ts) AS INTEGER) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END AS months,
+                  (day(ts) * 86400000 + (epoch_us(ts) // 1000) % 86400000) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END AS millis FROM events)
+SELECT event_type, CAST(sum(months) AS INTEGER) AS months, CAST(sum(millis) AS BIGINT) AS millis,
+       CAST(max(epoch_us(ts + to_milliseconds(millis))) AS BIGINT) AS latest_micros,
+       CAST(min(epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_months(months))) AS BIGINT) AS earliest_micros
+FROM t GROUP BY event_type""")
+def c8_interval_columns(spark, sf):
+    """Interval text as interval columns, of either sign, added to times and
+    summed by group."""
+    e = table(spark, sf, "events")
+    sign = F.when(F.col("event_id") % 2 == 0, F.lit("-")).otherwise(F.lit(""))
+    ym = C.to_ym_interval(F.concat(sign, (F.year("ts") - 2000).cast("string"), F.lit("-"), F.month("ts").cast("string")))
+    dt = C.to_dt_interval(F.concat(sign, F.dayofmonth("ts").cast("string"), F.lit(" "), F.date_format("ts", "HH:mm:ss.SSS")))
+    added = e.select("event_type", ym.alias("ym"), dt.alias("dt"), (F.col("ts") + dt).alias("later"), (F.to_date("ts").cast("timestamp_ntz") + ym).alias("day"))
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    return added.groupBy("event_type").agg(
+        C.months_of(F.sum("ym")).alias("months"), C.millis_of(F.sum("dt")).alias("millis"),
+        micros(F.max("later")).alias("latest_micros"), micros(F.min("day")).alias("earliest_micros"))
+
+
 @register("c9_strict_slice", """
 SELECT p_partkey, array_to_string(string_split(p_name, ' ')[2:2], ' ') AS second_word FROM part""")
 def c9_strict_slice(spark, sf):
@@ -273,3 +294,39 @@ _TYPED = {
 @register("m1_profile_types", _profile_sql({n: (t, x) for n, (t, x, _) in _TYPED.items()}, "orders"))
 def m1_profile_types(spark, sf):
     return column_profile(table(spark, sf, "orders").selectExpr(*[f"{x} AS {n}" for n, (_, _, x) in _TYPED.items()]))
+
+
+def _leaf_sql(leaves: dict[str, tuple[str, str, str]]) -> str:
+    """leaves: path -> (type name, relation that gives x for every value, NULLs included)."""
+    parts = []
+    for i, (path, (t, relation, x)) in enumerate(leaves.items(), 1):
+        code, _, p, s, w, _, _ = _DECLARED[t]
+        widest = f"coalesce(max(length(CAST({x} AS VARCHAR))), 0)"
+        parts.append(f"SELECT {i} AS ordinal, '{path}' AS path, '{t}' AS type_name, {code} AS jdbc_type, {p} AS precision, {s} AS scale, "
+                     f"{w} AS display_width, count(*) AS value_count, count(*) - count({x}) AS null_count, CAST({widest} AS BIGINT) AS max_width, "
+                     f"{f'{widest} <= {w}' if w else 'TRUE'} AS width_ok FROM {relation}")
+    return "\nUNION ALL\n".join(parts)
+
+
+_WORDS = "(SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS w FROM orders WHERE o_orderkey % 5 <> 0)"
+
+
+@register("m1_nested_leaves", _leaf_sql({
+    "o_orderkey": ("bigint", "orders", "o_orderkey"),
+    "who.id": ("bigint", "(SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS x FROM orders)", "x"),
+    "who.price.amount": ("double", "(SELECT CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice) + 0.5 END AS x FROM orders)", "x"),
+    "words.element": ("varchar", f"(SELECT CASE WHEN w <> '1' THEN w END AS x FROM {_WORDS})", "x"),
+    "nested.element.element.n": ("bigint", "(SELECT unnest([o_orderkey, NULL, o_custkey]) AS x FROM orders WHERE o_orderkey % 5 <> 0)", "x"),
+    "counts.key": ("varchar", "(SELECT unnest([o_orderstatus, 'other']) AS x FROM orders)", "x"),
+    "counts.value.element": ("bigint", "(SELECT unnest([o_custkey, NULL]) AS x FROM orders)", "x"),
+}))
+def m1_nested_leaves(spark, sf):
+    """Structs, arrays of arrays of structs and maps of arrays, with NULLs at
+    every level."""
+    gone, void = "o_orderkey % 3 = 0", "o_orderkey % 5 = 0"
+    return nested_profile(table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        f"CASE WHEN NOT {gone} THEN named_struct('id', o_custkey, 'price', named_struct('amount', floor(o_totalprice) + 0.5D)) END AS who",
+        f"CASE WHEN NOT {void} THEN transform(split(o_orderpriority, '-'), x -> nullif(x, '1')) END AS words",
+        f"CASE WHEN NOT {void} THEN array(array(named_struct('n', o_orderkey), NULL), NULL, array(named_struct('n', o_custkey))) END AS nested",
+        "map(o_orderstatus, array(o_custkey), 'other', array(CAST(NULL AS BIGINT))) AS counts"))

@@ -1,4 +1,5 @@
-"""Per-batch token counts on a stream (T1) and the batch twin.
+"""Per-batch token counts on a stream (T1), and token counts of event-time
+windows on a stream or a table (T2).
 
 T1 counts the tokens of each micro-batch on its own (no running total), as
 the original 20-second job did, but with a checkpoint so a restarted query
@@ -56,13 +57,42 @@ def start_batch_token_counts(
     return w.start()
 
 
+def start_windowed_token_counts(
+    stream: DataFrame,
+    sink_path: str,
+    checkpoint: str,
+    delay: str,
+    ts_col: str = "ts",
+    value_col: str = "value",
+    sep: str = ",",
+    width: str = BATCH_INTERVAL,
+    interval: str | None = BATCH_INTERVAL,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """T2 on a stream: counts of event-time windows, each written once, when
+    it is closed.
+
+    The watermark is the latest time seen less ``delay``. Rows may come out of
+    order as long as their window is not closed; a row of a closed window is
+    dropped. Open windows are kept in the state store and their number is
+    bounded by ``delay``; the checkpoint carries them and the watermark over a
+    restart. The file sink commits a batch's files as a whole, so a window is
+    there once. Times without a zone are read in the session's zone, as
+    watermarks need a TIMESTAMP.
+    """
+    timed = stream.select(F.col(ts_col).cast("timestamp").alias(ts_col), value_col).withWatermark(ts_col, delay)
+    counts = windowed_token_counts(timed, ts_col, value_col, sep, width)
+    w = counts.writeStream.outputMode("append").format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
 def windowed_token_counts(df: DataFrame, ts_col: str = "ts", value_col: str = "value", sep: str = ",",
                           width: str = BATCH_INTERVAL) -> DataFrame:
     """Token counts per tumbling event-time window of ``width``.
 
-    One aggregation keyed by ``(window, token)``; map-side combined. On a
-    stream, add ``withWatermark`` on a ``TIMESTAMP`` column first (``TIMESTAMP_NTZ``
-    is refused by watermarks).
+    One aggregation keyed by ``(window, token)``; map-side combined. For a
+    stream see :func:`start_windowed_token_counts`.
     """
     t = tokens(df, value_col, sep, keep=(ts_col,))
     return (

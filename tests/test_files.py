@@ -4,6 +4,7 @@ import hashlib
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.sources import files, tables
@@ -104,3 +105,30 @@ def test_orc_table_writes_snappy(spark, tmpdir_path):
     f = glob.glob(tmpdir_path + "/t/ds=20240101/*.orc")[0]
     assert orc.ORCFile(f).compression == "SNAPPY"
     tables.drop_table(spark, "req_orc_codec")
+
+
+def test_json_records_split_rows_and_rejects(spark):
+    texts = ['{"k": 1, "s": "a"}', "{}", '{"k": "x"}', '{"k": 1', "oops", "", None, "5", '{"k": 2, "other": [1]}', '{"k": 3, "s": null}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, line string")
+    out = {r.id: (r.k, r.s, r.rejected) for r in files.json_records(df, "line", "k bigint, s string").collect()}
+    assert {i: v[2] for i, v in out.items() if v[2] is not None} == {2: texts[2], 3: texts[3], 4: "oops", 5: "", 7: "5"}
+    assert [out[i][:2] for i in (0, 1, 6, 8, 9)] == [(1, "a"), (None, None), (None, None), (2, None), (3, None)]
+    with pytest.raises(ValueError):
+        files.json_records(df.withColumn("rejected", F.lit(1)), "line", "k bigint")
+
+
+def test_files_of_any_size_are_hashed(spark, tmpdir_path):
+    import gzip
+    import hashlib
+    import os
+
+    contents = {"newline": b"\n", "none": b"abc", "last": b"abc\n", "blank": b"\n\na\n\n", "cr": b"a\r\nb\rc\r", "mark": b"\xef\xbb\xbfab\nc",
+                "mark_last": b"\xef\xbb\xbfab\nc\n", "two_marks": b"\xef\xbb\xbf\xef\xbb\xbfx", "bytes": os.urandom(200_000), "packed.gz": gzip.compress(b"x" * 5000)}
+    for name, content in contents.items():
+        with open(f"{tmpdir_path}/{name}", "wb") as f:
+            f.write(content)
+    rows = {r.file_name: r for r in files.fingerprint_manifest(spark, f"{tmpdir_path}/*", max_content=0).collect()}
+    assert set(rows) == set(contents)
+    for name, content in contents.items():
+        want = (None, None) if name.endswith(".gz") else (hashlib.md5(content).hexdigest(), hashlib.sha1(content).hexdigest())
+        assert (rows[name].md5, rows[name].sha1, rows[name].length) == (*want, len(content)), name

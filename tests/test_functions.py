@@ -260,6 +260,28 @@ def test_similar_key_tells_numbers_apart(spark):
     assert same.select(J.similar_key("j").alias("k")).distinct().count() == 1
 
 
+def test_equal_numbers_have_one_similar_key(spark):
+    groups = [["1.0", "1e0", "10E-1", "1.00", " 1.0 "], ["1"], ["-0", '"-0"'], ["-0.0", "-0e5"], ["0.0", "0e1"], ["0"], ["1e400", '"1e400"'],
+              ["12345678901234567890", '"12345678901234567890"'], ['"1.0"'], ['{"a":[1e0,{"b":2.50,"c":1}]}', '{ "a" : [1.0, {"c":1, "b":25e-1}] }'],
+              ['{"a":[1,{"b":2.5,"c":1}]}'], ['{"a":"1.0"}'], ['{"a":1.0}'], ['{"\\ufdd0":"1.0"}'], ['{"a":"x\\\\","b":"\\"1.5"}', '{"b":"\\"1.5","a":"x\\\\"}'], ["[]"], ["{}"]]
+    rows = [(g, t) for g, ts in enumerate(groups) for t in ts]
+    got = spark.createDataFrame(rows, "g int, t string").select("g", "t", J.similar_key("t").alias("k")).collect()
+    assert all(r.k is not None for r in got), [r.t for r in got if r.k is None]
+    assert len({r.k for r in got}) == len(groups) and all(len({r.k for r in got if r.g == g}) == 1 for g in range(len(groups)))
+    bad = spark.createDataFrame([(t,) for t in ("01", "1.", ".5", "1e", "--1", "+1", "[1 2]", "{a:1}", "1.0.0")], "t string")
+    assert [r.k for r in bad.select(J.similar_key("t").alias("k")).collect()] == [None] * 9
+    loose = spark.createDataFrame([("{a:1.0;b:x}",), ('{"b":"x","a":1e0}',)], "t string").select(J.similar_key("t", relaxed=True).alias("k"))
+    assert loose.distinct().count() == 1 and loose.where("k IS NULL").count() == 0
+
+
+def test_interval_columns(spark):
+    df = spark.createDataFrame([("1-2", "1 02:03:04.5"), ("-0-11", "-0 00:00:00.001"), (None, None), ("178956970-7", "-106751990 23:59:59.999")], "y string, d string")
+    got = df.select(C.to_ym_interval("y").alias("y"), C.to_dt_interval("d").alias("d"), "y", "d")
+    assert [t for _, t in got.dtypes[:2]] == ["interval year to month", "interval day to second"]
+    got = df.select(C.months_of(C.to_ym_interval("y")).alias("m"), C.interval_months("y").alias("wm"), C.millis_of(C.to_dt_interval("d")).alias("s"), C.interval_millis("d").alias("ws"))
+    assert all(r.m == r.wm and r.s == r.ws for r in got.collect())
+
+
 def test_json_length_and_writer(spark):
     df = spark.createDataFrame([("\n[1,2]",), ("\t {\"a\":1}",)], "j string")
     assert [r.n for r in df.select(J.length("j").alias("n")).collect()] == [2, 1]

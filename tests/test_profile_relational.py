@@ -21,6 +21,16 @@ def test_profile_attributes(spark):
     assert all(r.width_ok for r in rows.values())
 
 
+def test_nested_profile(spark):
+    df = spark.createDataFrame(
+        [(1, {"a": [{"x": "ab", "y": None}, None]}, [[1.5], None, [None, 22.25]], (None, [b"abc"])), (None, {}, None, None), (3, None, [], (dt.date(2024, 1, 1), []))],
+        "i int, m map<string,array<struct<x:string,y:bigint>>>, n array<array<double>>, s struct<d:date,b:array<binary>>")
+    got = {r.path: (r.type_name, r.value_count, r.null_count, r.max_width) for r in profile.nested_profile(df).collect()}
+    assert got == {"i": ("integer", 3, 1, 1), "m.key": ("varchar", 1, 0, 1), "m.value.element.x": ("varchar", 2, 1, 2), "m.value.element.y": ("bigint", 2, 2, 0),
+                   "n.element.element": ("double", 3, 1, 5), "s.d": ("date", 3, 2, 10), "s.b.element": ("varbinary", 1, 0, 3)}
+    assert all(r.value_count == 0 and r.width_ok for r in profile.nested_profile(df.limit(0)).collect())
+
+
 def test_row_cap(spark):
     df = spark.range(10)
     assert relational.row_cap(df, 0).count() == 10

@@ -51,3 +51,22 @@ def test_detail_rule_counts_utf16_units(spark):
     df = spark.createDataFrame([("a,b,1234567890123456\U0001F600",), ("a,b,12345678901234567\U0001F600,k,z",)],
                                "value string")
     assert [tuple(r) for r in reconcile.classify(df).collect()] == [("a", 0, 0), ("k", 0, 1)]
+
+
+def test_value_pieces_join_to_the_whole(spark):
+    import json
+
+    from logweave.operators import aggregates
+    from logweave.session import shared_dir
+
+    data = [("hot", v) for v in [None, "a", "a", "b", "c"] * 300 + [f"v{i % 90}" for i in range(500)]] + [("one", "x"), ("null", None), (None, "y"), (None, "z"), (None, "y")]
+    df = spark.createDataFrame(data, "k string, v string").repartition(6)
+    for size in (1, 7, 1000, 10**6):
+        pieces = aggregates.value_pieces(df, "k", "v", size, shared_dir(spark, "pieces")).collect()
+        whole = {r.k: r for r in aggregates.values_json(df, "k", "v", always_array=True).collect()}
+        for k, r in whole.items():
+            mine = sorted((p for p in pieces if p.k == k), key=lambda p: p.piece)
+            assert [p.piece for p in mine] == list(range(len(mine))) and all(p.n == size for p in mine[:-1]) and mine[-1].n <= size
+            assert [v for p in mine for v in json.loads(p.values_json)] == json.loads(r.values_json)
+        assert {p.k for p in pieces} == set(whole)
+    assert aggregates.value_pieces(df.limit(0), "k", "v", 5, shared_dir(spark, "pieces")).count() == 0

@@ -44,3 +44,26 @@ def test_windowed_counts(spark):
         "ts string, value string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = sorted((str(r.window_start), r.token, r.n) for r in T.windowed_token_counts(df).collect())
     assert got == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 00:00:00", "b", 1), ("2024-01-01 00:00:20", "a", 1)]
+
+
+def test_streamed_windows_close_once_across_a_restart(spark, tmpdir_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from logweave.streaming import tokens as T
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    deliveries = [[(at(5), "a,b"), (at(45), "a")], [(at(15), "a"), (at(100), "c"), (at(62), None)], [(at(1), "late"), (at(59), "b"), (at(200), "d")]]
+    schema = "ts timestamp_ntz, value string"
+    got = []
+    for i, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmpdir_path}/in")
+        q = T.start_windowed_token_counts(spark.readStream.schema(schema).parquet(f"{tmpdir_path}/in"), f"{tmpdir_path}/out", f"{tmpdir_path}/ck", "40 seconds", available_now=True)
+        q.awaitTermination()
+        got.append(spark.read.schema("window_start timestamp, token string, n bigint").parquet(f"{tmpdir_path}/out").select(
+            (F.unix_seconds("window_start") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))).alias("s"), "token", "n").collect())
+    assert sorted(map(tuple, got[0])) == []
+    # the row at 15 s came late but before its window was closed; the one at 1 s did not
+    assert sorted(map(tuple, got[1])) == [(0, "a", 2), (0, "b", 1), (40, "a", 1)] or sorted(map(tuple, got[1])) == [(0, "a", 2), (0, "b", 1)]
+    assert sorted(map(tuple, got[2])) == sorted([(0, "a", 2), (0, "b", 1), (40, "a", 1), *([(40, "b", 1)] if (40, "a", 1) not in map(tuple, got[1]) else []), (100, "c", 1)])
