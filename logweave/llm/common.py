@@ -3,6 +3,8 @@ broadcasts and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -66,6 +68,8 @@ class Scratch:
         which on a driver with a large heap can be after the whole operator.
         """
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):      # not every system's C library has it
+            ctypes.CDLL(None).malloc_trim(0)                    # what is freed goes back to the system
         self.spark._jvm.System.gc()
 
     def small(self, df: DataFrame, name: str, factor: int = 4) -> DataFrame:
@@ -83,6 +87,16 @@ def doc_order() -> list[Column]:
     ]
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of `docs` has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, did, th, text) of every row, null texts as empty ones."""
     return docs.select("doc_id", *doc_order(), F.coalesce("text", F.lit("")).alias("text"))

@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (`min_words` different words at least, shorter
-lines are left alone). A line goes if an earlier line of the corpus (by
+A line is the set of its words; lines of fewer than `min_words` different words
+(by default those without words) are left alone. A line goes if an earlier line of the corpus (by
 document order, then line number) has a Jaccard similarity of `threshold` or
 more; judged on the input, so a removed line still removes later ones.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.common import LOWEST, SPACES, Scratch, doc_order, keyed_texts, with_constant, words_of
+from logweave.llm.common import LOWEST, SPACES, Scratch, doc_order, keyed_texts, unused, with_constant, words_of
 
 BUCKETS = 1 << 20
 #: Words of at least this share of all words are told apart by frequency; the
@@ -155,13 +155,19 @@ def _verified(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFra
     return out
 
 
-def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
+def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
     """(did, th, line) of every line of `docs` (doc_id, text) to remove.
 
     did and th are the document's id (lowest long if null) and text hash, see
-    `common.doc_order`; rows with equal id and text are one document, so they
-    keep or lose the same lines. Ties cannot occur: a line's place is unique.
+    `common.doc_order`; rows with equal id and text are told apart by
+    `remove_later_lines` only, here they are the first of them. Ties cannot
+    occur: a line's place is unique.
     """
+    return _later(docs, threshold, min_words)[0]
+
+
+def _later(docs: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """`later_lines`, and (did, th) of documents that are there more than once."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -181,9 +187,12 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
     n = F.col("n")
     prefix = F.slice("codes", 1, (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int"))
     # short lines are filtered on the written table: a filter here would code every line twice
-    lines = scratch.write(
+    every = scratch.write(
         coded.select(*KEY, F.xxhash64("codes").alias("h"), "n", F.transform(prefix, lambda x: F.hash(x)).alias("prefix"),
-                     *_bitmap(F.col("codes"))), "lines").where(F.col("n") >= min_words)
+                     *_bitmap(F.col("codes"))), "lines")
+    repeated = every.where("line = 0").groupBy("did", "th").agg(F.count("*").alias("k")).where("k > 1").select("did", "th")
+    repeated = scratch.write(repeated, "repeated")
+    lines = every.where(F.col("n") >= min_words).distinct()
     # equal sets: their earliest line stands for all; every other attribute follows from the set
     first = F.min(F.struct(*KEY, "n", "prefix", "m0", "m1")).alias("f")
     sets = scratch.write(lines.groupBy("h").agg(first).select("h", "f.*"), "sets")
@@ -209,25 +218,37 @@ def later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
         F.col("similar").isNotNull() | (F.struct(*KEY) > F.col("first")))
     out = scratch.write(out.select(*KEY).distinct(), "later")
     scratch.drop("lines", "sets")
-    return out
+    return out, scratch.small(repeated, "repeated")
 
 
-def remove_later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
+def remove_later_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
     """`docs` (doc_id, text, any other columns) with the later lines taken out
-    of the text; adds n_lines and n_removed. A text with nothing removed is
-    unchanged, a null text stays null with no lines; a text that loses all its
-    lines becomes empty."""
-    later = later_lines(docs, threshold, min_words)
+    of the text; adds n_lines and n_removed, in place of columns of that name.
+    A text with nothing removed is unchanged, a null text stays null with no
+    lines; a text that loses all its lines becomes empty. Of rows with equal id
+    and text (also of those without an id) one is the first; the others are
+    later copies and lose all their lines of at least `min_words` words."""
+    later, repeated = _later(docs, threshold, min_words)
     scratch = Scratch(docs.sparkSession, "line_lists")
-    lists = scratch.write(later.groupBy("did", "th").agg(F.collect_set("line").alias("lw_gone")), "lists")
-    did, th = doc_order()
-    keyed = docs.withColumns({"lw_did": did, "lw_th": th})
-    lists = scratch.small(lists.withColumnsRenamed({"did": "lw_did", "th": "lw_th"}), "lists")
+    lists = scratch.write(later.groupBy("did", "th").agg(F.collect_set("line").alias("gone")), "lists")
+    did, th, gone, copy, chosen = unused(docs, "lw_did", "lw_th", "lw_gone", "lw_copy", "lw_chosen")
+    lists = scratch.small(lists.select(F.col("did").alias(did), F.col("th").alias(th), F.col("gone").alias(gone)), "lists")
+    keyed = docs.withColumns(dict(zip((did, th), doc_order())))
+    twice = repeated.select(F.col("did").alias(did), F.col("th").alias(th))
+    once = keyed.join(twice, [did, th], "left_anti").withColumn(copy, F.lit(False))
+    # rows that are there more than once are written with a number, the lowest is the first
+    again = scratch.write(keyed.join(twice, [did, th], "left_semi").withColumn(copy, F.monotonically_increasing_id()), "again")
+    first = scratch.write(again.groupBy(did, th).agg(F.min(copy).alias("lw_first")), "first")
+    first = scratch.small(first.select(F.col("lw_first").alias(copy)), "first").withColumn(chosen, F.lit(True))
+    marked = again.join(first, copy, "left").withColumn(copy, F.col(chosen).isNull()).select(*once.columns)
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("lw_gone", i))
-    return keyed.join(lists, ["lw_did", "lw_th"], "left").select(
-        *[docs[c] for c in docs.columns if c != "text"],
-        F.when(F.col("lw_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+    words = lambda s: F.size(F.array_distinct(words_of(s)))
+    kept = F.when(F.col(copy), F.filter(parts, lambda s: words(s) < min_words)).otherwise(
+        F.filter(parts, lambda _, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False))))
+    whole = F.col(gone).isNull() & ~F.col(copy)
+    removed = F.when(F.col(copy), F.size(parts) - F.size(kept)).otherwise(F.coalesce(F.size(gone), F.lit(0)))
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return once.unionAll(marked).join(lists, [did, th], "left").select(
+        *own, F.when(whole | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lw_gone"), F.lit(0)).cast("long").alias("n_removed"))
-
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"))

@@ -15,8 +15,8 @@ rerun, or the same document elsewhere, decides alike.
 Targets name a bounded list of values per dimension; all other values (and
 null) form one cell value, `OTHER`. So the cell table is bounded by the
 product of the lists' lengths, and only it goes to the driver, which fits the
-factors. The documents are read twice, never shuffled, by DataFrame expressions
-only.
+factors in numpy. The documents are read twice by DataFrame expressions, and
+not shuffled. Columns n_tokens, topic, p and kept of the input are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACES, Scratch
+from logweave.llm.common import SPACES, Scratch, unused
 
 OTHER = "*"
 DIMENSIONS = ("source", "lang", "topic")
@@ -39,6 +38,8 @@ MAX_CELLS = 1_000_000
 #: sample, or after so many rounds (targets that contradict each other at the budget).
 CLOSE = 1e-9
 ROUNDS = 1000
+#: Bounds of a factor.
+SMALLEST, LARGEST = 1e-90, 1e90
 
 
 def token_count(text: Column | str) -> Column:
@@ -64,48 +65,6 @@ def cells(docs: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFr
     return docs.select(*dims, "n_tokens").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("t"))
 
 
-def rake(scratch: Scratch, table: DataFrame, targets: Mapping[str, Mapping[str, float]], sweeps: int = 24) -> DataFrame:
-    """Adds w to `table` (source, lang, topic, t): the fitted share of each
-    cell. Targets are scaled to the values that occur; a value without a target
-    (`OTHER`, unless targets name it) keeps its own share of the tokens."""
-    one = table.where("t > 0").coalesce(1)
-    total = F.sum("t").over(W.partitionBy(F.lit(1)))
-    cur = one.withColumn("w", F.col("t") / total)
-    for d in DIMENSIONS:
-        own = F.sum("w").over(W.partitionBy(d))
-        share = own
-        for value, weight in sorted(targets[d].items()):
-            share = F.when(F.col(d) == value, F.lit(float(weight))).otherwise(share)
-        first = F.when(F.row_number().over(W.partitionBy(d).orderBy(*DIMENSIONS)) == 1, F.col(f"g_{d}")).otherwise(0.0)
-        cur = cur.withColumn(f"g_{d}", share).withColumn(f"f_{d}", first)
-        cur = cur.withColumn(f"g_{d}", F.col(f"g_{d}") / F.sum(f"f_{d}").over(W.partitionBy(F.lit(1)))).drop(f"f_{d}")
-    cur = scratch.write(cur, "sweep_0")
-    for k in range(sweeps):
-        for d in DIMENSIONS:
-            cur = cur.withColumn("w", F.col("w") * F.col(f"g_{d}") / F.sum("w").over(W.partitionBy(d)))
-        if k % 6 == 5 or k == sweeps - 1:
-            cur = scratch.write(cur.coalesce(1), f"sweep_{k + 1}").coalesce(1)
-    return cur.drop(*[f"g_{d}" for d in DIMENSIONS])
-
-
-def probabilities(fitted: DataFrame, budget: float) -> DataFrame:
-    """Adds p to `fitted` (…, t, w): min(1, c * w / t), with c such that the
-    expected number of kept tokens is `budget` times all tokens. Cells are
-    saturated from the largest w / t down until the rest can carry c."""
-    every = W.partitionBy(F.lit(1))
-    down = every.orderBy(F.desc("g"), *DIMENSIONS)
-    out = fitted.withColumn("g", F.col("w") / F.col("t")).withColumn("need", F.lit(float(budget)) * F.sum("t").over(every))
-    before = F.coalesce(F.sum("t").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("w").over(down.rowsBetween(0, W.unboundedFollowing))
-    out = out.withColumn("c", (F.col("need") - before) / after)
-    fits = F.min(F.when(F.col("c") * F.col("g") <= 1, F.col("rank"))).over(every)
-    out = out.withColumn("rank", F.row_number().over(down)).withColumn("first", fits)
-    c = F.max(F.when(F.col("rank") == F.col("first"), F.col("c"))).over(every)
-    free = F.greatest(F.least(c * F.col("g"), F.lit(1.0)), F.lit(0.0))
-    return out.withColumn("p", F.when(F.col("first").isNull() | (F.col("rank") < F.col("first")), F.lit(1.0)).otherwise(free)).select(
-        *DIMENSIONS, "t", "w", "p")
-
-
 def _level(size: np.ndarray, u: np.ndarray, goal: float) -> float:
     """f with sum(size * min(1, f * u)) = goal; all at 1 if that is not enough."""
     if not len(size):
@@ -146,7 +105,7 @@ def calibrate(rows: list, targets: Mapping[str, Mapping[str, float]], budget: fl
         for k in range(3):
             u = raw()
             for j, cells_of in enumerate(places[k]):
-                factors[k][j] = np.clip(factors[k][j] * _level(size[cells_of], u[cells_of], goals[k][j]), 1e-90, 1e90)
+                factors[k][j] = np.clip(factors[k][j] * _level(size[cells_of], u[cells_of], goals[k][j]), SMALLEST, LARGEST)
         now = [reached(k) for k in range(3)]
         if max(np.abs(a - b).max() for a, b in zip(now, last)) <= CLOSE * need:
             break
@@ -192,8 +151,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: flo
     said = F.from_json(F.lit(json.dumps([dict(zip(("dimension", "value", "wanted", "reached"), r)) for r in report])), fields)
     scratch.write(docs.sparkSession.range(1).select(F.inline(said)), "marginals")
     fitted = scratch.write(table.select(*DIMENSIONS, _factors_of(factors).alias("p")).coalesce(1), "fitted")
-    probs = fitted.select(*[F.col(d).alias(f"lw_{d}") for d in DIMENSIONS], F.col("p").alias("lw_p"))
-    keyed = counted.withColumns({f"lw_{d}": _named(d, targets[d]) for d in DIMENSIONS})
-    out = keyed.join(F.broadcast(probs), [f"lw_{d}" for d in DIMENSIONS], "left").withColumn("p", F.coalesce("lw_p", F.lit(1.0)))
+    *names, p = unused(counted, *[f"lw_{d}" for d in DIMENSIONS], "lw_p")
+    probs = fitted.select(*[F.col(d).alias(n) for d, n in zip(DIMENSIONS, names)], F.col("p").alias(p))
+    keyed = counted.withColumns({n: _named(d, targets[d]) for d, n in zip(DIMENSIONS, names)})
+    out = keyed.join(scratch.small(probs, "fitted"), names, "left").withColumn("p", F.coalesce(p, F.lit(1.0)))
     return out.withColumn("kept", uniform(F.col("doc_id"), F.col("text"), seed) < F.col("p")).select(
         *[c for c in docs.columns if c not in ("n_tokens", "topic", "p", "kept")], "n_tokens", "topic", "p", "kept")

@@ -34,11 +34,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from logweave.llm.common import Scratch
 
@@ -85,6 +83,9 @@ def encoder(tokenizer: bytes) -> Callable[[str], np.ndarray]:
     that read it, which gives the same ids; texts that it refuses, and every
     other tokenizer, take the tokenizer file itself.
     """
+    import tiktoken                     # where texts are encoded, not on the driver
+    from tokenizers import Tokenizer
+
     spec = json.loads(tokenizer)
     whole = Tokenizer.from_str(tokenizer.decode())
     ranks = _ranked_bytes(spec)

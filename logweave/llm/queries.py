@@ -76,37 +76,53 @@ MIX_TARGETS = {
 MIX_BUDGET = 0.6
 
 
-def _mix_sql(relation: str) -> str:
-    """DuckDB SQL: (doc_id, n_tokens, topic, p, kept, r) of `relation`, r its row."""
+def _level_sql(relation: str, part: str, size: str, u: str, goal: str, order: str) -> str:
+    """`relation` with f: the factor by which the rows of a part, each taken at
+    most whole (size * min(1, f * u)), come to the part's goal."""
+    over = f"PARTITION BY {part}" if part else ""
+    w = f"{over} ORDER BY {u} DESC, {order}"
+    return f"""(SELECT * EXCLUDE (pos_, full_, rest_, f_),
+       coalesce(arg_min(f_, pos_) FILTER (WHERE f_ * {u} <= 1) OVER ({over}), 1 / min({u}) OVER ({over})) AS f FROM (
+    SELECT *, greatest({goal} - full_, 0) / rest_ AS f_ FROM (
+      SELECT *, row_number() OVER ({w}) AS pos_,
+             coalesce(sum({size}) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+             sum({size} * {u}) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_ FROM {relation})))"""
+
+
+def _mix_sql(relation: str, rounds: int = mixing.ROUNDS) -> str:
+    """DuckDB SQL: (doc_id, n_tokens, topic, p, kept, r) of `relation`, r its row.
+    Raking in which no cell is taken more than whole."""
     named = {d: f"CASE WHEN {d} IN ({', '.join(repr(v) for v in sorted(t))}) THEN {d} ELSE '*' END" for d, t in MIX_TARGETS.items()}
     goal = {d: "CASE " + " ".join(f"WHEN {d} = '{v}' THEN CAST({w} AS DOUBLE)" for v, w in sorted(t.items())) + " END" for d, t in MIX_TARGETS.items()}
+    dims = list(MIX_TARGETS)
+    # per dimension: tokens of each value, its wanted share, the tokens of it that can be had
+    values = ",".join(f"""
+v_{d} AS (SELECT {d}, sum(t) AS there, coalesce({goal[d]}, sum(t) / (SELECT sum(t) FROM cell)) AS raw FROM cell GROUP BY {d}),
+g_{d} AS (SELECT {d}, there * least(1.0, f * ask) AS g_{d} FROM {_level_sql(
+        f"(SELECT {d}, there, raw / sum(raw) OVER () / there AS ask, {MIX_BUDGET} * sum(there) OVER () AS need FROM v_{d})", "", "there", "ask", "need", d)})"""
+                      for d in dims)
+    u, least_, most = " * ".join(f"f_{d}" for d in dims), mixing.SMALLEST, mixing.LARGEST
+    step = f"(SELECT * FROM it WHERE step < {rounds} AND moved > {mixing.CLOSE} * need)"
+    for d in dims:
+        scaled = _level_sql(f"(SELECT *, {u} AS u FROM {step})", d, "t", "u", f"g_{d}", ", ".join(dims))
+        step = f"(SELECT * EXCLUDE (u, f) REPLACE (least(greatest(f_{d} * f, {least_}), {most}) AS f_{d}) FROM {scaled})"
+    now = ", ".join(f"sum(t * least({u}, 1.0)) OVER (PARTITION BY {d}) AS n_{d}" for d in dims)
+    moved = "max(greatest(" + ", ".join(f"abs(n_{d} - r_{d})" for d in dims) + ")) OVER ()"
+    step = f"(SELECT * EXCLUDE ({', '.join(f'n_{d}' for d in dims)}) REPLACE ({', '.join(f'n_{d} AS r_{d}' for d in dims)}, {moved} AS moved) FROM (SELECT *, {now} FROM {step}))"
+    state = ["source", "lang", "topic", "t", "need", *[f"{c}_{d}" for c in "gfr" for d in dims], "moved"]
     return rf"""
 WITH RECURSIVE counted AS (
   SELECT d AS r, d.*, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')) AS BIGINT) AS n_tok
   FROM {relation} d),
 k AS (SELECT *, CASE WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), '!!') THEN 'loud'
                      WHEN n_tok < 100 THEN 'short' WHEN n_tok >= 1000 THEN 'long' ELSE 'prose' END AS topic FROM counted),
-cell AS (SELECT {named['source']} AS source, {named['lang']} AS lang, {named['topic']} AS topic, sum(n_tok) AS t FROM k GROUP BY ALL HAVING sum(n_tok) > 0),
-w0 AS (SELECT *, t / sum(t) OVER () AS w FROM cell),
-gs AS (SELECT source, coalesce({goal['source']}, sum(w)) AS g FROM w0 GROUP BY source),
-gl AS (SELECT lang, coalesce({goal['lang']}, sum(w)) AS g FROM w0 GROUP BY lang),
-gt AS (SELECT topic, coalesce({goal['topic']}, sum(w)) AS g FROM w0 GROUP BY topic),
-goals AS (SELECT w0.*, gs.g / (SELECT sum(g) FROM gs) AS a, gl.g / (SELECT sum(g) FROM gl) AS b, gt.g / (SELECT sum(g) FROM gt) AS c
-          FROM w0 JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic)),
-it AS (SELECT 0 AS step, source, lang, topic, t, a, b, c, CAST(w AS DOUBLE) AS w FROM goals
-       UNION ALL
-       SELECT step + 1, source, lang, topic, t, a, b, c, w * c / sum(w) OVER (PARTITION BY topic) FROM (
-         SELECT * REPLACE (w * b / sum(w) OVER (PARTITION BY lang) AS w) FROM (
-           SELECT * REPLACE (w * a / sum(w) OVER (PARTITION BY source) AS w) FROM it WHERE step < 24))),
-fit AS (SELECT *, w / t AS g FROM it WHERE step = 24),
-o AS (SELECT *, row_number() OVER x AS pos,
-             ({MIX_BUDGET} * sum(t) OVER () - coalesce(sum(t) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-             / sum(w) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k
-      FROM fit WINDOW x AS (ORDER BY g DESC, source, lang, topic)),
-f AS (SELECT min(pos) AS pos FROM o WHERE k * g <= 1),
-p AS (SELECT o.source, o.lang, o.topic,
-             CASE WHEN f.pos IS NULL OR o.pos < f.pos THEN 1.0 ELSE greatest(least((SELECT k FROM o JOIN f USING (pos)) * g, 1.0), 0.0) END AS p
-      FROM o, f)
+cell AS (SELECT {named['source']} AS source, {named['lang']} AS lang, {named['topic']} AS topic, CAST(sum(n_tok) AS DOUBLE) AS t FROM k GROUP BY ALL HAVING sum(n_tok) > 0),{values},
+it AS (SELECT 0 AS step, source, lang, topic, t, {MIX_BUDGET} * sum(t) OVER () AS need, g_source, g_lang, g_topic,
+              {', '.join(f"1.0::DOUBLE AS f_{d}" for d in dims)}, {', '.join(f"'inf'::DOUBLE AS r_{d}" for d in dims)}, 'inf'::DOUBLE AS moved
+       FROM cell JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic)
+       UNION ALL SELECT step + 1, {', '.join(state)} FROM {step}),
+p AS (SELECT source, lang, topic, least(1.0, u * f) AS p FROM {_level_sql(
+        f"(SELECT *, {u} AS u FROM it WHERE step = (SELECT max(step) FROM it))", "", "t", "u", "need", ", ".join(dims))})
 SELECT k.r, k.doc_id, n_tok AS n_tokens, k.topic, coalesce(p.p, 1.0) AS p,
        CAST('0x' || substr(md5('1:' || coalesce(CAST(k.doc_id AS VARCHAR), md5(coalesce(k.text, '')))), 1, 12) AS BIGINT) / 281474976710656.0 < coalesce(p.p, 1.0) AS kept
 FROM k LEFT JOIN p ON p.source = {named['source'].replace('source', 'k.source')} AND p.lang = {named['lang'].replace('lang', 'k.lang')} AND p.topic = k.topic
@@ -123,7 +139,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, ls[i] AS s
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
      w AS (SELECT doc_id, line, list_distinct(list_filter(regexp_split_to_array(s, '[ \t-\r]+'), lambda x: x <> '')) AS ws FROM l),
-     big AS (SELECT doc_id, line, list_sort(ws) AS ws, row_number() OVER (ORDER BY doc_id, line) AS place FROM w WHERE len(ws) >= 5),
+     big AS (SELECT doc_id, line, list_sort(ws) AS ws, row_number() OVER (ORDER BY doc_id, line) AS place FROM w WHERE len(ws) >= 1),
      same AS (SELECT ws, len(ws) AS n, min(place) AS place FROM big GROUP BY ws),
      tok AS (SELECT place, n, unnest(ws) AS t FROM same),
      sim AS (SELECT DISTINCT b.place FROM tok a JOIN tok b ON a.t = b.t AND a.place < b.place

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, ascii_lower, doc_order, keyed_texts
+from logweave.llm.common import Scratch, ascii_lower, doc_order, keyed_texts, unused
 
 #: What separates words: ASCII other than digits and lower-case letters.
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The rows of `docs` (doc_id, text, any other columns) without a hit."""
-    found = hits(docs, benchmark, window, k).select(F.col("did").alias("lw_did"), F.col("th").alias("lw_th"))
-    did, th = doc_order()
-    keyed = docs.withColumns({"lw_did": did, "lw_th": th})
-    return keyed.join(found, ["lw_did", "lw_th"], "left_anti").select(*docs.columns)
+    names = unused(docs, "lw_did", "lw_th")
+    found = hits(docs, benchmark, window, k).select(F.col("did").alias(names[0]), F.col("th").alias(names[1]))
+    keyed = docs.withColumns(dict(zip(names, doc_order())))
+    return keyed.join(found, names, "left_anti").select(*docs.columns)

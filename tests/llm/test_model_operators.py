@@ -275,22 +275,6 @@ def test_gram_keys_are_those_of_spark(spark):
 
 # --- mixing
 
-def test_raking_meets_the_targets(spark):
-    rng = np.random.default_rng(8)
-    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.7, "long": 0.3}}
-    cells = [(s, g, t, int(rng.integers(50, 5000))) for s in "abc" for g in ("en", "de") for t in ("prose", "long")]
-    table = spark.createDataFrame(cells, "source string, lang string, topic string, t long")
-    scratch = Scratch(spark, "mix_test")
-    fitted = scratch.write(mixing.rake(scratch, table, targets), "f")
-    for d, goal in targets.items():
-        got = {r[0]: r[1] for r in fitted.groupBy(d).agg(F.sum("w")).collect()}
-        assert all(abs(got[k] - v) < 1e-6 for k, v in goal.items())
-    for budget in (0.05, 0.5, 0.9, 1.0):
-        out = mixing.probabilities(fitted, budget).collect()
-        assert all(0 <= r.p <= 1 for r in out)
-        assert abs(sum(r.p * r.t for r in out) - budget * sum(c[3] for c in cells)) < 1e-3 * sum(c[3] for c in cells)
-
-
 def test_mix(spark):
     data = rows(n=200)
     targets = {"source": {"src0": 0.9, "src1": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": {}}

@@ -83,11 +83,28 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
     assert kept.count() == groups.select("component_id").distinct().count()
 
 
-def test_short_lines_are_matched_too(spark, con):
-    # the oracle's SQL leaves lines of 1 to 4 words alone; without that cut it is the whole operator
-    sql = ORACLES["op9_line_dedup"]
-    assert sql.count("len(ws) >= 5") == 1
-    assert compare(QUERIES["op9_line_dedup"](spark, SF_SMALL), con, sql.replace("len(ws) >= 5", "len(ws) >= 1")) is None
+CLASHING = ["did", "th", "lw_did", "lw_th", "lw_gone", "lw_copy", "lw_first", "lw_row", "lw_p", "lw_source", "n_lines", "n_removed", "lang_pred", "score", "rare",
+            "row", "component_id", "fp", "lw_is_first", "_lw_row", "words", "key"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_carry_clashing_columns(spark, name, stage):
+    data = frame(spark, rows()).select("doc_id", "text", "lang", "source", "n_chars")
+    extra = data.withColumns({c: F.concat_ws("|", F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    out = stage(spark, extra, SF_SMALL)
+    assert out.columns[:len(extra.columns)] == extra.columns
+    plainly = stage(spark, data, SF_SMALL)
+    assert sorted(map(repr, out.select(*data.columns).collect())) == sorted(map(repr, plainly.select(*data.columns).collect()))
+    for r in out.select("doc_id", *CLASHING).collect():
+        assert all(r[c] == "|".join([c] + ([str(r.doc_id)] if r.doc_id is not None else [])) for c in CLASHING)
+
+
+def test_near_dedup_stage_works_by_row(spark):
+    say = lambda k: " ".join(f"word{(i * k) % 211}" for i in range(80))
+    data = [(1, say(3)), (2, say(3)), (2, say(7)), (5, say(11)), (5, say(11)), (None, say(13)), (None, say(13)), (9, say(13)), (10, say(17))]
+    docs = frame(spark, [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": 1, "did": 1, "th": "x", "words": None} for i, t in data])
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF_SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, say(3)), (2, say(7)), (5, say(11)), (0, say(13)), (10, say(17))])
 
 
 def test_line_stage_removes_short_copies(spark):

@@ -79,12 +79,12 @@ def test_dense_group_needs_no_second_partner(spark):
     lines = [" ".join(base[:k] + [f"x{k}"] + base[k + 1:]) for k in range(40)]
     data = [{"doc_id": k, "text": t} for k, t in enumerate(lines)]
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in data], "doc_id long, text string")
-    assert {(r.did, r.line) for r in line_dedup.later_lines(df).collect()} == later_lines(data)
+    assert {(r.did, r.line) for r in line_dedup.later_lines(df, 0.8, 5).collect()} == later_lines(data)
 
 
 def test_lines_removed_from_texts(docs, unique, data, empty):
     gone = later_lines(plain(data))
-    out = {r.doc_id: r for r in line_dedup.remove_later_lines(unique).collect()}
+    out = {r.doc_id: r for r in line_dedup.remove_later_lines(unique, 0.8, 5).collect()}
     for r in plain(data):
         if r["text"] is None:
             assert out[r["doc_id"]].text is None
@@ -240,3 +240,15 @@ def test_successors_across_ranges(spark):
     got = {r.doc_id: r.next for r in ranged.withColumn("next", F.lead("text").over(w)).where("guest = 0").collect()}
     ids = list(range(0, 3000, 7))
     assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+
+
+def test_equal_rows_lose_their_lines(spark):
+    text = "one two three\n\nfour five six seven\n \t"
+    data = [{"doc_id": i, "text": t, "lang": None, "source": None, "n_chars": 0, "did": 1, "th": "x", "words": None}
+            for i, t in [(7, text), (7, text), (None, "no id here"), (None, "no id here"), (None, "no id here"), (3, "alone"), (7, "three two one"), (4, None), (4, None)]]
+    got = line_dedup.remove_later_lines(frame(spark, data)).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in got) == sorted([
+        (7, text, 0), (7, "\n \t", 2), (0, "no id here", 0), (0, "", 1), (0, "", 1), (3, "alone", 0), (7, "", 1), (4, "", 0), (4, "", 0)]) or \
+        sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in got) == sorted([      # the hash of the text decides which of id 7 is first
+        (7, "\nfour five six seven\n \t", 1), (7, "\n \t", 2), (0, "no id here", 0), (0, "", 1), (0, "", 1), (3, "alone", 0), (7, "three two one", 0), (4, "", 0), (4, "", 0)])
+    assert sum(r.n_lines for r in got) == 4 + 4 + 3 + 1 + 1
