@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import langid, line_dedup, mixing, simhash, winnow
-from logweave.llm.common import Scratch
+from logweave.llm.common import Scratch, doc_order, unused
 from logweave.llm.queries import MIX_BUDGET, MIX_TARGETS
 from logweave.session import table
 
@@ -25,24 +25,42 @@ def reject_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Language ID: documents without a determined language, or with hardly
     more certainty than chance, go."""
     model = langid.fit(docs)
-    out = langid.identify(docs, model)
-    return out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    # columns that the operator names anew are carried under other names
+    own = [c for c in docs.columns if c in ("lang_pred", "score")]
+    other = dict(zip(own, unused(docs, *[f"lw_{c}" for c in own])))
+    Scratch(spark, "language").release()        # the training sample and its arrays
+    out = langid.identify(docs.withColumnsRenamed(other), model)
+    known = out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return known.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later matches of a line go; documents of which no text is
     left go, and n_chars follows the text."""
-    out = line_dedup.remove_later_lines(docs, threshold=0.8, min_words=1)
+    # columns that the operator names anew are carried under other names
+    own = [c for c in docs.columns if c in ("n_lines", "n_removed")]
+    other = dict(zip(own, unused(docs, *[f"lw_{c}" for c in own])))
+    out = line_dedup.remove_later_lines(docs.withColumnsRenamed(other), threshold=0.8, min_words=1)
     left = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", changed).select(*docs.columns)
+    return left.withColumn("n_chars", changed).select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of each component the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs, size=3, max_bits=3)
-    gone = Scratch(spark, "near_gone").write(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """SimHash: of each component one row stays, that with the smallest id
+    (rows without an id first, then by a hash of the text). The rows are
+    numbered, so that repeated ids, equal rows and rows without an id are rows
+    of their own."""
+    scratch = Scratch(spark, "near")
+    (row,) = unused(docs, "lw_row")
+    numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), size=3, max_bits=3)
+    order = numbered.select(F.col(row).alias("r"), *doc_order())
+    placed = scratch.write(groups.select(F.col("doc_id").alias("r"), "component_id").join(order, "r"), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("did", "th", "r")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    first = scratch.write(first.select("component_id", F.col("first.r").alias("of")), "first")
+    gone = scratch.write(placed.join(scratch.small(first, "first"), "component_id").where("r != of").select(F.col("r").alias(row)), "gone")
+    return numbered.join(scratch.small(gone, "gone"), row, "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
