@@ -48,19 +48,25 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash: of each component one row stays, that with the smallest id
-    (rows without an id first, then by a hash of the text). The rows are
-    numbered, so that repeated ids, equal rows and rows without an id are rows
-    of their own."""
+    (rows without an id first, then by a hash of the text). Rows are told
+    apart by id and text; of rows equal in both, one stays at most."""
     scratch = Scratch(spark, "near")
-    (row,) = unused(docs, "lw_row")
-    numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = simhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), size=3, max_bits=3)
-    order = numbered.select(F.col(row).alias("r"), *doc_order())
-    placed = scratch.write(groups.select(F.col("doc_id").alias("r"), "component_id").join(order, "r"), "placed")
-    first = placed.groupBy("component_id").agg(F.min(F.struct("did", "th", "r")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    first = scratch.write(first.select("component_id", F.col("first.r").alias("of")), "first")
-    gone = scratch.write(placed.join(scratch.small(first, "first"), "component_id").where("r != of").select(F.col("r").alias(row)), "gone")
-    return numbered.join(scratch.small(gone, "gone"), row, "left_anti").select(*docs.columns)
+    key, number = unused(docs, "lw_key", "lw_number")
+    keyed = docs.withColumn(key, F.xxhash64(*doc_order()))
+    groups = simhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), size=3, max_bits=3)
+    rows = groups.groupBy(F.col("doc_id").alias("k"), "component_id").agg(F.count("*").alias("n"))
+    order = docs.select(*doc_order()).select(F.xxhash64("did", "th").alias("k"), "did", "th").distinct()
+    placed = scratch.write(rows.join(order, "k"), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("did", "th", "k")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    first = scratch.write(first.select("component_id", F.col("first.k").alias("of")), "first")
+    gone = scratch.write(placed.join(scratch.small(first, "first"), "component_id").where("k != of").select(F.col("k").alias(key)), "gone")
+    twice = scratch.write(placed.where("n > 1").select(F.col("k").alias(key)), "twice")
+    left = keyed.join(scratch.small(gone, "gone"), key, "left_anti")
+    # equal rows are written with a number, the lowest stays
+    again = scratch.write(left.join(scratch.small(twice, "twice"), key, "left_semi").withColumn(number, F.monotonically_increasing_id()), "again")
+    one = scratch.write(again.groupBy(key).agg(F.min(number).alias("number")), "one").select(F.col("number").alias(number))
+    once = left.join(scratch.small(twice, "twice"), key, "left_anti").select(*docs.columns)
+    return once.unionAll(again.join(scratch.small(one, "one"), number, "left_semi").select(*docs.columns))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
