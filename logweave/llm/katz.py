@@ -14,12 +14,14 @@ All words, pairs and triples are kept, with exact counts, however rare. A pair
 or triple is a row (a, b): the key of its context and the key of the n-gram one
 order down that it ends with. Its own key is Spark's xxhash64 of the two, which
 tasks compute alike. Backoff weights are sums grouped by context; scoring looks
-triples up by a join, what misses goes on to pairs, then to words. The words of
-share `word_share` are held in memory for the base score, rarer ones are looked
-up by a join on the full word table.
+triples up by a join, what misses goes on to pairs, then to words.
 
-A caller that wants a model in memory instead names a `share`: then only pairs
-and triples of that share of all tokens are kept, at most 1 / share of them.
+Texts are cut into token hashes once, in a written table. Triples are counted,
+weighted and looked up in ROUNDS rounds dealt by their middle word, as both
+their context and the pair they end with hold it: each round meets its own part
+of the tables only, and its shuffle files go before the next one starts. The
+words of share `word_share`, at most 1 / word_share of them, are held in memory
+for the base score; rarer ones are looked up by a join on the word table.
 
 A text is its words, ASCII-lower-cased, and one end token. Its score is the sum
 of the base-10 logarithms of its tokens' probabilities.
@@ -34,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from logweave.llm.bytewords import LOWER, NOT_SPACE, mix, slices, word_counts, word_hashes, word_spans
 from logweave.llm.common import Scratch
@@ -42,7 +45,8 @@ from logweave.llm.common import Scratch
 K = 5
 #: Hash of the end token; words hash to other values but for a chance of 2**-64.
 END = np.uint64(1)
-WORD_BITS = 24
+#: Rounds of the triples, a power of two; each needs about its share of the disk that all would.
+ROUNDS = 4
 #: Keys gathered in a task before they are counted and handed on.
 BUFFER = 1 << 22
 
@@ -65,46 +69,21 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-@dataclass
-class Kept:
-    """The n-grams held in memory, with sorted keys: word hashes; pairs as
-    place of u << WORD_BITS | place of v; triples as place of (u v) <<
-    WORD_BITS | place of w. `log` are base-10 logarithms of probabilities,
-    `back` of backoff weights by the place of the context."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    triples: np.ndarray
-
-    def plain(self) -> tuple:
-        """What is broadcast: arrays only, which any worker can read."""
-        return self.words, self.pairs, self.triples
-
-    def places(self, toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its word's place, and the place of the pair it ends (-1: none)."""
-        ids = _find(self.words, toks)
-        pair = np.full(len(toks), -1, np.int64)
-        ok = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0)) + 1
-        first = np.zeros(len(toks), bool)
-        first[heads] = True
-        ok = ok[~first[ok]]
-        pair[ok] = _find(self.pairs, (ids[ok - 1] << WORD_BITS) | ids[ok]) if len(self.pairs) else -1
-        return ids, pair
-
-
-def _pair_keys(kept: Kept, toks: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    ids = _find(kept.words, toks)
-    first = np.zeros(len(toks), bool)
-    first[heads] = True
-    ok = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]) + 1
-    return (ids[ok - 1] << WORD_BITS) | ids[ok]
-
-
-def _triple_keys(kept: Kept, toks: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    # a pair that begins a text has none before it, so a triple never spans two texts
-    ids, pair = kept.places(toks, heads)
-    ok = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0)) + 1
-    return (pair[ok - 1] << WORD_BITS) | ids[ok]
+def _texts(lists: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, tokens, places of the texts' first tokens and the end) of the
+    texts lo to hi of a column of token lists, some half million tokens at once."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy().view(np.uint64)
+    lo = 0
+    while lo < len(lists):
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 19), "right")) - 1), len(lists))
+        yield lo, hi, values[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+        lo = hi
+
+
+def _round(words: np.ndarray) -> np.ndarray:
+    """The round of the triples with these middle words."""
+    return (words & np.uint64(ROUNDS - 1)).astype(np.int64)
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
@@ -133,16 +112,21 @@ def _pairs(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return toks[at - 1], toks[at]
 
 
-def _triples(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inner = np.ones(len(toks), bool)
-    inner[heads] = False
-    at = np.flatnonzero(inner[1:] & inner[:-1]) + 1
-    keys = gram_keys(toks[:-1], toks[1:])
-    return keys[at - 2], keys[at - 1]
+def _triples(k: int):
+    """The triples of round k."""
+
+    def of(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner = np.ones(len(toks), bool)
+        inner[heads] = False
+        at = np.flatnonzero(inner[1:] & inner[:-1]) + 1
+        at = at[_round(toks[at - 1]) == k]
+        return gram_keys(toks[at - 2], toks[at - 1]), gram_keys(toks[at - 1], toks[at])
 
+    return of
 
-def _gram_counts(texts: DataFrame, grams_of) -> DataFrame:
-    """(a, b, c) of all n-grams of `texts` (text). Counted in the task first."""
+
+def _gram_counts(learned: DataFrame, grams_of) -> DataFrame:
+    """(a, b, c) of all n-grams of `learned` (toks). Counted in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -154,8 +138,7 @@ def _gram_counts(texts: DataFrame, grams_of) -> DataFrame:
                 [pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["a", "b", "c"])
 
         for batch in batches:
-            for part in slices(batch.column(0)):
-                toks, heads = tokens(part)
+            for _, _, toks, heads in _texts(batch.column(0)):
                 held.append(grams_of(toks, heads[:-1]))
                 size += len(held[-1][0])
                 if size >= BUFFER // 4:
@@ -164,12 +147,11 @@ def _gram_counts(texts: DataFrame, grams_of) -> DataFrame:
         if size:
             yield counted()
 
-    return texts.select("text").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return learned.select("toks").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def _counts(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, c) over all rows of `texts` (text): keys_of(tokens, heads) are the
-    keys of one slice. Counted in the task first."""
+def _word_counts(learned: DataFrame) -> DataFrame:
+    """(key, c) of all tokens of `learned` (toks). Counted in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -179,19 +161,24 @@ def _counts(texts: DataFrame, keys_of) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "c"])
 
         for batch in batches:
-            for part in slices(batch.column(0)):
-                toks, heads = tokens(part)
-                keys = keys_of(toks, heads[:-1])
-                held.append(keys)
-                size += len(keys)
+            for _, _, toks, _ in _texts(batch.column(0)):
+                held.append(toks)
+                size += len(toks)
                 if size >= BUFFER:
                     yield counted()
                     held, size = [], 0
         if size:
             yield counted()
 
-    rows = texts.select("text").mapInArrow(run, "key long, c long")
-    return rows.groupBy("key").agg(F.sum("c").alias("c"))
+    return learned.select("toks").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            toks, heads = tokens(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(toks.view(np.int64)))], names=["toks"])
 
 
 def _factors(n: np.ndarray) -> np.ndarray | None:
@@ -224,12 +211,12 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
 
 @dataclass
 class Tables:
-    """All pairs and triples (key, c, p) and all contexts (key, back)."""
+    """All pairs and triples (key, p) and all contexts (key, back)."""
 
     pairs: DataFrame
-    triples: DataFrame
-    words_before: DataFrame
-    pairs_before: DataFrame
+    triples: list[DataFrame]        # by round
+    pairs_before: DataFrame         # contexts of pairs: words
+    triples_before: DataFrame       # contexts of triples: pairs
     scratch: Scratch                # where they are written
 
 
@@ -242,26 +229,21 @@ def _factor(factors: np.ndarray, c: Column) -> Column:
 
 @dataclass
 class Model:
-    kept: Kept
-    logs: list[np.ndarray]          # log10 P by place: words, pairs, triples
-    backs: list[np.ndarray]         # log10 backoff weight by place: words, pairs
-    counts: np.ndarray              # of kept words
-    rare: np.ndarray                # factor of a rare word's count, 0 .. K + 1
+    words: np.ndarray               # hashes of the words held in memory, sorted
+    counts: np.ndarray              # their counts
+    rare: np.ndarray                # factor of a word's count, 0 .. K + 1
     unseen: float                   # log10 P of the class of unseen words
     total: int
     distinct: int
-    tables: Tables | None = None    # none: pairs and triples are those in memory
-
-    def plain(self) -> tuple:
-        return self.kept.plain(), self.logs, self.backs, self.counts, self.rare, self.unseen, self.total, self.distinct
+    tables: Tables
 
     def word_log(self, c: Column) -> Column:
-        """log10 P of a word of the full word table by its count (null: unseen)."""
-        return F.when(c > 0, F.log10(_factor(self.rare, c) * c / F.lit(float(max(self.total, 1))))).otherwise(F.lit(self.unseen))
+        """log10 P of a word of the word table by its count (null: unseen)."""
+        return F.when(c > 0, F.log10(_word_share(self.rare, self.total, c))).otherwise(F.lit(self.unseen))
 
 
-def _log(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300))
+def _word_share(factors: np.ndarray, total: int, c: Column) -> Column:
+    return _factor(factors, c) * c / F.lit(float(max(total, 1)))
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -274,143 +256,96 @@ def _count_of_counts(df: DataFrame) -> dict[int, int]:
     return {r["c"]: r["n"] for r in df.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
 
 
-def fit(scratch: Scratch, texts: DataFrame, share: float | None = None, word_share: float = 1e-7) -> tuple[Model, DataFrame]:
-    """Learn from all rows of `texts` (text); (model, word table (key, c)).
-    Without `share` all pairs and triples are kept, in tables."""
-    if not (2.0 ** -WORD_BITS < word_share <= (1 if share is None else share) <= 1):
-        raise ValueError("word_share must be above 2**-24 and not above share")
-    sc = texts.sparkSession.sparkContext
-    words = scratch.write(_counts(texts, lambda toks, heads: toks).select(F.lit(1).alias("order"), "key", "c"), "ngrams_1", "order")
+def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6) -> tuple[Model, DataFrame]:
+    """Learn from all rows of `texts` (text); (model, word table (key, c))."""
+    if not 0 < word_share <= 1:
+        raise ValueError("word_share must be above 0 and not above 1")
+    learned = scratch.write(texts.select(F.col("text").cast("string")).mapInArrow(_token_lists, "toks array<long>"), "learned")
+    words = scratch.write(_word_counts(learned), "ngrams_1/order=1").select("key", "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    factors = [discounts(_count_of_counts(words))]
     key, c = _arrays(words.where(F.col("c") >= max(1.0, word_share * total)))
     by = np.argsort(key.view(np.uint64))
-    kept = Kept(key.view(np.uint64)[by], np.zeros(0, np.int64), np.zeros(0, np.int64))
-    counts = [c[by]]
-    for order, keys_of in ((2, _pair_keys), (3, _triple_keys)) if share is not None else ():
-        held = sc.broadcast(kept.plain())
-        found = scratch.write(_counts(texts, _with(held, keys_of)).select(F.lit(order).alias("order"), "key", "c"), f"all_{order}")
-        factors.append(discounts(_count_of_counts(found)))
-        table = scratch.write(found.where(F.col("c") >= max(1.0, share * total)), f"ngrams_{order}", "order")
-        scratch.drop(f"all_{order}")
-        key, c = _arrays(table)
-        by = np.argsort(key)
-        counts.append(c[by])
-        kept = Kept(kept.words, key[by], kept.triples) if order == 2 else Kept(kept.words, kept.pairs, key[by])
 
     # words: the mass of the discounted counts that is left is the unseen words'
-    d = [f[np.minimum(n, K + 1)] for f, n in zip(factors, counts)]
-    seen = {r: n for r, n in _count_of_counts(words).items() if r <= K}
-    left = sum(n * r * (1 - factors[0][r]) for r, n in seen.items()) / max(total, 1)
-    rare = factors[0]
+    seen = _count_of_counts(words)
+    rare = discounts(seen)
+    left = sum(n * r * (1 - rare[r]) for r, n in seen.items() if r <= K) / max(total, 1)
     if left <= 0:       # no usable counts of counts: as much as one more token
-        rare, left = factors[0] * total / (total + 1), 1 / (total + 1)
-        d[0] = d[0] * total / (total + 1)
-    p1 = d[0] * counts[0] / max(total, 1)
-    if share is None:
-        none = np.zeros(0)
-        model = Model(kept, [_log(p1), none, none], [none, none], counts[0], rare, float(np.log10(left)), int(total), int(distinct))
-        model.tables = _tables(scratch, texts, words.select("key", "c", F.pow(F.lit(10.0), model.word_log(F.col("c"))).alias("p")))
-        return model, words
-    # pairs and triples: P of the kept, and the weight that spreads the rest over all others
-    context, word = kept.pairs >> WORD_BITS, kept.pairs & ((1 << WORD_BITS) - 1)
-    p2, a1 = _higher(context, d[1] * counts[1], counts[0], p1[word])
-    context, word = kept.triples >> WORD_BITS, kept.triples & ((1 << WORD_BITS) - 1)
-    middle = kept.pairs[context] & ((1 << WORD_BITS) - 1)
-    lower = _find(kept.pairs, (middle << WORD_BITS) | word)       # kept, as it is no rarer than the triple
-    p3, a2 = _higher(context, d[2] * counts[2], counts[1], p2[lower])
-    model = Model(kept, [_log(p1), _log(p2), _log(p3)], [_log(a1), _log(a2)], counts[0], rare, float(np.log10(left)), int(total), int(distinct))
-    return model, words
-
-
-def _higher(context: np.ndarray, mass: np.ndarray, of: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(P of each kept n-gram, backoff weight of each context). mass: discounted
-    counts; of: the contexts' counts; lower: P of the words one order down. The
-    weight is what the kept leave over what they leave of the lower order; a
-    context whose kept n-grams leave nothing counts one token more."""
-    n = len(of)
-    held = np.bincount(context, mass, n)
-    total = np.where(held > of * (1 - 1e-9), held + 1, np.maximum(of, 1))
-    p = mass / total[context]
-    base = 1 - np.bincount(context, lower, n)
-    return p, np.where(held > 0, (1 - held / total) / np.maximum(base, 1e-12), 1.0)
-
-
-def _tables(scratch: Scratch, texts: DataFrame, words: DataFrame) -> Tables:
-    """Count all pairs and triples of `texts`; words: (key, c, p). As `_higher`,
-    by grouped sums."""
-    lower, name, made = words, "ngrams_1", []
-    for order, grams_of in ((2, _pairs), (3, _triples)):
-        found = scratch.write(_gram_counts(texts, grams_of), f"all_{order}")
-        scratch.release()
-        factors = discounts(_count_of_counts(found))
-        mass = _factor(factors, F.col("c")) * F.col("c")
-        below = scratch.small(lower.select(F.col("key").alias("b"), "p"), name)
-        sums = scratch.write(found.join(below, "b").groupBy("a").agg(F.sum(mass).alias("held"), F.sum("p").alias("base")), f"sums_{order}")
+        rare, left = rare * total / (total + 1), 1 / (total + 1)
+    tables = _tables(scratch, learned, words.withColumn("p", _word_share(rare, total, F.col("c"))))
+    return Model(key.view(np.uint64)[by], c[by], rare, float(np.log10(left)), int(total), int(distinct), tables), words
+
+
+def _weighted(scratch: Scratch, found: DataFrame, below: DataFrame, of: DataFrame, factors: np.ndarray, to: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b, c, p) of all n-grams `found` (a, b, c), and their contexts, written
+    as table `to` (key, back, total).
+
+    below: (b, p) one order down; of: (a, c) of the contexts. P is the discounted
+    count by the context's. A backoff weight is what the n-grams of a context
+    leave over what they leave of the lower order; a context whose n-grams leave
+    nothing counts one token more."""
+    mass = _factor(factors, F.col("c")) * F.col("c")
+    sums = found.join(below, "b").groupBy("a").agg(F.sum(mass).alias("held"), F.sum("p").alias("base"))
+    total = F.when(F.col("held") > F.col("c") * (1 - 1e-9), F.col("held") + 1).otherwise(F.greatest("c", F.lit(1)))
+    back = (1 - F.col("held") / F.col("total")) / F.greatest(1 - F.col("base"), F.lit(1e-12))
+    before = sums.join(of, "a").withColumn("total", total.cast("double")).select(F.col("a").alias("key"), back.alias("back"), "total")
+    before = scratch.write(before, to)
+    scratch.release()
+    totals = scratch.small(before.select(F.col("key").alias("a"), "total"), to)
+    return found.join(totals, "a").select("a", "b", "c", (mass / F.col("total")).alias("p")), before
+
+
+def _tables(scratch: Scratch, learned: DataFrame, words: DataFrame) -> Tables:
+    """Count all pairs and triples of `learned` (toks) and drop it; words: (key, c, p)."""
+    small = lambda df, name, *cols: scratch.small(df.select(*cols), name)
+    key = F.xxhash64("a", "b").alias("key")
+    middle = lambda c: F.col(c).bitwiseAND(F.lit(ROUNDS - 1)).cast("int")
+    found = scratch.write(_gram_counts(learned, _pairs), "all_2")
+    scratch.release()
+    weighted, pairs_before = _weighted(
+        scratch, found, small(words, "ngrams_1", F.col("key").alias("b"), "p"), small(words, "ngrams_1", F.col("key").alias("a"), "c"),
+        discounts(_count_of_counts(found)), "contexts_2")
+    pairs = scratch.write(weighted.select(key, "c", "p", middle("a").alias("first"), middle("b").alias("last")), "ngrams_2/order=2")
+    scratch.drop("all_2")
+
+    parts = []
+    for k in range(ROUNDS):
+        parts.append(scratch.write(_gram_counts(learned, _triples(k)), f"all_3/part={k}"))
         scratch.release()
-        of = scratch.small(lower.select(F.col("key").alias("a"), "c"), name)
-        total = F.when(F.col("held") > F.col("c") * (1 - 1e-9), F.col("held") + 1).otherwise(F.greatest("c", F.lit(1)))
-        back = (1 - F.col("held") / F.col("total")) / F.greatest(1 - F.col("base"), F.lit(1e-12))
-        before = sums.join(of, "a").withColumn("total", total.cast("double")).select("a", "total", back.alias("back"))
-        before = scratch.write(before, f"contexts_{order}")
-        scratch.drop(f"sums_{order}")
-        share = found.join(scratch.small(before.select("a", "total"), f"contexts_{order}"), "a")
-        lower, name = scratch.write(share.select(
-            F.lit(order).alias("order"), F.xxhash64("a", "b").alias("key"), "c", (mass / F.col("total")).alias("p")), f"ngrams_{order}", "order"), f"ngrams_{order}"
-        scratch.drop(f"all_{order}")
-        made.append((lower.select("key", "p"), before.select(F.col("a").alias("key"), "back")))
-    return Tables(made[0][0], made[1][0], made[0][1], made[1][1], scratch)
-
-
-def _with(held, keys_of):
-    return lambda toks, heads: keys_of(Kept(*held.value), toks, heads)
-
-
-def token_logs(model: Model, toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's probability, without P(w) where the recursion ends
-    at a word that is not kept; and which tokens those are."""
-    ids, pair = model.kept.places(toks, heads)
-    n = len(toks)
-    first = np.zeros(n, bool)
-    first[heads] = True
-    before = np.concatenate([[-1], ids[:-1]])
-    before[first] = -1
-    history = np.concatenate([[-1], pair[:-1]])
-    history[first] = -1
-    out = np.zeros(n)
-    known = ids >= 0
-    out[known] = model.logs[0][ids[known]]
-    out += np.where(before >= 0, model.backs[0][np.maximum(before, 0)], 0.0) if len(model.backs[0]) else 0.0
-    has = pair >= 0
-    out[has] = model.logs[1][pair[has]]
-    back = history >= 0
-    out[back] += model.backs[1][history[back]]
-    both = np.flatnonzero(back & known)
-    triple = _find(model.kept.triples, (history[both] << WORD_BITS) | ids[both])
-    out[both[triple >= 0]] = model.logs[2][triple[triple >= 0]]
-    return out, np.flatnonzero(~known)
+    scratch.drop("learned")
+    of_counts: dict[int, int] = {}
+    for part in parts:
+        for c, n in _count_of_counts(part).items():
+            of_counts[c] = of_counts.get(c, 0) + n
+    factors = discounts(of_counts)
+    for k, found in enumerate(parts):
+        weighted, _ = _weighted(
+            scratch, found.select("a", "b", "c"), small(pairs.where(F.col("first") == k), "ngrams_2", F.col("key").alias("b"), "p"),
+            small(pairs.where(F.col("last") == k), "ngrams_2", F.col("key").alias("a"), "c"), factors, f"contexts_3/part={k}")
+        scratch.write(weighted.select(key, "c", "p"), f"ngrams_3/order=3/part={k}")
+        scratch.drop(f"all_3/part={k}")
+    triples = [scratch.read(f"ngrams_3/order=3/part={k}", "key long, c long, p double").select("key", "p") for k in range(ROUNDS)]
+    triples_before = scratch.read("contexts_3", "key long, back double")
+    return Tables(pairs.select("key", "p"), triples, pairs_before.select("key", "back"), triples_before.select("key", "back"), scratch)
 
 
 def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """`docs` (text, any other columns) with n_tokens, n_known, base_score and
-    score added. base_score is the sum over the tokens of
-    log10((c + 0.5) / (N + 0.5 (V + 1))); a null text has only its end token."""
-    others = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
-    held = docs.sparkSession.sparkContext.broadcast(model.plain())
-    whole = model.tables is not None
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    schema = f"lw_row long, {kinds}n_tokens long, n_known long, base double, log double, rare array<long>, times array<int>" + ", toks array<long>" * whole
+    score added, in place of columns of these names. base_score is the sum over
+    the tokens of log10((c + 0.5) / (N + 0.5 (V + 1))); a null text has only its
+    end token. Columns of other names are kept, whatever they are."""
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "n_known", "base_score", "score")]
+    held = docs.sparkSession.sparkContext.broadcast((model.words, model.counts, model.total, model.distinct))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, *rest = held.value
-        m = Model(Kept(*arrays), *rest)
-        base_of = np.log10((m.counts + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
+        known, counts, total, distinct = held.value
+        base_of = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         for batch in batches:
             for part in slices(batch.column(batch.num_columns - 1)):
                 toks, heads = tokens(part)
-                logs, rare = token_logs(m, toks, heads[:-1])
-                ids = _find(m.kept.words, toks)
+                ids = _find(known, toks)
                 base = np.where(ids >= 0, base_of[np.maximum(ids, 0)], 0.0) if len(base_of) else np.zeros(len(toks))
+                rare = np.flatnonzero(ids < 0)
                 cuts = np.searchsorted(rare, heads)
                 hashes, times, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
                 for a, b in zip(cuts[:-1], cuts[1:]):
@@ -421,76 +356,78 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) ->
                 offsets = pa.array(np.cumsum(sizes).astype(np.int32))
                 own = batch.slice(part.rows.start, part.rows.stop - part.rows.start)
                 sums = lambda x: np.add.reduceat(x, heads[:-1])  # noqa: E731  every text has a token
-                all_toks = [pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(toks.view(np.int64)))] if whole else []
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns[:-1], pa.array(np.diff(heads).astype(np.int64)), pa.array(sums((ids >= 0).astype(np.int64))),
-                     pa.array(sums(base)), pa.array(sums(logs)),
+                    [*own.columns[:-1], pa.array(np.diff(heads).astype(np.int64)), pa.array(sums((ids >= 0).astype(np.int64))), pa.array(sums(base)),
                      pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes))),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32))), *all_toks],
-                    names=["lw_row", *others, "n_tokens", "n_known", "base", "log", "rare", "times", *["toks"] * whole])
-
-    rows = scratch.write(
-        docs.select(F.monotonically_increasing_id().alias("lw_row"), *others, F.col("text").cast("string")).mapInArrow(run, schema), "rows")
+                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32))),
+                     pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(toks.view(np.int64)))],
+                    names=["lw_row", "kept", "n_tokens", "n_known", "base", "rare", "times", "toks"])
+
+    whole = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("none"))
+    cut = docs.select(F.monotonically_increasing_id().alias("lw_row"), whole.alias("kept"), F.col("text").cast("string").alias("text"))
+    schema = cut.drop("text").schema.add("n_tokens", "long").add("n_known", "long").add("base", "double")
+    schema = schema.add("rare", ArrayType(LongType())).add("times", ArrayType(IntegerType())).add("toks", ArrayType(LongType()))
+    rows = scratch.write(cut.mapInArrow(run, schema), "rows")
     asked = rows.select("lw_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("lw_row", F.col("w.rare").alias("key"), "w.times")
     floor = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
     few = words.where(F.col("c") < (int(model.counts.min()) if len(model.counts) else 1)).select("key", "c")
     answers = asked.join(few, "key", "left").groupBy("lw_row").agg(
         F.sum(F.col("times") * F.when(F.col("c") > 0, 1).otherwise(0)).alias("r_known"),
-        F.sum(F.col("times") * floor).alias("r_base"), F.sum(F.col("times") * model.word_log(F.col("c"))).alias("r_log"))
+        F.sum(F.col("times") * floor).alias("r_base"))
+    logs = _table_logs(scratch, rows.select("lw_row", "toks"), model, words)
     zero = F.lit(0)
-    if whole:
-        logs = _table_logs(scratch, rows.select("lw_row", "toks"), model, words)
-        answers = answers.drop("r_log")
-        rows = rows.drop("log", "toks").join(logs.withColumnRenamed("log", "r_log"), "lw_row", "left").withColumn("log", F.lit(0.0))
-    return rows.drop("rare", "times").join(answers, "lw_row", "left").select(
-        *others, "n_tokens", (F.col("n_known") + F.coalesce("r_known", zero)).alias("n_known"),
-        (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"), (F.col("log") + F.coalesce("r_log", zero)).alias("score"))
-
-
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lw_row, a, v, w) of every token of (lw_row, toks): the key of the pair
-    before it, the word before it, the word. Before each text stand two words
-    made up from its row, which no table holds: so its first tokens back off,
-    and no key is null."""
-    for batch in batches:
-        row, lists = batch.column(0).to_numpy(), batch.column(1)
-        at = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy().view(np.uint64)
-        lo = 0
-        while lo < len(row):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 19), "right")) - 1)
-            hi = min(hi, len(row))
-            n, own = np.diff(at[lo:hi + 1]), row[lo:hi].view(np.uint64)
-            start = mix(np.repeat(own * np.uint64(2), 2) + np.tile(np.array([0, 1], np.uint64), hi - lo))
-            toks = np.insert(values[at[lo]:at[hi]], np.repeat(at[lo:hi] - at[lo], 2), start)
-            real = np.ones(len(toks), bool)
-            first = at[lo:hi] - at[lo] + 2 * np.arange(hi - lo)
-            real[first] = real[first + 1] = False
-            w = np.flatnonzero(real)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(row[lo:hi], n)), pa.array(gram_keys(toks[w - 2], toks[w - 1]).view(np.int64)),
-                 pa.array(toks[w - 1].view(np.int64)), pa.array(toks[w].view(np.int64))], names=["lw_row", "a", "v", "w"])
-            lo = hi
+    return rows.drop("rare", "times", "toks").join(answers, "lw_row", "left").join(logs, "lw_row", "left").select(
+        *(F.col("kept").getField(c).alias(c) for c in others), "n_tokens", (F.col("n_known") + F.coalesce("r_known", zero)).alias("n_known"),
+        (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"), F.col("log").alias("score"))
+
+
+def _asks(k: int):
+    """(lw_row, key, a, v, w) of the tokens of (lw_row, toks) whose triples are
+    of round k: the triple's key, the key of the pair before the token, the word
+    before it, the word. Before each text stand two words made up from its row,
+    which no table holds: so its first tokens back off, and no key is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            for lo, hi, toks, heads in _texts(batch.column(1)):
+                own = row[lo:hi].view(np.uint64)
+                start = mix(np.repeat(own * np.uint64(2), 2) + np.tile(np.array([0, 1], np.uint64), hi - lo))
+                owner = np.repeat(row[lo:hi], np.diff(heads) + 2)
+                toks = np.insert(toks, np.repeat(heads[:-1], 2), start)
+                real = np.ones(len(toks), bool)
+                first = heads[:-1] + 2 * np.arange(hi - lo)
+                real[first] = real[first + 1] = False
+                w = np.flatnonzero(real)
+                w = w[_round(toks[w - 1]) == k]
+                a = gram_keys(toks[w - 2], toks[w - 1])
+                key = gram_keys(a, gram_keys(toks[w - 1], toks[w]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner[w]), *(pa.array(x.view(np.int64)) for x in (key, a, toks[w - 1], toks[w]))], names=["lw_row", "key", "a", "v", "w"])
+
+    return run
 
 
 def _table_logs(scratch: Scratch, rows: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """(lw_row, log) of `rows` (lw_row, toks): the sum of log10 P of all tokens."""
-    named = lambda df, key, value, to: df.select(F.col("key").alias(key), F.col(value).alias(to))
     tables = model.tables
-    small = lambda df, key, value, to, name: tables.scratch.small(named(df, key, value, to), name)
-    asks = rows.mapInArrow(_asks, "lw_row long, a long, v long, w long").withColumn("vw", F.xxhash64("v", "w")).withColumn("key", F.xxhash64("a", "vw"))
-    met = asks.join(small(tables.triples, "key", "p", "p", "ngrams_3"), "key", "left")
-    miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("a", "v", "w", "vw")]
-    met = scratch.write(met.select("lw_row", F.log10("p").alias("log"), *miss), "asked_3")
-    scratch.release()
-    left = met.where("log IS NULL").drop("log").join(small(tables.pairs_before, "a", "back", "back", "contexts_3"), "a", "left")
-    left = left.join(small(tables.pairs, "vw", "p", "p", "ngrams_2"), "vw", "left")
+    small = lambda df, key, value, to, name: tables.scratch.small(df.select(F.col(key).alias(to), value), name)
+    for k, triples in enumerate(tables.triples):
+        asks = rows.mapInArrow(_asks(k), "lw_row long, key long, a long, v long, w long")
+        met = asks.join(small(triples, "key", "p", "key", f"ngrams_3/order=3/part={k}"), "key", "left")
+        miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("a", "v", "w")]
+        scratch.write(met.select("lw_row", F.log10("p").alias("log"), *miss), f"asked_3/part={k}")
+        scratch.release()
+    met = scratch.read("asked_3", "lw_row long, log double, a long, v long, w long")
+    left = met.where("log IS NULL").select("lw_row", "a", "v", "w", F.xxhash64("v", "w").alias("vw"))
+    left = left.join(small(tables.triples_before, "key", "back", "a", "contexts_3"), "a", "left")
+    left = left.join(small(tables.pairs, "key", "p", "vw", "ngrams_2"), "vw", "left")
     back = lambda: F.log10(F.greatest(F.coalesce("back", F.lit(1.0)), F.lit(1e-300)))
     miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("v", "w")]
     left = scratch.write(left.select("lw_row", F.log10("p").alias("log"), back().alias("more"), *miss), "asked_2")
     scratch.release()
-    last = left.where("log IS NULL").drop("log").join(small(tables.words_before, "v", "back", "back", "contexts_2"), "v", "left")
-    last = last.join(small(words, "w", "c", "c", "ngrams_1"), "w", "left").select(
+    last = left.where("log IS NULL").drop("log").join(small(tables.pairs_before, "key", "back", "v", "contexts_2"), "v", "left")
+    last = last.join(small(words, "key", "c", "w", "ngrams_1"), "w", "left").select(
         "lw_row", (F.col("more") + back() + model.word_log(F.col("c"))).alias("log"))
     every = met.where("log IS NOT NULL").select("lw_row", "log").unionByName(
         left.where("log IS NOT NULL").select("lw_row", (F.col("log") + F.col("more")).alias("log"))).unionByName(last)

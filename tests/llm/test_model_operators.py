@@ -158,33 +158,42 @@ def hash_of(word):
     return int(bytewords.word_hashes(bytewords.LOWER[part.data], starts, ends)[0])
 
 
-@pytest.mark.parametrize("share", [1e-6, 0.004])
-def test_backoff_distributions_sum_to_one(spark, share):
+def test_backoff_distributions_sum_to_one(spark):
+    """The written tables, read back and followed by the recursion, sum to 1 over all words after any history."""
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{min(int(k), 60)}" for k in rng.zipf(1.4, rng.integers(1, 30))) for _ in range(120)]
-    model, words = katz_model(spark, texts, share=share, word_share=min(share, 1e-4))
-    table = {np.uint64(r.key % (1 << 64)): r.c for r in words.collect()}
-    single = {}
-    for w, c in table.items():
-        f = model.rare[c] if c <= katz.K else model.rare[katz.K + 1]
-        single[w] = float(f * c / model.total)
+    model, words = katz_model(spark, texts, word_share=1e-4)
+    table = {r.key: r.c for r in words.collect()}
+    single = {w: float(model.rare[min(c, katz.K + 1)] * c / model.total) for w, c in table.items()}
     assert abs(sum(single.values()) + 10 ** model.unseen - 1) < 1e-9
-    seen = [w for w in table if w != katz.END]
-    for history in [(), (seen[0],), (seen[1], seen[0]), (seen[0], seen[0])]:
-        logs = []
-        for w in table:
-            toks = np.array([*history, w], np.uint64)
-            out, rare = katz.token_logs(model, toks, np.array([0]))
-            logs.append(out[-1] + (np.log10(single[w]) if len(toks) - 1 in rare else 0))
-        other, rare = katz.token_logs(model, np.array([*history, 12345], np.uint64), np.array([0]))
-        assert abs(sum(10 ** x for x in logs) + 10 ** (other[-1] + model.unseen) - 1) < 1e-6
+    of = lambda df: {r[0]: r[1] for r in df.collect()}
+    pairs, triples = of(model.tables.pairs), {k: p for part in model.tables.triples for k, p in of(part).items()}
+    backs = [of(model.tables.pairs_before), of(model.tables.triples_before)]
+    assert sum(len(of(part)) > 0 for part in model.tables.triples) > 1
+
+    def key(a, b):
+        return int(katz.gram_keys(*(np.array([x], np.int64).view(np.uint64) for x in (a, b)))[0].astype(np.int64))
+
+    def p(history, w):
+        if not history:
+            return single.get(w, 10 ** model.unseen)
+        v = history[-1]
+        lower = backs[0].get(v, 1.0) * p((), w) if key(v, w) not in pairs else pairs[key(v, w)]
+        if len(history) == 1:
+            return lower
+        found = triples.get(key(key(history[0], v), key(v, w)))
+        return backs[1].get(key(history[0], v), 1.0) * lower if found is None else found
+
+    seen = [w for w in table if w != int(katz.END)]
+    for history in [(), (seen[0],), (12345,), (seen[1], seen[0]), (seen[0], seen[0]), *((u, seen[2]) for u in seen[:9])]:
+        assert abs(sum(p(history, w) for w in table) + p(history, 54321) - 1) < 1e-6
 
 
 def test_katz_scores(spark):
     data = plain(rows())
     df = frame(spark, data)
     scratch = Scratch(spark, "katz_test")
-    model, words = katz.fit(scratch, df.where("doc_id % 2 = 0"), share=1e-3, word_share=1e-3)
+    model, words = katz.fit(scratch, df.where("doc_id % 2 = 0"), word_share=1e-3)
     got = {r.doc_id: r for r in katz.score(scratch, df.select("doc_id", "did", "text"), model, words).collect()}
     lowered = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [None]
     seen = {}
@@ -200,9 +209,14 @@ def test_katz_scores(spark):
         assert abs(out.base_score - sum(np.log10((seen.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in toks)) < 1e-6
         assert out.score < 0
     # the same scores however many words are held in memory
-    again, words = katz.fit(Scratch(spark, "katz_test"), df.where("doc_id % 2 = 0"), share=1e-3, word_share=1e-6)
+    again, words = katz.fit(Scratch(spark, "katz_test"), df.where("doc_id % 2 = 0"), word_share=1e-6)
     other = {r.doc_id: r.score for r in katz.score(Scratch(spark, "katz_test"), df.select("doc_id", "text"), again, words).collect()}
-    assert other.keys() == got.keys()
+    assert other.keys() == got.keys() and all(abs(other[k] - got[k].score) < 1e-6 for k in other)
+    # columns of any name are the caller's own
+    named = df.select("doc_id", "text", *(F.lit(7).alias(c) for c in ("lw_row", "rare", "toks", "kept", "base", "log", "a.b", "Score")))
+    own = katz.score(Scratch(spark, "katz_test"), named, again, words)
+    assert own.columns == ["doc_id", "lw_row", "rare", "toks", "kept", "base", "log", "a.b", "n_tokens", "n_known", "base_score", "score"]
+    assert all(r["lw_row"] == r["a.b"] == 7 and abs(r.score - other[r.doc_id]) < 1e-6 for r in own.collect())
     empty = df.limit(0)
     nothing, words = katz.fit(Scratch(spark, "katz_test"), empty)
     assert katz.score(Scratch(spark, "katz_test"), empty.select("doc_id", "text"), nothing, words).count() == 0
