@@ -16,10 +16,11 @@ order down that it ends with. Its own key is Spark's xxhash64 of the two, which
 tasks compute alike. Backoff weights are sums grouped by context; scoring looks
 triples up by a join, what misses goes on to pairs, then to words.
 
-Texts are cut into token hashes once, in a written table. Triples are counted,
-weighted and looked up in ROUNDS rounds dealt by their middle word, as both
-their context and the pair they end with hold it: each round meets its own part
-of the tables only, and its shuffle files go before the next one starts. The
+Texts are cut into token hashes once, in a written table. Pairs are counted and
+weighted in ROUNDS rounds dealt by their first word, triples counted, weighted
+and looked up in as many by their middle word, which their context and the pair
+they end with hold: each round meets its own part of the tables only, resolves
+its tokens down to the words, and its files go before the next one starts. The
 words of share `word_share`, at most 1 / word_share of them, are held in memory
 for the base score; rarer ones are looked up by a join on the word table.
 
@@ -45,8 +46,8 @@ from logweave.llm.common import Scratch
 K = 5
 #: Hash of the end token; words hash to other values but for a chance of 2**-64.
 END = np.uint64(1)
-#: Rounds of the triples, a power of two; each needs about its share of the disk that all would.
-ROUNDS = 4
+#: Rounds of the pairs and of the triples; each needs about its share of the disk that all would.
+ROUNDS = 6
 #: Keys gathered in a task before they are counted and handed on.
 BUFFER = 1 << 22
 
@@ -82,8 +83,9 @@ def _texts(lists: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
 
 def _round(words: np.ndarray) -> np.ndarray:
-    """The round of the triples with these middle words."""
-    return (words & np.uint64(ROUNDS - 1)).astype(np.int64)
+    """The round of the pairs with these first words and of the triples with
+    these middle words, as F.pmod of the word's hash."""
+    return words.view(np.int64) % ROUNDS
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
@@ -105,11 +107,17 @@ def gram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _xxhash64(b, _xxhash64(a, np.full(1, 42, np.uint64)))
 
 
-def _pairs(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inner = np.ones(len(toks), bool)
-    inner[heads] = False
-    at = np.flatnonzero(inner)
-    return toks[at - 1], toks[at]
+def _pairs(k: int):
+    """The pairs of round k."""
+
+    def of(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner = np.ones(len(toks), bool)
+        inner[heads] = False
+        at = np.flatnonzero(inner)
+        at = at[_round(toks[at - 1]) == k]
+        return toks[at - 1], toks[at]
+
+    return of
 
 
 def _triples(k: int):
@@ -211,14 +219,18 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
 
 @dataclass
 class Tables:
-    """All pairs and triples (key, p) and all contexts (key, back)."""
+    """All words as contexts (key, back), all pairs (key, p, back, first: the
+    round of their first word) by the round of their last word, and all triples
+    (key, p) by round."""
 
-    pairs: DataFrame
-    triples: list[DataFrame]        # by round
-    pairs_before: DataFrame         # contexts of pairs: words
-    triples_before: DataFrame       # contexts of triples: pairs
+    words: DataFrame
+    pairs: list[DataFrame]
+    triples: list[DataFrame]
     scratch: Scratch                # where they are written
 
+    def all_pairs(self) -> DataFrame:
+        return self.scratch.read("ngrams_2", "key long, p double, back double, first int")
+
 
 def _factor(factors: np.ndarray, c: Column) -> Column:
     out = F.lit(float(factors[K + 1]))
@@ -276,57 +288,63 @@ def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6) -> tuple[M
     return Model(key.view(np.uint64)[by], c[by], rare, float(np.log10(left)), int(total), int(distinct), tables), words
 
 
-def _weighted(scratch: Scratch, found: DataFrame, below: DataFrame, of: DataFrame, factors: np.ndarray, to: str) -> tuple[DataFrame, DataFrame]:
-    """(a, b, c, p) of all n-grams `found` (a, b, c), and their contexts, written
-    as table `to` (key, back, total).
+def _weighted(scratch: Scratch, found: DataFrame, below: DataFrame, of: DataFrame, factors: np.ndarray, to: str) -> DataFrame:
+    """(a, b, c, p) of all n-grams `found` (a, b, c). Their contexts `of` (key,
+    c, any other columns) are written as table `to` with (total, back) added.
 
-    below: (b, p) one order down; of: (a, c) of the contexts. P is the discounted
-    count by the context's. A backoff weight is what the n-grams of a context
-    leave over what they leave of the lower order; a context whose n-grams leave
-    nothing counts one token more."""
+    below: (b, p) one order down. P is the discounted count by the context's. A
+    backoff weight is what the n-grams of a context leave over what they leave
+    of the lower order; a context whose n-grams leave nothing counts one token
+    more, and one without n-grams has weight 1."""
     mass = _factor(factors, F.col("c")) * F.col("c")
     sums = found.join(below, "b").groupBy("a").agg(F.sum(mass).alias("held"), F.sum("p").alias("base"))
     total = F.when(F.col("held") > F.col("c") * (1 - 1e-9), F.col("held") + 1).otherwise(F.greatest("c", F.lit(1)))
     back = (1 - F.col("held") / F.col("total")) / F.greatest(1 - F.col("base"), F.lit(1e-12))
-    before = sums.join(of, "a").withColumn("total", total.cast("double")).select(F.col("a").alias("key"), back.alias("back"), "total")
-    before = scratch.write(before, to)
+    before = of.join(sums.withColumnRenamed("a", "key"), "key", "left").withColumn("total", total.cast("double"))
+    before = scratch.write(before.withColumn("back", F.coalesce(back, F.lit(1.0))).drop("held", "base"), to)
     scratch.release()
     totals = scratch.small(before.select(F.col("key").alias("a"), "total"), to)
-    return found.join(totals, "a").select("a", "b", "c", (mass / F.col("total")).alias("p")), before
+    return found.join(totals, "a").select("a", "b", "c", (mass / F.col("total")).alias("p"))
+
+
+def _counted(scratch: Scratch, learned: DataFrame, grams_of, name: str) -> tuple[list[DataFrame], np.ndarray]:
+    """The n-grams (a, b, c) of each round, written, and the factors of all counts."""
+    parts, of_counts = [], {}
+    for k in range(ROUNDS):
+        parts.append(scratch.write(_gram_counts(learned, grams_of(k)), f"{name}/part={k}").select("a", "b", "c"))
+        scratch.release()
+        for c, n in _count_of_counts(parts[-1]).items():
+            of_counts[c] = of_counts.get(c, 0) + n
+    return parts, discounts(of_counts)
 
 
 def _tables(scratch: Scratch, learned: DataFrame, words: DataFrame) -> Tables:
     """Count all pairs and triples of `learned` (toks) and drop it; words: (key, c, p)."""
     small = lambda df, name, *cols: scratch.small(df.select(*cols), name)
-    key = F.xxhash64("a", "b").alias("key")
-    middle = lambda c: F.col(c).bitwiseAND(F.lit(ROUNDS - 1)).cast("int")
-    found = scratch.write(_gram_counts(learned, _pairs), "all_2")
-    scratch.release()
-    weighted, pairs_before = _weighted(
-        scratch, found, small(words, "ngrams_1", F.col("key").alias("b"), "p"), small(words, "ngrams_1", F.col("key").alias("a"), "c"),
-        discounts(_count_of_counts(found)), "contexts_2")
-    pairs = scratch.write(weighted.select(key, "c", "p", middle("a").alias("first"), middle("b").alias("last")), "ngrams_2/order=2")
-    scratch.drop("all_2")
-
-    parts = []
-    for k in range(ROUNDS):
-        parts.append(scratch.write(_gram_counts(learned, _triples(k)), f"all_3/part={k}"))
-        scratch.release()
+    of_round = lambda c, k: F.pmod(F.col(c), F.lit(ROUNDS)) == k
+    key, below = F.xxhash64("a", "b").alias("key"), (F.col("key").alias("b"), "p")
+    parts, factors = _counted(scratch, learned, _pairs, "all_2")
+    for k, found in enumerate(parts):
+        weighted = _weighted(
+            scratch, found, small(words, "ngrams_1", *below), small(words.where(of_round("key", k)), "ngrams_1", "key", "c"), factors, f"contexts_2/part={k}")
+        last = F.pmod(F.col("b"), F.lit(ROUNDS)).cast("int").alias("last")
+        scratch.write(weighted.select(key, "c", "p", F.lit(k).alias("first"), last), f"pairs/part={k}")
+        scratch.drop(f"all_2/part={k}")
+
+    pairs = scratch.read("pairs", "key long, c long, p double, first int, last int").select("key", "c", "p", "first", "last")
+    parts, factors = _counted(scratch, learned, _triples, "all_3")
     scratch.drop("learned")
-    of_counts: dict[int, int] = {}
-    for part in parts:
-        for c, n in _count_of_counts(part).items():
-            of_counts[c] = of_counts.get(c, 0) + n
-    factors = discounts(of_counts)
     for k, found in enumerate(parts):
-        weighted, _ = _weighted(
-            scratch, found.select("a", "b", "c"), small(pairs.where(F.col("first") == k), "ngrams_2", F.col("key").alias("b"), "p"),
-            small(pairs.where(F.col("last") == k), "ngrams_2", F.col("key").alias("a"), "c"), factors, f"contexts_3/part={k}")
+        own = scratch.read(f"pairs/part={k}", "key long, p double")
+        weighted = _weighted(
+            scratch, found, small(own, f"pairs/part={k}", *below), pairs.where(F.col("last") == k).drop("last"), factors, f"ngrams_2/order=2/part={k}")
         scratch.write(weighted.select(key, "c", "p"), f"ngrams_3/order=3/part={k}")
         scratch.drop(f"all_3/part={k}")
-    triples = [scratch.read(f"ngrams_3/order=3/part={k}", "key long, c long, p double").select("key", "p") for k in range(ROUNDS)]
-    triples_before = scratch.read("contexts_3", "key long, back double")
-    return Tables(pairs.select("key", "p"), triples, pairs_before.select("key", "back"), triples_before.select("key", "back"), scratch)
+    scratch.drop("pairs")
+    return Tables(
+        scratch.read("contexts_2", "key long, back double").select("key", "back"),
+        [scratch.read(f"ngrams_2/order=2/part={k}", "key long, p double, back double, first int") for k in range(ROUNDS)],
+        [scratch.read(f"ngrams_3/order=3/part={k}", "key long, p double") for k in range(ROUNDS)], scratch)
 
 
 def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
@@ -411,26 +429,22 @@ def _asks(k: int):
 def _table_logs(scratch: Scratch, rows: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """(lw_row, log) of `rows` (lw_row, toks): the sum of log10 P of all tokens."""
     tables = model.tables
-    small = lambda df, key, value, to, name: tables.scratch.small(df.select(F.col(key).alias(to), value), name)
+    small = lambda df, key, value, to, name, name_to=None: tables.scratch.small(
+        df.select(F.col(key).alias(to), F.col(value).alias(name_to or value)), name)
+    log = lambda c: F.log10(F.greatest(F.coalesce(c, F.lit(1.0)), F.lit(1e-300)))
     for k, triples in enumerate(tables.triples):
         asks = rows.mapInArrow(_asks(k), "lw_row long, key long, a long, v long, w long")
         met = asks.join(small(triples, "key", "p", "key", f"ngrams_3/order=3/part={k}"), "key", "left")
         miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("a", "v", "w")]
-        scratch.write(met.select("lw_row", F.log10("p").alias("log"), *miss), f"asked_3/part={k}")
+        met = scratch.write(met.select("lw_row", F.log10("p").alias("log"), *miss), "asked")
         scratch.release()
-    met = scratch.read("asked_3", "lw_row long, log double, a long, v long, w long")
-    left = met.where("log IS NULL").select("lw_row", "a", "v", "w", F.xxhash64("v", "w").alias("vw"))
-    left = left.join(small(tables.triples_before, "key", "back", "a", "contexts_3"), "a", "left")
-    left = left.join(small(tables.pairs, "key", "p", "vw", "ngrams_2"), "vw", "left")
-    back = lambda: F.log10(F.greatest(F.coalesce("back", F.lit(1.0)), F.lit(1e-300)))
-    miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("v", "w")]
-    left = scratch.write(left.select("lw_row", F.log10("p").alias("log"), back().alias("more"), *miss), "asked_2")
-    scratch.release()
-    last = left.where("log IS NULL").drop("log").join(small(tables.pairs_before, "key", "back", "v", "contexts_2"), "v", "left")
-    last = last.join(small(words, "key", "c", "w", "ngrams_1"), "w", "left").select(
-        "lw_row", (F.col("more") + back() + model.word_log(F.col("c"))).alias("log"))
-    every = met.where("log IS NOT NULL").select("lw_row", "log").unionByName(
-        left.where("log IS NOT NULL").select("lw_row", (F.col("log") + F.col("more")).alias("log"))).unionByName(last)
-    out = scratch.write(every.groupBy("lw_row").agg(F.sum("log").alias("log")), "logs")
-    scratch.drop("asked_3", "asked_2")
-    return out
+        left = met.where("log IS NULL").select("lw_row", "a", "v", "w", F.xxhash64("v", "w").alias("vw"))
+        left = left.join(small(tables.pairs[k], "key", "back", "a", f"ngrams_2/order=2/part={k}"), "a", "left")
+        left = left.join(small(tables.all_pairs().where(F.col("first") == k), "key", "p", "vw", "ngrams_2"), "vw", "left")
+        left = left.join(small(tables.words, "key", "back", "v", "contexts_2", "back_v"), "v", "left")
+        left = left.join(small(words, "key", "c", "w", "ngrams_1"), "w", "left")
+        lower = F.when(F.col("p").isNotNull(), F.log10("p")).otherwise(log(F.col("back_v")) + model.word_log(F.col("c")))
+        every = met.where("log IS NOT NULL").select("lw_row", "log").unionByName(left.select("lw_row", (log(F.col("back")) + lower).alias("log")))
+        scratch.write(every.groupBy("lw_row").agg(F.sum("log").alias("log")), f"logs/part={k}")
+        scratch.drop("asked")
+    return scratch.read("logs", "lw_row long, log double").groupBy("lw_row").agg(F.sum("log").alias("log"))

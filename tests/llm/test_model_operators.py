@@ -166,10 +166,11 @@ def test_backoff_distributions_sum_to_one(spark):
     table = {r.key: r.c for r in words.collect()}
     single = {w: float(model.rare[min(c, katz.K + 1)] * c / model.total) for w, c in table.items()}
     assert abs(sum(single.values()) + 10 ** model.unseen - 1) < 1e-9
-    of = lambda df: {r[0]: r[1] for r in df.collect()}
-    pairs, triples = of(model.tables.pairs), {k: p for part in model.tables.triples for k, p in of(part).items()}
-    backs = [of(model.tables.pairs_before), of(model.tables.triples_before)]
-    assert sum(len(of(part)) > 0 for part in model.tables.triples) > 1
+    of = lambda df, *cols: {r[0]: r[1] for r in df.select(*cols).collect()}
+    parts = [of(part, "key", "p") for part in model.tables.triples]
+    assert sum(len(part) > 0 for part in parts) > 1
+    pairs, triples = of(model.tables.all_pairs(), "key", "p"), {k: p for part in parts for k, p in part.items()}
+    backs = [of(model.tables.words, "key", "back"), of(model.tables.all_pairs(), "key", "back")]
 
     def key(a, b):
         return int(katz.gram_keys(*(np.array([x], np.int64).view(np.uint64) for x in (a, b)))[0].astype(np.int64))
