@@ -17,7 +17,7 @@ tasks compute alike. Backoff weights are sums grouped by context; scoring looks
 triples up by a join, what misses goes on to pairs, then to words.
 
 Texts are cut into token hashes once, in a written table. Pairs are counted and
-weighted in ROUNDS rounds dealt by their first word, triples counted, weighted
+weighted in some rounds dealt by their first word, triples counted, weighted
 and looked up in as many by their middle word, which their context and the pair
 they end with hold: each round meets its own part of the tables only, resolves
 its tokens down to the words, and its files go before the next one starts. The
@@ -82,10 +82,10 @@ def _texts(lists: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         lo = hi
 
 
-def _round(words: np.ndarray) -> np.ndarray:
+def _round(words: np.ndarray, rounds: int) -> np.ndarray:
     """The round of the pairs with these first words and of the triples with
     these middle words, as F.pmod of the word's hash."""
-    return words.view(np.int64) % ROUNDS
+    return words.view(np.int64) % rounds
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
@@ -107,27 +107,27 @@ def gram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _xxhash64(b, _xxhash64(a, np.full(1, 42, np.uint64)))
 
 
-def _pairs(k: int):
+def _pairs(k: int, rounds: int):
     """The pairs of round k."""
 
     def of(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = np.ones(len(toks), bool)
         inner[heads] = False
         at = np.flatnonzero(inner)
-        at = at[_round(toks[at - 1]) == k]
+        at = at[_round(toks[at - 1], rounds) == k]
         return toks[at - 1], toks[at]
 
     return of
 
 
-def _triples(k: int):
+def _triples(k: int, rounds: int):
     """The triples of round k."""
 
     def of(toks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = np.ones(len(toks), bool)
         inner[heads] = False
         at = np.flatnonzero(inner[1:] & inner[:-1]) + 1
-        at = at[_round(toks[at - 1]) == k]
+        at = at[_round(toks[at - 1], rounds) == k]
         return gram_keys(toks[at - 2], toks[at - 1]), gram_keys(toks[at - 1], toks[at])
 
     return of
@@ -268,10 +268,10 @@ def _count_of_counts(df: DataFrame) -> dict[int, int]:
     return {r["c"]: r["n"] for r in df.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
 
 
-def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6) -> tuple[Model, DataFrame]:
+def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """Learn from all rows of `texts` (text); (model, word table (key, c))."""
-    if not 0 < word_share <= 1:
-        raise ValueError("word_share must be above 0 and not above 1")
+    if not (0 < word_share <= 1 and rounds >= 1):
+        raise ValueError("word_share must be above 0 and not above 1, rounds at least 1")
     learned = scratch.write(texts.select(F.col("text").cast("string")).mapInArrow(_token_lists, "toks array<long>"), "learned")
     words = scratch.write(_word_counts(learned), "ngrams_1/order=1").select("key", "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -284,7 +284,7 @@ def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6) -> tuple[M
     left = sum(n * r * (1 - rare[r]) for r, n in seen.items() if r <= K) / max(total, 1)
     if left <= 0:       # no usable counts of counts: as much as one more token
         rare, left = rare * total / (total + 1), 1 / (total + 1)
-    tables = _tables(scratch, learned, words.withColumn("p", _word_share(rare, total, F.col("c"))))
+    tables = _tables(scratch, learned, words.withColumn("p", _word_share(rare, total, F.col("c"))), rounds)
     return Model(key.view(np.uint64)[by], c[by], rare, float(np.log10(left)), int(total), int(distinct), tables), words
 
 
@@ -307,32 +307,32 @@ def _weighted(scratch: Scratch, found: DataFrame, below: DataFrame, of: DataFram
     return found.join(totals, "a").select("a", "b", "c", (mass / F.col("total")).alias("p"))
 
 
-def _counted(scratch: Scratch, learned: DataFrame, grams_of, name: str) -> tuple[list[DataFrame], np.ndarray]:
+def _counted(scratch: Scratch, learned: DataFrame, grams_of, name: str, rounds: int) -> tuple[list[DataFrame], np.ndarray]:
     """The n-grams (a, b, c) of each round, written, and the factors of all counts."""
     parts, of_counts = [], {}
-    for k in range(ROUNDS):
-        parts.append(scratch.write(_gram_counts(learned, grams_of(k)), f"{name}/part={k}").select("a", "b", "c"))
+    for k in range(rounds):
+        parts.append(scratch.write(_gram_counts(learned, grams_of(k, rounds)), f"{name}/part={k}").select("a", "b", "c"))
         scratch.release()
         for c, n in _count_of_counts(parts[-1]).items():
             of_counts[c] = of_counts.get(c, 0) + n
     return parts, discounts(of_counts)
 
 
-def _tables(scratch: Scratch, learned: DataFrame, words: DataFrame) -> Tables:
+def _tables(scratch: Scratch, learned: DataFrame, words: DataFrame, rounds: int) -> Tables:
     """Count all pairs and triples of `learned` (toks) and drop it; words: (key, c, p)."""
     small = lambda df, name, *cols: scratch.small(df.select(*cols), name)
-    of_round = lambda c, k: F.pmod(F.col(c), F.lit(ROUNDS)) == k
+    of_round = lambda c, k: F.pmod(F.col(c), F.lit(rounds)) == k
     key, below = F.xxhash64("a", "b").alias("key"), (F.col("key").alias("b"), "p")
-    parts, factors = _counted(scratch, learned, _pairs, "all_2")
+    parts, factors = _counted(scratch, learned, _pairs, "all_2", rounds)
     for k, found in enumerate(parts):
         weighted = _weighted(
             scratch, found, small(words, "ngrams_1", *below), small(words.where(of_round("key", k)), "ngrams_1", "key", "c"), factors, f"contexts_2/part={k}")
-        last = F.pmod(F.col("b"), F.lit(ROUNDS)).cast("int").alias("last")
+        last = F.pmod(F.col("b"), F.lit(rounds)).cast("int").alias("last")
         scratch.write(weighted.select(key, "c", "p", F.lit(k).alias("first"), last), f"pairs/part={k}")
         scratch.drop(f"all_2/part={k}")
 
     pairs = scratch.read("pairs", "key long, c long, p double, first int, last int").select("key", "c", "p", "first", "last")
-    parts, factors = _counted(scratch, learned, _triples, "all_3")
+    parts, factors = _counted(scratch, learned, _triples, "all_3", rounds)
     scratch.drop("learned")
     for k, found in enumerate(parts):
         own = scratch.read(f"pairs/part={k}", "key long, p double")
@@ -343,8 +343,8 @@ def _tables(scratch: Scratch, learned: DataFrame, words: DataFrame) -> Tables:
     scratch.drop("pairs")
     return Tables(
         scratch.read("contexts_2", "key long, back double").select("key", "back"),
-        [scratch.read(f"ngrams_2/order=2/part={k}", "key long, p double, back double, first int") for k in range(ROUNDS)],
-        [scratch.read(f"ngrams_3/order=3/part={k}", "key long, p double") for k in range(ROUNDS)], scratch)
+        [scratch.read(f"ngrams_2/order=2/part={k}", "key long, p double, back double, first int") for k in range(rounds)],
+        [scratch.read(f"ngrams_3/order=3/part={k}", "key long, p double") for k in range(rounds)], scratch)
 
 
 def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
@@ -399,7 +399,7 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, words: DataFrame) ->
         (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"), F.col("log").alias("score"))
 
 
-def _asks(k: int):
+def _asks(k: int, rounds: int):
     """(lw_row, key, a, v, w) of the tokens of (lw_row, toks) whose triples are
     of round k: the triple's key, the key of the pair before the token, the word
     before it, the word. Before each text stand two words made up from its row,
@@ -417,7 +417,7 @@ def _asks(k: int):
                 first = heads[:-1] + 2 * np.arange(hi - lo)
                 real[first] = real[first + 1] = False
                 w = np.flatnonzero(real)
-                w = w[_round(toks[w - 1]) == k]
+                w = w[_round(toks[w - 1], rounds) == k]
                 a = gram_keys(toks[w - 2], toks[w - 1])
                 key = gram_keys(a, gram_keys(toks[w - 1], toks[w]))
                 yield pa.RecordBatch.from_arrays(
@@ -433,7 +433,7 @@ def _table_logs(scratch: Scratch, rows: DataFrame, model: Model, words: DataFram
         df.select(F.col(key).alias(to), F.col(value).alias(name_to or value)), name)
     log = lambda c: F.log10(F.greatest(F.coalesce(c, F.lit(1.0)), F.lit(1e-300)))
     for k, triples in enumerate(tables.triples):
-        asks = rows.mapInArrow(_asks(k), "lw_row long, key long, a long, v long, w long")
+        asks = rows.mapInArrow(_asks(k, len(tables.triples)), "lw_row long, key long, a long, v long, w long")
         met = asks.join(small(triples, "key", "p", "key", f"ngrams_3/order=3/part={k}"), "key", "left")
         miss = [F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in ("a", "v", "w")]
         met = scratch.write(met.select("lw_row", F.log10("p").alias("log"), *miss), "asked")

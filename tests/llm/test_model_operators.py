@@ -149,7 +149,7 @@ def test_long_text_keeps_its_worst_phrase():
 
 def katz_model(spark, texts, **kw):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    return katz.fit(Scratch(spark, "katz_test"), df, **kw)
+    return katz.fit(Scratch(spark, "katz_test"), df, rounds=2, **kw)
 
 
 def hash_of(word):
@@ -194,7 +194,7 @@ def test_katz_scores(spark):
     data = plain(rows())
     df = frame(spark, data)
     scratch = Scratch(spark, "katz_test")
-    model, words = katz.fit(scratch, df.where("doc_id % 2 = 0"), word_share=1e-3)
+    model, words = katz.fit(scratch, df.where("doc_id % 2 = 0"), word_share=1e-3, rounds=1)
     got = {r.doc_id: r for r in katz.score(scratch, df.select("doc_id", "did", "text"), model, words).collect()}
     lowered = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [None]
     seen = {}
@@ -210,7 +210,7 @@ def test_katz_scores(spark):
         assert abs(out.base_score - sum(np.log10((seen.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in toks)) < 1e-6
         assert out.score < 0
     # the same scores however many words are held in memory
-    again, words = katz.fit(Scratch(spark, "katz_test"), df.where("doc_id % 2 = 0"), word_share=1e-6)
+    again, words = katz.fit(Scratch(spark, "katz_test"), df.where("doc_id % 2 = 0"), word_share=1e-6, rounds=3)
     other = {r.doc_id: r.score for r in katz.score(Scratch(spark, "katz_test"), df.select("doc_id", "text"), again, words).collect()}
     assert other.keys() == got.keys() and all(abs(other[k] - got[k].score) < 1e-6 for k in other)
     # columns of any name are the caller's own
@@ -219,7 +219,7 @@ def test_katz_scores(spark):
     assert own.columns == ["doc_id", "lw_row", "rare", "toks", "kept", "base", "log", "a.b", "n_tokens", "n_known", "base_score", "score"]
     assert all(r["lw_row"] == r["a.b"] == 7 and abs(r.score - other[r.doc_id]) < 1e-6 for r in own.collect())
     empty = df.limit(0)
-    nothing, words = katz.fit(Scratch(spark, "katz_test"), empty)
+    nothing, words = katz.fit(Scratch(spark, "katz_test"), empty, rounds=1)
     assert katz.score(Scratch(spark, "katz_test"), empty.select("doc_id", "text"), nothing, words).count() == 0
     assert all(r.n_known == 0 and r.score <= 0 for r in katz.score(Scratch(spark, "katz_test"), df.select("text"), nothing, words).collect())
 
@@ -265,7 +265,7 @@ def test_katz_in_tables_against_brute_force(spark):
     others = ["", "w1", "w1 w2", "new", "w1 new w2 w1 w1", "w3 w39 w1 w1 w2 w2", *texts[:5]]
     scratch = Scratch(spark, "katz_test")
     df = spark.createDataFrame([(k, t) for k, t in enumerate(others)], "doc_id long, text string").repartition(3)
-    model, words = katz.fit(scratch, spark.createDataFrame([(t,) for t in texts], "text string"))
+    model, words = katz.fit(scratch, spark.createDataFrame([(t,) for t in texts], "text string"), rounds=2)
     got = {r.doc_id: r.score for r in katz.score(scratch, df, model, words).collect()}
     split = lambda ts: [[*t.split(), "<end>"] for t in ts]
     want = brute_katz(split(texts), split(others))
@@ -276,7 +276,7 @@ def test_katz_keeps_rare_pairs_of_many_tokens(spark):
     # beyond 4 million tokens a share of 2.5e-7 left out what occurs once
     texts = ["x " * 100_000] * 50 + ["y z"]
     scratch = Scratch(spark, "katz_test")
-    model, _ = katz.fit(scratch, spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    model, _ = katz.fit(scratch, spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), rounds=1)
     assert model.total > 4_000_000
     sizes = [spark.read.parquet(f"{scratch.root}/ngrams_{n}").count() for n in (1, 2, 3)]
     assert sizes == [4, 4, 3]       # x y z end; xx, x end, yz, z end; xxx, xx end, yz end
