@@ -9,12 +9,17 @@ posterior, so code-switched text gets a share for each language; a document's
 language is the one with the largest sum of posteriors, its score that sum's
 share of the words.
 
-A sentence ends with a line or a full stop; one of more than MAX_WORDS words
-is decoded in pieces of that length (all words count). Training maximises the
-conditional likelihood by Adagrad on a bounded sample of labelled documents
-(`per_language` documents of at most `max_chars` characters for each language,
-chosen by a hash of the id); every word carries its document's label.
-Prediction covers whole texts and is one narrow pass over the documents.
+A sentence ends with a line or a full stop; one of more than PIECE words is
+decoded in pieces of that length side by side, whose transfer matrices carry the
+forward and backward vectors over the cuts, so the posteriors are those of the
+whole chain. `label_words` returns each word's place, language and posterior.
+
+Training maximises the conditional likelihood by Adagrad on a bounded sample of
+labelled documents (`per_language` documents of at most `max_chars` characters
+for each language, chosen by a hash of the id); every word carries its
+document's label. So that transitions are learned from changes of language too,
+one in SWITCHED texts is followed by a sentence joined from its words and those
+of the next text. Prediction covers whole texts and is one narrow pass over the documents.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from logweave.llm.bytewords import LETTERS, LOWER, Slice, mix, slices, word_counts, word_hashes, word_spans
 
-MAX_WORDS = 256
+PIECE = 256
+#: One joined sentence for so many texts, of so many words of each of two.
+SWITCHED, JOINED_WORDS = 4, 8
 NGRAM_BITS, AFFIX_BITS, WORD_BITS = 16, 15, 17
 _SIZES = (1 << NGRAM_BITS, 1 << AFFIX_BITS, 1 << WORD_BITS)
 _ENDS = np.zeros(256, bool)
@@ -87,11 +95,14 @@ def word_scores(model: Model, features: list, n: int) -> np.ndarray:
 
 @dataclass
 class Chains:
-    """Sentences of a slice, longest first: `at(t)` are the places of their
-    t-th words."""
+    """Pieces of the sentences of a slice, longest first: `at(t)` are the places
+    of their t-th words. `nth` counts a sentence's pieces, `before` is the piece
+    that one continues (-1: none)."""
 
     starts: np.ndarray
     lens: np.ndarray
+    nth: np.ndarray
+    before: np.ndarray
 
     def at(self, t: int) -> np.ndarray:
         return self.starts[: int(np.searchsorted(-self.lens, -t, "left"))] + t
@@ -105,12 +116,44 @@ def sentences(part: Slice, starts: np.ndarray) -> Chains:
     new[1:] = (np.diff(ended[starts]) > 0) | (np.diff(texts) > 0)
     first = np.flatnonzero(new)
     lens = np.diff(np.append(first, len(starts)))
-    pieces = -(-lens // MAX_WORDS)
+    pieces = -(-lens // PIECE)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = np.repeat(first, pieces) + nth * MAX_WORDS
-    size = np.minimum(np.repeat(first + lens, pieces) - begin, MAX_WORDS)
+    begin = np.repeat(first, pieces) + nth * PIECE
+    size = np.minimum(np.repeat(first + lens, pieces) - begin, PIECE)
     order = np.argsort(-size, kind="stable")
-    return Chains(begin[order], size[order])
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    before = np.where(nth[order] > 0, place[order - 1], -1)
+    return Chains(begin[order], size[order], nth[order], before)
+
+
+def _over_cuts(local: np.ndarray, move: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the scaled forward vector of the word before it and the
+    scaled backward vector of its last word (ones where the sentence ends)."""
+    n, k = len(chains.lens), local.shape[1]
+    enter, leave = np.ones((n, k)), np.ones((n, k))
+    rest = np.flatnonzero(chains.before >= 0)
+    if not len(rest):
+        return enter, leave
+    cut = np.union1d(rest, chains.before[rest])
+    carry = np.tile(np.eye(k), (len(cut), 1, 1))
+    for t in range(int(chains.lens[cut].max())):
+        on = np.flatnonzero(chains.lens[cut] > t)
+        first = (chains.nth[cut[on]] == 0) & (t == 0)
+        step = np.where(first[:, None, None], carry[on], carry[on] @ move) * local[chains.starts[cut[on]] + t][:, None, :]
+        carry[on] = step / step.sum((1, 2), keepdims=True)
+    where = np.zeros(n, np.int64)
+    where[cut] = np.arange(len(cut))
+    by = rest[np.argsort(chains.nth[rest], kind="stable")]
+    rounds = np.split(by, np.flatnonzero(np.diff(chains.nth[by])) + 1)
+    for now in rounds:
+        last = chains.before[now]
+        v = np.einsum("ij,ijk->ik", enter[last], carry[where[last]])
+        enter[now] = v / v.sum(1, keepdims=True)
+    for now in reversed(rounds):
+        v = np.einsum("ijk,ik->ij", carry[where[now]], leave[now])
+        leave[chains.before[now]] = v / v.sum(1, keepdims=True)
+    return enter, leave
 
 
 def forward_backward(scores: np.ndarray, chains: Chains, transitions: np.ndarray, pairs: bool = False):
@@ -120,10 +163,14 @@ def forward_backward(scores: np.ndarray, chains: Chains, transitions: np.ndarray
     local = np.exp(scores - scores.max(1, keepdims=True))
     move = np.exp(transitions)
     ahead, back = np.empty_like(local), np.ones_like(local)
+    enter, leave = _over_cuts(local, move, chains)
+    if len(chains.lens):
+        back[chains.starts + chains.lens - 1] = leave
+    start = np.where(chains.before[:, None] >= 0, enter @ move, 1.0)
     longest = int(chains.lens[0]) if len(chains.lens) else 0
     for t in range(longest):
         at = chains.at(t)
-        a = local[at] if t == 0 else (ahead[at - 1] @ move) * local[at]
+        a = (start if t == 0 else ahead[at - 1] @ move) * local[at]
         ahead[at] = a / a.sum(1, keepdims=True)
     expected = np.zeros_like(move)
     for t in range(longest - 1, 0, -1):
@@ -134,6 +181,11 @@ def forward_backward(scores: np.ndarray, chains: Chains, transitions: np.ndarray
             norm = (ahead[at - 1] * b).sum(1, keepdims=True)
             expected += (ahead[at - 1] / norm).T @ right * move
         back[at - 1] = b / b.sum(1, keepdims=True)
+    at = chains.starts[chains.before >= 0]
+    if pairs and len(at):
+        right = local[at] * back[at]
+        norm = (ahead[at - 1] * (right @ move.T)).sum(1, keepdims=True)
+        expected += (ahead[at - 1] / norm).T @ right * move
     post = ahead * back
     post /= post.sum(1, keepdims=True)
     return (post, expected) if pairs else post
@@ -145,8 +197,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     n = len(languages)
     model = Model(languages, [np.zeros((s, n)) for s in _SIZES], np.zeros(n), np.zeros((n, n)))
     order = np.random.default_rng(7).permutation(len(texts))
-    arr = pa.array([texts[i] for i in order], pa.string())
-    gold = np.array([languages.index(labels[i]) for i in order])
+    rows = []                       # text, its language, the language of what stands from a byte on
+    for j, i in enumerate(order):
+        own = languages.index(labels[i])
+        rows.append((texts[i], own, own, 0))
+        after = order[(j + 1) % len(order)]
+        if j % SWITCHED == 0 and labels[after] != labels[i]:
+            head, tail = (" ".join(texts[x].replace(".", " ").split()[:JOINED_WORDS]) for x in (i, after))
+            rows.append((f"{head} {tail}", own, languages.index(labels[after]), len(head.encode()) + 1))
+    arr = pa.array([r[0] for r in rows], pa.string())
+    gold, later, from_byte = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
     past = [np.full_like(t, 1e-2) for t in model.tables] + [np.full(n, 1e-2), np.full((n, n), 1e-2)]
     for _ in range(epochs):
         for part in slices(arr, batch_bytes):
@@ -157,34 +217,42 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
             features = word_features(data, starts, ends, word_hashes(data, starts, ends))
             chains = sentences(part, starts)
             post, expected = forward_backward(word_scores(model, features, len(starts)), chains, model.transitions, True)
-            truth = gold[part.rows][np.searchsorted(part.bounds, starts, "right") - 1]
+            text = np.searchsorted(part.bounds, starts, "right") - 1
+            truth = np.where(starts - part.bounds[text] >= from_byte[part.rows][text], later[part.rows][text], gold[part.rows][text])
             delta = -post
             delta[np.arange(len(starts)), truth] += 1
-            inner = np.concatenate([chains.at(t) for t in range(1, int(chains.lens[0]))] or [np.zeros(0, np.int64)])
+            inner = np.concatenate([chains.starts[chains.before >= 0], *(chains.at(t) for t in range(1, int(chains.lens[0])))])
             seen = np.zeros((n, n))
-            np.add.at(seen, (truth[inner], truth[inner]), 1)
+            np.add.at(seen, (truth[inner - 1], truth[inner]), 1)
             grads = [_sums(places, delta[owner], len(table)) for table, (places, owner) in zip(model.tables, features)]
             grads += [delta.sum(0), seen - expected]
             for value, grad, sq in zip([*model.tables, model.bias, model.transitions], grads, past):
-                grad = grad / len(chains.lens)
+                grad = grad / int((chains.nth == 0).sum())
                 sq += grad * grad
                 value += rate * grad / np.sqrt(sq)
     model.tables = [t.astype(np.float32) for t in model.tables]
     return model
 
 
-def predict_slice(model: Model, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(language index, score, number of words) of each text of a slice."""
+def word_posteriors(model: Model, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte starts, byte ends, posteriors by language) of all words of a slice."""
     data = LOWER[part.data]
     starts, ends = word_spans(part, LETTERS)
-    count = word_counts(part, starts)
-    words = np.diff(count)
     if not len(starts):
-        return np.zeros(len(part), np.int64), np.zeros(len(part)), words
+        return starts, ends, np.zeros((0, len(model.languages)))
     hashes = word_hashes(data, starts, ends)
     kinds, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
     scores = word_scores(model, word_features(data, starts[first], ends[first], kinds), len(kinds))[kind]
-    post = forward_backward(scores, sentences(part, starts), model.transitions)
+    return starts, ends, forward_backward(scores, sentences(part, starts), model.transitions)
+
+
+def predict_slice(model: Model, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language index, score, number of words) of each text of a slice."""
+    starts, _, post = word_posteriors(model, part)
+    count = word_counts(part, starts)
+    words = np.diff(count)
+    if not len(starts):
+        return np.zeros(len(part), np.int64), np.zeros(len(part)), words
     total = np.zeros((len(starts) + 1, post.shape[1]))
     np.cumsum(post, 0, out=total[1:])
     sums = total[count[1:]] - total[count[:-1]]
@@ -242,3 +310,31 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 names=[*names, "lang_pred", "score"])
 
     return docs.select(*names).mapInArrow(run, schema)
+
+
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with any columns, among them text -> the same rows with `words`
+    added: an array of (start, length, lang, p) for each word, places in code
+    points from 0, p the posterior of its language. Null texts have no words."""
+    kept = [f for f in docs.schema.fields if f.name != "words"]
+    names = [f.name for f in kept]
+    where = names.index("text")
+    kind = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string()), ("p", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(where)):
+                starts, ends, post = word_posteriors(model, part)
+                chars = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])      # code points before each byte
+                text = np.searchsorted(part.bounds, starts, "right") - 1
+                best = post.argmax(1)
+                words = pa.StructArray.from_arrays([
+                    pa.array((chars[starts] - chars[part.bounds[text]]).astype(np.int32)), pa.array((chars[ends] - chars[starts]).astype(np.int32)),
+                    pa.array([model.languages[k] for k in best], pa.string()), pa.array(post[np.arange(len(best)), best])], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(word_counts(part, starts).astype(np.int32)), words)
+                own = batch.slice(part.rows.start, part.rows.stop - part.rows.start)
+                yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*names, "words"])
+
+    schema = docs.select(*names).schema.add("words", ArrayType(
+        StructType().add("start", "integer").add("length", "integer").add("lang", "string").add("p", "double")))
+    return docs.select(*names).mapInArrow(run, schema)

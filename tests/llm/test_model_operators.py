@@ -54,7 +54,7 @@ def test_words_and_hashes():
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(2)
     scores, move = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
-    chains = langid.Chains(np.array([0, 5]), np.array([5, 2]))
+    chains = langid.Chains(np.array([0, 5]), np.array([5, 2]), np.zeros(2, int), np.full(2, -1))
     post, expected = langid.forward_backward(scores, chains, move, True)
     want, pairs = np.zeros((7, 3)), np.zeros((3, 3))
     for start, size in ((0, 5), (5, 2)):
@@ -94,7 +94,41 @@ def test_long_sentences_are_cut_not_dropped():
     part = next(bytewords.slices(texts))
     starts, _ = bytewords.word_spans(part, bytewords.LETTERS)
     chains = langid.sentences(part, starts)
-    assert chains.lens.sum() == 1000 and chains.lens.max() == langid.MAX_WORDS
+    assert chains.lens.sum() == 1000 and chains.lens.max() == langid.PIECE
+
+
+def test_pieces_of_a_sentence_are_one_chain(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = pa.array([" ".join("a" * n) + "\n" + " ".join("b" * m) for n, m in ((1, 23), (40, 7), (5, 5), (0, 64))])
+    part = next(bytewords.slices(text))
+    starts, _ = bytewords.word_spans(part, bytewords.LETTERS)
+    scores, move = rng.normal(size=(len(starts), 3)) * 3, rng.normal(size=(3, 3)) * 2
+    whole, moved = langid.forward_backward(scores, langid.sentences(part, starts), move, True)
+    for size in (1, 2, 5, 7):
+        monkeypatch.setattr(langid, "PIECE", size)
+        chains = langid.sentences(part, starts)
+        assert chains.lens.max() == size and (chains.before >= 0).any()
+        post, expected = langid.forward_backward(scores, chains, move, True)
+        assert np.allclose(post, whole) and np.allclose(expected, moved)
+
+
+def test_words_of_code_switched_text(spark):
+    rows = language_rows(240)
+    model = langid.train([t for _, t, _ in rows], [lang for _, _, lang in rows])
+    assert model.transitions.shape == (3, 3)
+    left, right = "the quick brown fox jumps over", "durch die gruenen felder nach hause"
+    texts = [f"\u00e9\u00e9 {left} {right}", None, "", "12 34"]
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, starts int")
+    got = {r.doc_id: r for r in langid.label_words(df, model).collect()}
+    assert [list(got[k].words) for k in (1, 2, 3)] == [[], [], []] and got[0].starts == 0
+    words = got[0].words
+    assert [texts[0][w.start:w.start + w.length] for w in words] == texts[0].split()
+    assert [w.lang for w in words[1:]] == ["en"] * 6 + ["de"] * 6
+    assert all(1 / 3 <= w.p <= 1 for w in words)
+    # the document's columns are sums over its words
+    doc = langid.identify(df, model).where("doc_id = 0").first()
+    share = sum(w.p for w in words if w.lang == doc.lang_pred)
+    assert doc.lang_pred in ("en", "de") and share / len(words) <= doc.score + 1e-9
 
 
 # --- toxicity
