@@ -56,12 +56,22 @@ def _bucket(short: Column) -> Column:
     return short.bitwiseAND(F.lit(BUCKETS - 1))
 
 
+def _spaced(text: Column) -> Column:
+    """`text` split at white space, with empty words: at single blanks where it
+    holds no other white space, which needs no regular expression."""
+    other = F.lit(False)
+    for c in "\t\n\x0b\x0c\r":
+        other = other | F.contains(text, F.lit(c))
+    return F.when(other, F.split(text, SPACES)).otherwise(F.split(text, " "))
+
+
 def _rarity_table(docs: DataFrame) -> bytes:
     """A byte for each hash bucket: twice the binary logarithm of the count of
     the bucket's most frequent word, 0 if that is below a share of FREQUENT of
     all words that occur twice. What comes to the driver is one row a bucket at
     most, whatever the corpus."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("w")).select(_short(F.xxhash64("w")).alias("h"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(_spaced(text)).alias("w")).select(_short(F.xxhash64("w")).alias("h"))
     counts = words.groupBy("h").count().where("count > 1")
     tops = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max("count").alias("n"), F.sum("count").alias("all"))
     rows = tops.withColumn("total", F.sum("all").over(W.partitionBy(F.lit(1)))).where(F.col("n") >= F.col("total") * FREQUENT)
@@ -83,10 +93,10 @@ def _min_overlap(na: Column, nb: Column, t: float) -> Column:
 def _bitmap(codes: Column) -> list[Column]:
     """128 bits, one by the low bits of each code, as two longs."""
     low = lambda x, bits: x.bitwiseAND(F.lit(bits).cast("long"))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), low(x, 63).cast("int"))
-    half = lambda k: F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: F.when(
-        low(x, 64) == 64 * k, acc.bitwiseOR(bit(x))).otherwise(acc))
-    return [half(0).alias("m0"), half(1).alias("m1")]
+    # the seventh bit of a code says in which half its bit is set, 0 in the other
+    half = lambda one: F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(
+        F.call_function("shiftleft", one(low(F.shiftright(x, 6), 1)), low(x, 63).cast("int"))))
+    return [half(lambda b: b.bitwiseXOR(F.lit(1).cast("long"))).alias("m0"), half(lambda b: b).alias("m1")]
 
 
 def _prefix_tokens(sets: DataFrame) -> DataFrame:
@@ -182,7 +192,8 @@ def _later(docs: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame
         return F.transform("d", code)
 
     # distinct and sort stay outside the lambdas, where they are compiled for longs
-    hashed = text_lines(docs).select(*KEY, F.array_distinct(F.transform(words_of("s"), lambda w: F.xxhash64(w))).alias("d"))
+    words = F.array_remove(_spaced(F.col("s")), "")
+    hashed = text_lines(docs).select(*KEY, F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("d"))
     coded = hashed.select(*KEY, F.size("d").alias("n"), F.sort_array(with_constant(_rarity_table(docs), codes)).alias("codes"))
     n = F.col("n")
     prefix = F.slice("codes", 1, (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int"))
@@ -192,7 +203,7 @@ def _later(docs: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame
                      *_bitmap(F.col("codes"))), "lines")
     repeated = every.where("line = 0").groupBy("did", "th").agg(F.count("*").alias("k")).where("k > 1").select("did", "th")
     repeated = scratch.write(repeated, "repeated")
-    lines = every.where(F.col("n") >= min_words).distinct()
+    lines = every.where(F.col("n") >= min_words)
     # equal sets: their earliest line stands for all; every other attribute follows from the set
     first = F.min(F.struct(*KEY, "n", "prefix", "m0", "m1")).alias("f")
     sets = scratch.write(lines.groupBy("h").agg(first).select("h", "f.*"), "sets")
