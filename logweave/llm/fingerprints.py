@@ -15,21 +15,22 @@ word, or 1 if the fingerprints are equal. A text with fewer than `min_words`
 lexicon words has a hash of the whole text as its fingerprint.
 
 At most (mean distinct words of a text) / `low` words can be in the band, so
-the lexicon is bounded whatever the corpus. It is packed into a hash table of
-bytes, a constant of the expressions: each word has a mark of 7 bits at one of
-two places. So a text finds its lexicon words without being taken apart into
-rows, and the texts are shuffled once, to meet their successors. (About one
-other word in five hundred matches a mark by chance; it then counts as a lexicon
-word, in every text alike.) DataFrame expressions only.
+the lexicon is bounded whatever the corpus. It is a cuckoo hash table of whole
+63-bit hashes, a constant of the expressions: every word of the lexicon lies at
+one of its two places, and no other word is found there. So a text finds its
+lexicon words without being taken apart into rows, and the texts are shuffled
+once, to meet their successors. DataFrame expressions only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.common import keyed_texts, with_constant, words_of
+from logweave.llm.common import LOWEST, Scratch, keyed_texts, with_constant, words_of
 
 #: Subsets of a family, and for each family the bits that tell its subsets
 #: apart and how many of those bits' values are subsets (1 / 2**thin of them).
@@ -109,32 +110,51 @@ def fingerprint_string(hashes: str, text: Column) -> Column:
                   ).otherwise(F.concat(F.lit("t"), F.lower(F.hex(text))))
 
 
+#: Bytes of an entry of the table, and how far a hash is shifted for its other place.
+_ENTRY, _OTHER = 8, 31
+
+
 def packed(words: list[int]) -> bytes:
-    """The hash table of a lexicon of 63-bit hashes: 8 places a word, so that
-    nearly all find one of their two places free; the others are left out."""
-    size = 1 << max(16, min(MAX_BITS, (8 * max(len(words), 1) - 1).bit_length()))
-    table = bytearray(size)
-    for w in sorted(words):
-        mark = (w >> 56) + 1 if w >> 56 < 127 else 127
-        spots = (w & (size - 1), (w >> MAX_BITS) & (size - 1))
-        if any(table[x] == mark for x in spots):
-            continue
-        free = next((x for x in spots if not table[x]), None)
-        if free is not None:
-            table[free] = mark
-    return bytes(table)
+    """The cuckoo hash table of a lexicon of 63-bit hashes: a new word takes one
+    of its two places and sends the word there, if any, to that one's other
+    place. The table is doubled until all words lie in it. Empty entries are -1,
+    which is no hash."""
+    size = 16
+    while size * 0.45 < len(words):
+        size *= 2
+    while (table := _placed(words, size)) is None:
+        size *= 2
+    return b"".join(w.to_bytes(_ENTRY, "big", signed=True) for w in table)
+
+
+def _placed(words: list[int], size: int) -> list[int] | None:
+    """`size` entries with every word, None if some find no place."""
+    table, moves = [-1] * size, 64 + 8 * size.bit_length()
+    for word in sorted(set(words)):
+        at = word & (size - 1)
+        if table[at] >= 0 > table[(word >> _OTHER) & (size - 1)]:
+            at = (word >> _OTHER) & (size - 1)
+        for _ in range(moves):
+            word, table[at] = table[at], word
+            if word < 0:
+                break
+            one, two = word & (size - 1), (word >> _OTHER) & (size - 1)
+            at = two if at == one else one
+        else:
+            return None
+    return table
 
 
 def lexicon_words(found: Column, table: Column, size: int) -> Column:
     """The terms of an array that are in the packed lexicon of `size` bytes, sorted."""
 
     def at(place: Column) -> Column:
-        spot = place.bitwiseAND(F.lit(size - 1).cast("long")).cast("int") + 1
-        return F.ascii(F.substring(table, spot, 1).cast("string"))
+        spot = place.bitwiseAND(F.lit(size // _ENTRY - 1).cast("long")).cast("int")
+        return F.substring(table, spot * _ENTRY + 1, F.lit(_ENTRY))
 
     def within(t: Column) -> Column:
-        mark = F.least(F.shiftright(t, 56).cast("int") + 1, F.lit(127))
-        return (at(t) == mark) | (at(F.shiftright(t, MAX_BITS)) == mark)
+        entry = F.to_binary(F.lpad(F.hex(t), 2 * _ENTRY, "0"), F.lit("hex"))
+        return entry.isin(at(t), at(F.shiftright(t, _OTHER)))
 
     return F.sort_array(F.filter(found, within))
 
@@ -147,31 +167,51 @@ def fingerprint(text: Column, table: bytes, min_words: int = 4) -> Column:
     return F.get(hashes, F.lit(0))
 
 
-#: Binary logarithm of the largest packed lexicon.
-MAX_BITS = 24
 MAX_RANGES = 1 << 16
+#: Equal rows that are written from one row of the table of repeated rows.
+COPIES = 1000
+
+
+def _cuts(rows: DataFrame, n: int, rows_each: int) -> list[tuple[int, int]]:
+    """First (did, th) of every range but the lowest. An id with the rows of
+    several ranges is cut evenly over th, which is a hash."""
+    parts = max(1, min(MAX_RANGES, n // rows_each))
+    if parts == 1:
+        return []
+    found = rows.agg(F.percentile_approx("did", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0]
+    return [(did, LOWEST + (k << 64) // m) for did, m in sorted(Counter(found or []).items()) for k in range(m)]
 
 
 def with_ranges(docs: DataFrame, rows_each: int = 256) -> DataFrame:
-    """(did, th, doc_id, text, part, guest) of every row, in ranges of about
-    `rows_each` rows by id (more if that takes over MAX_RANGES ranges). Each
-    range also holds, as a guest, the first row after it; the last range that
-    of the first. So a row's successor is always in its own range."""
+    """(did, th, doc_id, text, times, part, guest) of every distinct row and how
+    many times it is there, in ranges of about `rows_each` rows by id and text
+    hash (more if that takes over MAX_RANGES ranges). Each range also holds, as
+    a guest, the first row after it; the last range that of the first. So a
+    row's successor is always in its own range."""
     spark = docs.sparkSession
-    rows = keyed_texts(docs)
-    n = docs.count()
-    parts = max(1, min(MAX_RANGES, n // rows_each))
-    cuts = []
-    if parts > 1 and n:
-        found = rows.agg(F.percentile_approx("did", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0]
-        cuts = sorted(set(found or []))
+    scratch = Scratch(spark, "ranges")
+    every = keyed_texts(docs)
+    # rows that are there more than once: only their keys are counted for all rows
+    counts = every.select("did", "th").groupBy("did", "th").agg(F.count("*").alias("times")).where("times > 1")
+    again = scratch.small(scratch.write(counts, "again"), "again")
+    first = every.join(again.drop("times"), ["did", "th"]).groupBy("did", "th").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    first = scratch.write(first.join(again, ["did", "th"]), "first")
+    columns = ["doc_id", "did", "th", "text", "times"]
+    once = every.join(again.drop("times"), ["did", "th"], "left_anti").withColumn("times", F.lit(1).cast("long"))
+    rows = once.select(columns).unionByName(first.select(columns))
+    cuts = _cuts(every, docs.count(), rows_each)
     part = F.lit(0)
     if cuts:
-        bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+        dids, ths = (F.split(F.lit(",".join(str(c[k]) for c in cuts)), ",").cast("array<bigint>") for k in (0, 1))
         steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+
+        def from_cut(k: Column) -> Column:
+            did = F.get(dids, k)
+            return (did < F.col("did")) | ((did == F.col("did")) & (F.get(ths, k) <= F.col("th")))
+
         part = F.aggregate(
             F.array(*map(F.lit, steps)), F.lit(0),
-            lambda at, s: F.when((at + s <= len(cuts)) & (F.get(bounds, at + s - 1) <= F.col("did")), at + s).otherwise(at))
+            lambda at, s: F.when((at + s <= len(cuts)) & from_cut(at + s - 1), at + s).otherwise(at))
     own = rows.withColumn("part", part)
     firsts = sorted(own.groupBy("part").agg(F.min(F.struct("did", "th")).alias("f")).select("part", "f.did", "f.th").collect())
     if not firsts:
@@ -196,13 +236,24 @@ def edited_fingerprints(docs: DataFrame, low: float = 1e-3, high: float = 0.1) -
     line = W.partitionBy("part").orderBy("guest", "did", "th")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = with_ranges(docs).withColumn("next", F.coalesce(F.lead("text").over(line), F.lit("")))
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut)))
-    rows = rows.withColumn("a", fingerprint(F.col("text"), table)).withColumn("b", fingerprint(F.col("edited"), table))
-    rows = rows.withColumn("fingerprint", fingerprint_string("a", F.xxhash64("text")))
-    after = rows.withColumn("na", F.lead("a").over(line)).withColumn("next_fingerprint", F.lead("fingerprint").over(line))
-    named = after.where("guest = 0").withColumn("edited_fingerprint", fingerprint_string("b", F.xxhash64("edited")))
-    return named.select(
+
+    def edit(rows: DataFrame) -> DataFrame:
+        edited = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut)))
+        marked = edited.withColumn("a", fingerprint(F.col("text"), table)).withColumn("b", fingerprint(F.col("edited"), table))
+        return marked.withColumn("fingerprint", fingerprint_string("a", F.xxhash64("text"))).withColumn(
+            "edited_fingerprint", fingerprint_string("b", F.xxhash64("edited")))
+
+    ranged = with_ranges(docs)
+    rows = edit(ranged.withColumn("next", F.coalesce(F.lead("text").over(line), F.lit(""))))
+    after = rows.withColumn("na", F.lead("a").over(line)).withColumn("next_fingerprint", F.lead("fingerprint").over(line)).where("guest = 0")
+    # all but the last of equal rows are followed by their own text
+    more = Scratch(docs.sparkSession, "more").write(ranged.where("times > 1 AND guest = 0").select("doc_id", "text", "times"), "rows")
+    more = more.withColumn("from", F.explode(F.sequence(F.lit(2).cast("long"), "times", F.lit(COPIES).cast("long"))))
+    more = more.repartition(F.xxhash64("text"), "from")             # a task makes COPIES of a row at a time
+    equal = edit(more.withColumn("next", F.col("text"))).withColumn("na", F.col("a")).withColumn("next_fingerprint", F.col("fingerprint"))
+    equal = equal.withColumn("copy", F.explode(F.sequence("from", F.least("times", F.col("from") + COPIES - 1))))
+    columns = ["doc_id", "text", "edited", "a", "b", "na", "fingerprint", "edited_fingerprint", "next_fingerprint"]
+    return after.select(columns).unionByName(equal.select(columns)).select(
         "doc_id", n.cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
         likeness("a", "b", F.col("fingerprint") == F.col("edited_fingerprint")).alias("near_edited"),
         likeness("a", "na", F.col("fingerprint") == F.col("next_fingerprint")).alias("near_next"))

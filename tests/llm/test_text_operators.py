@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import components, frame, later_lines, plain, repeated_windows, rows
 from logweave.llm import fingerprints, line_dedup, simhash, substring_dedup, winnow
+from logweave.llm.common import doc_order
 
 
 @pytest.fixture(scope="module")
@@ -230,6 +231,79 @@ def test_lexicon_band(spark):
     assert got == want
 
 
+def i_match(text, band):
+    """A fingerprint by its definition, with the sorted words of `text` in the `band` of terms."""
+    words = sorted(t for t in {xxhash.xxh64_intdigest(w, 42) >> 1 for w in text.encode().split()} if t in band)
+    chosen, shift = {}, 0
+    for family, thin in enumerate(fingerprints.THIN):
+        for t in words if len(words) >= 4 else []:
+            cell = t >> shift & ((1 << 5 + thin) - 1)
+            if cell < fingerprints.SUBSETS:
+                chosen.setdefault(family * fingerprints.SUBSETS + cell, []).append(t >> 63 - 48)
+        shift += 5 + thin
+    out = []
+    for subset in sorted(chosen):
+        h = 0
+        for t in sorted(chosen[subset]):
+            member = (subset << 48 | t).to_bytes(8, "little")
+            h = xxhash.xxh64_intdigest(member, xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
+        out.append((subset, h & 0xFFFF))
+    return out
+
+
+def best_family(a, b):
+    if a == b:
+        return 1.0
+    best = 0.0
+    for family in range(len(fingerprints.THIN)):
+        u, v = (dict(e for e in x if e[0] // fingerprints.SUBSETS == family) for x in (a, b))
+        best = max(best, sum(u[s] == v.get(s) for s in u) / (len(set(u) | set(v)) + 1))
+    return best
+
+
+def test_fingerprints_by_definition(spark, unique):
+    band = {r.term for r in fingerprints.lexicon(unique.select("text"), 0.02, 0.6).collect()}
+    rows = sorted(fingerprints.edited_fingerprints(unique, 0.02, 0.6).join(unique.select("doc_id", "text"), "doc_id").collect(), key=lambda r: r.doc_id)
+    shown = lambda f, text: "".join(f"{s:02x}{h:04x}" for s, h in f) or f"t{xxhash.xxh64_intdigest(text.encode(), 42):x}"
+    own = [i_match(r.text or "", band) for r in rows]
+    for k, r in enumerate(rows):
+        edited = i_match(r.edited, band)
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own[k], r.text or ""), shown(edited, r.edited))
+        for got, a, b, same in ((r.near_edited, own[k], edited, r.fingerprint == r.edited_fingerprint),
+                                (r.near_next, own[k], own[(k + 1) % len(own)], r.fingerprint == rows[(k + 1) % len(own)].fingerprint)):
+            assert got == pytest.approx(1.0 if same else 0.0 if not a and not b else best_family(a, b))
+
+
+def test_every_word_of_the_lexicon_is_found_and_no_other(spark):
+    rng = np.random.default_rng(2)
+    words = sorted({int(x) for x in rng.integers(0, 1 << 63, 60_000)} | {0, 1, (1 << 63) - 1} | {k << 40 for k in range(6)})
+    table = fingerprints.packed(words)
+    entries = [int.from_bytes(table[k:k + 8], "big", signed=True) for k in range(0, len(table), 8)]
+    assert sorted(e for e in entries if e >= 0) == words and len(entries) < 6 * len(words)
+    others = [w ^ 1 << int(b) for w, b in zip(words, rng.integers(0, 63, len(words)))]
+    df = spark.createDataFrame([(words[k::64] + others[k::64],) for k in range(64)], "found array<bigint>")
+    got = df.select(F.explode(fingerprints.with_constant(table, lambda t: fingerprints.lexicon_words(F.col("found"), t, len(table)))))
+    assert {r[0] for r in got.collect()} == set(words)
+    assert len(fingerprints.packed([])) == 8 * 16
+
+
+def test_hot_ids_are_cut_into_ranges(spark):
+    """A third of the rows has no id, another id has many rows, one row is there hundreds of times."""
+    data = [(None, f"none {k}") for k in range(700)] + [(50, f"fifty {k}") for k in range(300)] + [(k, f"own {k}") for k in range(600)] + [(70, "the same again")] * 400
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    ranged = fingerprints.with_ranges(df, rows_each=40).where("guest = 0")
+    sizes = [r["count"] for r in ranged.groupBy("part").count().collect()]
+    assert sum(sizes) == 1601 and max(sizes) <= 100
+    got = fingerprints.edited_fingerprints(df, 0.001, 0.5).collect()
+    order = {(r.did, r.th): k for k, r in enumerate(sorted(ranged.select("did", "th").collect()))}
+    rows = sorted(df.select("doc_id", "text", *doc_order()).collect(), key=lambda r: order[r.did, r.th])
+    want = []
+    for k, r in enumerate(rows):
+        cut = len(r.text) // 4
+        want.append((r.doc_id or -1, r.text[:len(r.text) - cut] + rows[(k + 1) % len(rows)].text[:cut]))
+    assert sorted((r.doc_id if r.doc_id else -1, r.edited) for r in got) == sorted(want)
+
+
 def test_successors_across_ranges(spark):
     df = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     ranged = fingerprints.with_ranges(df, rows_each=16)
