@@ -198,7 +198,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = remainder(4) != 2
     net = toxicity.fit(docs, labels.where(learn))
     scored = Scratch(spark, "toxicity").write(toxicity.score(docs.select("doc_id", "lang", "text"), net), "scores")
-    by_lang = toxicity.language_thresholds(scored.where(learn).join(labels, "doc_id"), default=0.3)
+    by_lang = toxicity.language_thresholds(scored.where(learn & toxicity.kept_back("doc_id")).join(labels, "doc_id"), default=0.3)
     out = scored.join(by_lang.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left")
     threshold = F.coalesce("threshold", F.lit(0.3))
     return out.select(

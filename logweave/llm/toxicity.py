@@ -12,7 +12,8 @@ every embedding with every filter column is tabulated once, so a response is a
 sum of table rows.
 
 `language_thresholds` calibrates decisions by language: the threshold with the
-best F1 on labelled rows. The language is no input of a score.
+best F1 on labelled rows; give it the rows that are `kept_back` from training.
+The language is no input of a score.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,13 +65,16 @@ def buckets(part: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _responses(tables: list[list[np.ndarray]], ids: np.ndarray) -> list[np.ndarray]:
-    """For each width the filters' responses at every place; places beyond the end count as pads."""
+    """For each width the filters' responses at every place; what is beyond a
+    text's end counts as pads, so a filter that begins at a pad answers 0 and
+    sees nothing of the next text."""
     look = lambda table, rows: sum(table[rows[:, k]] for k in range(rows.shape[1]))
     out = []
     for columns in tables:
         total = look(columns[0], ids)
         for j, column in enumerate(columns[1:], 1):
             total[:-j] += look(column, ids[j:])
+        total[ids[:, 0] == ROWS] = 0
         out.append(total)
     return out
 
@@ -119,10 +123,11 @@ def _calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
 
 
 def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, least_steps: int = 600, batch_bytes: int = 1 << 16,
-          rate: float = 0.02) -> Network:
+          rate: float = 0.02, back: list[bool] | None = None) -> Network:
     """Fit the network by Adagrad on the mean logistic loss; deterministic.
 
-    A fifth of the texts is kept back to calibrate the output; `share` is the
+    The texts marked in `back` (by default a fifth) are kept back to calibrate
+    the output, if there are ten of each label at least; `share` is the
     share of label 1 it is calibrated to. The first embedding dimension starts
     from the buckets' log odds, the first filter of every width looks at it.
     Small samples are gone through more often, for `least_steps` steps."""
@@ -131,7 +136,12 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, le
                   np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.1, len(WIDTHS) * FILTERS), 0.0)
     order = rng.permutation(len(texts))
     gold = np.array([labels[i] for i in order], np.int64)
-    held = len(order) // 5 if min(gold.sum(), len(gold) - gold.sum()) >= 10 else 0
+    if back is not None:
+        order = np.array(sorted(order, key=lambda i: not back[i]), order.dtype)     # in place, those kept back first
+        gold = np.array([labels[i] for i in order], np.int64)
+    held = len(order) // 5 if back is None else sum(back)
+    if min(gold.sum(), len(gold) - gold.sum()) < 10 or len(set(gold[held:])) < 2:
+        held = 0
     held_texts, held_gold = pa.array([texts[i] for i in order[:held]], pa.string()), gold[:held]
     order, drawn, gold = order[held:], gold.mean(), gold[held:]
     cut = list(slices(pa.array([texts[i] for i in order], pa.string()), batch_bytes))
@@ -146,22 +156,24 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, le
     past_offset = 1e-3
     for _ in range(epochs):
         for (ids, first), y in zip(parts, own):
-            ends = np.append(first[1:], len(ids))
+            ends, pads = np.append(first[1:], len(ids)), ids[:, 0] == ROWS
             padded = np.concatenate([ids, np.full((PAD, ids.shape[1]), ROWS, ids.dtype)])
             x = sum(net.embeddings[padded[:, k]] for k in range(len(BITS)))
             best, pooled = [], []
             for w in net.filters:
                 r = sum(x[j:j + len(ids)] @ w[j] for j in range(len(w)))
+                r[pads] = 0
                 at = np.stack([a + r[a:b].argmax(0) for a, b in zip(first, ends)])
                 best.append(at)
                 pooled.append(np.take_along_axis(r, at, 0))
             raw = np.concatenate(pooled, 1) + net.bias
             feats = np.maximum(raw, 0)
             error = (_sigmoid(feats @ net.weights + net.offset) - y) / len(y)
-            back = np.outer(error, net.weights) * (raw > 0)
+            down = np.outer(error, net.weights) * (raw > 0)
             grads_w, rows, values = [], [], []
             for k, w in enumerate(net.filters):
-                g, at = back[:, k * FILTERS:(k + 1) * FILTERS], best[k]
+                at = best[k]
+                g = down[:, k * FILTERS:(k + 1) * FILTERS] * ~pads[at]
                 gw = np.empty_like(w)
                 for j in range(len(w)):
                     gw[j] = np.einsum("tf,tfd->df", g, x[at + j])
@@ -176,7 +188,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, le
             ge[touched == ROWS] = 0
             past[0][touched] += ge * ge
             net.embeddings[touched] -= rate * ge / np.sqrt(past[0][touched])
-            for p, g, s in zip((*net.filters, net.bias, net.weights), (*grads_w, back.sum(0), feats.T @ error), past[1:]):
+            for p, g, s in zip((*net.filters, net.bias, net.weights), (*grads_w, down.sum(0), feats.T @ error), past[1:]):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
             past_offset += error.sum() ** 2
@@ -191,10 +203,18 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, le
     return net
 
 
+def kept_back(doc_id: Column | str) -> Column:
+    """Whether a row is one of the fifth, by a hash of the id, that `fit` does
+    not train on (where ten rows of each label are in its sample)."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("kept back")), F.lit(5)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 20_000) -> Network | None:
     """Train on a bounded sample: about `per_label` rows of each label of
     `labels` (doc_id, toxic 0/1; one row an id), taken by a hash of the id, and
-    their texts of at most `max_chars` characters in `docs` (doc_id, text).
+    their texts of at most `max_chars` characters in `docs` (doc_id, text);
+    those `kept_back` only calibrate the output.
     None unless both labels occur."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -206,10 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: in
         chosen = chosen | ((F.col("toxic") == label) & (F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < per_label / n))
     sample = F.broadcast(labels.where(chosen).limit(4 * per_label))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    got = texts.join(sample, "doc_id").select("text", "toxic", order.alias("k")).orderBy("k", "text").limit(4 * per_label).collect()
+    got = texts.join(sample, "doc_id").select("text", "toxic", order.alias("k"), kept_back("doc_id").alias("back")).orderBy("k", "text").limit(4 * per_label).collect()
     if len({r["toxic"] for r in got}) < 2:
         return None
-    return train([r["text"] for r in got], [r["toxic"] for r in got], counts[1] / (counts[0] + counts[1]))
+    return train([r["text"] for r in got], [r["toxic"] for r in got], counts[1] / (counts[0] + counts[1]),
+                 back=[r["back"] for r in got])
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:

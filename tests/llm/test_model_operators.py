@@ -179,6 +179,37 @@ def test_long_text_keeps_its_worst_phrase():
     assert got[0] < 0.3 <= min(got[1:])
 
 
+def test_scores_are_those_of_plain_loops():
+    data = toxic_rows(60, 6)
+    net = toxicity.train([r[1] for r in data], [r[2] for r in data], 0.25, epochs=2, least_steps=10)
+    net.bias = net.bias + 0.05
+    texts = [r[1] for r in data[:12]] + ["", "Word7", "word1 badword2", ". ,"]
+    got = np.concatenate([toxicity.scores(net, toxicity.tabulate(net), p) for p in bytewords.slices(pa.array(texts))])
+    for text, score in zip(texts, got):
+        ids, _ = toxicity.buckets(next(bytewords.slices(pa.array([text]))))
+        words = [[sum(float(net.embeddings[i][d]) for i in row) for d in range(toxicity.DIMENSIONS)] for row in ids]
+        words += [[0.0] * toxicity.DIMENSIONS] * toxicity.PAD
+        total = net.offset
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(words[at + j][d] * net.filters[k][j][d][f] for j in range(width) for d in range(toxicity.DIMENSIONS))
+                           for at in range(len(ids)))
+                total += max(best + net.bias[k * toxicity.FILTERS + f], 0) * net.weights[k * toxicity.FILTERS + f]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-5)
+
+
+def test_rows_kept_back_are_not_trained_on(spark):
+    data = toxic_rows(300, 7)
+    kind = "doc_id long, text string, toxic int, lang string"
+    df = spark.createDataFrame(data, kind)
+    back = {r.doc_id for r in df.where(toxicity.kept_back("doc_id")).collect()}
+    assert 30 < len(back) < 90
+    marked = spark.createDataFrame([(i, t + (" zzbackonly" if i in back else " zztrained"), y, lang) for i, t, y, lang in data], kind)
+    net = toxicity.fit(marked.select("doc_id", "text"), marked)
+    ids, _ = toxicity.buckets(next(bytewords.slices(pa.array(["zzbackonly zztrained"]))))
+    assert not net.embeddings[ids[0, 0]].any() and net.embeddings[ids[1, 0]].any()
+
+
 # --- Katz
 
 def katz_model(spark, texts, **kw):
