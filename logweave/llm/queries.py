@@ -176,7 +176,16 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "near_edited", "near_next")
 
 
-@_query()
+@_query(r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS ws FROM documents),
+     g AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS gram FROM d, unnest(range(1, len(ws) - 48)) AS t(s)),
+     first AS (SELECT gram, min(doc_id) AS of FROM g GROUP BY gram HAVING count(*) > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM g JOIN first USING (gram) WHERE doc_id > of),
+     w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM d),
+     kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(_documents(spark, sf_dir), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

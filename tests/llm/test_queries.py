@@ -2,6 +2,7 @@
 and what the contract fixes for the trained operators."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,6 +43,19 @@ def test_language_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in out]) > 0.95
 
 
+def test_katz_counted_columns(spark):
+    """Tokens, known tokens and base score from plain counts of the training words."""
+    tokens = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [None]
+    docs = {r.doc_id: tokens(r.text) for r in table(spark, SF_SMALL, "documents").select("doc_id", "text").collect()}
+    counts = Counter(w for i, ws in docs.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    total = sum(counts.values())
+    below = total + 0.5 * (len(counts) + 1)
+    for r in QUERIES["op6_katz"](spark, SF_SMALL).collect():
+        own = docs[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), total)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 0.5) / below) for w in own), rel=1e-9)
+
+
 def test_katz_beats_the_base(spark):
     out = QUERIES["op6_katz"](spark, SF_SMALL).where("held_out").collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
