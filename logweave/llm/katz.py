@@ -70,11 +70,16 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _texts(lists: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _texts(lists: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(lo, hi, tokens, places of the texts' first tokens and the end) of the
-    texts lo to hi of a column of token lists, some half million tokens at once."""
-    at = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy().view(np.uint64)
+    texts lo to hi of a column of token lists, or of their bytes, some half
+    million tokens at once."""
+    if pa.types.is_binary(lists.type):
+        at = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1].astype(np.int64)
+        at, values = (at - at[0]) // 8, np.frombuffer(lists.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.uint64)
+    else:
+        at = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy().view(np.uint64)
     lo = 0
     while lo < len(lists):
         hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 19), "right")) - 1), len(lists))
@@ -268,6 +273,17 @@ def _count_of_counts(df: DataFrame) -> dict[int, int]:
     return {r["c"]: r["n"] for r in df.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
 
 
+def word_factors(words: DataFrame, total: int) -> tuple[np.ndarray, float]:
+    """The factor of each count of a word, and the probability of the unseen ones:
+    the mass of the discounted counts that is left."""
+    seen = _count_of_counts(words)
+    rare = discounts(seen)
+    left = sum(n * r * (1 - rare[r]) for r, n in seen.items() if r <= K) / max(total, 1)
+    if left <= 0:       # no usable counts of counts: as much as one more token
+        rare, left = rare * total / (total + 1), 1 / (total + 1)
+    return rare, float(left)
+
+
 def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """Learn from all rows of `texts` (text); (model, word table (key, c))."""
     if not (0 < word_share <= 1 and rounds >= 1):
@@ -278,12 +294,7 @@ def fit(scratch: Scratch, texts: DataFrame, word_share: float = 1e-6, rounds: in
     key, c = _arrays(words.where(F.col("c") >= max(1.0, word_share * total)))
     by = np.argsort(key.view(np.uint64))
 
-    # words: the mass of the discounted counts that is left is the unseen words'
-    seen = _count_of_counts(words)
-    rare = discounts(seen)
-    left = sum(n * r * (1 - rare[r]) for r, n in seen.items() if r <= K) / max(total, 1)
-    if left <= 0:       # no usable counts of counts: as much as one more token
-        rare, left = rare * total / (total + 1), 1 / (total + 1)
+    rare, left = word_factors(words, total)
     tables = _tables(scratch, learned, words.withColumn("p", _word_share(rare, total, F.col("c"))), rounds)
     return Model(key.view(np.uint64)[by], c[by], rare, float(np.log10(left)), int(total), int(distinct), tables), words
 

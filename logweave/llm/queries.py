@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import (
-    chat, fingerprints, katz, langid, line_dedup, mixing, packing, simhash, spelling, substring_dedup, toxicity, vector_codes, winnow)
+    chat, fingerprints, katz_corpus, langid, line_dedup, mixing, packing, simhash, spelling, substring_dedup, toxicity, vector_codes, winnow)
 from logweave.llm.common import Scratch
 from logweave.session import table
 
@@ -193,11 +193,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), "text")
-    scratch = Scratch(spark, "katz")
-    model, words = katz.fit(scratch, docs.where(remainder(5) != 1))
-    out = katz.score(scratch, docs, model, words)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    learn = F.coalesce(remainder(5) != 1, F.lit(False)).alias("learn")
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), learn, "text")
+    out, total = katz_corpus.score_corpus(Scratch(spark, "katz"), docs)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @_query()

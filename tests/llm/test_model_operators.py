@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import counts, frame, plain, rows
-from logweave.llm import bytewords, chat, katz, langid, mixing, toxicity
+from logweave.llm import bytewords, chat, katz, katz_corpus, langid, mixing, toxicity
 from logweave.llm.common import Scratch
 
 SAMPLES = {
@@ -347,6 +347,34 @@ def test_katz_keeps_rare_pairs_of_many_tokens(spark):
     assert sizes == [4, 4, 3]       # x y z end; xx, x end, yz, z end; xxx, xx end, yz end
 
 
+@pytest.mark.parametrize("settings", [{}, {"rounds": 2, "share": 300, "hot": 40}, {"rounds": 3, "share": 60, "hot": 4, "word_share": 0.02}])
+def test_corpus_scores_are_those_of_the_tables(spark, settings):
+    """In one go, with what is frequent gathered or spread, the scores of fit and score; and no table of n-grams is left."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{min(int(k), 50)}" for k in rng.zipf(1.5, rng.integers(0, 25))) for _ in range(90)]
+    data = [(k if k % 7 else 5, None if k % 31 == 30 else t, None if k % 13 == 12 else k % 5 != 1) for k, t in enumerate([*texts, "new", "w1 new w1", texts[3]])]
+    df = spark.createDataFrame(data, "doc_id long, text string, learn boolean").repartition(3)
+    learned = df.where("learn").select("text")
+    model, words = katz.fit(Scratch(spark, "katz_test"), learned, rounds=1)
+    columns = ("n_tokens", "n_known", "base_score", "score")
+    want = sorted(tuple(r) for r in katz.score(Scratch(spark, "katz_test"), df.select("doc_id", "text"), model, words).select("doc_id", *columns).collect())
+    scratch = Scratch(spark, "katz_test")
+    named = df.withColumns({c: F.lit(7) for c in ("lw_row", "toks", "kept", "size", "log", "bucket", "score")})
+    out, total = katz_corpus.score_corpus(scratch, named, **settings)
+    assert out.columns == ["doc_id", "lw_row", "toks", "kept", "size", "log", "bucket", *columns] and total == model.total
+    got = sorted(tuple(r) for r in out.select("doc_id", *columns).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(x - y) < 1e-6 for a, b in zip(got, want) for x, y in zip(a[3:], b[3:]))
+    assert all(scratch.bytes(name) > 0 for name in ("rows", "words", "logs"))
+    for name in ("ngrams_1", "ngrams_2", "ngrams_3", "pairs"):
+        with pytest.raises(Exception, match="(?i)not exist|no such"):
+            scratch.bytes(name)
+    # nothing to learn from, and nothing at all
+    none, total = katz_corpus.score_corpus(Scratch(spark, "katz_test"), df.withColumn("learn", F.lit(False)), **settings)
+    assert total == 0 and all(r.n_known == 0 and r.score <= 0 for r in none.collect())
+    assert katz_corpus.score_corpus(Scratch(spark, "katz_test"), df.limit(0), **settings)[0].count() == 0
+
+
 def test_gram_keys_are_those_of_spark(spark):
     a, b = np.array([1, 2 ** 63 + 5, 77], np.uint64), np.array([2 ** 64 - 1, 0, 9], np.uint64)
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a.view(np.int64), b.view(np.int64))], "a long, b long")
