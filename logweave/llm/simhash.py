@@ -111,7 +111,8 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             total = total + parts[(i + length - 1) % m]
             within = within & (total <= length * max_bits // m)
         chains = chains | ((F.col("i") == i) & within)
-    pairs = exact.join(near, ["i", "s", "t"]).where(F.col("a") < F.col("b"))
+    # both sides are several times as large as Spark takes them for, which counts an exploded row as one
+    pairs = exact.join(near.hint("merge"), ["i", "s", "t"]).where(F.col("a") < F.col("b"))
     return pairs.where(chains).where(F.bit_count(diff) <= max_bits).select("a", "b").distinct()
 
 

@@ -145,6 +145,17 @@ def test_near_duplicates(docs, unique, data, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "BroadcastHashJoin" in plan, "SortMergeJoin" in plan
+
+
+def test_links_are_shuffled_not_broadcast(spark, tmp_path):
+    # an exploded side is many times its estimated size
+    spark.range(0, 20_000, 1, 1).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    assert _joins(simhash.links(spark.read.parquet(f"{tmp_path}/fps"))) == (False, True)
+
+
 def test_long_chains_of_links(spark):
     from logweave.llm.common import Scratch, connected_components
 
