@@ -74,8 +74,10 @@ class Scratch:
 
     def small(self, df: DataFrame, name: str, factor: int = 4) -> DataFrame:
         """`df` (read from table `name`) with a broadcast hint if the written
-        table, `factor` times its file size, is within BROADCAST_BYTES."""
-        return F.broadcast(df) if self.bytes(name) * factor <= BROADCAST_BYTES else df
+        table, `factor` times its file size, is within BROADCAST_BYTES; if not,
+        with a hint to shuffle it, as Spark would still broadcast a table whose
+        encoded files are small."""
+        return F.broadcast(df) if self.bytes(name) * factor <= BROADCAST_BYTES else df.hint("merge")
 
 
 def doc_order() -> list[Column]:

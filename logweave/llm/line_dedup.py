@@ -213,8 +213,9 @@ def _later(docs: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame
     earliest = scratch.write(
         rare.groupBy("token").agg(F.min("did").alias("of"), F.count("*").alias("k")).where("k > 1").select(F.col("token").alias("t"), "of"), "earliest")
     # no document is before the earliest; as an inequality it leaves the word as the
-    # only join key, so that one shuffle of `rare` serves both joins
-    pivots = rare.join(earliest, (F.col("token") == F.col("t")) & (F.col("did") <= F.col("of"))).drop("t", "of")
+    # only join key, so that one shuffle of `rare` serves both joins. A row of two
+    # numbers takes up to 16 times its encoded size in a hash table
+    pivots = rare.join(scratch.small(earliest, "earliest", 16), (F.col("token") == F.col("t")) & (F.col("did") <= F.col("of"))).drop("t", "of")
     settled = _verified(scratch, docs, sets, _candidates(pivots, rare, threshold), threshold, "first")
     scratch.drop("earliest")
 

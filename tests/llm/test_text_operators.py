@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from helpers import components, frame, later_lines, plain, repeated_windows, rows
-from logweave.llm import fingerprints, line_dedup, simhash, substring_dedup, winnow
+from logweave.llm import common, fingerprints, line_dedup, simhash, substring_dedup, winnow
 from logweave.llm.common import doc_order
 
 
@@ -337,3 +337,17 @@ def test_equal_rows_lose_their_lines(spark):
         sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in got) == sorted([      # the hash of the text decides which of id 7 is first
         (7, "\nfour five six seven\n \t", 1), (7, "\n \t", 2), (0, "no id here", 0), (0, "", 1), (0, "", 1), (3, "alone", 0), (7, "three two one", 0), (4, "", 0), (4, "", 0)])
     assert sum(r.n_lines for r in got) == 4 + 4 + 3 + 1 + 1
+
+
+def test_what_may_be_large_is_not_broadcast(spark, unique, monkeypatch):
+    scratch = common.Scratch(spark, "sized")
+    few = scratch.write(spark.range(100).select(F.col("id").cast("int").alias("t")), "few")
+    many = spark.range(1000).select(F.col("id").alias("t"))
+    assert _joins(many.join(scratch.small(few, "few"), "t")) == (True, False)
+    want = sorted(line_dedup.later_lines(unique).collect())
+    seen, pairs = [], line_dedup._candidates
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "_candidates", lambda a, b, t: seen.append(_joins(a)) or pairs(a, b, t))
+    assert _joins(many.join(scratch.small(few, "few"), "t")) == (False, True)
+    assert sorted(line_dedup.later_lines(unique).collect()) == want
+    assert seen[0] == (False, True)     # the words' earliest documents
