@@ -132,3 +132,22 @@ def test_files_of_any_size_are_hashed(spark, tmpdir_path):
     for name, content in contents.items():
         want = (None, None) if name.endswith(".gz") else (hashlib.md5(content).hexdigest(), hashlib.sha1(content).hexdigest())
         assert (rows[name].md5, rows[name].sha1, rows[name].length) == (*want, len(content)), name
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmpdir_path):
+    import gzip
+    import hashlib
+    import os
+
+    lines = b"".join(b"%d,\n" % i for i in range(400_000))
+    contents = {"small": b"abc", "a b%20é+.bin": os.urandom(17 << 20), "lines.txt": lines * 8, "one_line": b"x" * (18 << 20),
+                "packed.gz": gzip.compress(os.urandom(17 << 20), 1)}
+    for name, content in contents.items():
+        with open(f"{tmpdir_path}/{name}", "wb") as f:
+            f.write(content)
+    manifest = files.fingerprint_manifest(spark, f"{tmpdir_path}/*")
+    assert "MapInArrow" in manifest._jdf.queryExecution().executedPlan().toString()
+    rows = {r.file_name: r for r in manifest.collect()}
+    assert set(rows) == set(contents)
+    for name, content in contents.items():
+        assert (rows[name].md5, rows[name].sha1) == (hashlib.md5(content).hexdigest(), hashlib.sha1(content).hexdigest()), name
