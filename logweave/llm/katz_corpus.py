@@ -113,7 +113,10 @@ def _counting(grams_of, contexts: np.ndarray, parts: np.ndarray, buckets: int):
 
         def counted() -> pa.RecordBatch:
             a, b = (np.concatenate(x) for x in zip(*held))
-            keys, at, n = np.unique(gram_keys(a, b), return_index=True, return_counts=True)
+            keys = gram_keys(a, b)
+            by, starts = _runs(keys)
+            at, n = by[starts], np.diff(np.append(starts, len(by)))
+            keys = keys[at]
             return _packed(_spread(a[at], keys, contexts, parts) % np.uint64(buckets), _names(_GRAMS), [a[at], b[at], n.astype(np.int64)])
 
         for batch in batches:
@@ -247,16 +250,14 @@ class Level:
         hot = _find(self.grams, gram[at])
         c = np.where(hot >= 0, self.counts[hot], c) if len(self.counts) else c
         mass = self.factors[np.minimum(c, K + 1)] * c
-        seen = np.flatnonzero(c > 0)
-        order, first = _runs(a[seen])
-        order = seen[order]
+        # of the n-grams after a context only those seen count; without any, total and back are 1
+        order, first = _runs(a)
+        seen = (c > 0)[order]
         total, back = np.ones(len(a)), np.ones(len(a))
-        if len(seen):
-            known = a[order[first]]
-            sums = [np.add.reduceat(x[order], first) for x in (mass, c.astype(float), low)]
-            of = _find(known, a)
+        if len(a):
+            sums = [np.add.reduceat(np.where(seen, x[order], 0.0), first) for x in (mass, c, low)]
             for out, x in zip((total, back), _totals(*sums)):
-                out[of >= 0] = x[of[of >= 0]]
+                out[order] = np.repeat(x, np.diff(np.append(first, len(a))))
         of = _find(self.contexts, a)
         for out, x in ((total, self.total), (back, self.back)):
             out[of >= 0] = x[of[of >= 0]]
@@ -319,26 +320,33 @@ def _entries(held, k: int, known: bool, rounds: int, after: np.ndarray | None =
     learned from, 3 if the triple is too. Before each text stand two words made
     up from its row, which no other text has."""
 
+    # the hashes of `_share_of` k are these
+    least, end = (-(-(i << 32) // rounds) << 32 for i in (k, k + 1))
+    least, most = np.uint64(least), np.uint64(end - least - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = Corpus.of(held.value)
         for batch in batches:
             row, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, toks, heads in _texts(batch.column(2)):
-                own = row[lo:hi].view(np.uint64)
-                start = mix(np.repeat(own * np.uint64(2), 2) + np.tile(np.array([0, 1], np.uint64), hi - lo))
-                owner = np.repeat(np.arange(lo, hi), np.diff(heads) + 2)
-                toks = np.insert(toks, np.repeat(heads[:-1], 2), start)
-                real = np.ones(len(toks), bool)
-                first = heads[:-1] + 2 * np.arange(hi - lo)
-                real[first] = real[first + 1] = False
-                w = np.flatnonzero(real)
-                w = w[_share_of(toks[w - 1], rounds) == k]
-                if after is not None:
-                    w = w[_find(after, toks[w - 1]) >= 0]
+                own = row[lo:hi].view(np.uint64) * np.uint64(2)
+                starts = mix(own), mix(own + np.uint64(1))
+                # all tokens are looked at in every round: only by the range of the word before
+                chosen = np.empty(len(toks), bool)
+                chosen[1:] = toks[:-1] - least <= most
+                chosen[heads[:-1]] = starts[1] - least <= most
+                w = np.flatnonzero(chosen)
+                owner = np.searchsorted(heads, w, "right") - 1
+                place = w - heads[owner]
+                v = np.where(place > 0, toks[w - 1], starts[1][owner])
+                keep = np.ones(len(w), bool) if after is None else _find(after, v) >= 0
                 at = corpus.held(toks[w])
-                w, at = (x[(at >= 0) == known] for x in (w, at))
-                n = (learn[owner[w]] * (real[w - 1] + 2 * real[w - 2])).astype(np.int8)
-                columns = [row[owner[w]], toks[w - 2], toks[w - 1], toks[w]]
+                keep &= (at >= 0) == known
+                w, owner, place, v, at = (x[keep] for x in (w, owner, place, v, at))
+                u = np.where(place > 1, toks[w - 2], np.where(place > 0, starts[1][owner], starts[0][owner]))
+                owner += lo
+                n = (learn[owner] * ((place > 0) + 2 * (place > 1))).astype(np.int8)
+                columns = [row[owner], u, v, toks[w]]
                 if known:
                     yield corpus.dealt(*columns, corpus.counts[at], n)
                 else:

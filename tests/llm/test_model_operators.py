@@ -475,3 +475,36 @@ def test_no_control_string_inside_texts(spark):
     for r in chat.examples(df.where("conv_id = 1")).collect():
         body = r.formatted[r.loss_start:r.loss_start + r.loss_length]
         assert not any(mark in body for mark in ("[INST]", "[/INST]", "</s>", "<s>", "[SYS]", "[ROLE"))
+
+
+def test_katz_tokens_are_dealt_to_their_rounds():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vocab = np.unique(rng.integers(2, 1 << 64, 50, np.uint64))
+    texts = [np.append(rng.choice(vocab, n), katz.END) for n in [0, 1, 2, 40, 0, 300]]
+    rows = np.arange(6) + (2 << 33)
+    learn = np.array([1, 0, 1, 1, 0, 0], bool)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(rows), pa.array(learn), pa.array([t.tobytes() for t in texts], pa.binary())], names=["lw_row", "learn", "toks"])
+    words, none = vocab[::2].copy(), np.zeros(0, np.uint64)
+    first = np.append(np.searchsorted(words >> np.uint64(56), np.arange(256, dtype=np.uint64)), len(words))
+    level = katz_corpus.Level(np.ones(7), none, np.zeros(0), np.zeros(0), none, none, np.zeros(0, np.int64))
+    corpus = katz_corpus.Corpus(words, np.arange(len(words)) + 9, np.ones(7), 1e-9, 100, 50, 3, 8, first, level, level)
+    want = []
+    for row, own, text in zip(rows.tolist(), learn, texts):
+        full = [*bytewords.mix(np.array([2 * row, 2 * row + 1], np.uint64)), *text]
+        for i in range(2, len(full)):
+            at = np.flatnonzero(words == full[i])
+            want.append((row, *map(int, full[i - 2:i + 1]), int(at[0]) + 9 if len(at) else 0, int(own) * [0, 1, 3][min(i - 2, 2)]))
+    for rounds in (1, 3, 7):
+        got = []
+        for k in range(rounds):
+            for known in (True, False):
+                for b in katz_corpus._entries(SimpleNamespace(value=corpus.plain()), k, known, rounds)(iter([batch])):
+                    row, u, v, w, c, n = katz_corpus._flat(pa.Table.from_batches([b]), *katz_corpus._names(katz_corpus._TOKENS))
+                    assert all(int(x) * rounds >> 64 == k for x in v) and all((x > 0) == known for x in c)
+                    got += zip(*(x.tolist() for x in (row, u, v, w, c, n)))
+        assert sorted(got) == sorted(want)
